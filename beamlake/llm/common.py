@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of letters and digits; case never matters.
 WORD = re.compile(r"[^\W_]+")
@@ -55,6 +56,14 @@ def drop_stored(df: DataFrame) -> None:
         drop_path(df.sparkSession, files[0].rsplit("/", 1)[0])
 
 
+def wider(df: DataFrame, **columns: str) -> T.StructType:
+    """df's schema and more columns, as a new object: a DataFrame's own schema must not change."""
+    out = T.StructType(list(df.schema.fields))
+    for name, kind in columns.items():
+        out = out.add(name, kind)
+    return out
+
+
 def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo `modulus`; -1 for a null id."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)), F.lit(-1))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beamlake.llm.common import crc_mod
+from beamlake.llm.common import crc_mod, wider
 from beamlake.llm.compression import FRAME, compressor, lengths
 
 #: Bound of the training sample: texts of each language, languages, and characters of a sampled text.
@@ -107,10 +107,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
             cols = [pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *new])
 
-    schema = docs.schema
-    for k, v in new.items():
-        schema = schema.add(k, v)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, wider(docs, **new))
 
 
 def language_id(docs: DataFrame) -> DataFrame:

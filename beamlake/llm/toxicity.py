@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beamlake.llm.common import WORD, crc_mod
+from beamlake.llm.common import WORD, crc_mod, wider
 from beamlake.llm.compression import FRAME, compressor, expander, lengths
 
 #: Bound of the training sample: texts of each class, and characters of a text that may be sampled.
@@ -226,7 +226,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             s, k = score_texts(model, b.column(b.schema.get_field_index("text")).to_pylist(), d)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array(k, pa.int64())], names=[*b.schema.names, "tox_score", "tox_windows"])
 
-    schema = docs.schema.add("tox_score", "double").add("tox_windows", "long")
+    schema = wider(docs, tox_score="double", tox_windows="long")
     return docs.mapInArrow(run, schema)
 
 
