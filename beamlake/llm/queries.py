@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beamlake.llm import langid, packing, toxicity
+from beamlake.llm import langid, packing, toxicity, warc
 from beamlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,9 +24,29 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.convert(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_packing, op5_toxicity, op6_language_id)}
+    return {f.__name__: f for f in (op4_packing, op5_toxicity, op6_language_id, op9_warc)}
+
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, url, encode(coalesce(html, '')) AS body FROM pages
+), d AS (
+  SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p
+), c AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS chosen FROM d
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> chosen THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> chosen THEN chosen END AS refers_to
+FROM c
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": OP9_SQL}
