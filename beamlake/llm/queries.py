@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beamlake.llm import langid, packing, toxicity, warc
+from beamlake.llm import htmltext, langid, packing, toxicity, warc
 from beamlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,13 +24,17 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.convert(table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_packing, op5_toxicity, op6_language_id, op9_warc)}
+    return {f.__name__: f for f in (op4_packing, op5_toxicity, op6_language_id, op7_html, op9_warc)}
 
 
 OP9_SQL = """
