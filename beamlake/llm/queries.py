@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beamlake.llm import htmltext, langid, packing, toxicity, warc
+from beamlake.llm import htmltext, langid, neardup, packing, toxicity, warc
 from beamlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,14 +28,41 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.convert(table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_packing, op5_toxicity, op6_language_id, op7_html, op9_warc)}
-
+    return {f.__name__: f for f in (op4_packing, op5_toxicity, op6_language_id, op7_html, op8_near_duplicates, op9_warc)}
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) >= 5
+    THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) ELSE [array_to_string(ws, ' ')] END)) AS sh
+  FROM w WHERE len(ws) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c::DOUBLE / (x.n + y.n - c) >= 0.8
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r(node, root) AS (
+  SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node
+), m AS (
+  SELECT node, min(root) AS root FROM r GROUP BY node
+)
+SELECT d.doc_id, coalesce(m.root, d.doc_id) AS class_id FROM documents d LEFT JOIN m ON m.node = d.doc_id
+"""
 
 OP9_SQL = """
 WITH p AS (
@@ -53,4 +80,4 @@ FROM c
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": OP9_SQL}
+    return {"op8_near_duplicates": OP8_SQL, "op9_warc": OP9_SQL}
