@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beamlake.llm import htmltext, langid, neardup, packing, toxicity, warc
+from beamlake.llm import decontaminate, htmltext, langid, neardup, packing, toxicity, warc
 from beamlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shingles", "n_found", "containment")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -38,9 +43,27 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_packing, op5_toxicity, op6_language_id, op7_html, op8_near_duplicates, op9_warc)}
+    return {f.__name__: f for f in (op1_decontamination, op4_packing, op5_toxicity, op6_language_id, op7_html, op8_near_duplicates, op9_warc)}
 
 
+OP1_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}\p{M}]+'), lambda x: x <> '') AS ws FROM documents
+), v AS (
+  SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}\p{M}]+'), lambda x: x <> '') AS ws FROM benchmark
+), d AS (
+  SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))) AS sh FROM w WHERE len(ws) >= 5
+), i AS (
+  SELECT item_id, unnest(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))) AS sh FROM v WHERE len(ws) >= 5
+), n AS (
+  SELECT item_id, count(*) AS n FROM i GROUP BY item_id
+), c AS (
+  SELECT doc_id, item_id, count(*) AS n_found FROM d JOIN i USING (sh) GROUP BY doc_id, item_id
+)
+SELECT doc_id, item_id, n AS n_shingles, n_found, n_found::DOUBLE / n AS containment
+FROM c JOIN n USING (item_id) WHERE n_found::DOUBLE / n >= 0.8
+"""
+
 OP8_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents
@@ -80,4 +103,4 @@ FROM c
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_near_duplicates": OP8_SQL, "op9_warc": OP9_SQL}
+    return {"op1_decontamination": OP1_SQL, "op8_near_duplicates": OP8_SQL, "op9_warc": OP9_SQL}
