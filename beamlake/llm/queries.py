@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from beamlake.llm import decontaminate, htmltext, langid, neardup, packing, toxicity, warc
+from beamlake.llm import decontaminate, htmltext, langid, neardup, packing, pii, toxicity, warc
 from beamlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,8 +42,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op4_packing, op5_toxicity, op6_language_id, op7_html, op8_near_duplicates, op9_warc)}
+    return {f.__name__: f for f in (op1_decontamination, op4_packing, op5_toxicity, op6_language_id, op7_html, op8_near_duplicates, op9_warc, op10_pii)}
 
 
 OP1_SQL = r"""
