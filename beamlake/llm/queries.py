@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from beamlake.llm import decontaminate, htmltext, langid, neardup, packing, pii, quotes, toxicity, warc
+from beamlake.llm import decontaminate, forest, htmltext, langid, neardup, packing, pii, quotes, toxicity, warc
 from beamlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_shingles", "n_found", "containment")
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return forest.nearest(vectors, vectors.where(F.pmod(F.col("vec_id"), F.lit(50)) == 0), k=5)
+
+
 def op3_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link(table(spark, sf_dir, "conversations"))
 
@@ -51,7 +57,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op3_quotations, op4_packing, op5_toxicity, op6_language_id, op7_html, op8_near_duplicates, op9_warc, op10_pii)}
+    return {f.__name__: f for f in (op1_decontamination, op2_nearest, op3_quotations, op4_packing, op5_toxicity, op6_language_id, op7_html, op8_near_duplicates, op9_warc, op10_pii)}
 
 
 OP1_SQL = r"""
