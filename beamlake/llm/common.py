@@ -64,6 +64,16 @@ def wider(df: DataFrame, **columns: str) -> T.StructType:
     return out
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """text, and all other columns in one struct, so that none clashes with what an operator adds."""
+    return docs.select("text", F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row_"))
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of packed() again, in their order, some replaced."""
+    return df.select(*[changed.get(c, F.col("text") if c == "text" else F.col("row_")[c]).alias(c) for c in columns])
+
+
 def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo `modulus`; -1 for a null id."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)), F.lit(-1))

@@ -83,4 +83,4 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no item."""
     ids = stored(leaks(docs, items).select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).distinct(), "leaks")
-    return docs.join(_light(ids, ids.count()), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.xxhash64("text") == F.col("hash_")), "left_anti")
+    return docs.join(_light(ids, ids.count()), docs["doc_id"].eqNullSafe(ids["id_"]) & (F.xxhash64(docs["text"]) == ids["hash_"]), "left_anti")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beamlake.llm.common import stored
+from beamlake.llm.common import packed, stored, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive, and tried only where a run starts or the last match ended: the same matches without backtracking.
@@ -63,6 +63,13 @@ def _passes(kind: str, found: Column) -> Column:
     return F.when(n.between(16, 19), _luhn(_digits(found))).otherwise(False)
 
 
+def _refused(kind: str, found: Column) -> Column:
+    """Whether a match looks like its kind and still fails its check; a short run of digits is no card at all."""
+    if kind == "card":
+        return F.length(_digits(found)).between(16, 19) & ~_passes(kind, found)
+    return ~_passes(kind, found)
+
+
 def _matches(text: Column, pattern: Column | str, kind: int) -> Column:
     """array of (kind, start, end, found) of every match. split gives what lies between the matches."""
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
@@ -86,7 +93,7 @@ def base_spans(text: Column, accepted: bool = True) -> Column:
     for k, kind in enumerate(KINDS):
         hint = _HINTS[kind]
         tried = (text.contains(hint) if hint else F.lit(True)) & text.rlike(PATTERNS[kind])
-        ok = (lambda kind: lambda s: _passes(kind, s["found"]) if accepted else ~_passes(kind, s["found"]))(kind)
+        ok = (lambda kind: lambda s: _passes(kind, s["found"]) if accepted else _refused(kind, s["found"]))(kind)
         parts.append(F.when(tried, F.filter(_matches(text, PATTERNS[kind], k), ok)).otherwise(none))
     return F.concat(*parts)
 
@@ -206,7 +213,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def mask(docs: DataFrame) -> DataFrame:
     """docs with each span replaced by its kind in angle brackets; n_chars, where there is one, follows."""
-    s = spans(docs)
+    s = spans(packed(docs).withColumn("doc_id", F.col("row_")["doc_id"]))
     every = F.array_sort(F.concat("base", "more"), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(b["end"] - a["end"]))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in (*KINDS, "other")])
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -220,7 +227,7 @@ def mask(docs: DataFrame) -> DataFrame:
 
     masked = F.aggregate(every, zero, put, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
     text = F.when(F.size(F.concat("base", "more")) > 0, masked).otherwise(F.col("text"))
-    s = s.withColumn("text", text)
+    changed = {"text": text}
     if "n_chars" in docs.columns:
-        s = s.withColumn("n_chars", F.when(F.size(F.concat("base", "more")) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return s.select(*docs.columns)
+        changed["n_chars"] = F.when(F.size(F.concat("base", "more")) > 0, F.length(text).cast("long")).otherwise(F.col("row_")["n_chars"])
+    return unpacked(s, docs.columns, **changed)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beamlake.llm.common import WORD, crc_mod, wider
+from beamlake.llm.common import WORD, crc_mod, packed, unpacked, wider
 from beamlake.llm.compression import FRAME, compressor, expander, lengths
 
 #: Bound of the training sample: texts of each class, and characters of a text that may be sampled.
@@ -216,9 +216,7 @@ def score_texts(model: Model | None, texts: list[str], distances: Distances | No
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with tox_score (0 to 1) and tox_windows, the windows that count."""
-    for c in ("tox_score", "tox_windows"):
-        if c in docs.columns:
-            docs = docs.drop(c)
+    docs = docs.drop("tox_score", "tox_windows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = Distances(model.toxic, model.ordinary, model.tau) if model else None
@@ -244,5 +242,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not predicted toxic, with their own columns."""
-    scored = score(docs, fit(docs, labels))
-    return scored.where(F.col("tox_score") < CUT).select(*docs.columns)
+    scored = score(packed(docs), fit(docs, labels))
+    return unpacked(scored.where(F.col("tox_score") < CUT), docs.columns)
