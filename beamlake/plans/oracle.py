@@ -6,7 +6,7 @@ from beamlake.config import GEARS
 
 _VECTORS = """
 allv AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000.0::DOUBLE + 0.5::DOUBLE) AS INTEGER)) AS vec FROM embeddings WHERE embedding IS NOT NULL),
-base AS (SELECT vec_id, vec FROM allv WHERE vec_id % 10 <> 0),
+base AS MATERIALIZED (SELECT vec_id, vec FROM allv WHERE vec_id % 10 <> 0),
 qs AS (SELECT vec_id AS query_id, vec FROM allv WHERE vec_id % 10 = 0)"""
 
 _L2 = "list_sum(list_transform(range(1, 65), lambda i: CAST({a}[i] - {b}[i] AS BIGINT) * ({a}[i] - {b}[i])))"
@@ -18,8 +18,8 @@ exact AS (SELECT query_id, rank, vec_id, dist_sq FROM (
 
 _MEAN = """
 mean_d AS (SELECT d, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS mean FROM (SELECT unnest(range(0, 64)) AS d, unnest(vec) AS x FROM base) GROUP BY d),
-mean AS (SELECT list(mean ORDER BY d) AS mu FROM mean_d),
-book AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS centroid, list_transform(range(1, 65), lambda i: vec[i] - mu[i]) AS c
+mean AS MATERIALIZED (SELECT list(mean ORDER BY d) AS mu FROM mean_d),
+book AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS centroid, list_transform(range(1, 65), lambda i: vec[i] - mu[i]) AS c
   FROM (SELECT * FROM base ORDER BY vec_id LIMIT 256), mean)"""
 
 
@@ -33,18 +33,18 @@ def _codes(m: int) -> str:
     return f"""
 enc{m} AS (SELECT vec_id, CAST(s AS INTEGER) AS subspace, CAST(min({_sub("x", "c", m)} * 256 + centroid) % 256 AS INTEGER) AS code
   FROM (SELECT vec_id, list_transform(range(1, 65), lambda i: vec[i] - mu[i]) AS x FROM base, mean) v, book, range({m}) r(s) GROUP BY vec_id, s),
-code{m} AS (SELECT vec_id, list(code ORDER BY subspace) AS code FROM enc{m} GROUP BY vec_id)"""
+code{m} AS MATERIALIZED (SELECT vec_id, list(code ORDER BY subspace) AS code FROM enc{m} GROUP BY vec_id)"""
 
 
 def _adc(m: int) -> str:
     return f"""
-adc{m} AS (SELECT query_id, CAST(s AS INTEGER) AS subspace, centroid, {_sub("c", "x", m)} AS dist
+adc{m} AS MATERIALIZED (SELECT query_id, CAST(s AS INTEGER) AS subspace, centroid, {_sub("c", "x", m)} AS dist
   FROM (SELECT query_id, list_transform(range(1, 65), lambda i: vec[i] - mu[i]) AS x FROM qs, mean) v, book, range({m}) r(s)),
-t{m} AS (SELECT query_id, list(dist ORDER BY subspace, centroid) AS t FROM adc{m} GROUP BY query_id)"""
+t{m} AS MATERIALIZED (SELECT query_id, list(dist ORDER BY subspace, centroid) AS t FROM adc{m} GROUP BY query_id)"""
 
 
 _GRAPH = f"""
-edge AS (SELECT src, CAST(rank - 1 AS INTEGER) AS slot, dst FROM (
+edge AS MATERIALIZED (SELECT src, CAST(rank - 1 AS INTEGER) AS slot, dst FROM (
   SELECT a.vec_id AS src, b.vec_id AS dst, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_L2.format(a="a.vec", b="b.vec")}, b.vec_id) AS rank
   FROM base a JOIN base b ON a.vec_id <> b.vec_id) WHERE rank <= 32)"""
 
@@ -53,8 +53,8 @@ def _score(code: str, m: int) -> str:
     return f"CAST(list_sum(list_transform(range({m}), lambda j: t[j * 256 + {code}[j + 1] + 1])) AS BIGINT)"
 
 
-def _beam(m: int, size: int, hops: int | None = None, early: bool = False) -> str:
-    """Expanded vertices, list and counters of every query; one row of state per query and hop."""
+def _beam(m: int, size: int, hops: int | None = None, early: bool = False, tag: str = "", who: str = "") -> str:
+    """Expanded vertices, list and counters of every query (that `who` keeps); one row of state per query and hop."""
     open_ = "list_filter(lst, lambda z: z.v = 0)"
     go = f"len({open_}) > 0"
     if hops is not None:
@@ -62,20 +62,20 @@ def _beam(m: int, size: int, hops: int | None = None, early: bool = False) -> st
     if early:
         go += f" AND NOT (len(lst) >= {size} AND hops > 0 AND {open_}[1].d >= lst[-1].d)"
     return f"""
-entry AS (SELECT min(vec_id) AS e FROM base),
-nb AS (SELECT src, list({{'id': dst, 'code': code}} ORDER BY slot) AS ns FROM edge JOIN code{m} ON vec_id = dst GROUP BY src),
-beam(query_id, hops, lst, seen, exp, n_new, n_dup) AS (
+entry{tag} AS (SELECT min(vec_id) AS e FROM base),
+nb{tag} AS MATERIALIZED (SELECT src, list({{'id': dst, 'code': code}} ORDER BY slot) AS ns FROM edge JOIN code{m} ON vec_id = dst GROUP BY src),
+beam{tag}(query_id, hops, lst, seen, exp, n_new, n_dup) AS (
   SELECT query_id, 0, [{{'d': {_score("code", m)}, 'id': e, 'v': 0}}], [e], CAST([] AS STRUCT(d BIGINT, id BIGINT)[]), 1, 0
-  FROM t{m}, entry JOIN code{m} ON vec_id = e
+  FROM t{m}, entry{tag} JOIN code{m} ON vec_id = e {who}
   UNION ALL
   SELECT query_id, hops + 1,
     list_sort(list_concat(list_transform(lst, lambda z: {{'d': z.d, 'id': z.id, 'v': CASE WHEN z.id = p.id THEN 1 ELSE z.v END}}),
       list_transform(fresh, lambda z: {{'d': {_score("z.code", m)}, 'id': z.id, 'v': 0}})))[1:{size}],
     list_concat(seen, list_transform(fresh, lambda z: z.id)), list_append(exp, {{'d': p.d, 'id': p.id}}), n_new + CAST(len(fresh) AS INTEGER), n_dup + CAST(len(ns) - len(fresh) AS INTEGER)
   FROM (SELECT b.*, t, ns, list_filter(ns, lambda z: NOT list_contains(seen, z.id)) AS fresh
-    FROM (SELECT *, {open_}[1] AS p FROM beam WHERE {go}) b JOIN nb ON nb.src = b.p.id JOIN t{m} USING (query_id)) s
+    FROM (SELECT *, {open_}[1] AS p FROM beam{tag} WHERE {go}) b JOIN nb{tag} n ON n.src = b.p.id JOIN t{m} USING (query_id)) s
 ),
-final AS (SELECT * FROM beam WHERE NOT ({go}))"""
+final{tag} AS (SELECT * FROM beam{tag} WHERE NOT ({go}))"""
 
 
 def _search(m: int, size: int, rest: str, more: str = "", **kw: object) -> str:
@@ -174,7 +174,17 @@ def oracle_sql() -> dict[str, str]:
     q["graph_reachable"] = "WITH RECURSIVE" + ",".join([_VECTORS, _GRAPH]) + """,
 reach(vec_id, hops) AS (SELECT min(vec_id), 0 FROM base UNION SELECT dst, hops + 1 FROM reach JOIN edge ON src = vec_id WHERE hops < 12)
 SELECT vec_id, CAST(min(hops) AS INTEGER) AS hops FROM reach GROUP BY vec_id"""
-    q["index_integrity"] = "SELECT unnest(['vectors_unique','graph_unique','codes_unique','graph_missing','codes_missing','edges_dangling','edges_self','edges_repeated']) AS \"check\", CAST(0 AS BIGINT) AS violations"
+    checks = {
+        "vectors_unique": "SELECT vec_id FROM base GROUP BY vec_id HAVING count(*) > 1",
+        "graph_unique": "SELECT src FROM edge GROUP BY src, slot HAVING count(*) > 1",
+        "codes_unique": "SELECT vec_id FROM code16 GROUP BY vec_id HAVING count(*) > 1",
+        "graph_missing": "SELECT vec_id FROM base WHERE vec_id NOT IN (SELECT src FROM edge)",
+        "codes_missing": "SELECT vec_id FROM base WHERE vec_id NOT IN (SELECT vec_id FROM code16)",
+        "edges_dangling": "SELECT dst FROM edge WHERE dst NOT IN (SELECT vec_id FROM base)",
+        "edges_self": "SELECT src FROM edge WHERE src = dst",
+        "edges_repeated": "SELECT src FROM edge GROUP BY src HAVING count(*) > count(DISTINCT dst)",
+    }
+    q["index_integrity"] = _with(_VECTORS, _MEAN, _codes(16), _GRAPH, rest=" UNION ALL ".join(f"SELECT '{k}' AS \"check\", (SELECT count(*) FROM ({v})) AS violations" for k, v in checks.items()))
     q["address_codec"] = _with(
         _VECTORS,
         rest="""SELECT vec_id, (3::BIGINT << 27) | ((vec_id // 32 // 64) << 17) | ((vec_id // 32 % 64) << 11) | (vec_id % 32 * 64) AS address, CAST(vec_id % 32 * 64 AS INTEGER) AS addr_offset,
@@ -217,6 +227,10 @@ lng AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER
     q["attempt_stats"] = """SELECT count(*) AS queries, CAST(sum(CASE WHEN attempts > 1 THEN 1 ELSE 0 END) AS BIGINT) AS missed, CAST(sum(attempts - 1) AS BIGINT) AS restarts
 FROM (SELECT user_id, 1 + sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS attempts FROM events GROUP BY user_id)"""
     q["delete_tombstones"] = _with(_VECTORS, _EXACT, rest="SELECT query_id, vec_id, dist_sq FROM exact WHERE vec_id % 7 <> 0")
+    beams = [_beam(m, n, tag=f"_{g}", who=f"WHERE query_id IN (SELECT query_id FROM qg WHERE gear = {g})") for g, _, n, m in GEARS]
+    every = " UNION ALL ".join(f"SELECT query_id, {g} AS gear, unnest(list_transform(exp, lambda z: z.id)) AS vec_id FROM final_{g}" for g, *_ in GEARS)
+    parts = [_VECTORS, _MEAN, _codes(16), _codes(32), _adc(16), _adc(32), _GRAPH, _RAW, _PER_QUERY, *beams, _rerank(every)]
+    q["gear_ann"] = "WITH RECURSIVE" + ",".join(parts) + "\nSELECT t.query_id, rank, vec_id, dist_sq, gear FROM top t JOIN qg ON qg.query_id = t.query_id"
     pos = "vec_id, CAST(p AS INTEGER) AS pos, "
     q["dsp_vector"] = _with(
         _PAIRS,
