@@ -227,7 +227,8 @@ def mask(docs: DataFrame) -> DataFrame:
 
     masked = F.aggregate(every, zero, put, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
     text = F.when(F.size(F.concat("base", "more")) > 0, masked).otherwise(F.col("text"))
-    changed = {"text": text}
+    s = s.withColumn("masked_", text)  # a step of its own: a new text must not be read in place of the old one
+    changed = {"text": F.col("masked_")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.size(F.concat("base", "more")) > 0, F.length(text).cast("long")).otherwise(F.col("row_")["n_chars"])
+        changed["n_chars"] = F.when(F.size(F.concat("base", "more")) > 0, F.length("masked_").cast("long")).otherwise(F.col("row_")["n_chars"])
     return unpacked(s, docs.columns, **changed)

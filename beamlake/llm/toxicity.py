@@ -34,6 +34,8 @@ CUT = 0.7
 CACHE = 400_000
 
 _widen = expander(3)
+#: Highest score, as a logit, of a text without a window that counts: half of CUT's odds.
+_BELOW = math.log(CUT / (1 - CUT) / 2)
 
 
 @dataclass
@@ -153,7 +155,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def train(toxic: list[str], ordinary: list[str]) -> Model | None:
-    """Fit on labelled texts; None where a class is missing."""
+    """Fit on labelled texts; None where a class is missing or nothing tells them apart."""
     if len(toxic) < 2 or len(ordinary) < 2:
         return None
     a_t, b_t = [t for i, t in enumerate(toxic) if i % 5 < 3], [t for i, t in enumerate(toxic) if i % 5 >= 3]
@@ -167,17 +169,23 @@ def train(toxic: list[str], ordinary: list[str]) -> Model | None:
     found = [np.fromiter(map(known.__getitem__, t), dtype=np.int64, count=len(t)) for t in texts]
     best: tuple[float, int, np.ndarray, float] | None = None
     for tau in range(2, 10):
-        x = np.array([_features(int((t >= tau).sum()), len(t)) for t in found])
+        k = np.array([int((t >= tau).sum()) for t in found])
+        x = np.array([_features(int(a), len(t)) for a, t in zip(k, found, strict=True)])
         w = _logistic(x, y)
         z = x @ w
         order = np.argsort(-z, kind="stable")
         hits = np.cumsum(y[order])
         f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
         ends = np.append(z[order][:-1] != z[order][1:], True)  # a cut lies between different scores only
+        ends &= np.minimum.accumulate(k[order]) > 0  # a text without a window that counts is never toxic
+        if not ends.any():
+            continue
         i = int(np.argmax(np.where(ends, f1, -1)))
         after = z[order][i + 1] if i + 1 < len(z) else z[order][i] - 1
         if best is None or f1[i] > best[0] + 1e-9:
             best = (float(f1[i]), tau, w, float((z[order][i] + after) / 2))
+    if best is None:  # nothing tells the classes apart
+        return None
     _, tau, w, cut = best
     w = w.copy()
     w[0] += math.log(CUT / (1 - CUT)) - cut
@@ -209,6 +217,8 @@ def score_texts(model: Model | None, texts: list[str], distances: Distances | No
         for s in split[i : i + 512]:
             k = sum(map(known.__getitem__, s))
             z = sum(a * b for a, b in zip(model.weights, _features(k, len(s)), strict=True)) if s else -30.0
+            if not k:
+                z = min(z, _BELOW)
             scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             counts.append(k)
     return scores, counts
