@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +66,12 @@ def wider(df: DataFrame, **columns: str) -> T.StructType:
     return out
 
 
+def in_slices(column: pa.Array, rows: int = 256) -> Iterator[list]:
+    """A column's values as lists of a few rows, so that a batch is never held as Python objects at once."""
+    for at in range(0, len(column), rows):
+        yield column.slice(at, rows).to_pylist()
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """text, and all other columns in one struct, so that none clashes with what an operator adds."""
     return docs.select("text", F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row_"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beamlake.llm.common import crc_mod, wider
+from beamlake.llm.common import crc_mod, in_slices, wider
 from beamlake.llm.compression import FRAME, compressor, lengths
 
 #: Bound of the training sample: texts of each language, languages, and characters of a sampled text.
@@ -103,7 +103,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
         one = Predictor(dictionaries)
         kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
         for b in batches:
-            found = [one(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            found = [one(t) for texts in in_slices(b.column(b.schema.get_field_index("text"))) for t in texts]
             cols = [pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *new])
 

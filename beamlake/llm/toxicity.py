@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beamlake.llm.common import WORD, crc_mod, packed, unpacked, wider
+from beamlake.llm.common import WORD, crc_mod, in_slices, packed, unpacked, wider
 from beamlake.llm.compression import FRAME, compressor, expander, lengths
 
 #: Bound of the training sample: texts of each class, and characters of a text that may be sampled.
@@ -31,7 +31,7 @@ MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 1_500, 4_000, 50_000
 #: predicted is 1 from this score on.
 CUT = 0.7
 #: Words whose distance a worker remembers before it starts afresh.
-CACHE = 400_000
+CACHE = 200_000
 
 _widen = expander(3)
 #: Highest score, as a logit, of a text without a window that counts: half of CUT's odds.
@@ -210,11 +210,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 def score_texts(model: Model | None, texts: list[str], distances: Distances | None) -> tuple[list[float], list[int]]:
     if model is None:
         return [0.0] * len(texts), [0] * len(texts)
-    split = [WORD.findall((t or "").lower()) for t in texts]
     scores, counts = [], []
-    for i in range(0, len(split), 512):
-        known = distances.learn({w for s in split[i : i + 512] for w in s})
-        for s in split[i : i + 512]:
+    for i in range(0, len(texts), 128):
+        split = [WORD.findall((t or "").lower()) for t in texts[i : i + 128]]
+        known = distances.learn({w for s in split for w in s})
+        for s in split:
             k = sum(map(known.__getitem__, s))
             z = sum(a * b for a, b in zip(model.weights, _features(k, len(s)), strict=True)) if s else -30.0
             if not k:
@@ -231,7 +231,11 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = Distances(model.toxic, model.ordinary, model.tau) if model else None
         for b in batches:
-            s, k = score_texts(model, b.column(b.schema.get_field_index("text")).to_pylist(), d)
+            s, k = [], []
+            for texts in in_slices(b.column(b.schema.get_field_index("text"))):
+                one, other = score_texts(model, texts, d)
+                s += one
+                k += other
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array(k, pa.int64())], names=[*b.schema.names, "tox_score", "tox_windows"])
 
     schema = wider(docs, tox_score="double", tox_windows="long")
