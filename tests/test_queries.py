@@ -20,7 +20,7 @@ def duck(sf_dir):
 @pytest.mark.parametrize("name", CHECKED)
 def test_against_sql(spark, duck, sf_dir, name):
     df = ann_queries.queries()[name](spark, sf_dir)
-    want = duck.execute(oracle.oracle_sql()[name]).fetch_arrow_table()
+    want = duck.execute(oracle.oracle_sql()[name]).to_arrow_table()
     cols = sorted(df.columns)
     assert cols == sorted(want.column_names)
     mine = sorted(tuple(r[c] for c in cols) for r in df.collect())
