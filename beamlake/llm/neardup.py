@@ -10,9 +10,9 @@ Equal texts (same words in the same order) are first reduced to one representati
 aggregation, so groups of copies of any size cost one row. Pairs of representatives in a small bucket are
 all verified; in a bucket of more than SMALL texts each text is verified against the bucket's hub, the one
 that shares most buckets, which is how copies hang together; whatever is then still in different
-components is verified in pairs (but for pairs that shingles found in no other of these texts rule out), if it shares a
-second bucket too (as pairs at 0.8 do with probability
-above 0.97 and at 0.85 above 0.998). No pair within a component is verified twice, none is capped.
+components is verified in pairs (but for pairs that shingles found in no other of these texts rule out), in blocks of
+BLOCK by BLOCK texts. One shared bucket is enough, whatever its size. No pair within a component is verified twice,
+none is capped.
 
 Links have a Jaccard of at least THRESHOLD between the sets of shingles, counted exactly on 64-bit hashes.
 A document without words, or with a null doc_id, is a class of its own. Rows that repeat a doc_id with the
@@ -37,6 +37,8 @@ ROWS, BANDS = 7, 26
 M = ROWS * BANDS
 #: Texts of a bucket up to which all its pairs are verified.
 SMALL = 24
+#: Texts of a large bucket that one task compares with as many others.
+BLOCK = 256
 #: Ids that are broadcast at most, after a count; beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 #: Bytes of normal text that are sketched together.
@@ -249,23 +251,20 @@ def _light(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _apart(rest: DataFrame, shared: DataFrame) -> DataFrame:
-    """Pairs of rest(bucket, rep, n, held, root) in different components that share its bucket and one bucket more.
+def _apart(rest: DataFrame) -> DataFrame:
+    """Pairs of rest(bucket, blocks, rep, n, held, root) in different components that share its bucket.
 
-    A pair that shares several is made once: at the smallest of rest's buckets that it shares, and the smallest other."""
-    of = rest.groupBy("rep").agg(F.collect_set(F.hash("bucket")).alias("large"), F.first("n").alias("n"), F.first("held").alias("held"), F.first("root").alias("root"))
-    own = shared.groupBy("rep").agg(F.collect_set(F.hash("bucket")).alias("own"))  # both at most BANDS
-    each = of.join(own, "rep")
-    # Where o is one of rest's buckets too, b is the smaller: the other order is never the smallest.
-    others = lambda b: F.filter(F.array_remove("own", b), lambda o: ~F.array_contains("large", o) | (o > b))
-    keys = F.flatten(F.transform("large", lambda b: F.transform(others(b), lambda o: F.struct(b.alias("b"), o.alias("o")))))
-    each = each.withColumn("key", F.explode(keys)).select("key.b", "key.o", "rep", "n", "held", "root", "large", "own")
-    names = ["rep", "n", "held", "root", "large", "own"]
-    l, r = each.select("b", "o", *[F.col(c).alias(f"{c}1") for c in names]), each.select("b", "o", *[F.col(c).alias(f"{c}2") for c in names])
-    able = (F.col("root1") != F.col("root2")) & (F.col("rep1") < F.col("rep2")) & _possible("n1", "held1", "n2", "held2")
-    first = F.array_min(F.array_intersect("large1", "large2"))
-    once = (F.col("b") == first) & (F.col("o") == F.array_min(F.array_remove(F.array_intersect("own1", "own2"), F.col("b"))))
-    return l.join(r, ["b", "o"]).where(able & once).select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct()
+    A bucket's texts are dealt to blocks, and each pair of blocks is a key of its own, so no bucket, however large,
+    meets in one task. A pair that shares several buckets is made once: at the smallest."""
+    of = rest.groupBy("rep").agg(F.collect_set("bucket").alias("large"))  # at most BANDS
+    each = rest.join(of, "rep").withColumn("own", F.pmod(F.hash("rep"), F.col("blocks")))
+    names = ["rep", "n", "held", "root", "large"]
+    # The first block of a pair is the smaller; each text is on either side as often as it takes.
+    l = each.select("bucket", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), *[F.col(c).alias(f"{c}1") for c in names])
+    r = each.select("bucket", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), *[F.col(c).alias(f"{c}2") for c in names])
+    able = (F.col("root1") != F.col("root2")) & ((F.col("i") < F.col("j")) | (F.col("rep1") < F.col("rep2"))) & _possible("n1", "held1", "n2", "held2")
+    once = F.col("bucket") == F.array_min(F.array_intersect("large1", "large2"))
+    return l.join(r, ["bucket", "i", "j"]).where(able & once).select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
 
 
 def _with_roots(x: DataFrame, links: DataFrame) -> DataFrame:
@@ -291,12 +290,13 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     to_hub = weighed.join(hub, "bucket").where((F.col("rep") != F.col("hub")) & _near_size("n", "hub_n") & _possible("n", "held", "hub_n", "hub_held"))
     to_hub = to_hub.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
     found = stored(_verified(_pairs(shared.where(F.col("size") <= SMALL)).unionByName(to_hub).distinct(), sets), "links")
-    # What large buckets still hold in different components, in their second shared bucket.
+    # What large buckets still hold in different components.
     rest = _with_roots(large.select("bucket", "rep", "n", "held"), found)
-    split = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    rest = stored(rest.join(split, "bucket", "left_semi"), "apart")
+    blocks = F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")
+    split = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), blocks).where("lo < hi").select("bucket", "blocks")
+    rest = stored(rest.join(split, "bucket"), "apart")
     if rest.limit(1).count():
-        found = found.unionByName(stored(_verified(_apart(rest, shared), sets), "links"))
+        found = found.unionByName(stored(_verified(_apart(rest), sets), "links"))
     return found
 
 

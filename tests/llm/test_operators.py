@@ -317,6 +317,17 @@ def test_near_duplicates_against_brute_force(spark, light):
     assert neardup.classes(docs_of(spark, rows).where("1 = 0")).count() == 0 and neardup.deduplicate(docs_of(spark, rows).where("1 = 0")).count() == 0
 
 
+@pytest.mark.parametrize("block", [256, 4])
+def test_pairs_that_share_only_one_large_bucket(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rows = [(2 * i + k, near(prose(150, 40 + i), 2 * k, i)) for i in range(15) for k in range(2)]
+    n = {d: len(shingles(t)) for d, t in rows}
+    assert len(rows) > neardup.SMALL
+    reps = spark.createDataFrame([(d, n[d], [7, 1000 + d]) for d, _ in rows], "rep bigint, n bigint, bands array<bigint>")
+    found = [(x.a, x.b) for x in neardup.links(reps, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(found) == [(2 * i, 2 * i + 1) for i in range(15)]
+
+
 def test_signatures_estimate_probability_jaccard():
     a, b = prose(300, 1).split(), None
     b = a[:200] + prose(100, 2).split()
