@@ -3,8 +3,8 @@
 Base spans are the leftmost non-overlapping matches of four patterns, checked afterwards (octets, Luhn,
 numbers of digits). Their texts seed the method: tokens with a digit or an at sign are instances, and the
 words before and after them are lexical patterns (left word, two left words, left and right word). In rounds,
-a pattern's confidence is the weight of the distinct instances it extracts per token of any kind that it extracts
-in the corpus, and an instance's weight is 1 for a seed, 0 for a token that a base check has refused, else
+a pattern's confidence is the weight of the distinct instances it extracts per distinct token of any kind that it
+extracts in the corpus, and an instance's weight is 1 for a seed, 0 for a token that a base check has refused, else
 one minus the product of what its patterns leave open. Patterns with at least SUPPORT distinct seeds and a
 confidence of CONFIDENCE mark further tokens, of kind `other`, where they don't overlap a base span.
 
@@ -125,6 +125,11 @@ def _contexts(l1: Column, l2: Column, r1: Column) -> Column:
     )
 
 
+def _core(raw: Column) -> Column:
+    """A token without what encloses it."""
+    return F.regexp_replace(raw, r"^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$", "")
+
+
 def _light(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -138,16 +143,17 @@ def bootstrap(docs: DataFrame, edges: DataFrame) -> DataFrame:
     if n == 0:
         return supported.select("pattern", F.lit(0.0).alias("confidence"))
     graph = graph.join(_light(supported.select("pattern"), n), "pattern", "left_semi")
-    # How many tokens of any kind each supported pattern extracts, over the whole corpus.
-    w = docs.select(F.split(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), " ").alias("w")).where(F.size("w") > 1)
+    # How many distinct tokens of any kind each supported pattern extracts, over the whole corpus; trimmed as instances are.
+    w = docs.select(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ").alias("w")).where(F.size("w") > 1)
     w = w.select("w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("i"))
-    get = lambda k: F.col("w")[F.col("i") + k]
-    each = w.select(get(-1).alias("l1"), F.when(F.col("i") >= 2, get(-2)).alias("l2"), F.when(F.col("i") + 1 < F.size("w"), get(1)).alias("r1"))
+    get = lambda k: F.lower(F.col("w")[F.col("i") + k])
+    each = w.select(F.col("w")[F.col("i")].alias("raw"), get(-1).alias("l1"), F.when(F.col("i") >= 2, get(-2)).alias("l2"), F.when(F.col("i") + 1 < F.size("w"), get(1)).alias("r1"))
     lefts = supported.select(F.regexp_extract("pattern", r"^(?:L|LR) (\S+)|^LL \S+ (\S+)", 0).alias("p"))
     lefts = lefts.select(F.element_at(F.split("p", " "), -1).alias("l1")).distinct()
     each = each.join(_light(lefts, n), "l1", "left_semi")
-    total = each.select(F.explode(_contexts(F.col("l1"), F.col("l2"), F.col("r1"))).alias("pattern"))
-    total = total.join(_light(supported.select("pattern"), n), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
+    total = each.select("raw", F.explode(_contexts(F.col("l1"), F.col("l2"), F.col("r1"))).alias("pattern"))
+    total = total.join(_light(supported.select("pattern"), n), "pattern", "left_semi")
+    total = total.groupBy("pattern").agg(F.count_distinct(_core(F.col("raw"))).alias("total"))
     total = stored(total, "pii-totals")
     state = graph.withColumn("weight", F.coalesce(F.col("state").cast("double"), F.lit(0.0)))
     confidence = None
@@ -169,7 +175,7 @@ def spans(docs: DataFrame) -> DataFrame:
     read = docs.select(*cols).withColumn("row_key", F.xxhash64(F.col("doc_id"), F.col("text")))
     marked = read.where(text.rlike("[0-9@]")).select("row_key", "text", base_spans(text).alias("base"), base_spans(text, accepted=False).alias("refused"))
     tokens = stored(_tokens(marked).where("l1 is not null"), "pii-tokens")
-    core = F.regexp_replace("raw", r"^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$", "")
+    core = _core(F.col("raw"))
     within = lambda spans: F.exists(spans, lambda s: F.col("raw").contains(s["found"]) | (s["found"].contains(core) & (core != "")))
     known = F.when(within("base"), 1).when(within("refused"), 0)
     tokens = tokens.select("row_key", core.alias("instance"), known.alias("state"), "raw", _contexts(F.col("l1"), F.col("l2"), F.col("r1")).alias("contexts"))

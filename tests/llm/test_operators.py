@@ -454,6 +454,16 @@ def test_bootstrapped_patterns_find_unseen_identifiers(spark, light):
     assert pii.mask(d).columns == d.columns and masked[900] is None
 
 
+def test_repeated_rows_and_seeds_leave_a_pattern_its_confidence(spark):
+    seed = lambda i: f"Contact-ID: user{i}@mail.example"
+    rows = [(i, f"{prose(9, i)} {seed(i % 20)}, {prose(5, -i)}") for i in range(60)]
+    rows += [(100 + i, f"{prose(9, 1)} ({seed(1)}) {prose(5, 2)}") for i in range(40)]
+    rows += [(200, f"{prose(9, 3)} Contact-ID: K-12345678 {prose(5, 4)}")]
+    got = {x.doc_id: x.spans for x in pii.digest(docs_of(spark, rows)).collect()}
+    at = rows[-1][1].index("K-")
+    assert got[200] == f"other:{at}:{at + 10}" and all("other" not in got[i] for i in range(60))
+
+
 def test_masks(spark):
     d = spark.createDataFrame([(1, "😀 a@b.co, 1.2.3.4 +1 555 555 1234", 99), (2, "clean", 5), (3, None, None)], "doc_id bigint, text string, n_chars bigint")
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.mask(d).collect()}
