@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where the session names none, a local master gets a folder of this machine; a cluster has no such folder, so
+    that is an error there."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            where = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
+        sc.setCheckpointDir(where)
     return sc.getCheckpointDir()
 
 
@@ -19,3 +29,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Delete a table written by stored(), once nothing reads it any more."""
+    files = df.inputFiles()
+    if files:
+        jvm = df.sparkSession.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
