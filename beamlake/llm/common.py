@@ -2,46 +2,45 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A word is a run of letters and digits; case never matters.
-WORD = re.compile(r"[^\W_]+")
+from beamlake.operators.tables import drop_stored, shared_dir, stored
+
+__all__ = ["BROADCAST_BYTES", "NOT_WORD", "WORD", "crc_mod", "drop_path", "drop_stored", "in_slices", "light", "new_path", "packed", "shared_dir", "stored", "table", "text_key", "unpacked", "wider", "words_of"]
+
+#: A word is a run of letters, digits and combining marks; case never matters.
+WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 #: The same rule for Java's regular expressions.
 NOT_WORD = r"[^\p{L}\p{N}\p{M}]+"
+#: Bytes of a table, after a count, up to which it is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where the session names none (tests, local mode), one is set.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints"))
-    return sc.getCheckpointDir()
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts lineage."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def light(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """df, marked for broadcast where a pass over it (a stored table) has shown that its rows take at most `limit` bytes."""
+    size = F.lit(16 + 16 * len(df.columns))
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            size = size + 16 * F.greatest(F.size(f.name), F.lit(0))
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -51,13 +50,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete a table written by stored(), once nothing reads it any more."""
-    files = df.inputFiles()
-    if files:
-        drop_path(df.sparkSession, files[0].rsplit("/", 1)[0])
-
-
 def wider(df: DataFrame, **columns: str) -> T.StructType:
     """df's schema and more columns, as a new object: a DataFrame's own schema must not change."""
     out = T.StructType(list(df.schema.fields))
@@ -82,6 +74,11 @@ def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
     return df.select(*[changed.get(c, F.col("text") if c == "text" else F.col("row_")[c]).alias(c) for c in columns])
 
 
+def text_key(text: Column) -> list[Column]:
+    """key1, key2: 128 bits that stand for a text."""
+    return [F.xxhash64(text).alias("key1"), F.xxhash64(F.lit("second"), text).alias("key2")]
+
+
 def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo `modulus`; -1 for a null id."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)), F.lit(-1))

@@ -7,9 +7,15 @@ k - floor((1 - t) * n) >= 1 of the sketch are found in it, however long the docu
 documents hashes each shingle in generated code and probes the sketches; the candidates' documents alone
 are read again, and the share of the item's shingles that they hold is counted exactly, on the words.
 
-Sketches and candidates are broadcast only where a count has shown that they are at most BROADCAST_ROWS;
-else they are joined with a shuffle. A word is a run of letters and digits, lower case. Null and empty texts
-hold nothing; items of fewer than five words have no shingle and never match. Rows that repeat count once.
+Equal texts are one: hits are aggregated by a 128-bit key of the text before anything else, one row of each is
+read again, and the rows of a leaked text are joined by the key at the end, so that a passage or a text that a
+third of the rows hold costs a row per task. Long texts are exploded in generated code, a shingle at a time.
+
+Sketches and candidates are broadcast only where a pass over them has shown how many bytes they take; else they
+are joined with a shuffle. A word is a run of letters, digits and combining marks, lower case. Null and empty texts
+hold nothing; items of fewer than five words have no shingle and never match. Rows that repeat count once; a doc_id
+with two texts has the leaks of both. Ties don't arise. Empty tables give no rows. Of docs only doc_id and text are
+read, and drop_leaks returns its columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,10 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from beamlake.llm.common import NOT_WORD, stored
+from beamlake.llm.common import NOT_WORD, light, stored, text_key
 
 N_WORDS, THRESHOLD = 5, 0.8
-BROADCAST_ROWS = 200_000
 
 
 def _words(text: Column) -> Column:
@@ -41,10 +46,6 @@ def _string() -> Column:
     return F.concat_ws(" ", *[F.col("words")[F.col("i") + k] for k in range(N_WORDS)])
 
 
-def _light(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def item_shingles(items: DataFrame) -> DataFrame:
     """item_id, shingle, hash, n (distinct shingles) and in_sketch."""
     own = items.select("item_id", _words(F.col("text")).alias("words"))
@@ -55,32 +56,37 @@ def item_shingles(items: DataFrame) -> DataFrame:
     return s.withColumn("k", F.floor((1 - THRESHOLD) * largest + 1e-9).cast("int") + 1).withColumn("in_sketch", F.col("place") <= F.col("k")).drop("place")
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, text_hash, item_id, n_shingles, n_found and containment of every leaked pair."""
+def leaked_texts(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """key1, key2, item_id, n_shingles, n_found and containment: a row per distinct text and item that it holds."""
     shingles = stored(item_shingles(items), "items")
-    sketch = shingles.where("in_sketch").select("item_id", "hash", "n", "k")
-    size = shingles.count()
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _words(F.col("text")).alias("words"))
-    seen = _positions(texts, "doc_id", "text_hash").select("doc_id", "text_hash", _hash().alias("hash"))
-    hits = seen.join(_light(sketch, size), "hash").groupBy("doc_id", "text_hash", "item_id", "hash").agg(F.first("n").alias("n"), F.first("k").alias("k"))
+    sketch = light(shingles.where("in_sketch").select("item_id", "hash", "n", "k"))
+    text = ["key1", "key2"]
+    texts = docs.select("doc_id", *text_key(F.col("text")), _words(F.col("text")).alias("words"))
+    seen = _positions(texts, "doc_id", *text).select("doc_id", *text, _hash().alias("hash"))
+    # Copies of a text fall together here, by partial aggregation; one of their rows stands for all.
+    hits = seen.join(sketch, "hash").groupBy(*text, "item_id", "hash").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("k").alias("k"))
     enough = F.least("k", "n") - F.floor((1 - THRESHOLD) * F.col("n") + 1e-9)
-    found = hits.groupBy("doc_id", "text_hash", "item_id").agg(F.count("*").alias("hits"), F.first("n").alias("n"), F.first("k").alias("k")).where(F.col("hits") >= enough)
-    found = stored(found.select("doc_id", "text_hash", "item_id"), "candidates")
-    ids = found.select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).distinct()
-    n_ids, n_found = ids.count(), found.count()
-    again = docs.select("doc_id", "text").join(_light(ids, n_ids), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.xxhash64("text") == F.col("hash_")), "left_semi")
-    again = again.select("doc_id", F.xxhash64("text").alias("text_hash"), _words(F.col("text")).alias("words"))
-    held = _positions(again, "doc_id", "text_hash").select("doc_id", "text_hash", _string().alias("shingle"))
-    own = shingles.select("item_id", "shingle", "n")
-    both = held.join(_light(own, size), "shingle").groupBy("doc_id", "text_hash", "item_id", "shingle").agg(F.first("n").alias("n"))
-    counted = both.groupBy("doc_id", "text_hash", "item_id").agg(F.first("n").alias("n_shingles"), F.count("*").alias("n_found"))
-    keys = found.select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), F.col("item_id").alias("item_"))
-    same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_")) & F.col("item_id").eqNullSafe(F.col("item_"))
-    exact = counted.join(_light(keys, n_found), same, "left_semi")
-    return exact.withColumn("containment", F.col("n_found") / F.col("n_shingles")).where(F.col("containment") >= THRESHOLD)
+    found = hits.groupBy(*text, "item_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("hits"), F.first("n").alias("n"), F.first("k").alias("k"))
+    found = stored(found.where(F.col("hits") >= enough).select(*text, "item_id", "doc_id"), "candidates")
+    one = stored(found.groupBy(F.col("key1").alias("k1"), F.col("key2").alias("k2")).agg(F.min("doc_id").alias("id_")), "texts")
+    again = docs.select("doc_id", "text", *text_key(F.col("text")))
+    again = again.join(light(one), (F.col("key1") == F.col("k1")) & (F.col("key2") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("id_")), "left_semi")
+    held = _positions(again.select(*text, _words(F.col("text")).alias("words")), *text).select(*text, _string().alias("shingle"))
+    both = held.join(light(shingles.select("item_id", "shingle", "n")), "shingle").groupBy(*text, "item_id", "shingle").agg(F.first("n").alias("n"))
+    counted = both.groupBy(*text, "item_id").agg(F.first("n").alias("n_shingles"), F.count("*").alias("n_found"))
+    # An item is a candidate of every text that holds enough of it, so that no candidate is joined back.
+    return counted.withColumn("containment", F.col("n_found") / F.col("n_shingles")).where(F.col("containment") >= THRESHOLD)
+
+
+def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, n_shingles, n_found and containment of every leaked pair, once however often its row repeats."""
+    texts = stored(leaked_texts(docs, items), "leaks")
+    rows = docs.select("doc_id", *text_key(F.col("text"))).join(light(texts), ["key1", "key2"])
+    return rows.groupBy("doc_id", "key1", "key2", "item_id").agg(*[F.first(c).alias(c) for c in ("n_shingles", "n_found", "containment")]).drop("key1", "key2")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item."""
-    ids = stored(leaks(docs, items).select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).distinct(), "leaks")
-    return docs.join(_light(ids, ids.count()), docs["doc_id"].eqNullSafe(ids["id_"]) & (F.xxhash64(docs["text"]) == ids["hash_"]), "left_anti")
+    """The rows of docs whose text holds no item."""
+    keys = stored(leaked_texts(docs, items).select(F.col("key1").alias("k1"), F.col("key2").alias("k2")).distinct(), "leaks")
+    k1, k2 = text_key(docs["text"])
+    return docs.join(light(keys), (k1 == keys["k1"]) & (k2 == keys["k2"]), "left_anti")

@@ -14,8 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id", "n_shingles", "n_found", "containment")
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +79,7 @@ FROM c JOIN n USING (item_id) WHERE n_found::DOUBLE / n >= 0.8
 
 OP8_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}\p{M}]+'), lambda x: x <> '') AS ws FROM documents
 ), s AS (
   SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) >= 5
     THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) ELSE [array_to_string(ws, ' ')] END)) AS sh

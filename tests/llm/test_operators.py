@@ -6,9 +6,10 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
-from beamlake.llm import decontaminate, forest, htmltext, langid, neardup, packing, pii, quotes, toxicity, warc
+from beamlake.llm import common, decontaminate, forest, htmltext, langid, neardup, packing, pii, quotes, toxicity, warc
 from beamlake.llm.components import components
 
 RND = random.Random(5)
@@ -34,16 +35,18 @@ ODD = [(None, "no id at all, but a text"), (900, None), (901, ""), (902, "  \n\t
 # -- 1 ------------------------------------------------------------------------------------------------------
 
 
+def words(t):
+    return regex.findall(r"[\p{L}\p{N}\p{M}]+", (t or "").lower())
+
+
 def shingles(t):
-    w = re.findall(r"[^\W_]+", (t or "").lower())
+    w = words(t)
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
-@pytest.fixture(params=[200_000, 0], ids=["broadcast", "shuffled"])
+@pytest.fixture(params=[1 << 25, -1], ids=["broadcast", "shuffled"])
 def light(request, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", request.param)
-    monkeypatch.setattr(neardup, "BROADCAST_ROWS", request.param)
-    monkeypatch.setattr(pii, "BROADCAST_ROWS", request.param)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", request.param)
 
 
 def test_leaks_against_brute_force(spark, light):
@@ -56,6 +59,9 @@ def test_leaks_against_brute_force(spark, light):
             keep = w[: max(5, round(share * len(w)))]
             rows.append((len(rows), prose(300, 7 * i) + " " + " ".join(keep)))
     rows += [rows[-1], (500, rows[-1][1])]
+    rows += [(600 + i, f"{items[3][1]} {prose(i % 5, i)}") for i in range(60)] + [(600, "another text of an id " + items[5][1])]
+    rows += [(700, "मैं हिन्दी में लिखता हूँ और यह एक परीक्षा है"), (701, "no mark of हिन्दी is lost " + items[4][1])]
+    items += [(53, "हिन्दी में लिखता हूँ और यह")]
     got = {(r.doc_id, r.item_id): r.containment for r in decontaminate.leaks(docs_of(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
     want = {}
     for d, t in rows:
@@ -276,7 +282,7 @@ def test_regions():
 def jaccard_classes(rows):
     own = {}
     for d, t in rows:
-        w = re.findall(r"[^\W_]+", (t or "").lower())
+        w = words(t)
         if d is not None and w:
             own[d] = shingles(t) or {tuple(w)}
     root = {d: d for d in own}
