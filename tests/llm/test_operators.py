@@ -358,10 +358,11 @@ def test_components(spark):
 
 
 def test_warc(spark, monkeypatch):
-    monkeypatch.setattr(warc, "RECORDS", 3)
+    monkeypatch.setattr(warc, "FILE_BYTES", 900)
     big, odd = "é" * 600, "WARC/1.1\r\n\r\nfake\r\n\r\nhttp://x 0.0.0.0 20200101000000 text/html 5\nabc\n" * 20
-    rows = [(1, "http://a/ b\nc", big), (2, None, None), (3, "u", big), (4, "u", "short"), (5, "u", "short"), (6, "", odd), (7, "u", odd), (7, "u", odd), (None, "u", big), (8, "u", ""), (9, "u", "x" * 999), (10, "u", "x" * 999), (11, "u", "\r\n\r\n" * 300)]
-    d = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("payload", F.lit("x")).withColumn("date", F.lit(1)).repartition(3)
+    long = "".join(chr(32 + i * i % 90) for i in range(300_000)) + "\0"
+    rows = [(1, "http://a/ b\nc", big), (2, None, None), (3, "u", big), (4, "u", "short"), (5, "u", "short"), (6, "", odd), (7, "u", odd), (7, "u", odd), (None, "u", big), (8, "u", ""), (9, "u", "x" * 999), (10, "u", "x" * 999), (11, "u", "\r\n\r\n" * 300), (12, "u", long)]
+    d = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("payload", F.lit("x")).withColumn("date", F.lit(1)).withColumn("n", F.lit(1)).repartition(3)
     got = sorted(((r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.convert(d).collect()), key=str)
     want = []
     for p, _, h in rows:
@@ -371,32 +372,52 @@ def test_warc(spark, monkeypatch):
         want.append((p or 0, len(b), hashlib.sha1(b).hexdigest(), "revisit" if revisit else "response", top if revisit else None))
     assert got == sorted(want, key=str)
     assert warc.convert(d.where("1 = 0")).count() == 0
+    alone = spark.createDataFrame([(None, "u", big), (None, "u", big)], d.select("page_id", "url", "html").schema)
+    assert [r.record_type for r in warc.convert(alone).collect()] == ["response"] * 2
 
 
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_versions(version):
-    data = warc.version_block(version, "n.arc") + "\n" + "\n".join(warc.arc_record(version, "n.arc", i, "http://h/ä b", "<p>ü</p>\n\n") for i in range(3)) + "\n"
-    got = list(warc.parse_arc(data.encode()))
+    data = warc.version_block(version, "n.arc") + b"".join(warc.arc_record(version, "n.arc", i, "http://h/ä b", "<p>ü</p>\n\n".encode()) for i in range(3))
+    got = list(warc.parse_arc(data))
     assert len(got) == 3 and got[0][0] == "http://h/ä%20b" and got[0][3].endswith("<p>ü</p>\n\n".encode())
     with pytest.raises(ValueError):
-        list(warc.parse_arc(data.encode()[:-8]))
+        list(warc.parse_arc(data[:-8]))
     with pytest.raises(ValueError):
-        list(warc.parse_arc((warc.version_block(3 - version, "n") + "\n" + warc.arc_record(version, "n", 1, "u", "x")).encode()))
+        list(warc.parse_arc(warc.version_block(3 - version, "n") + warc.arc_record(version, "n", 1, "u", b"x")))
+
+
+def test_archives_of_any_number_of_members():
+    parts = [warc.version_block(1, "n.arc"), *[warc.arc_record(1, "n", i, "u", bytes([65 + i]) * 70_000 * i) for i in range(4)]]
+    want = list(warc.parse_arc(b"".join(parts)))
+    each = [warc.member(p) for p in parts]
+    halves = [gzip.compress(b"".join(parts)[:70_111]), gzip.compress(b"".join(parts)[70_111:])]
+    assert len(want) == 4
+    for data in (b"".join(each), b"\0\0\0".join(each) + b"\0", b"".join(halves), gzip.compress(b"".join(parts))):
+        assert list(warc.parse_arc(data)) == want
+    with pytest.raises(ValueError):
+        list(warc.parse_arc(b"".join(each)[:-30]))
+    two = warc.warcinfo("f") + warc.warc_record("<a>", "u", "20200101000000", 1, 3, "d", b"h\r\n\r\n", b"abc", None)
+    assert [f["warc-type"] for f, _ in warc.parse_warc(warc.member(two[:200]) + warc.member(two[200:]))] == ["warcinfo", "response"]
 
 
 def test_warc_files_are_standard(spark):
     import glob
 
-    from beamlake.llm.common import new_path
-
-    d = spark.createDataFrame([(1, "u", "a" * 2000), (2, "u", "a" * 2000)], "page_id bigint, url string, html string")
-    a, w = new_path(spark, "a"), new_path(spark, "w")
+    d = spark.createDataFrame([(1, "u", "a" * 2000), (2, "v", "a" * 2000)], "page_id bigint, url string, html string")
+    a, w = common.new_path(spark, "a"), common.new_path(spark, "w")
     warc.write_arc(d, a)
-    warc.write_warc(warc.read_arc(spark, a), w)
-    data = b"".join(gzip.open(f).read() for f in glob.glob(w.removeprefix("file:") + "/*.gz"))
-    found = list(warc.parse_warc(data))
+    warc.write_warc(spark, a, w)
+    found = []
+    for name in glob.glob(w.removeprefix("file:") + "/part*"):
+        data = open(name, "rb").read()
+        one = list(warc.parse_warc(gzip.decompress(data)))  # any reader of gzip can read it
+        assert one[0][0]["warc-type"] == "warcinfo" and data.count(b"\x1f\x8b\x08") == len(one)  # a member per record
+        found += one[1:]
     assert sorted(f["warc-type"] for f, _ in found) == ["response", "revisit"]
-    assert all(re.fullmatch(r"<urn:uuid:[0-9a-f]{8}-[0-9a-f]{4}-5[0-9a-f]{3}-a[0-9a-f]{3}-[0-9a-f]{12}>", f["warc-record-id"]) and f["warc-date"] == "2020-01-01T00:00:00Z" for f, _ in found)
+    assert all(re.fullmatch(r"<urn:uuid:[0-9a-f]{8}-[0-9a-f]{4}-5[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}>", f["warc-record-id"]) and f["warc-date"] == "2020-01-01T00:00:00Z" for f, _ in found)
+    by = {f["warc-type"]: f for f, _ in found}
+    assert by["revisit"]["warc-refers-to"] == by["response"]["warc-record-id"] and by["revisit"]["warc-refers-to-target-uri"] == by["response"]["warc-target-uri"] == "v"
 
 
 # -- 10 -----------------------------------------------------------------------------------------------------
