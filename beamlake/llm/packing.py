@@ -12,7 +12,8 @@ piece's place follows from its length and its rank among pieces of that length;
 within a task and completed by a sum over tasks, so no length, however frequent, meets in one task.
 
 A null text is an empty document: its only id is END_ID. Rows repeat freely, each packed for itself; a
-null doc_id stays null. An empty table gives no pieces.
+null doc_id stays null. Texts are encoded whole, whatever their length. Pieces of equal length are alike, in the order
+of tasks. Other columns are not read. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from beamlake.llm.common import stored
 WINDOW, UNIT, END_ID = 2048, 16, 1
 #: The same vocabulary as byte_bpe_50k.json, as ranks; it gives the same ids several times as fast.
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The added token of byte_bpe_50k.json and its id, which is no rank: as the contract calls the tokenizer, its string in a text is this token.
+SPECIAL = {"<|endoftext|>": 50256}
 
 _CUT = "doc_id long, start long, length long, doc_tokens long, kind int, task int, rank long, crc long, ids binary"
 
@@ -46,11 +49,11 @@ def encoder(name: str = VOCABULARY):
 
     with open(public_tokenizers.path(name), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def encode(text: str | None, name: str = VOCABULARY) -> np.ndarray:
-    ids = encoder(name).encode_ordinary(text) if text else []
+    ids = encoder(name).encode(text, allowed_special="all") if text else []
     return np.array([*ids, END_ID], dtype="<u4")
 
 
@@ -98,7 +101,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 0) -> np.ndarray:
     x, passive = np.zeros(n), np.zeros(n, dtype=bool)
     tolerance = 1e-9 * max(1.0, float(np.abs(b).max(initial=0)))
     gram, right = a.T @ a, a.T @ b
-    for _ in range(rounds or 3 * a.shape[0]):
+    for _ in range(rounds or 30 * a.shape[0]):  # far more than are needed; what is left is packed greedily in any case
         w = right - gram @ x
         w[passive] = -np.inf
         j = int(np.argmax(w))

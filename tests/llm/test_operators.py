@@ -179,8 +179,7 @@ def test_packing_tokens_are_those_of_the_other_library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    for x in ["", "Hello  world", "<|endoftext|> é 😀\n\n a", prose(300, 1), "12 34\t\r\n", "THE!! END&&&"]:
+    for x in ["", "Hello  world", "<|endoftext|> é 😀\n\n a", "a<|endoftext|>b", "x <|endoftext|><|endoftext|>  y", "<|endoftext", "<|endoftext|>", prose(300, 1), "12 34\t\r\n", "THE!! END&&&"]:
         assert packing.encode(x)[:-1].tolist() == t.encode(x, add_special_tokens=False).ids
 
 
@@ -244,10 +243,27 @@ def test_language(spark):
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
     assert sum(got[i].lang_pred == lang for i, _, lang in held) / len(held) > 0.97
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902, 903)) and all(0 <= r.score <= 1 for r in out)
+    assert langid.normal("½ ② 3 x² !") == b" x " and langid.normal("½ ② ٣ ① – \u0301") == b"" and langid.normal("हिन्दी") == " हिन्दी ".encode()
     assert {r.lang_pred for r in langid.language_id(d.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid.language_id(d.where("1 = 0")).count() == 0
 
 
+def test_language_against_brute_force(spark):
+    """The dictionaries are those of all training rows, and each text goes to the smallest sum of compressed windows."""
+    rows = [(i, prose(1 + i % 50, i).replace("a", "xyz"[i % 3]) * (1 + i % 7 * 20), "pqr"[i % 3]) for i in range(90)] + [(90, prose(2000, 9), "p"), (3, "one id with another text", "q"), (3, "one id with another text", "q"), (91, "mnmn", None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    books = langid.fit(d)
+    by = {k: langid.compressor(b, level=langid.LEVEL) for k, b in books.items()}
+    assert sorted(by) == ["p", "q", "r"] and b" one id with another text " in books["q"] and books["q"].count(b" one id with another text ") == 1
+    for r in langid.language_id(d.dropDuplicates()).collect():
+        b = langid.normal(next(t for i, t, _ in rows if i == r.doc_id)) if r.doc_id != 3 else None
+        if b:
+            total = {k: sum(len(c.compress(langid.FRAME + b[i : i + langid.WINDOW])) for i in range(0, len(b), langid.WINDOW)) for k, c in by.items()}
+            assert r.lang_pred == min(total, key=lambda k: (total[k], k))
+    same = langid.Predictor({"b": b"x" * 300, "a": b"x" * 300})
+    assert same(prose(20, 1))[0] == "a"  # ties
+
+
 # -- 7 ------------------------------------------------------------------------------------------------------
 
 PAGES = [
