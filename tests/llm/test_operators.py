@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -266,12 +267,18 @@ def test_language_against_brute_force(spark):
 
 # -- 7 ------------------------------------------------------------------------------------------------------
 
+TEXT = "A sentence of the article. " * 9 + "End."
+DEEP, LINKS = f"<p>{TEXT}</p>", "".join(f"<li><a href=/{i}>Another article {i}</a></li>" for i in range(5))
 PAGES = [
     ("<html><head><title>T</title><style>p{}</style><script>var a='<p>no</p>';</script></head><body><nav><ul><li><a href=x>Home</a></ul></nav><div class=\"ad\">Buy</div>"
      "<article><h1>A &amp; B</h1><p><b>One<br>two.<p>Three  \n four.</p><ul><li>x</li><li>y</li></ul></article><footer>&copy; z</footer></body></html>", "A & B\nOne two.\nThree four.\nx\ny"),
     ("<article><p>Kept.</p><section class='comments'><p>Dropped.</p></section><aside>Side</aside><form><input><p>F</p></form><p>Last&nbsp;one&lt;</p></article>", "Kept.\nLast one<"),
     ("<div id='sidebar'><p>no</p></div><div><p>" + "Long text here. " * 12 + "</p><p>Short.</p><p>" + "More of it. " * 12 + "</p></div><div class=footer>no</div>", "\n".join([("Long text here. " * 12).strip(), "Short.", ("More of it. " * 12).strip()])),
     (None, ""), ("", ""), ("   ", ""), ("<p>", ""), ("<article></article>", ""), ("plain text", "plain text"), ("<article><p>cut &am", "cut &am"), ("<article><p>a<!-- x", "a"), ("<article><p>t <b", "t"), ("<article>" + "<div>" * 4000 + "deep", "deep"),
+    ('<article><p title="a hidden gem">First.</p><p>Second.</p></article>', "First.\nSecond."), ('<article><p class="ad">Buy<p>Real text.</p><p>More</p></article>', "Real text.\nMore"),
+    ('<article><p class="social-science-notes">Real.</p><h2 id=related-work>Work</h2></article>', "Real.\nWork"), ('<div class="content has-sidebar"><p>kept</p></div>', "kept"), ("<p class='notice'>x<p>a</p><p>b</p>", "a\nb"),
+    ("<article><p>Long one.</p><aside><p>a</p><p>b</p><p>c</p><p>d</p></aside><p>Short.</p></article>", "Long one.\nShort."), ("<article><p hidden>no</p><p style='Display: none'>no</p><ul><li>a<li class=ad>no<li>b</ul></article>", "a\nb"),
+    (f"<article>{DEEP}<p>Read on:</p><ul>{LINKS}</ul></article>", f"{TEXT}\nRead on:"), (f"<article>{DEEP}<p><a href=x>One link</a></p>{DEEP}</article>", f"{TEXT}\nOne link\n{TEXT}"),
 ]
 
 
@@ -289,9 +296,42 @@ def test_html_query(spark):
 
 def test_regions():
     assert htmltext.regions([0, 0, 50, 60, 0, 5, 0, 0, 0, 90, 2, 0, 0, 0], 86) == [(2, 6), (9, 11)]
+    assert htmltext.regions([5, 1, 90, 0, 0, 3, 0, 0, 0, 4], 86) == [(0, 6)]
     assert htmltext.regions([], 0) == [] and htmltext.regions([0, 0], 0) == []
 
 
+def test_regions_against_brute_force():
+    r = random.Random(8)
+    for _ in range(300):
+        w = [r.choice([0, 0, 0, 3, 40, 90]) for _ in range(r.randint(0, 30))]
+        want, k = [], 0
+        while k < len(w):  # blocks are what WIDTH lines without weight part
+            if w[k]:
+                e = k
+                while any(w[e + 1 : e + 1 + htmltext.WIDTH]):
+                    e += next(i for i in range(1, htmltext.WIDTH + 1) if w[e + i : e + i + 1] != [0])
+                if max(sum(w[i : i + htmltext.WIDTH]) for i in range(k, e + 1)) > 60:
+                    want.append((k, e + 1))
+                k = e
+            k += 1
+        assert htmltext.regions(w, 60) == want
+
+
+def test_distribution_decides(monkeypatch):
+    """Without surges and dives, pages with and without an article element keep what is not the article."""
+    pages = [f"<article>{DEEP}<ul>{LINKS}</ul></article>", f"<div>Home of all</div><ul>{LINKS}</ul>{DEEP}<ul>{LINKS}</ul><div>Call us</div>"]
+    assert [htmltext.main_text(p) for p in pages] == [TEXT, TEXT]
+    monkeypatch.setattr(htmltext, "regions", lambda w, t: [(0, len(w))])
+    assert all(htmltext.main_text(p) != TEXT for p in pages)
+
+
+@pytest.mark.parametrize("page", ["<nav>" * 80_000, "<nav>" * 80_000 + "</nav>", "<div>" * 80_000 + "</nav>" * 80_000, "<nav><script>" * 40_000, "<p class=ad>x" * 80_000, '<a "' * 80_000, "<script>x" * 80_000])
+def test_odd_pages_take_linear_time(page):
+    began = time.process_time()
+    htmltext.main_text(page)
+    assert time.process_time() - began < 2
+
+
 # -- 8 ------------------------------------------------------------------------------------------------------
 
 
