@@ -5,19 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beamlake.llm.common import drop_stored, stored
+from beamlake.llm.common import drop_stored, light, stored
+
+
+#: Neighbours from which on a node counts as a hub.
+HUB = 512
+
+
+def _with_least(e: DataFrame) -> DataFrame:
+    """e(u, v) with m, the smallest v of each u.
+
+    A hub's edges would meet in one task of a join. Hubs, of which there are at most one per HUB edges, are therefore
+    joined from a broadcast, where their bytes allow it, and everything else by u."""
+    least = stored(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    hubs = least.where(F.col("n") >= HUB).select("u", "m")
+    few = light(hubs)
+    rest = e.join(light(hubs.select("u")), "u", "left_anti").join(least.where(F.col("n") < HUB).select("u", "m"), "u")
+    return e.join(few, "u").unionByName(rest)
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+    each = _with_least(e)
+    moved = each.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(each.select("u", F.col("m").alias("v")))
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

@@ -11,12 +11,17 @@ aggregation, so groups of copies of any size cost one row. Pairs of representati
 all verified; in a bucket of more than SMALL texts each text is verified against the bucket's hub, the one
 that shares most buckets, which is how copies hang together; whatever is then still in different
 components is verified in pairs (but for pairs that shingles found in no other of these texts rule out), in blocks of
-BLOCK by BLOCK texts. One shared bucket is enough, whatever its size. No pair within a component is verified twice,
-none is capped.
+BLOCK by BLOCK texts. One shared bucket is enough, whatever its size: no switch or cap leaves a pair out. Only pairs that
+are in one class already are not made again, so a class has links enough to connect it and not all it could have.
 
-Links have a Jaccard of at least THRESHOLD between the sets of shingles, counted exactly on 64-bit hashes.
-A document without words, or with a null doc_id, is a class of its own. Rows that repeat a doc_id with the
-same text are one document. Classes are named by their smallest doc_id. An empty table gives no rows.
+A link is a Jaccard of at least THRESHOLD between the sets of shingles, counted exactly on 64-bit hashes; the weights
+only steer the sketch. Where no shingle repeats, both similarities are the same; the tests measure that at least 0.99 of
+the pairs at 0.8 and more share a bucket.
+
+A document without words, or with a null doc_id, is a class of its own. Texts of any length are sketched whole. Rows
+that repeat a doc_id with the same words are one document; a doc_id with several texts is a document for each.
+Classes are named by their smallest doc_id. Other columns are not read, and deduplicate returns the columns of docs,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,10 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beamlake.llm.common import WORD, in_slices, stored
+from beamlake.llm.common import WORD, in_slices, light, stored, text_key
 from beamlake.llm.components import components
 
 N_WORDS, THRESHOLD = 5, 0.8
@@ -39,8 +45,6 @@ M = ROWS * BANDS
 SMALL = 24
 #: Texts of a large bucket that one task compares with as many others.
 BLOCK = 256
-#: Ids that are broadcast at most, after a count; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
 #: Bytes of normal text that are sketched together.
 CHUNK = 1_000_000
 
@@ -161,37 +165,42 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield at, part
 
 
+def _word_keys(whole: np.ndarray, words: np.ndarray) -> pa.Array:
+    return pa.array([f"{w:016x}-{c}" for w, c in zip(whole.tolist(), words.tolist(), strict=True)], pa.string())
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, word_key (equal for equal words), n (distinct shingles) and bands of each row."""
+    """doc_id, key1 and key2 of the text, word_key (equal for equal words), n (distinct shingles) and bands of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0)
-            for at, part in _chunks(b.column(1)):
+            for at, part in _chunks(b.column(3)):
                 shingles, of, words, whole = shingle_hashes(part)
                 s, o, k = _unique(shingles, of)
                 n = np.bincount(o, minlength=len(part))
                 h = bands(signatures(s, o, k, len(part)))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(part) + 1) * BANDS, BANDS), pa.int32()), pa.array(h.ravel()))
-                key = pa.array([f"{w:016x}-{c}" for w, c in zip(whole.tolist(), words.tolist(), strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), key, pa.array(n, pa.int64()), flat], names=["doc_id", "word_key", "n", "bands"])
+                own = [b.column(i).slice(at, len(part)) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, _word_keys(whole, words), pa.array(n, pa.int64()), flat], names=["doc_id", "key1", "key2", "word_key", "n", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, word_key string, n long, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(F.col("text")), "text")
+    return rows.mapInArrow(run, "doc_id long, key1 long, key2 long, word_key string, n long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and its sorted distinct shingle hashes, 8 bytes each."""
+    """rep and the sorted distinct shingle hashes, 8 bytes each, of the rows of docs(rep, word_key, text) whose text has that key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, part in _chunks(b.column(1)):
-                shingles, of, _, _ = shingle_hashes(part)
+            for at, part in _chunks(b.column(2)):
+                shingles, of, words, whole = shingle_hashes(part)
                 s, o, _ = _unique(shingles, of)
                 edges = np.searchsorted(o, np.arange(len(part) + 1))
-                sets = [s[edges[i] : edges[i + 1]].tobytes() for i in range(len(part))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+                sets = pa.array([s[edges[i] : edges[i + 1]].tobytes() for i in range(len(part))], pa.binary())
+                same = pc.equal(_word_keys(whole, words), b.column(1).slice(at, len(part)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), sets], names=["rep", "shingles"]).filter(same)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+    return docs.select("rep", "word_key", "text").mapInArrow(run, "rep long, shingles binary")
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -201,8 +210,8 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -236,7 +245,7 @@ def _alone(ids: DataFrame, sets: DataFrame) -> DataFrame:
                 x = np.frombuffer(s.as_buffer(), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i)), pa.array(x)], names=["rep", "shingle"])
 
-    each = sets.join(ids, "doc_id", "left_semi").select("doc_id", "shingles").mapInArrow(run, "rep long, shingle long")
+    each = sets.join(ids, "rep", "left_semi").select("rep", "shingles").mapInArrow(run, "rep long, shingle long")
     single = each.groupBy("shingle").agg(F.count("*").alias("holders"), F.first("rep").alias("rep")).where("holders = 1")
     return single.groupBy("rep").agg(F.count("*").alias("alone"))
 
@@ -247,10 +256,6 @@ def _possible(n1: str, held1: str, n2: str, held2: str) -> F.Column:
     return both >= THRESHOLD * (F.col(n1) + F.col(n2) - both) - 1e-9
 
 
-def _light(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def _apart(rest: DataFrame) -> DataFrame:
     """Pairs of rest(bucket, blocks, rep, n, held, root) in different components that share its bucket.
 
@@ -273,15 +278,18 @@ def _with_roots(x: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b, similarity: verified links that connect all representatives found similar."""
+    """a, b, similarity: verified links that connect all representatives found similar.
+
+    reps(rep, doc_id, word_key, n, bands): rep names a distinct text, doc_id a row of docs that has it."""
     each = reps.select("rep", "n", F.explode("bands").alias("bucket"))
     sizes = each.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = stored(each.join(sizes, "bucket"), "buckets")
-    ids = stored(shared.select(F.col("rep").alias("doc_id")).distinct(), "shared-ids")
-    sets = stored(shingle_sets(docs.join(_light(ids, ids.count()), "doc_id", "left_semi")).groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "shingles")
+    ids = stored(reps.join(shared.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("doc_id").alias("id_"), "word_key"), "shared-ids")
+    texts = docs.select("doc_id", "text").join(light(ids), F.col("doc_id") == F.col("id_"))
+    sets = stored(shingle_sets(texts).groupBy("rep").agg(F.first("shingles").alias("shingles")), "shingles")
     large = shared.where(F.col("size") > SMALL)
-    alone = stored(_alone(large.select(F.col("rep").alias("doc_id")).distinct(), sets), "alone")
-    large = large.join(_light(alone, alone.count()), "rep", "left").withColumn("held", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    alone = stored(_alone(large.select("rep").distinct(), sets), "alone")
+    large = large.join(light(alone), "rep", "left").withColumn("held", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
     large = stored(large.where(F.col("held") >= THRESHOLD * F.col("n") - 1e-9), "large")
     weight = large.groupBy("rep").agg(F.sum("size").alias("weight"))
     weighed = large.join(weight, "rep")
@@ -300,30 +308,54 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     return found
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id and n_links (links kept of its representative) of every row."""
-    own = stored(sketch(docs), "sketches")
-    usable = own.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    reps = usable.groupBy("word_key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+def representatives(own: DataFrame) -> DataFrame:
+    """rep, doc_id, word_key, n and bands of each distinct text of sketches. rep is its smallest doc_id, unless an
+    earlier text of that doc_id has it; then, which is rare, it is a hash."""
+    reps = own.groupBy("word_key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     reps = stored(reps, "representatives")
+    several = stored(reps.groupBy(F.col("doc_id").alias("id_")).agg(F.min("word_key").alias("first"), F.count("*").alias("texts")).where("texts > 1").drop("texts"), "several")
+    if several.limit(1).count() == 0:
+        return reps.select(F.col("doc_id").alias("rep"), "doc_id", "word_key", "n", "bands")
+    both = reps.join(light(several), F.col("doc_id") == F.col("id_"), "left")
+    other = F.col("first").isNotNull() & (F.col("word_key") != F.col("first"))
+    return stored(both.select(F.when(other, F.xxhash64("word_key", "doc_id")).otherwise(F.col("doc_id")).alias("rep"), "doc_id", "word_key", "n", "bands"), "representatives")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, key1, key2, root (null for a class of its own), class_id and n_links of every row."""
+    own = stored(sketch(docs), "sketches")
+    usable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    reps = representatives(own.where(usable))
     found = links(reps, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     roots = components(found)
     ends = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = reps.select("word_key", "rep").join(roots, F.col("rep") == F.col("node"), "left").drop("node")
-    named = named.join(ends, F.col("rep") == F.col("node"), "left").select("word_key", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    every = own.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("word_key")).alias("word_key"))
+    named = reps.select("word_key", "rep", "doc_id").join(roots, F.col("rep") == F.col("node"), "left").drop("node")
+    named = named.join(ends, F.col("rep") == F.col("node"), "left").select("word_key", "doc_id", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = stored(named, "classes")
+    name = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    named = named.drop("doc_id").join(name, "root")
+    every = own.select("doc_id", "key1", "key2", F.when(usable, F.col("word_key")).alias("word_key"))
     out = every.join(named, "word_key", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "key1", "key2", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id and n_links (verified links kept of its distinct text, which connect its class) of every row."""
+    return _classes(docs).select("doc_id", "class_id", "n_links")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of docs per class: that of the smallest doc_id. Rows without doc_id all stay.
+    """One row of docs per class: of its smallest doc_id, the text of the smallest key. Rows without doc_id or words
+    stay, but for repetitions of such a row, doc_id and text alike, with words.
 
     Texts aren't shuffled as long as the ids that go, or repeat, are few enough to broadcast."""
-    each = classes(docs).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n"))
-    marked = stored(each.where("doc_id <> class_id or n > 1"), "not-single")
-    light = lambda d: _light(d.select("doc_id"), d.count())
-    again = marked.where("doc_id = class_id")
-    single = docs.join(light(marked), "doc_id", "left_anti")
-    several = docs.join(light(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(several).select(*docs.columns)
+    row = ["doc_id", "key1", "key2"]
+    each = stored(_classes(docs).where("root is not null").groupBy(*row).agg(F.min("root").alias("root"), F.min("class_id").alias("class_id"), F.count("*").alias("n")), "rows")
+    first = each.where("doc_id = class_id").groupBy("root").agg(F.min(F.struct("key1", "key2")).alias("first"))
+    marked = each.join(first, "root").withColumn("stays", (F.col("doc_id") == F.col("class_id")) & (F.struct("key1", "key2") == F.col("first")))
+    marked = stored(marked.where("not stays or n > 1").select(F.col("doc_id").alias("id_"), "key1", "key2", "stays"), "marked")
+    on = ["id_", "key1", "key2"]
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row_"), docs["doc_id"].cast("long").alias("id_"), *text_key(docs["text"]))
+    single = rows.join(light(marked.select(*on)), on, "left_anti")
+    several = rows.join(light(marked.where("stays").select(*on)), on, "left_semi").dropDuplicates(on)
+    return single.unionByName(several).select(*[F.col("row_")[c].alias(c) for c in docs.columns])

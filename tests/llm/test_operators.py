@@ -376,16 +376,38 @@ def test_near_duplicates_against_brute_force(spark, light):
     assert got[900] == 900 and got[901] == 901 and got[903] == 903 and got[None] is None and got[904] == got[908]
     kept = sorted(str(r.doc_id) for r in neardup.deduplicate(docs_of(spark, rows + odd)).collect())
     assert kept == sorted([str(d) for d in {c for d, c in want.items()}] + ["None", "900", "901", "902", "903"])
+    assert neardup.deduplicate(docs_of(spark, rows)).columns == docs_of(spark, rows[:1]).columns
     assert neardup.classes(docs_of(spark, rows).where("1 = 0")).count() == 0 and neardup.deduplicate(docs_of(spark, rows).where("1 = 0")).count() == 0
 
 
+def test_one_id_with_several_texts(spark, light):
+    a, b, c = prose(60, 1), prose(60, 2), prose(60, 3)
+    rows = [(1, a), (1, b), (2, c), (3, near(b, 1, 5)), (1, near(a, 1, 6)), (4, b.upper()), (1, a), (5, a + "!")]
+    kept = [r.text for r in neardup.deduplicate(docs_of(spark, rows)).collect()]
+    assert len(kept) == 3 and c in kept and b in kept and len({a, near(a, 1, 6)} & set(kept)) == 1
+    got = sorted((r.doc_id, r.class_id) for r in neardup.classes(docs_of(spark, rows)).collect())
+    assert got == [(1, 1), (1, 1), (1, 1), (1, 1), (2, 2), (3, 1), (4, 1), (5, 1)]
+
+
+def test_recall_of_candidates_in_a_large_group(spark):
+    """Of the pairs at 0.8 and more among 200 near copies, repeated shingles included, at least 0.99 share a bucket."""
+    base = prose(120, 77) + " " + "again and again and again it goes " * 3 + prose(60, 78)
+    texts = [near(base, i % 4, i) for i in range(200)]
+    s, o, _, _ = neardup.shingle_hashes([neardup.normal(t) for t in texts])
+    s, o, k = neardup._unique(s, o)
+    h, sets = neardup.bands(neardup.signatures(s, o, k, 200)), [shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(200) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    assert len(pairs) > 3000 and sum((h[i] == h[j]).any() for i, j in pairs) >= 0.99 * len(pairs)
+
+
 @pytest.mark.parametrize("block", [256, 4])
 def test_pairs_that_share_only_one_large_bucket(spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
     rows = [(2 * i + k, near(prose(150, 40 + i), 2 * k, i)) for i in range(15) for k in range(2)]
     n = {d: len(shingles(t)) for d, t in rows}
     assert len(rows) > neardup.SMALL
-    reps = spark.createDataFrame([(d, n[d], [7, 1000 + d]) for d, _ in rows], "rep bigint, n bigint, bands array<bigint>")
+    keys = {r.doc_id: r.word_key for r in neardup.sketch(docs_of(spark, rows)).collect()}
+    reps = spark.createDataFrame([(d, d, keys[d], n[d], [7, 1000 + d]) for d, _ in rows], "rep bigint, doc_id bigint, word_key string, n bigint, bands array<bigint>")
     found = [(x.a, x.b) for x in neardup.links(reps, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
     assert sorted(found) == [(2 * i, 2 * i + 1) for i in range(15)]
 
@@ -403,7 +425,9 @@ def test_signatures_estimate_probability_jaccard():
     assert (alone[0] == sig[0]).all()  # a text's signature does not depend on its neighbours
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [512, 2])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr("beamlake.llm.components.HUB", hub)
     chain = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (300, 301)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 150: 100, 200: 100, 300: 300, 301: 300}
