@@ -1,15 +1,24 @@
 """Personal data: base patterns, and bootstrapped contextual extraction. DataFrame operations only.
 
 Base spans are the leftmost non-overlapping matches of four patterns, checked afterwards (octets, Luhn,
-numbers of digits). Their texts seed the method: tokens with a digit or an at sign are instances, and the
-words before and after them are lexical patterns (left word, two left words, left and right word). In rounds,
-a pattern's confidence is the weight of the distinct instances it extracts per distinct token of any kind that it
-extracts in the corpus, and an instance's weight is 1 for a seed, 0 for a token that a base check has refused, else
-one minus the product of what its patterns leave open. Patterns with at least SUPPORT distinct seeds and a
-confidence of CONFIDENCE mark further tokens, of kind `other`, where they don't overlap a base span.
-
-Offsets are code points, ends exclusive. A null text is empty. Rows that repeat are treated alike, each by
-itself. Every text is read whole; the patterns are written so that time stays linear on long runs.
+numbers of digits). Their texts seed the method, as do strings of the FORMS that keys and digests have. Instances are the tokens with a digit or an at sign; each occurrence
+of one is evidence for lexical patterns: the word before it, the two before it, the words on either side, the key before
+an equals sign or colon, the word after it where it begins a text, and its own shape (how many digits, which characters,
+which length). Pattern and instance form a graph, which is scored in rounds until nothing changes by more than SETTLED:
+
+* a pattern's confidence is the weight of its distinct instances over one more than the distinct tokens of any kind
+  that it extracts in the corpus;
+* an instance's weight is 1 for a seed, 0 for a token that a base check has refused, else KEEP times the highest
+  confidence among its patterns, so weight fades with every step from a seed.
+
+Shapes carry weight from seeds to tokens in other contexts, and these to the contexts; they extract nothing themselves.
+Patterns of context with a confidence of CONFIDENCE and instances of at least the weight SUPPORT mark all their tokens of
+four digits or more or with an at sign, of kind `other`, where they don't overlap a base span. So what follows `token =` is found once most of it
+are strings of a key's form, or of a shape that most identifiers have; a number or a digest in any other place is left alone.
+
+Offsets are code points, ends exclusive. A null text is empty. Rows that repeat, and texts that repeat, are treated
+alike; a doc_id with two texts is two rows. Columns that clash with names used here are left out of spans and kept by
+mask. An empty table gives no rows. Every text is read whole; the patterns are written so that time stays linear on long runs.
 """
 
 from __future__ import annotations
@@ -17,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beamlake.llm.common import packed, stored, unpacked
+from beamlake.llm.common import light, packed, stored, text_key, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive, and tried only where a run starts or the last match ended: the same matches without backtracking.
@@ -30,8 +39,16 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried on it.
 _HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
-SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 3
-BROADCAST_ROWS = 100_000
+#: Forms of seeds that are no base spans: digests in hexadecimal, with a letter and a digit; keys with a known prefix; signed tokens.
+FORMS = [
+    r"(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,64}",
+    r"(?:AKIA|ASIA)[A-Z0-9]{16}",
+    r"(?:gh[a-z]|glpat|sk|pk|xox[a-z])[-_][A-Za-z0-9_-]{20,}",
+    r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
+]
+_FORM = "^(?:" + "|".join(FORMS) + ")$"
+
+SUPPORT, CONFIDENCE, KEEP, SETTLED = 4.0, 0.8, 0.9, 0.01
 
 _SPAN = "array<struct<kind:int,start:int,end:int,found:string>>"
 
@@ -86,43 +103,27 @@ def _matches(text: Column, pattern: Column | str, kind: int) -> Column:
     return F.aggregate(pairs, zero, add, lambda a: a["out"])
 
 
-def base_spans(text: Column, accepted: bool = True) -> Column:
-    """Base spans by kind, then start; not accepted: the matches that a check has refused."""
+def _all_matches(text: Column) -> Column:
+    """Every match of the four patterns, by kind, then start."""
     none = F.array().cast(_SPAN)
     parts = []
     for k, kind in enumerate(KINDS):
         hint = _HINTS[kind]
         tried = (text.contains(hint) if hint else F.lit(True)) & text.rlike(PATTERNS[kind])
-        ok = (lambda kind: lambda s: _passes(kind, s["found"]) if accepted else _refused(kind, s["found"]))(kind)
-        parts.append(F.when(tried, F.filter(_matches(text, PATTERNS[kind], k), ok)).otherwise(none))
+        parts.append(F.when(tried, _matches(text, PATTERNS[kind], k)).otherwise(none))
     return F.concat(*parts)
 
 
-def _tokens(docs: DataFrame) -> DataFrame:
-    """Every token that holds a digit or an at sign, with its neighbours: one row per occurrence."""
-    t = docs.select("row_key", "base", "refused", F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ").alias("w"))
-    t = t.where(F.size("w") > 1).select("row_key", "base", "refused", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("i"))
-    at = lambda k: F.lower(F.try_element_at("w", (F.col("i") + 1 + k).cast("int")))
-    t = t.where(F.element_at("w", (F.col("i") + 1).cast("int")).rlike("[0-9@]"))
-    return t.select(
-        "row_key",
-        "base",
-        "refused",
-        F.element_at("w", (F.col("i") + 1).cast("int")).alias("raw"),
-        at(-1).alias("l1"),
-        F.when(F.col("i") >= 2, F.lower(F.element_at("w", (F.col("i") - 1).cast("int")))).alias("l2"),
-        F.when(F.col("i") + 2 <= F.size("w"), at(1)).alias("r1"),
-    )
+def _which(s: Column, test) -> Column:
+    out = F.lit(False)
+    for k, kind in enumerate(KINDS):
+        out = F.when(s["kind"] == k, test(kind, s["found"])).otherwise(out)
+    return out
 
 
-def _contexts(l1: Column, l2: Column, r1: Column) -> Column:
-    return F.array_compact(
-        F.array(
-            F.concat(F.lit("L "), l1),
-            F.when(l2.isNotNull(), F.concat(F.lit("LL "), l2, F.lit(" "), l1)),
-            F.when(r1.isNotNull(), F.concat(F.lit("LR "), l1, F.lit(" "), r1)),
-        )
-    )
+def base_spans(text: Column) -> Column:
+    """Base spans by kind, then start."""
+    return F.filter(_all_matches(text), lambda s: _which(s, _passes))
 
 
 def _core(raw: Column) -> Column:
@@ -130,74 +131,112 @@ def _core(raw: Column) -> Column:
     return F.regexp_replace(raw, r"^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$", "")
 
 
-def _light(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
-def bootstrap(docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """pattern, confidence of the patterns that may extract. edges(pattern, instance, state): seed 1, refused 0, open null."""
-    graph = stored(edges.groupBy("pattern", "instance").agg(F.max("state").alias("state")), "pii-graph")
-    supported = graph.where("state = 1").groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= SUPPORT)
-    supported = stored(supported, "pii-patterns")
-    n = supported.count()
-    if n == 0:
-        return supported.select("pattern", F.lit(0.0).alias("confidence"))
-    graph = graph.join(_light(supported.select("pattern"), n), "pattern", "left_semi")
-    # How many distinct tokens of any kind each supported pattern extracts, over the whole corpus; trimmed as instances are.
-    w = docs.select(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ").alias("w")).where(F.size("w") > 1)
-    w = w.select("w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("i"))
-    get = lambda k: F.lower(F.col("w")[F.col("i") + k])
-    each = w.select(F.col("w")[F.col("i")].alias("raw"), get(-1).alias("l1"), F.when(F.col("i") >= 2, get(-2)).alias("l2"), F.when(F.col("i") + 1 < F.size("w"), get(1)).alias("r1"))
-    lefts = supported.select(F.regexp_extract("pattern", r"^(?:L|LR) (\S+)|^LL \S+ (\S+)", 0).alias("p"))
-    lefts = lefts.select(F.element_at(F.split("p", " "), -1).alias("l1")).distinct()
-    each = each.join(_light(lefts, n), "l1", "left_semi")
-    total = each.select("raw", F.explode(_contexts(F.col("l1"), F.col("l2"), F.col("r1"))).alias("pattern"))
-    total = total.join(_light(supported.select("pattern"), n), "pattern", "left_semi")
-    total = total.groupBy("pattern").agg(F.count_distinct(_core(F.col("raw"))).alias("total"))
-    total = stored(total, "pii-totals")
-    state = graph.withColumn("weight", F.coalesce(F.col("state").cast("double"), F.lit(0.0)))
-    confidence = None
-    for _ in range(ROUNDS):
-        scored = state.groupBy("pattern").agg(F.sum("weight").alias("sum")).join(_light(total, n), "pattern")
-        confidence = stored(scored.select("pattern", F.least(F.lit(1.0), F.col("sum") / F.col("total")).alias("confidence")), "pii-confidence")
-        left_open = F.exp(F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("confidence")))))
-        weight = graph.join(_light(confidence.where(F.col("confidence") >= CONFIDENCE), n), "pattern").groupBy("instance").agg((1 - left_open).alias("new"))
-        state = stored(
-            graph.join(weight, "instance", "left").select("pattern", "instance", "state", F.coalesce(F.col("state").cast("double"), F.col("new"), F.lit(0.0)).alias("weight")), "pii-state"
+def _words(text: Column) -> Column:
+    """Words between white space; an equals sign, and a colon before white space or a quotation mark, is a word `=`."""
+    return F.split(F.trim(F.regexp_replace(F.regexp_replace(text, r"\s*+(?:=|:(?=[\s\"']))\s*+", " = "), r"\s+", " ")), " ")
+
+
+def _contexts(w: Column, i: Column) -> Column:
+    """Patterns of the context of word i (from 0): K key, L, LL, LR, or R at the beginning of a text."""
+    at = lambda k: F.lower(F.get(w, i + k))
+    l1, key = at(-1), F.regexp_replace(at(-2), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    keyed = (i >= 2) & (l1 == "=")
+    plain = (i >= 1) & (l1 != "=")
+    return F.array_compact(
+        F.array(
+            F.when(keyed & (key != ""), F.concat(F.lit("K "), key)),
+            F.when(plain, F.concat(F.lit("L "), l1)),
+            F.when(plain & (i >= 2), F.concat(F.lit("LL "), at(-2), F.lit(" "), l1)),
+            F.when(plain, F.concat(F.lit("LR "), l1, F.lit(" "), at(1))),
+            F.when(i == 0, F.concat(F.lit("R "), at(1))),
         )
-    return confidence.where(F.col("confidence") >= CONFIDENCE)
+    )
+
+
+def _shapes(core: Column) -> Column:
+    """Patterns of a token's own form: 4, 8 or 16 digits and more; its characters, with the length in powers of two."""
+    n = F.length(_digits(core))
+    kind = F.when(core.rlike("^[0-9]+$"), "number").when(core.rlike("^[0-9a-fA-F]+$"), "hex").when(core.rlike("^[A-Za-z0-9]+$"), "alnum").when(core.contains("@"), "at").otherwise("mixed")
+    steps = [F.when(n >= k, F.lit(f"D {k}")) for k in (4, 8, 16)]
+    return F.array_compact(F.array(*steps, F.concat(F.lit("S "), kind, F.lit(" "), F.floor(F.log2(F.length(core))).cast("string"))))
+
+
+def _tokens(docs: DataFrame) -> DataFrame:
+    """key1, key2, instance, state (seed 1, seed by its form 2, refused 0, else null) and contexts of every token with a digit or an at sign."""
+    t = docs.where(F.col("text").rlike("[0-9@]")).select(*text_key(F.col("text")), _all_matches(F.col("text")).alias("all"), _words(F.col("text")).alias("w"))
+    t = t.select("key1", "key2", F.transform("all", lambda s: F.struct(s["found"].alias("found"), _which(s, _passes).alias("good"), _which(s, _refused).alias("bad"))).alias("all"), "w")
+    t = t.select("key1", "key2", "all", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i")).where(F.col("w")[F.col("i")].rlike("[0-9@]"))
+    t = t.select("key1", "key2", "all", F.col("w")[F.col("i")].alias("raw"), _contexts(F.col("w"), F.col("i")).alias("contexts"))
+    t = t.withColumn("instance", _core(F.col("raw"))).where(F.col("instance") != "")
+    within = lambda which: F.exists("all", lambda s: s[which] & (F.col("raw").contains(s["found"]) | s["found"].contains(F.col("instance"))))
+    return t.select("key1", "key2", "instance", F.when(within("good"), 1).when(within("bad"), 0).when(F.col("instance").rlike(_FORM), 2).alias("state"), "contexts")
+
+
+def _settled(edges: DataFrame, fixed: DataFrame) -> DataFrame:
+    """pattern, confidence and mass (the weight of its instances).
+
+    edges(pattern, instance): of open instances. fixed(pattern, seeds, total)."""
+    state = stored(fixed.select("pattern", F.lit(0.0).alias("confidence"), F.col("seeds").cast("double").alias("mass")), "pii-confidence")
+    while True:
+        score = (F.col("seeds") + F.coalesce("open", F.lit(0.0))).alias("mass")
+        weight = edges.join(light(state.select("pattern", "confidence")), "pattern").groupBy("instance").agg((KEEP * F.max("confidence")).alias("weight"))
+        mass = edges.join(light(stored(weight.where("weight > 0"), "pii-weights")), "instance").groupBy("pattern").agg(F.sum("weight").alias("open"))
+        new = fixed.join(mass, "pattern", "left").select("pattern", "total", score)
+        new = stored(new.select("pattern", F.least(F.lit(1.0), F.col("mass") / (F.col("total") + 1)).alias("confidence"), "mass"), "pii-confidence")
+        both = new.join(state.select("pattern", F.col("confidence").alias("before")), "pattern")
+        moved = both.agg(F.max(F.abs(F.col("confidence") - F.col("before")))).first()[0] or 0.0
+        state = new
+        if moved <= SETTLED:  # each round moves by KEEP times the one before at most
+            return state
+
+
+def bootstrap(docs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """pattern, confidence and mass of the contexts that may extract, from tokens(instance, state, contexts)."""
+    each = tokens.select("instance", "state", F.explode(F.concat("contexts", _shapes(F.col("instance")))).alias("pattern"))
+    graph = stored(each.groupBy("pattern", "instance").agg(F.max("state").alias("state")), "pii-graph")
+    count = graph.groupBy("pattern").agg(F.sum(F.when(F.col("state") > 0, 1).otherwise(0)).alias("seeds"), F.count("*").alias("total"))
+    fixed = stored(count.where(F.col("total") >= SUPPORT), "pii-patterns")  # no other can gain the mass
+    edges = stored(graph.where("state is null").select("pattern", "instance").join(light(fixed.select("pattern")), "pattern", "left_semi"), "pii-edges")
+    shape = F.col("pattern").rlike("^[DS] ")
+    good = (F.col("confidence") >= CONFIDENCE) & (F.col("mass") >= SUPPORT) & ~shape
+    hopeful = stored(_settled(edges, fixed).where(good).select("pattern"), "pii-hopeful")
+    if hopeful.limit(1).count() == 0:
+        return hopeful.select("pattern", F.lit(0.0).alias("confidence"), F.lit(0.0).alias("mass"))
+    # The hopeful contexts' tokens of any kind, over the whole corpus; so far only those with a digit or an at sign counted.
+    lefts = stored(hopeful.select(F.split("pattern", " ").alias("p")).select(F.when(F.col("p")[0] == "LL", F.col("p")[2]).otherwise(F.col("p")[1]).alias("near")).distinct(), "pii-near")
+    w = docs.where(F.col("text").isNotNull()).select(_words(F.col("text")).alias("w")).select("w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
+    at = lambda k: F.lower(F.get("w", F.col("i") + k))
+    near = F.when(F.col("i") == 0, at(1)).when(at(-1) == "=", F.regexp_replace(at(-2), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")).otherwise(at(-1))
+    w = w.withColumn("near", near).join(light(lefts), "near", "left_semi")
+    every = w.select(F.col("w")[F.col("i")].alias("raw"), F.explode(_contexts(F.col("w"), F.col("i"))).alias("pattern")).join(light(hopeful), "pattern", "left_semi")
+    totals = every.select("pattern", _core(F.col("raw")).alias("core")).distinct().groupBy("pattern").agg(F.count("*").alias("all"))
+    exact = fixed.where(shape).unionByName(fixed.join(light(hopeful), "pattern", "left_semi").join(totals, "pattern").select("pattern", "seeds", F.greatest("total", "all").alias("total")))
+    exact = stored(exact, "pii-exact")
+    edges = stored(edges.join(light(exact.select("pattern")), "pattern", "left_semi"), "pii-edges")
+    return _settled(edges, exact).where(good)
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """docs with base and more: arrays of (kind, start, end, found); more holds what the method adds, of kind 4."""
-    cols = [c for c in docs.columns if c not in ("base", "more", "row_key", "refused")]
+    cols = [c for c in docs.columns if c not in ("base", "more", "key1", "key2")]
     text = F.coalesce(F.col("text"), F.lit(""))
-    read = docs.select(*cols).withColumn("row_key", F.xxhash64(F.col("doc_id"), F.col("text")))
-    marked = read.where(text.rlike("[0-9@]")).select("row_key", "text", base_spans(text).alias("base"), base_spans(text, accepted=False).alias("refused"))
-    tokens = stored(_tokens(marked).where("l1 is not null"), "pii-tokens")
-    core = _core(F.col("raw"))
-    within = lambda spans: F.exists(spans, lambda s: F.col("raw").contains(s["found"]) | (s["found"].contains(core) & (core != "")))
-    known = F.when(within("base"), 1).when(within("refused"), 0)
-    tokens = tokens.select("row_key", core.alias("instance"), known.alias("state"), "raw", _contexts(F.col("l1"), F.col("l2"), F.col("r1")).alias("contexts"))
-    tokens = tokens.where(F.col("instance") != "")
-    chosen = bootstrap(read, tokens.select(F.explode("contexts").alias("pattern"), "instance", "state"))
-    n = chosen.count()
+    read = docs.select(*cols)
+    tokens = stored(_tokens(read.select("text")), "pii-tokens")
+    chosen = stored(bootstrap(read, tokens).select("pattern"), "pii-chosen")
     out = read.withColumn("base", base_spans(text))
     none = F.array().cast(_SPAN)
-    if n == 0:
-        return out.withColumn("more", none).drop("row_key")
-    open_ = tokens.where("state is null").where((F.length(_digits(F.col("instance"))) >= 4) | F.col("instance").contains("@"))
-    new = open_.select("row_key", "instance", F.explode("contexts").alias("pattern")).join(_light(chosen, n), "pattern", "left_semi")
-    per = stored(new.groupBy("row_key").agg(F.collect_set("instance").alias("instances")), "pii-found")
-    m = per.count()
-    if m == 0:
-        return out.withColumn("more", none).drop("row_key")
+    open_ = tokens.where("state is null or state = 2").where((F.length(_digits(F.col("instance"))) >= 4) | F.col("instance").contains("@"))
+    new = open_.select("key1", "key2", "instance", F.explode("contexts").alias("pattern")).join(light(chosen), "pattern", "left_semi")
+    per = stored(new.groupBy("key1", "key2").agg(F.collect_set("instance").alias("instances")), "pii-found")  # as long as the text at most
+    if per.limit(1).count() == 0:
+        return out.withColumn("more", none)
     quoted = F.array_join(F.transform(F.sort_array("instances", asc=False), lambda x: F.concat(F.lit(r"\Q"), F.replace(x, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))), "|")
     pattern = F.concat(F.lit(r"(?<![A-Za-z0-9])(?:"), quoted, F.lit(r")(?![A-Za-z0-9])"))
-    out = out.join(_light(per.select("row_key", pattern.alias("pattern")), m), "row_key", "left")
+    per = stored(per.select("key1", "key2", pattern.alias("pattern")), "pii-found")
+    out = out.withColumns(dict(zip(("key1", "key2"), text_key(F.col("text")), strict=True))).join(light(per), ["key1", "key2"], "left")
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     more = F.when(F.col("pattern").isNotNull(), F.filter(_matches(text, F.col("pattern"), len(KINDS)), free)).otherwise(none)
-    return out.withColumn("more", more).drop("row_key", "pattern")
+    return out.withColumn("more", more).drop("key1", "key2", "pattern")
 
 
 def _named(s: Column) -> Column:

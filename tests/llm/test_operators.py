@@ -11,6 +11,7 @@ import regex
 from pyspark.sql import functions as F
 
 from beamlake.llm import common, decontaminate, forest, htmltext, langid, neardup, packing, pii, quotes, toxicity, warc
+from beamlake.llm.common import stored
 from beamlake.llm.components import components
 
 RND = random.Random(5)
@@ -571,6 +572,53 @@ def test_repeated_rows_and_seeds_leave_a_pattern_its_confidence(spark):
     assert got[200] == f"other:{at}:{at + 10}" and all("other" not in got[i] for i in range(60))
 
 
+def test_key_contexts_are_found_from_forms_and_shapes(spark, light):
+    r = random.Random(11)
+    digest = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f"{prose(12, i)} token = \"{digest(i)}\" {prose(7, -i)}") for i in range(12)]
+    rows += [(50, f"{prose(12, 3)} TOKEN=\"7012-x\" {prose(7, 5)}"), (51, f"token: '{digest(1)[:9]}1234', {prose(4, 4)}")]
+    rows += [(60 + i, f"{prose(12, 60 + i)} {r.choice(WORDS)} {digest(99 + i)} {prose(7, i)}") for i in range(8)]  # digests in prose
+    rows += [(80 + i, f"{prose(9, 80 + i)} serial = {i} {prose(5, i)}") for i in range(20)]
+    rows += [(110 + i, f"call me at mail = m{i}@h{i}.org now") for i in range(9)] + [(120, "mail = someone@localhost and more"), (121, "mail: none given")]
+    texts, got = dict(rows), {x.doc_id: x.spans for x in pii.digest(docs_of(spark, rows + rows[:3])).collect()}
+    for i in (*range(12), 50, 51, 120):
+        kind, a, b = got[i].split(":")
+        assert kind == "other" and texts[i][int(a) : int(b)] == {50: "7012-x", 51: digest(1)[:9] + "1234", 120: "someone@localhost"}.get(i, digest(i))
+    assert all("other" not in got[i] for i in texts if not (i < 12 or i in (50, 51, 120)))
+
+
+def test_scores_against_brute_force(spark):
+    """Confidence and mass of all patterns, by plain loops over the same tokens."""
+    r = random.Random(2)
+    left = ["id", "no", "ref"]
+    rows = [(i, " ".join(f"{r.choice(left)} {r.choice(['a%d@b.co', '1.2.3.%d', 'X-%d000', '4.5.6.9%d', 'z%d'])}" % r.randint(1, 60) for _ in range(9))) for i in range(40)]
+    tokens = stored(pii._tokens(docs_of(spark, rows).select("text")), "tokens").cache()
+    graph = {}
+    for t in tokens.select("instance", "state", F.concat("contexts", pii._shapes(F.col("instance"))).alias("p")).collect():
+        for p in t.p:
+            key = p, t.instance
+            graph[key] = max((x for x in (graph.get(key), t.state) if x is not None), default=None)
+    by = {}
+    for (p, i), state in graph.items():
+        by.setdefault(p, {})[i] = state
+    by = {p: x for p, x in by.items() if len(x) >= pii.SUPPORT}
+    conf = dict.fromkeys(by, 0.0)
+    while True:
+        weight = {}
+        for p, x in by.items():
+            for i in x:
+                weight[i] = max(weight.get(i, 0), pii.KEEP * conf[p])
+        mass = {p: sum(1 if s else weight[i] if s is None else 0 for i, s in x.items()) for p, x in by.items()}
+        new = {p: min(1, mass[p] / (len(by[p]) + 1)) for p in by}
+        moved, conf = max(abs(new[p] - conf[p]) for p in by), new
+        if moved <= pii.SETTLED:
+            break
+    count = spark.createDataFrame([(p, sum(1 for s in x.values() if s), len(x)) for p, x in by.items()], "pattern string, seeds bigint, total bigint")
+    edges = spark.createDataFrame([(p, i) for p, x in by.items() for i, s in x.items() if s is None], "pattern string, instance string")
+    got = {x.pattern: (x.confidence, x.mass) for x in pii._settled(edges, count).collect()}
+    assert set(got) == set(by) and all(got[p] == pytest.approx((conf[p], mass[p])) for p in by) and max(conf.values()) > 0.5
+
+
 def test_masks(spark):
     d = spark.createDataFrame([(1, "😀 a@b.co, 1.2.3.4 +1 555 555 1234", 99), (2, "clean", 5), (3, None, None)], "doc_id bigint, text string, n_chars bigint")
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.mask(d).collect()}

@@ -23,7 +23,8 @@ def test_stages_against_brute_force(spark, sf_dir):
         elif name == "decontamination":
             assert gone == {d for d, t in kept.items() if any(s and len(s & shingles(t)) / len(s) >= 0.8 for _, s in items)}
         else:
-            assert not gone and all((now[d] != t) == bool(plain_spans(t)) for d, t in kept.items())
+            assert not gone and all((now[d] != t) == bool(plain_spans(t)) for d, t in kept.items() if "token =" not in t)
+            assert all(now[d] != t for d, t in kept.items() if plain_spans(t))
             assert all(r.n_chars == len(r.text) for r in docs.collect() if r.text != kept[r.doc_id])
         kept = now
     assert whole(docs.collect(), kept) > 0.9
