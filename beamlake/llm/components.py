@@ -5,23 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beamlake.llm.common import drop_stored, light, stored
+from beamlake.llm.common import drop_stored, stored
 
 
-#: Neighbours from which on a node counts as a hub.
-HUB = 512
+#: Neighbours from which on a node counts as a hub, and hubs that are broadcast at most.
+HUB, MOST_HUBS = 1_000, 1_000_000
 
 
 def _with_least(e: DataFrame) -> DataFrame:
     """e(u, v) with m, the smallest v of each u.
 
     A hub's edges would meet in one task of a join. Hubs, of which there are at most one per HUB edges, are therefore
-    joined from a broadcast, where their bytes allow it, and everything else by u."""
+    joined from a broadcast, as long as a count allows it, and everything else by u."""
     least = stored(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-    hubs = least.where(F.col("n") >= HUB).select("u", "m")
-    few = light(hubs)
-    rest = e.join(light(hubs.select("u")), "u", "left_anti").join(least.where(F.col("n") < HUB).select("u", "m"), "u")
-    return e.join(few, "u").unionByName(rest)
+    hub = F.col("n") >= HUB
+    if not 0 < least.where(hub).count() <= MOST_HUBS:
+        return e.join(least.select("u", "m"), "u")
+    hubs = F.broadcast(least.where(hub).select("u", "m"))
+    return e.join(hubs, "u").unionByName(e.join(hubs.select("u"), "u", "left_anti").join(least.where(~hub).select("u", "m"), "u"))
 
 
 def _large_star(e: DataFrame) -> DataFrame:

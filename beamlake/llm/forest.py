@@ -2,8 +2,10 @@
 
 Every vector has a hash string of BITS random-hyperplane signs per tree, and a tree is the sorted array of
 these strings. A query descends every tree to its longest matching prefixes, the ranges of the array that share
-them, and ascends in all trees at once, one bit at a time, until the ranges hold enough candidates; these are
-compared exactly. The longer the common prefix, the smaller the angle, so dense regions are cut finely by themselves.
+them, and ascends in all trees at once, one bit at a time, for more candidates; these are compared exactly. Two vectors
+at an angle a share d signs of a tree with probability (1 - a / pi) ** d, so at any depth the angle of the k-th
+neighbour found tells how probable it is that no tree holds another vector as near. The ascent ends once that is at
+most MISS: close neighbours are found in a few short ranges, far ones, as in noise, need a larger share of the rows.
 
 Vectors are dealt at random to shards of about SHARD_ROWS, queries to blocks of about BLOCK; each pair of shard
 and block is one task of bounded memory, and a query's neighbours are the best of its shards'. All rows are
@@ -12,7 +14,8 @@ are picked with a limit before the shuffle, so a vector that a third of the rows
 
 Nearness is the cosine in double precision; ties go to the smaller vec_id. Vectors that are null, zero, or
 hold a null, NaN or infinite component take no part, nor do rows with a null vec_id; rows that repeat count
-once. Only vectors of the query's own dimension are compared. With fewer than k candidates all are returned.
+once; a vec_id with two vectors is two candidates and, where it is a query, has the best neighbours of both.
+Only vectors of the query's own dimension are compared. With fewer than k candidates all are returned.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TREES, BITS, SEED = 64, 24, 20240607
+TREES, BITS, SEED = 256, 16, 20240607
 SHARD_ROWS, BLOCK = 16_384, 4_096
-#: Entries that the matching ranges of all trees must hold, as a share of the shard's vectors, and at least.
-SHARE, LEAST = 0.8, 256
+#: Probability with which a neighbour as near as the k-th found may be missed.
+MISS = 0.1
 
 
 def usable(v: Column) -> Column:
@@ -44,35 +47,51 @@ class Forest:
         self.order = [np.argsort(keys[:, t], kind="stable") for t in range(trees)]
         self.sorted = [keys[self.order[t], t] for t in range(trees)]
         self.n = len(vectors)
+        self.read = 0  # rows compared, over all queries
 
     def hashes(self, vectors: np.ndarray) -> np.ndarray:
         weights = 1 << np.arange(self.bits - 1, -1, -1, dtype=np.int64)
-        out = np.empty((len(vectors), self.trees), dtype=np.int64)
-        for i in range(0, len(vectors), 4096):
-            signs = (vectors[i : i + 4096] @ self.planes > 0).reshape(-1, self.trees, self.bits)
-            out[i : i + 4096] = signs @ weights
+        out = np.empty((len(vectors), self.trees), dtype=np.int32)
+        for i in range(0, len(vectors), 1024):
+            signs = (vectors[i : i + 1024] @ self.planes > 0).reshape(-1, self.trees, self.bits)
+            out[i : i + 1024] = signs @ weights
         return out
 
-    def candidates(self, queries: np.ndarray, wanted: int):
-        """For each query the indexes in all ranges of the greatest depth at which they hold `wanted` entries."""
+    def ranges(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """low and high, BITS + 1 x trees x queries: the places of each tree that share so many bits with a query."""
         keys = self.hashes(queries)
-        low = np.zeros((self.trees, len(queries)), dtype=np.int64)
-        high = np.full((self.trees, len(queries)), self.n, dtype=np.int64)
-        open_ = np.arange(len(queries))
-        for depth in range(self.bits, -1, -1):  # ascend together: drop one bit in every tree
-            if not len(open_):
-                break
-            shift = self.bits - depth
-            for t in range(self.trees):
-                prefix = keys[open_, t] >> shift
-                low[t, open_] = np.searchsorted(self.sorted[t], prefix << shift, side="left")
-                high[t, open_] = np.searchsorted(self.sorted[t], (prefix + 1) << shift, side="left")
-            open_ = open_[(high[:, open_] - low[:, open_]).sum(axis=0) < wanted]
-        for q in range(len(queries)):
+        low = np.empty((self.bits + 1, self.trees, len(queries)), dtype=np.int32)
+        high = np.empty_like(low)
+        for t in range(self.trees):
+            shift = self.bits - np.arange(self.bits + 1)[:, None]
+            prefix = keys[:, t][None] >> shift
+            low[:, t] = np.searchsorted(self.sorted[t], prefix << shift, side="left")
+            high[:, t] = np.searchsorted(self.sorted[t], (prefix + 1) << shift, side="left")
+        return low, high
+
+    def nearest(self, unit: np.ndarray, query: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, keep: np.ndarray) -> np.ndarray:
+        """Indexes of the candidates of one unit query, all whose cosine may be among the k best; keep marks those that count."""
+        seen = np.zeros(self.n, dtype=bool)
+        found, cosine = np.zeros(0, dtype=np.int64), np.zeros(0)
+        for depth in range(self.bits, -1, -1):
+            size = int((high[depth] - low[depth]).sum())
+            if depth and size < 4 * k:
+                continue
             hit = np.zeros(self.n, dtype=bool)
-            for t in range(self.trees):
-                hit[self.order[t][low[t, q] : high[t, q]]] = True
-            yield np.flatnonzero(hit)
+            for t in np.flatnonzero(high[depth] > low[depth]):
+                hit[self.order[t][low[depth, t] : high[depth, t]]] = True
+            new = np.flatnonzero(hit & ~seen & keep)
+            seen |= hit
+            found, cosine = np.concatenate([found, new]), np.concatenate([cosine, unit[new] @ query])
+            if len(found) >= k:
+                kth = float(np.partition(cosine, len(cosine) - k)[len(cosine) - k])
+                share = 1 - math.acos(max(-1.0, min(1.0, kth))) / math.pi
+                if (1 - share**depth) ** self.trees <= MISS:
+                    break
+        self.read += int(seen.sum())
+        if len(found) > k:  # far more than rounding can exchange
+            found = found[cosine >= np.partition(cosine, len(cosine) - k)[len(cosine) - k] - 1e-9]
+        return found
 
 
 def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[list[int], list[int], list[float]]:
@@ -83,17 +102,14 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     out_q: list[int] = []
     out_v: list[int] = []
     out_s: list[float] = []
-    for at in range(0, len(queries), 512):
-        part = queries[at : at + 512]
-        wanted = max(LEAST, 4 * k, int(SHARE * len(vectors)))
-        for i, found in enumerate(forest.candidates(part, wanted)):
-            q, me = part[i], query_ids[at + i]
-            found = found[ids[found] != me]
+    for at in range(0, len(queries), 256):
+        part = queries[at : at + 256]
+        low, high = forest.ranges(part)
+        for i, q in enumerate(part):
+            me = query_ids[at + i]
+            found = forest.nearest(unit, q / np.linalg.norm(q), low[:, :, i], high[:, :, i], k, ids != me)
             if not len(found):
                 continue
-            rough = unit[found] @ (q / np.linalg.norm(q))
-            if len(found) > k:  # far more than rounding can exchange
-                found = found[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9]
             exact = (vectors[found] * q).sum(axis=1) / (norms[found] * math.sqrt(float((q * q).sum())))
             best = np.lexsort((ids[found], -exact))[:k]
             out_q += [int(me)] * len(best)

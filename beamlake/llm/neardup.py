@@ -46,7 +46,7 @@ SMALL = 24
 #: Texts of a large bucket that one task compares with as many others.
 BLOCK = 256
 #: Bytes of normal text that are sketched together.
-CHUNK = 1_000_000
+CHUNK = 400_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
@@ -188,7 +188,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """rep and the sorted distinct shingle hashes, 8 bytes each, of the rows of docs(rep, word_key, text) whose text has that key."""
+    """rep and the distinct shingle hashes of the rows of docs(rep, word_key, text) whose text has that key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,30 +196,19 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 shingles, of, words, whole = shingle_hashes(part)
                 s, o, _ = _unique(shingles, of)
                 edges = np.searchsorted(o, np.arange(len(part) + 1))
-                sets = pa.array([s[edges[i] : edges[i + 1]].tobytes() for i in range(len(part))], pa.binary())
+                sets = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(s.view(np.int64)))
                 same = pc.equal(_word_keys(whole, words), b.column(1).slice(at, len(part)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), sets], names=["rep", "shingles"]).filter(same)
 
-    return docs.select("rep", "word_key", "text").mapInArrow(run, "rep long, shingles binary")
-
-
-def jaccard(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, dtype=_U), np.frombuffer(b, dtype=_U)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) or len(y) else 0.0
+    return docs.select("rep", "word_key", "text").mapInArrow(run, "rep long, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sets have a Jaccard of THRESHOLD, in generated code."""
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            j = [jaccard(x.as_buffer(), y.as_buffer()) for x, y in zip(t.column(2), t.column(3), strict=True)]
-            kept = pa.array([v >= THRESHOLD for v in j], pa.bool_())
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(j, pa.float64())], names=["a", "b", "similarity"]).filter(kept)
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similarity double")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+    return both.select("a", "b", (F.col("both") / (F.col("sum") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= THRESHOLD)
 
 
 def _near_size(a: str, b: str) -> F.Column:
@@ -239,13 +228,7 @@ def _alone(ids: DataFrame, sets: DataFrame) -> DataFrame:
     What two texts share is at most what either has in common with any other, so this bounds the Jaccard of all
     pairs of a text at once: those that cannot reach THRESHOLD are never made."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, s in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = np.frombuffer(s.as_buffer(), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i)), pa.array(x)], names=["rep", "shingle"])
-
-    each = sets.join(ids, "rep", "left_semi").select("rep", "shingles").mapInArrow(run, "rep long, shingle long")
+    each = sets.join(ids, "rep", "left_semi").select("rep", F.explode("shingles").alias("shingle"))
     single = each.groupBy("shingle").agg(F.count("*").alias("holders"), F.first("rep").alias("rep")).where("holders = 1")
     return single.groupBy("rep").agg(F.count("*").alias("alone"))
 

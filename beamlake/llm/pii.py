@@ -48,6 +48,8 @@ FORMS = [
 ]
 _FORM = "^(?:" + "|".join(FORMS) + ")$"
 
+#: One text in so many is read to give up contexts of which already these hold too many tokens.
+PART = 16
 SUPPORT, CONFIDENCE, KEEP, SETTLED = 4.0, 0.8, 0.9, 0.01
 
 _SPAN = "array<struct<kind:int,start:int,end:int,found:string>>"
@@ -136,19 +138,31 @@ def _words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.regexp_replace(text, r"\s*+(?:=|:(?=[\s\"']))\s*+", " = "), r"\s+", " ")), " ")
 
 
-def _contexts(w: Column, i: Column) -> Column:
-    """Patterns of the context of word i (from 0): K key, L, LL, LR, or R at the beginning of a text."""
-    at = lambda k: F.lower(F.get(w, i + k))
-    l1, key = at(-1), F.regexp_replace(at(-2), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    keyed = (i >= 2) & (l1 == "=")
-    plain = (i >= 1) & (l1 != "=")
+_KEY = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+
+
+def _around(*keep: str) -> list[Column | str]:
+    """Word i of w as raw, and its neighbours l1, l2 and r1, null beyond the ends. Plain columns, so that w is carried no further."""
+    at = lambda k: F.get("w", F.col("i") + k)
+    return [*keep, at(0).alias("raw"), at(-1).alias("l1"), at(-2).alias("l2"), at(1).alias("r1")]
+
+
+def _near() -> Column:
+    """The word of a context that patterns are looked up by first."""
+    return F.when(F.col("l1").isNull(), F.col("r1")).when((F.col("l1") == "=") & F.col("l2").isNotNull(), F.regexp_replace("l2", _KEY, "")).otherwise(F.col("l1"))
+
+
+def _contexts() -> Column:
+    """Patterns of the context of a word: K key, L, LL, LR, or R at the beginning of a text."""
+    l1, l2, r1, key = F.col("l1"), F.col("l2"), F.col("r1"), F.regexp_replace("l2", _KEY, "")
+    keyed = l1 == "="
     return F.array_compact(
         F.array(
             F.when(keyed & (key != ""), F.concat(F.lit("K "), key)),
-            F.when(plain, F.concat(F.lit("L "), l1)),
-            F.when(plain & (i >= 2), F.concat(F.lit("LL "), at(-2), F.lit(" "), l1)),
-            F.when(plain, F.concat(F.lit("LR "), l1, F.lit(" "), at(1))),
-            F.when(i == 0, F.concat(F.lit("R "), at(1))),
+            F.when(~keyed, F.concat(F.lit("L "), l1)),
+            F.when(~keyed, F.concat(F.lit("LL "), l2, F.lit(" "), l1)),
+            F.when(~keyed, F.concat(F.lit("LR "), l1, F.lit(" "), r1)),
+            F.when(l1.isNull(), F.concat(F.lit("R "), r1)),
         )
     )
 
@@ -166,7 +180,8 @@ def _tokens(docs: DataFrame) -> DataFrame:
     t = docs.where(F.col("text").rlike("[0-9@]")).select(*text_key(F.col("text")), _all_matches(F.col("text")).alias("all"), _words(F.col("text")).alias("w"))
     t = t.select("key1", "key2", F.transform("all", lambda s: F.struct(s["found"].alias("found"), _which(s, _passes).alias("good"), _which(s, _refused).alias("bad"))).alias("all"), "w")
     t = t.select("key1", "key2", "all", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i")).where(F.col("w")[F.col("i")].rlike("[0-9@]"))
-    t = t.select("key1", "key2", "all", F.col("w")[F.col("i")].alias("raw"), _contexts(F.col("w"), F.col("i")).alias("contexts"))
+    t = t.select(*_around("key1", "key2", "all")).withColumns({c: F.lower(c) for c in ("l1", "l2", "r1")})
+    t = t.select("key1", "key2", "all", "raw", _contexts().alias("contexts"))
     t = t.withColumn("instance", _core(F.col("raw"))).where(F.col("instance") != "")
     within = lambda which: F.exists("all", lambda s: s[which] & (F.col("raw").contains(s["found"]) | s["found"].contains(F.col("instance"))))
     return t.select("key1", "key2", "instance", F.when(within("good"), 1).when(within("bad"), 0).when(F.col("instance").rlike(_FORM), 2).alias("state"), "contexts")
@@ -190,27 +205,34 @@ def _settled(edges: DataFrame, fixed: DataFrame) -> DataFrame:
             return state
 
 
+def _totals(docs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """pattern and all, the number of distinct tokens of any kind in its context, of contexts(pattern)."""
+    p = F.split("pattern", " ")
+    nears = stored(contexts.select(F.when(p[0] == "LL", p[2]).otherwise(p[1]).alias("near")).distinct(), "pii-near")
+    w = docs.where(F.col("text").isNotNull()).select(_words(F.lower("text")).alias("w")).select("w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
+    each = w.select(*_around()).withColumn("near", _near()).join(light(nears), "near", "left_semi")
+    every = each.select("raw", F.explode(_contexts()).alias("pattern")).join(light(contexts.select("pattern")), "pattern", "left_semi")
+    return every.select("pattern", _core(F.col("raw")).alias("core")).distinct().groupBy("pattern").agg(F.count("*").alias("all"))
+
+
 def bootstrap(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     """pattern, confidence and mass of the contexts that may extract, from tokens(instance, state, contexts)."""
-    each = tokens.select("instance", "state", F.explode(F.concat("contexts", _shapes(F.col("instance")))).alias("pattern"))
+    each = tokens.select(F.lower("instance").alias("instance"), "state", F.explode(F.concat("contexts", _shapes(F.col("instance")))).alias("pattern"))
     graph = stored(each.groupBy("pattern", "instance").agg(F.max("state").alias("state")), "pii-graph")
     count = graph.groupBy("pattern").agg(F.sum(F.when(F.col("state") > 0, 1).otherwise(0)).alias("seeds"), F.count("*").alias("total"))
     fixed = stored(count.where(F.col("total") >= SUPPORT), "pii-patterns")  # no other can gain the mass
     edges = stored(graph.where("state is null").select("pattern", "instance").join(light(fixed.select("pattern")), "pattern", "left_semi"), "pii-edges")
     shape = F.col("pattern").rlike("^[DS] ")
     good = (F.col("confidence") >= CONFIDENCE) & (F.col("mass") >= SUPPORT) & ~shape
-    hopeful = stored(_settled(edges, fixed).where(good).select("pattern"), "pii-hopeful")
+    hopeful = stored(_settled(edges, fixed).where(good).select("pattern", "mass"), "pii-hopeful")
+    # So far only tokens with a digit or an at sign counted. A part of the texts bounds the number of all others from
+    # below, which is enough to give up contexts such as those of common words; the rest is counted over all texts.
+    least = _totals(docs.where(F.pmod(F.xxhash64("text"), F.lit(PART)) == 0), hopeful)
+    hopeful = stored(hopeful.join(least, "pattern", "left").where(F.coalesce("all", F.lit(0)) * CONFIDENCE <= F.col("mass")).select("pattern"), "pii-hopeful")
     if hopeful.limit(1).count() == 0:
         return hopeful.select("pattern", F.lit(0.0).alias("confidence"), F.lit(0.0).alias("mass"))
-    # The hopeful contexts' tokens of any kind, over the whole corpus; so far only those with a digit or an at sign counted.
-    lefts = stored(hopeful.select(F.split("pattern", " ").alias("p")).select(F.when(F.col("p")[0] == "LL", F.col("p")[2]).otherwise(F.col("p")[1]).alias("near")).distinct(), "pii-near")
-    w = docs.where(F.col("text").isNotNull()).select(_words(F.col("text")).alias("w")).select("w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
-    at = lambda k: F.lower(F.get("w", F.col("i") + k))
-    near = F.when(F.col("i") == 0, at(1)).when(at(-1) == "=", F.regexp_replace(at(-2), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")).otherwise(at(-1))
-    w = w.withColumn("near", near).join(light(lefts), "near", "left_semi")
-    every = w.select(F.col("w")[F.col("i")].alias("raw"), F.explode(_contexts(F.col("w"), F.col("i"))).alias("pattern")).join(light(hopeful), "pattern", "left_semi")
-    totals = every.select("pattern", _core(F.col("raw")).alias("core")).distinct().groupBy("pattern").agg(F.count("*").alias("all"))
-    exact = fixed.where(shape).unionByName(fixed.join(light(hopeful), "pattern", "left_semi").join(totals, "pattern").select("pattern", "seeds", F.greatest("total", "all").alias("total")))
+    totals = _totals(docs, hopeful)
+    exact = fixed.where(shape).unionByName(fixed.join(hopeful, "pattern", "left_semi").join(totals, "pattern").select("pattern", "seeds", F.greatest("total", "all").alias("total")))
     exact = stored(exact, "pii-exact")
     edges = stored(edges.join(light(exact.select("pattern")), "pattern", "left_semi"), "pii-edges")
     return _settled(edges, exact).where(good)

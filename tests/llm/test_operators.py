@@ -116,6 +116,22 @@ def test_nearest_against_brute_force(spark, monkeypatch):
     assert sorted((r.query_id, r.vec_id, r.score) for r in forest.nearest(two, two, 5).collect()) == [(0, 50, 0.0), (50, 0, 0.0)]
 
 
+def test_ascent_ends_early_where_neighbours_are_near():
+    r = np.random.default_rng(1)
+    centres = r.standard_normal((60, 48))
+    v = centres[r.integers(0, 60, 4000)] + 0.5 * r.standard_normal((4000, 48))
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    f, asked = forest.Forest(unit), np.arange(0, 4000, 50)
+    low, high = f.ranges(unit[asked])
+    hits = 0
+    for i, q in enumerate(asked):
+        found = f.nearest(unit, unit[q], low[:, :, i], high[:, :, i], 5, np.arange(4000) != q)
+        s = unit @ unit[q]
+        s[q] = -2
+        hits += len(set(np.argsort(-s)[:5]) & set(found.tolist()))
+    assert hits >= 0.97 * 5 * len(asked) and f.read <= 0.1 * 4000 * len(asked)
+
+
 # -- 3 ------------------------------------------------------------------------------------------------------
 
 
