@@ -24,9 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet and read it again: cuts lineage, and survives lost executors."""
+def stored(df: DataFrame, name: str, rows: int | None = None, per_file: int = 20_000) -> DataFrame:
+    """Write df as Parquet and read it again: cuts lineage, and survives lost executors.
+
+    rows: a bound of its rows, where one is known; then there are no more files than `per_file` rows each ask for, so that a
+    small table isn't strewn over as many files as a shuffle has partitions."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // per_file)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
