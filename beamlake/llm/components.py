@@ -12,12 +12,12 @@ from beamlake.llm.common import drop_stored, stored
 HUB, MOST_HUBS = 1_000, 1_000_000
 
 
-def _with_least(e: DataFrame) -> DataFrame:
+def _with_least(e: DataFrame, rows: int) -> DataFrame:
     """e(u, v) with m, the smallest v of each u.
 
     A hub's edges would meet in one task of a join. Hubs, of which there are at most one per HUB edges, are therefore
     joined from a broadcast, as long as a count allows it, and everything else by u."""
-    least = stored(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    least = stored(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least", rows)
     hub = F.col("n") >= HUB
     if not 0 < least.where(hub).count() <= MOST_HUBS:
         return e.join(least.select("u", "m"), "u")
@@ -25,13 +25,13 @@ def _with_least(e: DataFrame) -> DataFrame:
     return e.join(hubs, "u").unionByName(e.join(hubs.select("u"), "u", "left_anti").join(least.where(~hub).select("u", "m"), "u"))
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, rows: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    return _with_least(both, 2 * rows).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    each = _with_least(e)
+def _small_star(e: DataFrame, rows: int) -> DataFrame:
+    each = _with_least(e, rows)
     moved = each.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(each.select("u", F.col("m").alias("v")))
 
@@ -42,10 +42,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     The state is a table in the shared folder each round; only its size and a checksum reach the driver.
     """
     state = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
-    before = None
+    before = (state.count(), None)
     for _ in range(rounds):
-        after = stored(_small_star(_large_star(state)).distinct(), "links")
+        n = before[0]
+        starred = stored(_large_star(state, n), "links", n)
+        after = stored(_small_star(starred, n).distinct(), "links", n)
         r = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        drop_stored(starred)
         drop_stored(state)
         state = after
         if (r["n"], r["h"]) == before:

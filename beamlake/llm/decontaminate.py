@@ -58,7 +58,8 @@ def item_shingles(items: DataFrame) -> DataFrame:
 
 def leaked_texts(docs: DataFrame, items: DataFrame) -> DataFrame:
     """key1, key2, item_id, n_shingles, n_found and containment: a row per distinct text and item that it holds."""
-    shingles = stored(item_shingles(items), "items")
+    rows = docs.count()
+    shingles = stored(item_shingles(items), "items", items.count(), 5_000)
     sketch = light(shingles.where("in_sketch").select("item_id", "hash", "n", "k"))
     text = ["key1", "key2"]
     texts = docs.select("doc_id", *text_key(F.col("text")), _words(F.col("text")).alias("words"))
@@ -67,8 +68,8 @@ def leaked_texts(docs: DataFrame, items: DataFrame) -> DataFrame:
     hits = seen.join(sketch, "hash").groupBy(*text, "item_id", "hash").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("k").alias("k"))
     enough = F.least("k", "n") - F.floor((1 - THRESHOLD) * F.col("n") + 1e-9)
     found = hits.groupBy(*text, "item_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("hits"), F.first("n").alias("n"), F.first("k").alias("k"))
-    found = stored(found.where(F.col("hits") >= enough).select(*text, "item_id", "doc_id"), "candidates")
-    one = stored(found.groupBy(F.col("key1").alias("k1"), F.col("key2").alias("k2")).agg(F.min("doc_id").alias("id_")), "texts")
+    found = stored(found.where(F.col("hits") >= enough).select(*text, "item_id", "doc_id"), "candidates", rows)
+    one = stored(found.groupBy(F.col("key1").alias("k1"), F.col("key2").alias("k2")).agg(F.min("doc_id").alias("id_")), "texts", rows)
     again = docs.select("doc_id", "text", *text_key(F.col("text")))
     again = again.join(light(one), (F.col("key1") == F.col("k1")) & (F.col("key2") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("id_")), "left_semi")
     held = _positions(again.select(*text, _words(F.col("text")).alias("words")), *text).select(*text, _string().alias("shingle"))
@@ -80,13 +81,13 @@ def leaked_texts(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, n_shingles, n_found and containment of every leaked pair, once however often its row repeats."""
-    texts = stored(leaked_texts(docs, items), "leaks")
+    texts = stored(leaked_texts(docs, items), "leaks", docs.count())
     rows = docs.select("doc_id", *text_key(F.col("text"))).join(light(texts), ["key1", "key2"])
     return rows.groupBy("doc_id", "key1", "key2", "item_id").agg(*[F.first(c).alias(c) for c in ("n_shingles", "n_found", "containment")]).drop("key1", "key2")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs whose text holds no item."""
-    keys = stored(leaked_texts(docs, items).select(F.col("key1").alias("k1"), F.col("key2").alias("k2")).distinct(), "leaks")
+    keys = stored(leaked_texts(docs, items).select(F.col("key1").alias("k1"), F.col("key2").alias("k2")).distinct(), "leaks", docs.count())
     k1, k2 = text_key(docs["text"])
     return docs.join(light(keys), (k1 == keys["k1"]) & (k2 == keys["k2"]), "left_anti")

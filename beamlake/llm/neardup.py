@@ -264,30 +264,31 @@ def links(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b, similarity: verified links that connect all representatives found similar.
 
     reps(rep, doc_id, word_key, n, bands): rep names a distinct text, doc_id a row of docs that has it."""
+    count = reps.count()
     each = reps.select("rep", "n", F.explode("bands").alias("bucket"))
     sizes = each.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    shared = stored(each.join(sizes, "bucket"), "buckets")
-    ids = stored(reps.join(shared.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("doc_id").alias("id_"), "word_key"), "shared-ids")
+    shared = stored(each.join(sizes, "bucket"), "buckets", BANDS * count, 200_000)
+    ids = stored(reps.join(shared.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("doc_id").alias("id_"), "word_key"), "shared-ids", count)
     texts = docs.select("doc_id", "text").join(light(ids), F.col("doc_id") == F.col("id_"))
-    sets = stored(shingle_sets(texts).groupBy("rep").agg(F.first("shingles").alias("shingles")), "shingles")
+    sets = stored(shingle_sets(texts).groupBy("rep").agg(F.first("shingles").alias("shingles")), "shingles", count)
     large = shared.where(F.col("size") > SMALL)
-    alone = stored(_alone(large.select("rep").distinct(), sets), "alone")
+    alone = stored(_alone(large.select("rep").distinct(), sets), "alone", count)
     large = large.join(light(alone), "rep", "left").withColumn("held", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
-    large = stored(large.where(F.col("held") >= THRESHOLD * F.col("n") - 1e-9), "large")
+    large = stored(large.where(F.col("held") >= THRESHOLD * F.col("n") - 1e-9), "large", BANDS * count, 200_000)
     weight = large.groupBy("rep").agg(F.sum("size").alias("weight"))
     weighed = large.join(weight, "rep")
     hub = weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"), F.col("n").alias("hub_n"), F.col("held").alias("hub_held"))).alias("h"))
     hub = hub.select("bucket", (-F.col("h.minus")).alias("hub"), F.col("h.hub_n").alias("hub_n"), F.col("h.hub_held").alias("hub_held"))
     to_hub = weighed.join(hub, "bucket").where((F.col("rep") != F.col("hub")) & _near_size("n", "hub_n") & _possible("n", "held", "hub_n", "hub_held"))
     to_hub = to_hub.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-    found = stored(_verified(_pairs(shared.where(F.col("size") <= SMALL)).unionByName(to_hub).distinct(), sets), "links")
+    found = stored(_verified(_pairs(shared.where(F.col("size") <= SMALL)).unionByName(to_hub).distinct(), sets), "links", count, 5_000)
     # What large buckets still hold in different components.
     rest = _with_roots(large.select("bucket", "rep", "n", "held"), found)
     blocks = F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")
     split = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), blocks).where("lo < hi").select("bucket", "blocks")
-    rest = stored(rest.join(split, "bucket"), "apart")
+    rest = stored(rest.join(split, "bucket"), "apart", BANDS * count, 200_000)
     if rest.limit(1).count():
-        found = found.unionByName(stored(_verified(_apart(rest), sets), "links"))
+        found = found.unionByName(stored(_verified(_apart(rest), sets), "links", count, 5_000))
     return found
 
 
@@ -295,13 +296,14 @@ def representatives(own: DataFrame) -> DataFrame:
     """rep, doc_id, word_key, n and bands of each distinct text of sketches. rep is its smallest doc_id, unless an
     earlier text of that doc_id has it; then, which is rare, it is a hash."""
     reps = own.groupBy("word_key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    reps = stored(reps, "representatives")
-    several = stored(reps.groupBy(F.col("doc_id").alias("id_")).agg(F.min("word_key").alias("first"), F.count("*").alias("texts")).where("texts > 1").drop("texts"), "several")
+    rows = own.count()
+    reps = stored(reps, "representatives", rows)
+    several = stored(reps.groupBy(F.col("doc_id").alias("id_")).agg(F.min("word_key").alias("first"), F.count("*").alias("texts")).where("texts > 1").drop("texts"), "several", rows)
     if several.limit(1).count() == 0:
         return reps.select(F.col("doc_id").alias("rep"), "doc_id", "word_key", "n", "bands")
     both = reps.join(light(several), F.col("doc_id") == F.col("id_"), "left")
     other = F.col("first").isNotNull() & (F.col("word_key") != F.col("first"))
-    return stored(both.select(F.when(other, F.xxhash64("word_key", "doc_id")).otherwise(F.col("doc_id")).alias("rep"), "doc_id", "word_key", "n", "bands"), "representatives")
+    return stored(both.select(F.when(other, F.xxhash64("word_key", "doc_id")).otherwise(F.col("doc_id")).alias("rep"), "doc_id", "word_key", "n", "bands"), "representatives", rows)
 
 
 def _classes(docs: DataFrame) -> DataFrame:
@@ -314,7 +316,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     ends = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = reps.select("word_key", "rep", "doc_id").join(roots, F.col("rep") == F.col("node"), "left").drop("node")
     named = named.join(ends, F.col("rep") == F.col("node"), "left").select("word_key", "doc_id", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    named = stored(named, "classes")
+    named = stored(named, "classes", reps.count())
     name = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     named = named.drop("doc_id").join(name, "root")
     every = own.select("doc_id", "key1", "key2", F.when(usable, F.col("word_key")).alias("word_key"))
@@ -332,11 +334,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     stay, but for repetitions of such a row, doc_id and text alike, with words.
 
     Texts aren't shuffled as long as the ids that go, or repeat, are few enough to broadcast."""
-    row = ["doc_id", "key1", "key2"]
-    each = stored(_classes(docs).where("root is not null").groupBy(*row).agg(F.min("root").alias("root"), F.min("class_id").alias("class_id"), F.count("*").alias("n")), "rows")
+    row, count = ["doc_id", "key1", "key2"], docs.count()
+    each = stored(_classes(docs).where("root is not null").groupBy(*row).agg(F.min("root").alias("root"), F.min("class_id").alias("class_id"), F.count("*").alias("n")), "rows", count)
     first = each.where("doc_id = class_id").groupBy("root").agg(F.min(F.struct("key1", "key2")).alias("first"))
     marked = each.join(first, "root").withColumn("stays", (F.col("doc_id") == F.col("class_id")) & (F.struct("key1", "key2") == F.col("first")))
-    marked = stored(marked.where("not stays or n > 1").select(F.col("doc_id").alias("id_"), "key1", "key2", "stays"), "marked")
+    marked = stored(marked.where("not stays or n > 1").select(F.col("doc_id").alias("id_"), "key1", "key2", "stays"), "marked", count)
     on = ["id_", "key1", "key2"]
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row_"), docs["doc_id"].cast("long").alias("id_"), *text_key(docs["text"]))
     single = rows.join(light(marked.select(*on)), on, "left_anti")

@@ -191,13 +191,14 @@ def _settled(edges: DataFrame, fixed: DataFrame) -> DataFrame:
     """pattern, confidence and mass (the weight of its instances).
 
     edges(pattern, instance): of open instances. fixed(pattern, seeds, total)."""
-    state = stored(fixed.select("pattern", F.lit(0.0).alias("confidence"), F.col("seeds").cast("double").alias("mass")), "pii-confidence")
+    count, open_edges = fixed.count(), edges.count()
+    state = stored(fixed.select("pattern", F.lit(0.0).alias("confidence"), F.col("seeds").cast("double").alias("mass")), "pii-confidence", count)
     while True:
         score = (F.col("seeds") + F.coalesce("open", F.lit(0.0))).alias("mass")
         weight = edges.join(light(state.select("pattern", "confidence")), "pattern").groupBy("instance").agg((KEEP * F.max("confidence")).alias("weight"))
-        mass = edges.join(light(stored(weight.where("weight > 0"), "pii-weights")), "instance").groupBy("pattern").agg(F.sum("weight").alias("open"))
+        mass = edges.join(light(stored(weight.where("weight > 0"), "pii-weights", open_edges)), "instance").groupBy("pattern").agg(F.sum("weight").alias("open"))
         new = fixed.join(mass, "pattern", "left").select("pattern", "total", score)
-        new = stored(new.select("pattern", F.least(F.lit(1.0), F.col("mass") / (F.col("total") + 1)).alias("confidence"), "mass"), "pii-confidence")
+        new = stored(new.select("pattern", F.least(F.lit(1.0), F.col("mass") / (F.col("total") + 1)).alias("confidence"), "mass"), "pii-confidence", count)
         both = new.join(state.select("pattern", F.col("confidence").alias("before")), "pattern")
         moved = both.agg(F.max(F.abs(F.col("confidence") - F.col("before")))).first()[0] or 0.0
         state = new
@@ -208,7 +209,7 @@ def _settled(edges: DataFrame, fixed: DataFrame) -> DataFrame:
 def _totals(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     """pattern and all, the number of distinct tokens of any kind in its context, of contexts(pattern)."""
     p = F.split("pattern", " ")
-    nears = stored(contexts.select(F.when(p[0] == "LL", p[2]).otherwise(p[1]).alias("near")).distinct(), "pii-near")
+    nears = stored(contexts.select(F.when(p[0] == "LL", p[2]).otherwise(p[1]).alias("near")).distinct(), "pii-near", contexts.count())
     w = docs.where(F.col("text").isNotNull()).select(_words(F.lower("text")).alias("w")).select("w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
     each = w.select(*_around()).withColumn("near", _near()).join(light(nears), "near", "left_semi")
     every = each.select("raw", F.explode(_contexts()).alias("pattern")).join(light(contexts.select("pattern")), "pattern", "left_semi")
@@ -217,24 +218,25 @@ def _totals(docs: DataFrame, contexts: DataFrame) -> DataFrame:
 
 def bootstrap(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     """pattern, confidence and mass of the contexts that may extract, from tokens(instance, state, contexts)."""
+    rows = tokens.count()
     each = tokens.select(F.lower("instance").alias("instance"), "state", F.explode(F.concat("contexts", _shapes(F.col("instance")))).alias("pattern"))
-    graph = stored(each.groupBy("pattern", "instance").agg(F.max("state").alias("state")), "pii-graph")
+    graph = stored(each.groupBy("pattern", "instance").agg(F.max("state").alias("state")), "pii-graph", 8 * rows, 100_000)
     count = graph.groupBy("pattern").agg(F.sum(F.when(F.col("state") > 0, 1).otherwise(0)).alias("seeds"), F.count("*").alias("total"))
-    fixed = stored(count.where(F.col("total") >= SUPPORT), "pii-patterns")  # no other can gain the mass
-    edges = stored(graph.where("state is null").select("pattern", "instance").join(light(fixed.select("pattern")), "pattern", "left_semi"), "pii-edges")
+    fixed = stored(count.where(F.col("total") >= SUPPORT), "pii-patterns", rows)  # no other can gain the mass
+    edges = stored(graph.where("state is null").select("pattern", "instance").join(light(fixed.select("pattern")), "pattern", "left_semi"), "pii-edges", 8 * rows, 100_000)
     shape = F.col("pattern").rlike("^[DS] ")
     good = (F.col("confidence") >= CONFIDENCE) & (F.col("mass") >= SUPPORT) & ~shape
-    hopeful = stored(_settled(edges, fixed).where(good).select("pattern", "mass"), "pii-hopeful")
+    hopeful = stored(_settled(edges, fixed).where(good).select("pattern", "mass"), "pii-hopeful", fixed.count())
     # So far only tokens with a digit or an at sign counted. A part of the texts bounds the number of all others from
     # below, which is enough to give up contexts such as those of common words; the rest is counted over all texts.
     least = _totals(docs.where(F.pmod(F.xxhash64("text"), F.lit(PART)) == 0), hopeful)
-    hopeful = stored(hopeful.join(least, "pattern", "left").where(F.coalesce("all", F.lit(0)) * CONFIDENCE <= F.col("mass")).select("pattern"), "pii-hopeful")
+    hopeful = stored(hopeful.join(least, "pattern", "left").where(F.coalesce("all", F.lit(0)) * CONFIDENCE <= F.col("mass")).select("pattern"), "pii-hopeful", hopeful.count())
     if hopeful.limit(1).count() == 0:
         return hopeful.select("pattern", F.lit(0.0).alias("confidence"), F.lit(0.0).alias("mass"))
     totals = _totals(docs, hopeful)
     exact = fixed.where(shape).unionByName(fixed.join(hopeful, "pattern", "left_semi").join(totals, "pattern").select("pattern", "seeds", F.greatest("total", "all").alias("total")))
-    exact = stored(exact, "pii-exact")
-    edges = stored(edges.join(light(exact.select("pattern")), "pattern", "left_semi"), "pii-edges")
+    exact = stored(exact, "pii-exact", fixed.count())
+    edges = stored(edges.join(light(exact.select("pattern")), "pattern", "left_semi"), "pii-edges", 8 * rows, 100_000)
     return _settled(edges, exact).where(good)
 
 
@@ -244,17 +246,17 @@ def spans(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     read = docs.select(*cols)
     tokens = stored(_tokens(read.select("text")), "pii-tokens")
-    chosen = stored(bootstrap(read, tokens).select("pattern"), "pii-chosen")
+    chosen = stored(bootstrap(read, tokens).select("pattern"), "pii-chosen", tokens.count())
     out = read.withColumn("base", base_spans(text))
     none = F.array().cast(_SPAN)
     open_ = tokens.where("state is null or state = 2").where((F.length(_digits(F.col("instance"))) >= 4) | F.col("instance").contains("@"))
     new = open_.select("key1", "key2", "instance", F.explode("contexts").alias("pattern")).join(light(chosen), "pattern", "left_semi")
-    per = stored(new.groupBy("key1", "key2").agg(F.collect_set("instance").alias("instances")), "pii-found")  # as long as the text at most
+    per = stored(new.groupBy("key1", "key2").agg(F.collect_set("instance").alias("instances")), "pii-found", tokens.count())  # as long as the text at most
     if per.limit(1).count() == 0:
         return out.withColumn("more", none)
     quoted = F.array_join(F.transform(F.sort_array("instances", asc=False), lambda x: F.concat(F.lit(r"\Q"), F.replace(x, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))), "|")
     pattern = F.concat(F.lit(r"(?<![A-Za-z0-9])(?:"), quoted, F.lit(r")(?![A-Za-z0-9])"))
-    per = stored(per.select("key1", "key2", pattern.alias("pattern")), "pii-found")
+    per = stored(per.select("key1", "key2", pattern.alias("pattern")), "pii-found", tokens.count())
     out = out.withColumns(dict(zip(("key1", "key2"), text_key(F.col("text")), strict=True))).join(light(per), ["key1", "key2"], "left")
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     more = F.when(F.col("pattern").isNotNull(), F.filter(_matches(text, F.col("pattern"), len(KINDS)), free)).otherwise(none)

@@ -23,7 +23,7 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.link(table(spark, sf_dir, "conversations"))
+    return quotes.build(table(spark, sf_dir, "conversations"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,29 +1,35 @@
 """Quotation linking for conversations, DataFrame operations only.
 
 A message's lines are grouped into passages of equal quote level (the number of leading `>`). Level 0 is
-its own text. Quoted passages, and their lines, are normalised and hashed, and joined to the hashes of the
-own texts, passages and lines of all messages. Of the originals of a hash the earliest in the same
-conversation is taken if it comes before the quoting message, else the earliest in the whole table; both
-are minima per hash, made with partial aggregation, so a text that a third of the messages share is one row.
+its own text. Quoted passages, and their lines of MIN_LINE characters or more, are normalised and hashed, and joined to
+the hashes of the own texts, passages and lines of all messages. Of the originals of a hash the earliest in the same
+conversation is taken if it comes before the quoting message, else the earliest of all conversations with a smaller
+conv_id; both are minima per hash, made with partial aggregation, so a text that a third of the messages share is one row.
 
 A message replies to the original of its longest linked passage of the lowest level, else to the turn
 before it (turn - 1) in its conversation, else to none. A conversation whose first message replies to
-another conversation continues its thread; rows sorted by thread_id, conv_id and turn are in reply order,
-and hold no quoted text. Rows with a null conv_id or turn link to nothing. A null text is empty, repeated
-rows stay, and an empty table gives no rows.
+another conversation continues its thread. build() puts the messages of each thread in reply order, conversation by
+conversation and turn by turn: a message always comes after the one it replies to. The order is a range
+partitioning of all messages, so a thread of any length is dealt over as many tasks as it fills, and place numbers
+are completed by sums over tasks.
+
+Own texts are without quotes, and without the line that introduces one (`On Monday Bob wrote:`) directly before it. Rows
+with a null conv_id or turn link to nothing. A null text is empty, repeated rows stay (in an arbitrary order among
+themselves), texts of any length are parsed whole, and an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from beamlake.llm.common import drop_stored, stored
+from beamlake.llm.common import drop_stored, light, stored
 
 #: Shortest normalised line, in characters, that links on its own.
 MIN_LINE = 20
 _MARK = r"^[ \t]*+(?:>[ \t]?)++"
-_ATTRIBUTION = r"(?i)^.{0,200}\b(?:wrote|writes|said|schrieb|escribió|a écrit)\s*:\s*$"
+# Verbs that introduce a quotation.
+_ATTRIBUTION = r"(?i)(?:^|\n)[^\n]*\b(?:wrote|writes|said|schrieb|escribió|a écrit)[ \t]*:\s*$"
 _EMPTY = "array<struct<level:int,text:string>>"
 
 
@@ -62,10 +68,11 @@ def _keys(text: Column) -> Column:
 
 
 def _own(p: Column) -> Column:
-    text = F.array_join(F.transform(F.filter(p, lambda x: x["level"] == 0), lambda x: x["text"]), "\n")
-    lines = F.filter(F.split(text, r"\r?\n", -1), lambda s: ~s.rlike(_ATTRIBUTION))
-    stripped = F.array_join(lines, "\n")
-    return F.regexp_replace(F.when(F.size(p) > 1, stripped).otherwise(text), r"^\s+|\s+$", "")
+    """The passages of level 0, without the line that introduces the quotation after it."""
+    before = lambda i: F.coalesce(F.get(p, i + 1)["level"] > 0, F.lit(False))
+    cut = F.transform(p, lambda x, i: F.struct(x["level"].alias("level"), F.when(before(i), F.regexp_replace(x["text"], _ATTRIBUTION, "")).otherwise(x["text"]).alias("text")))
+    text = F.array_join(F.transform(F.filter(cut, lambda x: x["level"] == 0), lambda x: x["text"]), "\n")
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def _parents(parsed: DataFrame, quoted: DataFrame) -> DataFrame:
@@ -80,7 +87,7 @@ def _parents(parsed: DataFrame, quoted: DataFrame) -> DataFrame:
     far = near.groupBy("hash").agg(F.min(F.struct("conv_id", F.col("near").alias("turn"))).alias("far"))
     m = q.join(near, ["hash", "conv_id"], "left").join(far, "hash", "left")
     here = F.col("near") < F.col("turn")
-    there = F.col("far").isNotNull() & (F.col("far.conv_id") != F.col("conv_id"))
+    there = F.col("far.conv_id") < F.col("conv_id")
     m = m.withColumn("to", F.when(here, F.struct("conv_id", F.col("near").alias("turn"))).when(there, F.col("far"))).where("to is not null")
     best = F.struct((-F.col("level")).alias("l"), "size", here.cast("int").alias("here"), (-F.col("to.conv_id")).alias("c"), (-F.col("to.turn")).alias("t"))
     g = m.groupBy("conv_id", "turn").agg(F.max_by("to", best).alias("to"), F.count_distinct("nth").alias("n_linked"))
@@ -91,7 +98,7 @@ def _threads(parents: DataFrame, firsts: DataFrame) -> DataFrame:
     """conv_id and thread_id of the conversations that continue another, by pointer doubling.
 
     A conversation points to an earlier one only (a smaller conv_id), so there are no circles."""
-    start = parents.join(firsts, ["conv_id", "turn"], "left_semi").where("to_conv < conv_id")
+    start = parents.join(firsts, ["conv_id", "turn"], "left_semi").where("to_conv <> conv_id")
     state = stored(start.groupBy("conv_id").agg(F.min("to_conv").alias("thread_id")), "threads")
     while True:
         up = state.select(F.col("conv_id").alias("thread_id"), F.col("thread_id").alias("above"))
@@ -132,3 +139,16 @@ def link(conversations: DataFrame) -> DataFrame:
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         "text",
     )
+
+
+def build(conversations: DataFrame) -> DataFrame:
+    """The columns of link() and place (from 0), a message's place in its thread, sorted by thread_id and place."""
+    order = ["thread_id", "conv_id", "turn"]
+    # One file per range of the order; the number says which, and the row's place there.
+    ranges = stored(link(conversations).orderBy(*order).withColumn("number", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("number", 33).alias("part")
+    runs = ranges.groupBy("thread_id", part).agg(F.min("number").alias("first"), F.count("*").alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("thread_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = stored(runs.select(F.col("thread_id").alias("thread_"), "part", "first", F.coalesce(ahead, F.lit(0)).alias("ahead")), "runs")
+    put = ranges.join(light(runs), F.col("thread_id").eqNullSafe(F.col("thread_")) & (F.shiftright("number", 33) == F.col("part")))
+    return put.withColumn("place", F.col("number") - F.col("first") + F.col("ahead")).drop("number", "thread_", "part", "first", "ahead")

@@ -156,7 +156,90 @@ def test_quotes(spark):
     assert got[4, 2] == (4, None, None, 0, 0, "gap") and got[4, 0][:5] == (4, None, None, 1, 0)
     assert got[5, 0][5] == "own" and got[5, 1][1:3] == (5, 0) and got[None, 0][3] == 1
     assert got[7, 0][:5] == (1, 1, 0, 1, 1)
-    assert quotes.link(d.where("1 = 0")).count() == 0
+    assert quotes.link(d.where("1 = 0")).count() == 0 and quotes.build(d.where("1 = 0")).count() == 0
+
+
+def quoted_mail(seed):
+    """Conversations that quote earlier messages, whole and in part, nested, with and without introductions."""
+    r = random.Random(seed)
+    rows, texts = [], {}
+    for c in range(40):
+        for t in range(r.randint(1, 5)):
+            own = [" ".join(r.choice(WORDS) for _ in range(r.randint(4, 9))) for _ in range(r.randint(1, 3))]
+            if r.random() < 0.15:
+                own.append("as he said:")
+            text = "\n".join(own)
+            known = [k for k in texts if k < (c, t)]
+            if known and r.random() < 0.7:
+                near = [k for k in known if k[0] == c] or known
+                to = r.choice(near if r.random() < 0.6 else known)
+                some = texts[to].split("\n")[r.choice([0, 0, 1]) :] or ["nothing"]
+                quote = "\n".join((">" if x.startswith(">") else "> ") + (x.upper() if r.random() < 0.2 else x) for x in some)
+                intro = f"On day {c} someone wrote:\n" if r.random() < 0.5 else ""
+                text = r.choice([f"{intro}{quote}\n{text}", f"{text}\n{intro}{quote}"])
+            texts[c, t] = text
+            rows.append((c, t, "user", text))
+    return rows
+
+
+def plain_links(rows):
+    """conv_id, turn -> thread, parent and own text, by plain loops."""
+    norm = lambda s: " ".join(words(s))
+    keys = lambda s: {norm(s)} | {norm(x) for x in s.split("\n") if len(norm(x)) >= quotes.MIN_LINE}
+    parsed, originals = {}, {}
+    for c, t, _, text in rows:
+        runs = []
+        for x in text.split("\n"):
+            mark = re.match(r"[ \t]*(?:>[ \t]?)+", x)
+            level, x = (mark[0].count(">"), x[mark.end() :]) if mark else (0, x)
+            if runs and runs[-1][0] == level:
+                runs[-1][1].append(x)
+            else:
+                runs.append((level, [x]))
+        for i, (level, own) in enumerate(runs):
+            if level == 0 and i + 1 < len(runs) and re.search(r"\b(wrote|said)\s*:\s*$", own[-1]):
+                parsed.setdefault("cut", set()).add((c, t, i))
+        parts = [(level, "\n".join(own)) for level, own in runs]
+        own = "\n".join("\n".join(o[:-1]) if (c, t, i) in parsed.get("cut", ()) else "\n".join(o) for i, (level, o) in enumerate(runs) if level == 0).strip()
+        parsed[c, t] = parts, own
+        for s in {own, *(p for level, p in parts if level == 0)}:
+            for k in keys(s) - {""}:
+                originals.setdefault(k, set()).add((c, t))
+    parsed.pop("cut", None)
+    parent = {}
+    for (c, t), (parts, _) in parsed.items():
+        found = []
+        for level, p in parts:
+            for k in keys(p) - {""} if level else ():
+                near = [x for x in originals.get(k, ()) if x[0] == c]
+                far = min(originals.get(k, ()), default=None)
+                to = min(near) if near and min(near) < (c, t) else far if far and far[0] < c else None
+                if to:
+                    found.append(((-level, len(k), to[0] == c, -to[0], -to[1]), to))
+        parent[c, t] = max(found)[1] if found else (c, t - 1) if (c, t - 1) in parsed else None, bool(found)
+    thread = {}
+    for c in sorted({c for c, _ in parsed}):
+        to, linked = parent[min(k for k in parsed if k[0] == c)]
+        thread[c] = thread[to[0]] if linked and to[0] != c else c
+    return {k: (thread[k[0]], parent[k][0], parsed[k][1]) for k in parsed}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_quotes_against_brute_force(spark, light, seed):
+    rows = quoted_mail(seed)
+    d = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    want = plain_links(rows)
+    built = quotes.build(d).collect()
+    got = {(r.conv_id, r.turn): (r.thread_id, None if r.parent_conv is None else (r.parent_conv, r.parent_turn), r.text) for r in built}
+    assert got == want and sum(p is not None and p[0] != k[0] for k, (_, p, _) in want.items()) > 10
+    place = {}
+    for r in built:
+        place.setdefault(r.thread_id, {})[r.conv_id, r.turn] = r.place
+    for own in place.values():
+        assert sorted(own.values()) == list(range(len(own)))
+        assert sorted(own, key=own.get) == sorted(own)
+        assert all(own[want[k][1]] < own[k] for k in own if want[k][1] in own)
+    assert not any(line.startswith(">") for r in built for line in r.text.split("\n"))
 
 
 # -- 4 ------------------------------------------------------------------------------------------------------
