@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import math
 import random
 import re
 import time
@@ -329,6 +330,27 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs_of(spark, rows[:5]).where("1 = 0"), lab).count() == 0
 
 
+def test_toxicity_against_brute_force(spark):
+    """The score of every text from its words, each compressed for itself; ties, repeated rows and one id with two texts."""
+    rows = [(i, prose(30, i) + (" wretchface and gorblimey" if i % 3 == 0 else "")) for i in range(300)]
+    rows += [(1000 + i, t) for i, t in enumerate([prose(4000, 7) + " wretchface", "gorblimey", "wretchfaces!", "", None, "wretchface " * 500])] + [rows[3], (4, "another text of the id"), (6, "wretchface once more")]
+    d, lab = docs_of(spark, rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id bigint, toxic int")
+    model = toxicity.fit(d, lab)
+    a, b = toxicity.compressor(model.ordinary), toxicity.compressor(model.toxic)
+    got = sorted(((r.doc_id, r.score, r.n_windows) for r in toxicity.toxicity(d, lab).collect()), key=str)
+    want = []
+    for i, t in rows:
+        w = words(t)
+        packed = [toxicity.FRAME + toxicity._widen(f" {x} ".encode()) for x in w]
+        k = sum(len(a.compress(x)) - len(b.compress(x)) >= model.tau for x in packed)
+        z = sum(p * q for p, q in zip(model.weights, toxicity._features(k, len(w)), strict=True)) if w else -30.0
+        z = z if k else min(z, math.log(0.7 / 0.3 / 2))
+        want.append((i, 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), k))
+    want.sort(key=str)
+    assert [(x[0], x[2]) for x in got] == [(x[0], x[2]) for x in want] and all(x[1] == pytest.approx(y[1]) for x, y in zip(got, want))
+    assert sum(k > 0 for _, _, k in want) > 100
+
+
 def test_language(spark):
     parts = {"aa": ["tion", "ment", "ough", "the", "ing"], "bb": ["ung", "keit", "sch", "der", "ß"], "cc": ["eau", "oi", "què", "les", "ç"]}
     rows = []
