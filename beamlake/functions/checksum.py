@@ -38,9 +38,10 @@ def crc16_arrow(data: Column) -> Column:
     return run(data.cast("binary"))
 
 
-def encrypt(data: Column, key: Column) -> Column:
-    return F.aes_encrypt(data, key, F.lit("GCM"))
+def encrypt(data: Column, key: Column, mode: str = "GCM") -> Column:
+    """AES with a key of 128, 192 or 256 bits. ECB is the platform's single blocks; GCM also proves that a text is unchanged."""
+    return F.aes_encrypt(data, key, F.lit(mode))
 
 
-def decrypt(data: Column, key: Column) -> Column:
-    return F.aes_decrypt(data, key, F.lit("GCM"))
+def decrypt(data: Column, key: Column, mode: str = "GCM") -> Column:
+    return F.aes_decrypt(data, key, F.lit(mode))

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Q15, IQ31 = 16, 32
 CPLX = "array<struct<re:bigint,im:bigint>>"
@@ -41,7 +42,7 @@ def sub(a: Column, b: Column, bits: int = Q15) -> Column:
 
 
 def mpy(a: Column, b: Column, bits: int = Q15) -> Column:
-    """Fractional product: the upper bits of x * y."""
+    """Fractional product: the upper bits of x * y. Only -1 times -1 leaves the width, and wraps."""
     return F.zip_with(a, b, lambda x, y: wrap(F.shiftright(_l(x) * _l(y), bits - 1), bits))
 
 
@@ -52,8 +53,9 @@ def mac(a: Column, b: Column, bits: int = Q15) -> Column:
     return s * 2 if bits == Q15 else s
 
 
-def absolute(a: Column) -> Column:
-    return F.transform(a, lambda x: F.abs(_l(x)))
+def absolute(a: Column, bits: int = Q15) -> Column:
+    """The least number of the width has no counterpart and becomes the greatest."""
+    return F.transform(a, lambda x: clamp(F.abs(_l(x)), bits))
 
 
 def negate(a: Column, bits: int = Q15) -> Column:
@@ -143,9 +145,11 @@ def complex_mpy_real(a: Column, b: Column, bits: int = Q15) -> Column:
     return F.zip_with(a, b, lambda x, y: _z(cut(x["re"] * _l(y)), cut(x["im"] * _l(y))))
 
 
-def complex_mac(a: Column, b: Column) -> Column:
+def complex_mac(a: Column, b: Column, bits: int = Q15) -> Column:
+    """Sum of products; 32-bit products are cut to their upper bits first, as mac does."""
+    cut = lambda v: v if bits == Q15 else F.shiftright(v, 31)
     zero = _z(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
-    p = F.zip_with(a, b, lambda x, y: _z(x["re"] * y["re"] - x["im"] * y["im"], x["re"] * y["im"] + x["im"] * y["re"]))
+    p = F.zip_with(a, b, lambda x, y: _z(cut(x["re"] * y["re"]) - cut(x["im"] * y["im"]), cut(x["re"] * y["im"]) + cut(x["im"] * y["re"])))
     return F.aggregate(p, zero, lambda s, x: _z(s["re"] + x["re"], s["im"] + x["im"]))
 
 
@@ -184,23 +188,28 @@ def transpose(m: Column) -> Column:
 
 
 def matrix_mpy(a: Column, b: Column, bits: int = Q15) -> Column:
-    """Matrix product; each sum of products is cut to its upper bits."""
-    total = lambda r, c: F.aggregate(F.zip_with(r, c, lambda x, y: _l(x) * _l(y)), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return F.transform(a, lambda r: F.transform(transpose(b), lambda c: wrap(F.shiftright(total(r, c), bits - 1), bits)))
+    """Matrix product; each sum of products is cut to its upper bits, 32-bit products before they are summed."""
+    cut = lambda v: F.shiftright(v, 31) if bits == IQ31 else v
+    total = lambda r, c: F.aggregate(F.zip_with(r, c, lambda x, y: cut(_l(x) * _l(y))), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return F.transform(a, lambda r: F.transform(transpose(b), lambda c: wrap(total(r, c) if bits == IQ31 else F.shiftright(total(r, c), bits - 1), bits)))
 
 
 def fir(a: Column, taps: list[int], bits: int = Q15) -> Column:
-    """y[i] = sum of taps[k] * a[i - k], cut to the upper bits; places before the first count as 0."""
+    """y[i] = sum of taps[k] * a[i - k], cut to the upper bits (32-bit products before they are summed); places before the first count as 0."""
+    cut = (lambda v: F.shiftright(v, 31)) if bits == IQ31 else (lambda v: v)
+    end = 0 if bits == IQ31 else bits - 1
     t = F.array(*[F.lit(x).cast("bigint") for x in taps])
 
     def one(i: Column) -> Column:
-        p = F.transform(F.sequence(F.lit(0), F.lit(len(taps) - 1)), lambda k: F.when(i >= k, _l(F.element_at(a, F.greatest(i - k, F.lit(0)) + 1)) * t[k]).otherwise(F.lit(0).cast("bigint")))
-        return clamp(F.shiftright(F.aggregate(p, F.lit(0).cast("bigint"), lambda s, x: s + x), bits - 1), bits)
+        p = F.transform(F.sequence(F.lit(0), F.lit(len(taps) - 1)), lambda k: F.when(i >= k, cut(_l(F.element_at(a, F.greatest(i - k, F.lit(0)) + 1)) * t[k])).otherwise(F.lit(0).cast("bigint")))
+        return clamp(F.shiftright(F.aggregate(p, F.lit(0).cast("bigint"), lambda s, x: s + x), end), bits)
 
     return F.transform(F.sequence(F.lit(0), F.size(a) - 1), one)
 
 
 def complex_fir(a: Column, taps: list[tuple[int, int]], bits: int = Q15) -> Column:
+    cut = (lambda v: F.shiftright(v, 31)) if bits == IQ31 else (lambda v: v)
+    end = 0 if bits == IQ31 else bits - 1
     re, im = F.transform(a, lambda x: x["re"]), F.transform(a, lambda x: x["im"])
     t = F.array(*[_z(F.lit(r).cast("bigint"), F.lit(i).cast("bigint")) for r, i in taps])
     zero = F.lit(0).cast("bigint")
@@ -209,52 +218,134 @@ def complex_fir(a: Column, taps: list[tuple[int, int]], bits: int = Q15) -> Colu
     def one(i: Column) -> Column:
         ks = F.sequence(F.lit(0), F.lit(len(taps) - 1))
         at = lambda v, k: F.when(i >= k, F.element_at(v, F.greatest(i - k, F.lit(0)) + 1)).otherwise(zero)
-        real = plus(F.transform(ks, lambda k: at(re, k) * t[k]["re"] - at(im, k) * t[k]["im"]))
-        imag = plus(F.transform(ks, lambda k: at(re, k) * t[k]["im"] + at(im, k) * t[k]["re"]))
-        return _z(clamp(F.shiftright(real, bits - 1), bits), clamp(F.shiftright(imag, bits - 1), bits))
+        real = plus(F.transform(ks, lambda k: cut(at(re, k) * t[k]["re"]) - cut(at(im, k) * t[k]["im"])))
+        imag = plus(F.transform(ks, lambda k: cut(at(re, k) * t[k]["im"]) + cut(at(im, k) * t[k]["re"])))
+        return _z(clamp(F.shiftright(real, end), bits), clamp(F.shiftright(imag, end), bits))
 
     return F.transform(F.sequence(F.lit(0), F.size(a) - 1), one)
 
 
-def biquad_df1(a: Column, b: tuple[int, int, int], c: tuple[int, int], bits: int = Q15) -> Column:
-    """Direct form 1: y = b0 x + b1 x' + b2 x'' + c1 y' + c2 y'', cut to the upper bits."""
-    z = F.lit(0).cast("bigint")
-    zero = F.struct(z.alias("x1"), z.alias("x2"), z.alias("y1"), z.alias("y2"), F.array().cast("array<bigint>").alias("out"))
+def biquad_df1(a: Column, b: tuple[int, int, int], c: tuple[int, int], state: tuple[int, int, int, int] = (0, 0, 0, 0)) -> Column:
+    """Direct form 1 on q15: y = b0 x + 2 b1 x' + b2 x'' + 2 c1 y' + c2 y'', saturated. b1 and c1 are halves, so they may stand for
+    coefficients up to 2; each product is cut to its upper bits. struct(out, x1, x2, y1, y2): the state goes into the next call."""
+    part = lambda x, k: F.shiftright(x * F.lit(k), Q15 - 1)
+    zero = F.struct(F.array().cast("array<bigint>").alias("out"), *[F.lit(v).cast("bigint").alias(k) for k, v in zip(("x1", "x2", "y1", "y2"), state, strict=True)])
 
     def step(s: Column, x: Column) -> Column:
-        total = _l(x) * b[0] + s["x1"] * b[1] + s["x2"] * b[2] + s["y1"] * c[0] + s["y2"] * c[1]
-        y = clamp(F.shiftright(total, bits - 1), bits)
-        return F.struct(_l(x).alias("x1"), s["x1"].alias("x2"), y.alias("y1"), s["y1"].alias("y2"), F.concat(s["out"], F.array(y)).alias("out"))
+        x = _l(x)
+        y = clamp(part(x, b[0]) + 2 * part(s["x1"], b[1]) + part(s["x2"], b[2]) + 2 * part(s["y1"], c[0]) + part(s["y2"], c[1]), Q15)
+        return F.struct(F.concat(s["out"], F.array(y)).alias("out"), x.alias("x1"), s["x1"].alias("x2"), y.alias("y1"), s["y1"].alias("y2"))
 
-    return F.aggregate(a, zero, step, lambda s: s["out"])
+    return F.aggregate(a, zero, step)
 
 
-def biquad_df2(a: Column, b: tuple[int, int, int], c: tuple[int, int], bits: int = Q15) -> Column:
-    """Direct form 2: d = x + c1 d' + c2 d'', y = b0 d + b1 d' + b2 d''; coefficients may be wider than 1 (extended)."""
-    z = F.lit(0).cast("bigint")
-    zero = F.struct(z.alias("d1"), z.alias("d2"), F.array().cast("array<bigint>").alias("out"))
+def biquad_df2(a: Column, b: tuple[int, int, int], c: tuple[int, int, int], bias: int = 0, state: tuple[int, int] = (0, 0)) -> Column:
+    """Direct form 2 on q15: w = bias + a0 x + 2 a1 w' + a2 w'', y = b0 w + 2 b1 w' + b2 w'', both saturated; c is (a0, a1, a2), a1
+    and b1 are halves. struct(out, q1, q2, low, high): the state for the next call, and the extended form's least and greatest w."""
+    part = lambda x, k: F.shiftright(x * F.lit(k), Q15 - 1)
+    first = {"q1": state[0], "q2": state[1], "low": (1 << 15) - 1, "high": -(1 << 15)}
+    zero = F.struct(F.array().cast("array<bigint>").alias("out"), *[F.lit(v).cast("bigint").alias(k) for k, v in first.items()])
 
     def step(s: Column, x: Column) -> Column:
-        d = clamp(_l(x) + F.shiftright(s["d1"] * c[0] + s["d2"] * c[1], bits - 1), bits)
-        y = clamp(F.shiftright(d * b[0] + s["d1"] * b[1] + s["d2"] * b[2], bits - 1), bits)
-        return F.struct(d.alias("d1"), s["d1"].alias("d2"), F.concat(s["out"], F.array(y)).alias("out"))
+        w = clamp(F.lit(bias).cast("bigint") + part(_l(x), c[0]) + 2 * part(s["q1"], c[1]) + part(s["q2"], c[2]), Q15)
+        y = clamp(part(w, b[0]) + 2 * part(s["q1"], b[1]) + part(s["q2"], b[2]), Q15)
+        return F.struct(F.concat(s["out"], F.array(y)).alias("out"), w.alias("q1"), s["q1"].alias("q2"), F.least(s["low"], w).alias("low"), F.greatest(s["high"], w).alias("high"))
 
-    return F.aggregate(a, zero, step, lambda s: s["out"])
+    return F.aggregate(a, zero, step)
 
 
-def biquad_cascade(a: Column, stages: list[tuple[tuple[int, int, int], tuple[int, int]]], form: int = 1, bits: int = Q15) -> Column:
-    for b, c in stages:
-        a = (biquad_df1 if form == 1 else biquad_df2)(a, b, c, bits)
+def biquad_cascade(a: Column, stages: list[tuple], form: int = 1) -> Column:
+    """Output of stages one after the other: (b, c) of form 1, (b, c) or (b, c, bias) of form 2."""
+    for stage in stages:
+        a = (biquad_df1 if form == 1 else biquad_df2)(a, *stage)["out"]
     return a
 
 
+# -- Fourier transforms: fixed point, and in floating point ------------------------------------------------
+
+
+def twiddles(half: int, bits: int = Q15, inverse: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """cos and -sin (sin for the inverse) of k * pi / half, rounded to the width."""
+    one, angle = 1 << (bits - 1), np.pi * np.arange(half) / half
+    cut = lambda x: np.clip(np.floor(one * x + 0.5), -one, one - 1).astype(np.int64)
+    return cut(np.cos(angle)), cut(np.sin(angle) if inverse else -np.sin(angle))
+
+
+def fft_rows(re: np.ndarray, im: np.ndarray, bits: int = Q15, auto: bool = False, inverse: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Radix-2 transforms of all rows at once, in whole numbers, and each row's number of halvings.
+
+    Every stage halves, or, with auto, only where a component left the middle half of the width in the stage before. The first two
+    stages multiply by 1 and -i (i for the inverse) exactly; later ones by rounded factors, products cut to their upper bits."""
+    n = re.shape[1]
+    if n & (n - 1) or not n:
+        raise ValueError("the length must be a power of two")
+    place = np.zeros(n, dtype=np.int64)
+    for i in range(1, n):
+        place[i] = place[i >> 1] >> 1 | (n >> 1 if i & 1 else 0)
+    re, im = re[:, place].astype(np.int64), im[:, place].astype(np.int64)
+    edge, count = 1 << (bits - 2), np.zeros(len(re), dtype=np.int64)
+    wide = lambda: ((re >= edge) | (re < -edge) | (im >= edge) | (im < -edge)).any(axis=1)
+    half = 1
+    while half < n:
+        halve = wide() if auto else np.ones(len(re), dtype=bool)
+        count += halve
+        a_re, a_im, b_re, b_im = (x.reshape(len(re), -1, 2 * half)[:, :, k * half : (k + 1) * half] for k in (0, 1) for x in (re, im))
+        if half <= 2:
+            sign = 1 if inverse else -1
+            t_re, t_im = b_re.copy(), b_im.copy()
+            if half == 2:
+                t_re[:, :, 1], t_im[:, :, 1] = -sign * b_im[:, :, 1], sign * b_re[:, :, 1]
+        else:
+            w_re, w_im = twiddles(half, bits, inverse)
+            t_re, t_im = (b_re * w_re >> bits - 1) - (b_im * w_im >> bits - 1), (b_re * w_im >> bits - 1) + (b_im * w_re >> bits - 1)
+        down = halve.astype(np.int64)[:, None, None]
+        re = np.concatenate([a_re + t_re >> down, a_re - t_re >> down], axis=2).reshape(len(re), n)
+        im = np.concatenate([a_im + t_im >> down, a_im - t_im >> down], axis=2).reshape(len(im), n)
+        half *= 2
+    return re, im, count
+
+
+def fft_fixed(a: Column, bits: int = Q15, auto: bool = False, inverse: bool = False) -> Column:
+    """struct(re, im, shift) of the transform of complex vectors; rows of one length go through it together."""
+    kind = T.StructType([T.StructField("re", T.ArrayType(T.LongType())), T.StructField("im", T.ArrayType(T.LongType())), T.StructField("shift", T.IntegerType())])
+
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            out: list = [(None, None, None)] * len(d)
+            by: dict[int, list[int]] = {}
+            for i, v in enumerate(d["re"]):
+                if v is not None:
+                    by.setdefault(len(v), []).append(i)
+            for rows in by.values():
+                got = fft_rows(np.stack(d["re"].to_numpy()[rows]), np.stack(d["im"].to_numpy()[rows]), bits, auto, inverse)
+                for i, x, y, k in zip(rows, *got, strict=True):
+                    out[i] = (x, y, int(k))
+            yield pd.DataFrame(out, columns=["re", "im", "shift"])
+
+    return run(F.struct(F.transform(a, lambda x: _l(x["re"])).alias("re"), F.transform(a, lambda x: _l(x["im"])).alias("im")))
+
+
+def fft_real(a: Column, bits: int = Q15, auto: bool = False) -> Column:
+    """fft_fixed of real vectors."""
+    return fft_fixed(F.transform(a, lambda x: _z(_l(x), F.lit(0).cast("bigint"))), bits, auto)
+
+
 def _batched(f, kind: str) -> Column:
-    """A function of one vector as an Arrow UDF; made on use, as that needs a session."""
+    """A function of a matrix of rows as an Arrow UDF, once for each length in a batch; made on use, as that needs a session."""
 
     @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series([None if v is None else f(v) for v in s])
+            out: list = [None] * len(s)
+            by: dict[int, list[int]] = {}
+            for i, v in enumerate(s):
+                if v is not None:
+                    by.setdefault(len(v), []).append(i)
+            for rows in by.values():
+                for i, x in zip(rows, f([s.iloc[k] for k in rows]), strict=True):
+                    out[i] = x
+            yield pd.Series(out)
 
     return run
 
@@ -262,29 +353,34 @@ def _batched(f, kind: str) -> Column:
 _COMPLEX = "array<struct<re:double,im:double>>"
 
 
-def _pairs(z: np.ndarray) -> list[dict[str, float]]:
-    return [{"re": x.real, "im": x.imag} for x in z]
+def _pairs(m: np.ndarray) -> list[list[dict[str, float]]]:
+    return [[{"re": x.real, "im": x.imag} for x in z] for z in m]
 
 
-def _numbers(v) -> np.ndarray:
-    return np.array([complex(x["re"], x["im"]) for x in v])
+def _numbers(rows: list) -> np.ndarray:
+    return np.array([[complex(x["re"], x["im"]) for x in v] for v in rows])
 
 
 def rfft(a: Column) -> Column:
     """Real Fourier transform, divided by its length (one bit per stage)."""
-    return _batched(lambda v: _pairs(np.fft.rfft(np.asarray(v, float)) / max(1, len(v))), _COMPLEX)(a)
+    return _batched(lambda rows: _pairs(np.fft.rfft(np.array([np.asarray(v, float) for v in rows])) / max(1, len(rows[0]))), _COMPLEX)(a)
 
 
 def irfft(a: Column) -> Column:
     """Inverse of rfft for vectors of even length."""
-    return _batched(lambda v: (np.fft.irfft(_numbers(v), 2 * (len(v) - 1)) * 2 * (len(v) - 1)).tolist(), "array<double>")(a)
+
+    def back(rows: list) -> list:
+        n = 2 * (len(rows[0]) - 1)
+        return (np.fft.irfft(_numbers(rows), n) * n).tolist()
+
+    return _batched(back, "array<double>")(a)
 
 
 def cfft(a: Column) -> Column:
     """Complex Fourier transform, divided by its length."""
-    return _batched(lambda v: _pairs(np.fft.fft(_numbers(v)) / max(1, len(v))), _COMPLEX)(a)
+    return _batched(lambda rows: _pairs(np.fft.fft(_numbers(rows)) / max(1, len(rows[0]))), _COMPLEX)(a)
 
 
 def cifft(a: Column) -> Column:
     """Inverse of cfft."""
-    return _batched(lambda v: _pairs(np.fft.ifft(_numbers(v)) * len(v)), _COMPLEX)(a)
+    return _batched(lambda rows: _pairs(np.fft.ifft(_numbers(rows)) * len(rows[0])), _COMPLEX)(a)

@@ -52,3 +52,18 @@ def with_gear(queries: DataFrame, policy: str = "adaptive", gear: int = 5, repla
         raise ValueError(f"unknown policy {policy}, or replay without its table")
     table = gear_table(queries.sparkSession).select("gear", "l_size", "m")  # six rows
     return out.join(F.broadcast(table), "gear")
+
+
+#: A log row's op before its query has been decided, and while it waits for energy.
+PENDING, WAIT = 0xFF, 0xFE
+
+
+def voltage_log(samples: DataFrame) -> DataFrame:
+    """samples(seq, query_id, raw, voltage) with op: WAIT where the capacitor holds no usable energy, else PENDING."""
+    return samples.withColumn("op", F.when(available_energy(F.col("voltage")) <= 0, F.lit(WAIT)).otherwise(F.lit(PENDING)))
+
+
+def tagged(log: DataFrame, gears: DataFrame) -> DataFrame:
+    """log, with the gear of gears(query_id, gear) in the last pending row of each query."""
+    last = log.where(F.col("op") == PENDING).groupBy("query_id").agg(F.max("seq").alias("seq")).join(gears.select("query_id", F.col("gear").alias("own_")), "query_id")
+    return log.join(last.select("seq", "query_id", "own_"), ["seq", "query_id"], "left").withColumn("op", F.coalesce("own_", "op").cast("int")).drop("own_")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from beamlake.operators.blocked import l2_block, topk
+from beamlake.operators.tables import stored
 
 
 def knn_edges(vectors: DataFrame, degree: int) -> DataFrame:
@@ -32,8 +35,10 @@ def in_degree(graph: DataFrame) -> DataFrame:
 
 
 def reverse_edges(graph: DataFrame) -> DataFrame:
-    """vec_id and the vertices that point to it. The lists are as long as in-degrees are."""
-    return edges(graph).groupBy(F.col("dst").alias("vec_id")).agg(F.sort_array(F.collect_set("src")).alias("sources"))
+    """vec_id, slot and src of each edge that points to vec_id, in the order of src. Rows, not lists, so a hub's in-edges are
+    never one value; the ranking sorts them, and spills."""
+    back = edges(graph).select(F.col("dst").alias("vec_id"), "src").distinct()
+    return back.withColumn("slot", (F.row_number().over(Window.partitionBy("vec_id").orderBy("src")) - 1).cast("int")).select("vec_id", "slot", "src")
 
 
 def robust_prune(point: np.ndarray, candidates: np.ndarray, vectors: np.ndarray, degree: int, alpha: float = 1.2) -> list[int]:
@@ -74,17 +79,18 @@ def integrity(vectors: DataFrame, graph: DataFrame, codes: DataFrame) -> DataFra
     return out
 
 
-def reachable(graph: DataFrame, entry: int, rounds: int = 200) -> DataFrame:
-    """vec_id and hops from the entry, by breadth-first rounds that each join only the newest vertices."""
-    from beamlake.operators.tables import stored
+def reachable(graph: DataFrame, entry: int) -> DataFrame:
+    """vec_id and hops from the entry, by breadth-first rounds that each join only the newest vertices, until there are none.
 
+    What has been reached is written as one table every 16 rounds, so a plan never unites more than so many parts."""
     spark = graph.sparkSession
     seen = stored(spark.createDataFrame([(entry, 0)], "vec_id bigint, hops int"), "reached")
     front = seen
-    for hop in range(1, rounds):
+    for hop in itertools.count(1):
         new = edges(graph.join(front.select("vec_id"), "vec_id", "left_semi")).select(F.col("dst").alias("vec_id")).distinct().join(seen, "vec_id", "left_anti")
         front = stored(new.select("vec_id", F.lit(hop).alias("hops")), "reached")
         if front.limit(1).count() == 0:
-            break
+            return seen
         seen = seen.unionByName(front)
-    return seen
+        if hop % 16 == 0:
+            seen = stored(seen, "reached")

@@ -25,29 +25,75 @@ def mean_array(vectors: DataFrame) -> np.ndarray:
     return out
 
 
-def sample_codebook(vectors: DataFrame, mean: np.ndarray) -> np.ndarray:
-    """CENTROIDS x dim: the first vectors by vec_id, mean-centred. Subspace s of m is columns s*dim/m on."""
-    rows = vectors.select("vec_id", "vec").orderBy("vec_id").limit(CENTROIDS).collect()
-    return np.array([r["vec"] for r in rows], dtype=np.int64).reshape(len(rows), -1) - mean
-
-
-def train_codebook(vectors: DataFrame, mean: np.ndarray, m: int, sample: int = 20_000, rounds: int = 12) -> np.ndarray:
-    """CENTROIDS x dim by k-means per subspace, on the first `sample` rows by a hash of vec_id."""
-    rows = vectors.select("vec_id", "vec").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    x = np.array([r["vec"] for r in rows], dtype=np.float64) - mean
-    k = min(CENTROIDS, len(x))
-    book = x[:k].copy()
-    width = x.shape[1] // m
-    for s in range(m):
-        own, c = x[:, s * width : (s + 1) * width], x[:k, s * width : (s + 1) * width].copy()
-        for _ in range(rounds):
-            d = (own**2).sum(1)[:, None] - 2 * own @ c.T + (c**2).sum(1)[None, :]
-            at = d.argmin(axis=1)
-            n = np.bincount(at, minlength=k)
-            sums = np.stack([np.bincount(at, own[:, j], minlength=k) for j in range(width)], axis=1)
-            c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
-        book[:, s * width : (s + 1) * width] = c
-    return np.rint(book).astype(np.int64)
+#: Levels of a dimension in the first partition: as many cells of a subspace as it has centroids.
+LEVELS = {16: 4, 32: 16}
+#: Rounds of k-means after it.
+ROUNDS = 2
+
+
+def _means(vectors: DataFrame, cells, count: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and counts of the vectors' subvectors by subspace and cell. cells gives n x m cells of centred rows.
+
+    One pass over all rows; a batch sums its own first, and m x CENTROIDS rows reach the driver."""
+    schema = "cell int, n bigint, " + ", ".join(f"s{j} bigint" for j in range(width))
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, at = cells(matrix(pa.chunked_array([b.column(0)])))
+            m = at.shape[1]
+            flat = (at + np.arange(m) * CENTROIDS).ravel()
+            parts, n = x.reshape(-1, width), np.bincount(flat, minlength=count)
+            sums = np.zeros((count, width), dtype=np.int64)
+            np.add.at(sums, flat, parts)
+            used = np.flatnonzero(n)
+            cols = [pa.array(used, pa.int32()), pa.array(n[used], pa.int64()), *[pa.array(sums[used, j], pa.int64()) for j in range(width)]]
+            yield pa.RecordBatch.from_arrays(cols, names=["cell", "n", *[f"s{j}" for j in range(width)]])
+
+    each = vectors.select("vec").mapInArrow(run, schema).groupBy("cell").agg(F.sum("n").alias("n"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(width)])
+    sums, n = np.zeros((count, width), dtype=np.int64), np.zeros(count, dtype=np.int64)
+    for r in each.collect():  # at most m x CENTROIDS
+        n[r["cell"]] = r["n"]
+        sums[r["cell"]] = [r[f"s{j}"] for j in range(width)]
+    return sums, n
+
+
+def train_codebook(vectors: DataFrame, mean: np.ndarray, m: int, rounds: int = ROUNDS) -> np.ndarray:
+    """CENTROIDS x dim, trained on all rows in whole numbers. Subspace s of m is columns s*dim/m on.
+
+    The first partition of a subspace is a grid: each dimension is cut into LEVELS of equal width, a step that follows
+    its mean absolute value. Its cells' means are the first centroids (an empty cell's is its middle), and `rounds` rounds of
+    k-means follow; a centroid that no row is nearest to stays."""
+    dim = len(mean)
+    width, levels = dim // m, LEVELS[m]
+    spread = np.zeros(dim, dtype=np.int64)
+    centred = F.zip_with("vec", F.lit(mean.tolist()), lambda x, mu: F.abs(x.cast("bigint") - mu))
+    for r in vectors.select(F.posexplode(centred).alias("dim", "x")).groupBy("dim").agg(F.floor(F.sum("x") / F.count("*")).alias("x")).collect():
+        spread[r["dim"]] = r["x"]
+    step = spread // (levels // 4 if levels > 4 else 1) + 1
+    powers = levels ** np.arange(width)
+
+    def grid(x: np.ndarray):
+        c = x - mean
+        level = np.clip(c // step + levels // 2, 0, levels - 1)
+        return c, (level.reshape(len(c), m, width) * powers).sum(axis=2)
+
+    sums, n = _means(vectors, grid, m * CENTROIDS, width)
+    cell = np.arange(CENTROIDS)
+    level = cell[None, :, None] // powers % levels
+    middle = ((level - levels // 2) * step.reshape(m, 1, width) + step.reshape(m, 1, width) // 2).reshape(m * CENTROIDS, width)
+    centre = np.where(n[:, None] > 0, sums // np.maximum(n, 1)[:, None], middle)
+    whole = lambda c: c.reshape(m, CENTROIDS, width).transpose(1, 0, 2).reshape(CENTROIDS, dim)
+    for _ in range(rounds):
+        book = whole(centre)
+
+        def nearest(x: np.ndarray, book: np.ndarray = book):
+            return x - mean, encode_array(x - mean, book, m).astype(np.int64)
+
+        sums, n = _means(vectors, nearest, m * CENTROIDS, width)
+        centre = np.where(n[:, None] > 0, sums // np.maximum(n, 1)[:, None], centre)
+    return whole(centre)
 
 
 def codebook_rows(spark, book: np.ndarray, m: int) -> DataFrame:

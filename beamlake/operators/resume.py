@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beamlake.sources.files import FileStore
@@ -42,14 +42,36 @@ class Progress:
         done = self.restore()
         return queries if done is None else queries.join(done.select("query_id").distinct(), "query_id", "left_anti")
 
-    def run(self, queries: DataFrame, work: Callable[[DataFrame], DataFrame], parts: int = 4) -> DataFrame:
-        """Work on the pending queries in parts, committing each; a rerun continues after the last commit."""
-        for part in range(parts):
-            own = self.pending(queries).where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-            if own.limit(1).count():
-                self.commit(work(own))
+    def run(self, queries: DataFrame, work: Callable[[DataFrame], DataFrame], parts: int = 4, part: Column | None = None, stop_after: int | None = None, fail: bool = False) -> DataFrame | None:
+        """Work on the pending queries in parts, committing each; a rerun continues after the last commit.
+
+        Each attempt at a part is written before its work starts, so a run that dies in between has left it behind. `part`
+        deals queries to parts 0 to parts - 1. stop_after ends the run after so many commits; with `fail` the next part is attempted
+        and not committed, as in a power failure."""
+        part = F.pmod(F.xxhash64("query_id"), F.lit(parts)) if part is None else part
+        done = 0
+        for nth in range(parts):
+            own = self.pending(queries).where(part == nth)
+            if not own.limit(1).count():
+                continue
+            last = stop_after is not None and done >= stop_after
+            if last and not fail:
+                break
+            own.select("query_id").write.parquet(f"{self.path}/attempts/{nth:04d}-{uuid.uuid4().hex[:8]}")
+            if last:
+                break
+            self.commit(work(own))
+            done += 1
         return self.restore()
 
+    def attempts(self) -> DataFrame:
+        """query_id and attempts of every query that a run has started on."""
+        folder = f"{self.path}/attempts"
+        if not self.store.exists(folder):
+            return self.spark.createDataFrame([], "query_id bigint, attempts bigint")
+        each = self.spark.read.schema("query_id bigint").parquet(*[f"{folder}/{n}" for n in self.store.names(folder)])
+        return each.groupBy("query_id").agg(F.count("*").alias("attempts"))
+
 
 def attempt_stats(attempts: DataFrame) -> DataFrame:
     """queries, missed (restarted at least once) and restarts of attempts(query_id, attempts)."""

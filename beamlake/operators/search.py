@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from beamlake.config import SearchConfig
+from beamlake.functions.vector import adc_sum, l2sq
 from beamlake.operators import pq
 from beamlake.operators.blocked import l2_block, matrix, topk
 from beamlake.operators.tables import stored
 
-#: Largest index, in bytes, that is held in each worker.
-MAX_INDEX_BYTES = 512 << 20
+#: Largest index, in bytes of its rows, that is held in each worker; the driver holds about four times as much while it is sent.
+MAX_INDEX_BYTES = 128 << 20
 
 
 @dataclass
@@ -37,13 +38,15 @@ class Index:
     entry: int
 
 
-def beam(table: np.ndarray, codes: np.ndarray, offsets: np.ndarray, targets: np.ndarray, entry: int, cfg: SearchConfig):
+def beam(table: np.ndarray, codes: np.ndarray, offsets: np.ndarray, targets: np.ndarray, entry: int, cfg: SearchConfig, size: int | None = None):
     """One query over places (not ids): expanded places with distances in order, the final list, and counters.
 
+    size: the query's own list size, where it has one.
+
     table: m x centroids distances of the query; vertex p's neighbors are targets[offsets[p]:offsets[p + 1]].
     Places are in the order of ids, so ties go to the smaller id.
     """
-    m = np.arange(table.shape[0])
+    m, size = np.arange(table.shape[0]), size or cfg.l_size
     seen = np.zeros(len(codes), dtype=bool)
     seen[entry] = True
     place, dist, visited = np.array([entry]), np.array([int(table[m, codes[entry]].sum())]), np.array([False])
@@ -53,7 +56,7 @@ def beam(table: np.ndarray, codes: np.ndarray, offsets: np.ndarray, targets: np.
         if cfg.max_hops is not None and len(expanded) >= cfg.max_hops:
             break
         i = int(np.argmin(visited))  # the first that is not expanded
-        if cfg.early_stop and len(place) >= cfg.l_size and expanded and dist[i] >= dist[-1]:
+        if cfg.early_stop and len(place) >= size and expanded and dist[i] >= dist[-1]:
             break
         if len(expanded) >= cfg.max_expanded:
             raise OverflowError(f"more than {cfg.max_expanded} vertices expanded")
@@ -68,7 +71,7 @@ def beam(table: np.ndarray, codes: np.ndarray, offsets: np.ndarray, targets: np.
         seen[fresh] = True
         d = table[m, codes[fresh]].sum(axis=1)
         place, dist, visited = np.concatenate([place, fresh]), np.concatenate([dist, d]), np.concatenate([visited, np.zeros(len(fresh), bool)])
-        keep = np.lexsort((place, dist))[: cfg.l_size]
+        keep = np.lexsort((place, dist))[:size]
         place, dist, visited = place[keep], dist[keep], visited[keep]
     return expanded, list(zip(dist.tolist(), place.tolist(), strict=True)), n_new, n_dup
 
@@ -77,15 +80,20 @@ def index_bytes(index: Index, m: int, degree: int) -> int:
     return index.codes.count() * (8 + 2 * m + 8 * degree)
 
 
-def search(queries: DataFrame, index: Index, cfg: SearchConfig) -> DataFrame:
-    """query_id, hops, n_new, n_dup, expanded and list (arrays of dist, vec_id) of each query.
+@dataclass
+class Held:
+    """An index's codes and graph as arrays, sent to the workers once and used by any number of searches."""
 
-    The codes and the graph are collected once and broadcast, behind a check of their size."""
-    spark = queries.sparkSession
-    size = index_bytes(index, cfg.m, cfg.degree)
-    if size > MAX_INDEX_BYTES:
-        return search_rounds(queries, index, cfg)
-    rows = index.codes.select("vec_id", F.col(f"pq{cfg.m}").alias("code")).join(index.graph, "vec_id").orderBy("vec_id").toArrow()
+    arrays: object
+    entry: int
+    m: int
+
+
+def held(index: Index, m: int, degree: int) -> Held | None:
+    """The codes and the graph, collected once and broadcast behind a check of their size; None beyond it."""
+    if index_bytes(index, m, degree) > MAX_INDEX_BYTES:
+        return None
+    rows = index.codes.select("vec_id", F.col(f"pq{m}").alias("code")).join(index.graph, "vec_id").orderBy("vec_id").toArrow()
     ids = rows.column("vec_id").to_numpy()
     codes = matrix(rows.column("code"), np.int16)
     lists = rows.column("neighbors").combine_chunks()
@@ -95,8 +103,18 @@ def search(queries: DataFrame, index: Index, cfg: SearchConfig) -> DataFrame:
     inside = (targets < len(ids)) & (ids[np.minimum(targets, len(ids) - 1)] == flat)
     if not inside.all():
         raise ValueError("the graph has edges to vertices without codes")
-    entry = int(np.searchsorted(ids, index.entry))
-    shared = spark.sparkContext.broadcast((ids, codes, offsets, targets.astype(np.int32)))
+    shared = index.codes.sparkSession.sparkContext.broadcast((ids, codes, offsets, targets.astype(np.int32)))
+    return Held(shared, int(np.searchsorted(ids, index.entry)), m)
+
+
+def search(queries: DataFrame, index: Index, cfg: SearchConfig, ready: Held | None = None) -> DataFrame:
+    """query_id, hops, n_new, n_dup, expanded and list (arrays of dist, vec_id) of each query.
+
+    A column l_size of queries, if there is one, is a query's own list size. ready: what held() has given before."""
+    ready = ready or held(index, cfg.m, cfg.degree)
+    if ready is None:
+        return search_rounds(queries, index, cfg)
+    shared, entry = ready.arrays, ready.entry
     mean, book = index.mean, index.books[cfg.m]
     pair = "array<struct<dist:bigint,vec_id:bigint>>"
     schema = f"query_id bigint, hops int, n_new int, n_dup int, expanded {pair}, list {pair}"
@@ -109,7 +127,8 @@ def search(queries: DataFrame, index: Index, cfg: SearchConfig) -> DataFrame:
             for i in range(0, b.num_rows, 64):
                 part = b.slice(i, 64)
                 t = pq.tables(matrix(pa.chunked_array([part.column(1)])) - mean, book, cfg.m)
-                found = [beam(one, codes, offsets, targets, entry, cfg) for one in t]
+                sizes = part.column(2).to_pylist()
+                found = [beam(one, codes, offsets, targets, entry, cfg, size) for one, size in zip(t, sizes, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -122,25 +141,32 @@ def search(queries: DataFrame, index: Index, cfg: SearchConfig) -> DataFrame:
                     names=["query_id", "hops", "n_new", "n_dup", "expanded", "list"],
                 )
 
-    return queries.select("query_id", "vec").mapInArrow(run, schema)
+    return queries.select("query_id", "vec", _size(queries, cfg).alias("l_size")).mapInArrow(run, schema)
+
+
+def _size(queries: DataFrame, cfg: SearchConfig):
+    return F.col("l_size").cast("int") if "l_size" in queries.columns else F.lit(cfg.l_size)
 
 
 def search_rounds(queries: DataFrame, index: Index, cfg: SearchConfig) -> DataFrame:
     """The same search as rounds of joins: each round expands one vertex of every open query.
 
     State is one row per query and a table each round; graph and codes are joined by vertex, so no part of the
-    index is held whole. A query's distance table travels with its state."""
+    index is held whole. Fresh vertices' codes are gathered per query, `degree` at most, before they meet its distance table,
+    so a table is read once per query and round. Queries that have ended are written and leave the state."""
     book, mean = index.books[cfg.m], index.mean
     t = pq.adc_tables(queries, mean, book, cfg.m).groupBy("query_id", "subspace").agg(F.sort_array(F.collect_list(F.struct("centroid", "dist"))).alias("r"))
     t = t.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("subspace", F.transform("r", lambda x: x["dist"]).alias("d")))).alias("t"))
     t = stored(t.select("query_id", F.transform("t", lambda x: x["d"]).alias("table")), "adc")
     code = stored(index.codes.select("vec_id", F.col(f"pq{cfg.m}").alias("code")), "codes")
-    adc = F.aggregate(F.sequence(F.lit(0), F.size("code") - 1), F.lit(0).cast("bigint"), lambda a, s: a + F.col("table")[s][F.col("code")[s].cast("int")])
+    _adc = lambda c: adc_sum(F.col("table"), c)
     pair = "struct<dist:bigint,vec_id:bigint>"
-    first = t.crossJoin(F.broadcast(code.where(F.col("vec_id") == index.entry)))  # one row
+    sizes = queries.select("query_id", _size(queries, cfg).alias("l_size"))
+    first = t.join(sizes, "query_id").crossJoin(F.broadcast(code.where(F.col("vec_id") == index.entry)))  # one row
     state = first.select(
         "query_id",
-        F.array(F.struct(adc.alias("dist"), F.col("vec_id"))).cast(f"array<{pair}>").alias("list"),
+        "l_size",
+        F.array(F.struct(_adc(F.col("code")).alias("dist"), F.col("vec_id"))).cast(f"array<{pair}>").alias("list"),
         F.array().cast(f"array<{pair}>").alias("expanded"),
         F.array("vec_id").alias("seen"),
         F.lit(1).alias("n_new"),
@@ -155,24 +181,29 @@ def search_rounds(queries: DataFrame, index: Index, cfg: SearchConfig) -> DataFr
         if cfg.max_hops is not None and hop >= cfg.max_hops:
             stop = F.lit(True)
         if cfg.early_stop:
-            stop = stop | ((F.size("list") >= cfg.l_size) & (F.size("expanded") > 0) & (F.col("next.dist") >= F.element_at("list", -1)["dist"]))
-        ended = marked.where(stop).drop("next")
-        done = ended if done is None else done.unionByName(ended)
+            stop = stop | ((F.size("list") >= F.col("l_size")) & (F.size("expanded") > 0) & (F.col("next.dist") >= F.element_at("list", -1)["dist"]))
         live = marked.where(~stop)
-        if live.limit(1).count() == 0:
+        over = live.limit(1).count() == 0
+        ended = marked.where(stop).drop("next")
+        if over or ended.limit(1).count():
+            ended = stored(ended, "beam-ended")
+            done = ended if done is None else done.unionByName(ended)
+        if over:
             break
         if hop == cfg.max_expanded:
             raise OverflowError(f"more than {cfg.max_expanded} vertices expanded")
         near = live.join(index.graph.select(F.col("vec_id").alias("at"), F.array_distinct("neighbors").alias("near")), F.col("next.vec_id") == F.col("at"))
         near = near.withColumn("fresh", F.array_except("near", "seen"))
-        fresh = near.select("query_id", F.explode("fresh").alias("vec_id")).join(code, "vec_id").join(t, "query_id").select("query_id", adc.alias("dist"), "vec_id")
-        fresh = fresh.groupBy("query_id").agg(F.collect_list(F.struct("dist", "vec_id")).alias("scored"))  # at most `degree` entries
+        fresh = near.select("query_id", F.explode("fresh").alias("vec_id")).join(code, "vec_id")
+        fresh = fresh.groupBy("query_id").agg(F.collect_list(F.struct("vec_id", "code")).alias("coded")).join(t, "query_id")  # at most `degree` entries
+        fresh = fresh.select("query_id", F.transform("coded", lambda c: F.struct(_adc(c["code"]).alias("dist"), c["vec_id"].alias("vec_id"))).alias("scored"))
         merged = near.join(fresh, "query_id", "left")
         grown = F.array_sort(F.concat("list", F.coalesce("scored", F.array().cast(f"array<{pair}>"))))
         state = stored(
             merged.select(
                 "query_id",
-                F.slice(grown, 1, cfg.l_size).alias("list"),
+                "l_size",
+                F.slice(grown, F.lit(1), F.col("l_size")).alias("list"),
                 F.concat("expanded", F.array("next")).alias("expanded"),
                 F.concat("seen", "fresh").alias("seen"),
                 (F.col("n_new") + F.size("fresh")).alias("n_new"),
@@ -191,8 +222,6 @@ def expanded_log(searched: DataFrame, by_distance: bool = False) -> DataFrame:
 
 
 def _exact(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    from beamlake.functions.vector import l2sq
-
     joined = pairs.join(vectors.select("vec_id", F.col("vec").alias("v")), "vec_id").join(queries.select("query_id", F.col("vec").alias("q")), "query_id")
     return joined.select("query_id", "vec_id", l2sq(F.col("q"), F.col("v")).alias("dist_sq"))
 
@@ -202,12 +231,23 @@ def _first(ranked: DataFrame, by: str, k: int) -> DataFrame:
     return ranked.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
 
 
-def rerank(searched: DataFrame, queries: DataFrame, index: Index, cfg: SearchConfig) -> DataFrame:
-    """query_id, rank, vec_id, dist_sq: the k best by exact distance of what cfg.rerank names."""
+def best(results: DataFrame, k: int) -> DataFrame:
+    """The k best of several searches' results(query_id, vec_id, dist_sq), ranked anew."""
+    return _first(results.select("query_id", "vec_id", "dist_sq"), "dist_sq", k).select("query_id", "rank", "vec_id", "dist_sq")
+
+
+def rerank(searched: DataFrame, queries: DataFrame, index: Index, cfg: SearchConfig, not_self: bool = False, deleted: DataFrame | None = None) -> DataFrame:
+    """query_id, rank, vec_id, dist_sq: the k best by exact distance of what cfg.rerank names.
+
+    not_self leaves out the row whose id is the query's, deleted(vec_id) tombstones, both before anything is ranked."""
     source = F.col("list") if cfg.rerank == "list" else F.col("expanded")
     if cfg.rerank == "partial":
         source = F.slice(F.array_sort("expanded"), 1, cfg.partial)
     pairs = searched.select("query_id", F.explode(source).alias("e")).select("query_id", F.col("e.vec_id").alias("vec_id"))
+    if not_self:
+        pairs = pairs.where("vec_id <> query_id")
+    if deleted is not None:
+        pairs = pairs.join(deleted.select("vec_id"), "vec_id", "left_anti")
     if cfg.rerank == "two_stage":
         book, mean = index.books[32], index.mean
         long = pairs.join(index.codes.select("vec_id", "pq32"), "vec_id").join(queries.select("query_id", "vec"), "query_id")
@@ -227,26 +267,37 @@ def rerank(searched: DataFrame, queries: DataFrame, index: Index, cfg: SearchCon
     return _first(_exact(pairs, queries, index.vectors), "dist_sq", cfg.k).select("query_id", "rank", "vec_id", "dist_sq")
 
 
-def ann_search(queries: DataFrame, index: Index, cfg: SearchConfig) -> DataFrame:
+def ann_search(queries: DataFrame, index: Index, cfg: SearchConfig, not_self: bool = False, deleted: DataFrame | None = None, ready: Held | None = None) -> DataFrame:
     """query_id, rank, vec_id, dist_sq of the k nearest found."""
-    return rerank(search(queries, index, cfg), queries, index, cfg)
+    return rerank(search(queries, index, cfg, ready), queries, index, cfg, not_self, deleted)
 
 
-def exact_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def exact_search(queries: DataFrame, vectors: DataFrame, k: int, not_self: bool = False) -> DataFrame:
     """query_id, rank, vec_id, dist_sq of the k nearest, by comparison with every vector in blocks."""
-    return topk(vectors.select("vec_id", "vec"), queries.select("query_id", "vec"), k, l2_block).withColumnRenamed("dist", "dist_sq")
+    return topk(vectors.select("vec_id", "vec"), queries.select("query_id", "vec"), k, l2_block, not_self).withColumnRenamed("dist", "dist_sq")
+
+
+def search_with_delta(queries: DataFrame, index: Index, delta: DataFrame, cfg: SearchConfig, deleted: DataFrame | None = None, not_self: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, dist_sq of the k nearest of the base index and of delta(vec_id, vec), which is not linked in yet.
+
+    The base is searched by its graph, the delta store, which is small until it is merged, exactly."""
+    new = delta if deleted is None else delta.join(deleted.select("vec_id"), "vec_id", "left_anti")
+    both = ann_search(queries, index, cfg, not_self, deleted).unionByName(exact_search(queries, new, cfg.k, not_self))
+    return best(both, cfg.k)
 
 
-def ann_search_by_gear(queries: DataFrame, index: Index, **more: object) -> DataFrame:
-    """Searches of queries(query_id, vec, gear), each with its gear's list size and code length."""
+def ann_search_by_gear(queries: DataFrame, index: Index, not_self: bool = False, **more: object) -> DataFrame:
+    """Searches of queries(query_id, vec, gear), each with its gear's list size and code length: one search per code length."""
     from beamlake.config import GEARS, gear_config
 
+    sizes = F.create_map(*[F.lit(x) for gear, _, size, _ in GEARS for x in (gear, size)])
     out = None
-    for gear, *_ in GEARS:
-        own = queries.where(F.col("gear") == gear)
-        found = ann_search(own, index, gear_config(gear, **more)).withColumn("gear", F.lit(gear))
+    for m in sorted({m for *_, m in GEARS}):
+        gears = [gear for gear, _, _, width in GEARS if width == m]
+        own = queries.where(F.col("gear").isin(gears)).withColumn("l_size", sizes[F.col("gear")])
+        found = ann_search(own, index, gear_config(gears[-1], **more), not_self).join(own.select("query_id", "gear"), "query_id")
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.select("query_id", "rank", "vec_id", "dist_sq", "gear")
 
 
 def recall(results: DataFrame, truth: DataFrame, k: int, by: str = "distance") -> DataFrame:

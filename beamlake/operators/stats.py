@@ -40,3 +40,10 @@ def profile(searched: DataFrame) -> DataFrame:
 def observed(df: DataFrame, name: str, **metrics: Column) -> DataFrame:
     """df, with metrics reported to listeners as it runs."""
     return df.observe(name, *[c.alias(k) for k, c in metrics.items()])
+
+
+def phases(timers: DataFrame) -> DataFrame:
+    """phase, calls, total, least, greatest, mean and share (of all phases' total) of timers(phase, elapsed). One row per phase."""
+    each = timers.groupBy("phase").agg(F.count("*").alias("calls"), F.sum("elapsed").alias("total"), F.min("elapsed").alias("least"), F.max("elapsed").alias("greatest"))
+    whole = each.agg(F.sum("total").alias("whole"))  # one row
+    return each.crossJoin(F.broadcast(whole)).select("phase", "calls", "total", "least", "greatest", safe_divide(F.col("total"), F.col("calls")).alias("mean"), safe_divide(F.col("total"), F.col("whole")).alias("share"))

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beamlake.config import DEGREE, K, SearchConfig
-from beamlake.functions import checksum, dsp, energy
+from beamlake.functions import dsp, energy
 from beamlake.functions.vector import address, address_parts
 from beamlake.operators import build, graph, pq, resume, stats
 from beamlake.operators import search as s
-from beamlake.operators.mutate import delete_vectors, pending_reverse_edges, without_deleted
-from beamlake.operators.tables import stored
+from beamlake.operators.mutate import compact, delete_vectors, insert_vectors, is_delta, merge_delta, pruned, without_deleted
+from beamlake.operators.tables import shared_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -37,7 +38,7 @@ def _index(spark: SparkSession, sf_dir: str) -> s.Index:
 
 @query
 def exact_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.exact_search(build.query_vectors(spark, sf_dir), build.base_vectors(spark, sf_dir), K)
+    return s.exact_search(build.query_vectors(spark, sf_dir), build.base_vectors(spark, sf_dir), K, not_self=True)
 
 
 @query
@@ -61,9 +62,8 @@ def l2_distance_matrix_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _codebook(spark: SparkSession, sf_dir: str, m: int) -> DataFrame:
-    base = build.base_vectors(spark, sf_dir)
-    rows = pq.codebook_rows(spark, pq.sample_codebook(base, pq.mean_array(base)), m)
-    return rows.select("subspace", "centroid", F.posexplode("c").alias("pos", "value"))
+    _, _, book = _parts(spark, sf_dir, m)
+    return pq.codebook_rows(spark, book, m).select("subspace", "centroid", F.posexplode("c").alias("pos", "value"))
 
 
 @query
@@ -76,14 +76,14 @@ def pq_codebook32(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _codebook(spark, sf_dir, 32)
 
 
-def _parts(spark: SparkSession, sf_dir: str):
+def _parts(spark: SparkSession, sf_dir: str, m: int):
     base = build.base_vectors(spark, sf_dir)
     mean = pq.mean_array(base)
-    return base, mean, pq.sample_codebook(base, mean)
+    return base, mean, pq.train_codebook(base, mean, m)
 
 
 def _encoded(spark: SparkSession, sf_dir: str, m: int) -> DataFrame:
-    base, mean, book = _parts(spark, sf_dir)
+    base, mean, book = _parts(spark, sf_dir, m)
     return pq.encode(base, mean, {m: book}).select("vec_id", F.posexplode(f"pq{m}").alias("subspace", "code")).withColumn("code", F.col("code").cast("int"))
 
 
@@ -98,7 +98,7 @@ def pq_encode32(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _adc(spark: SparkSession, sf_dir: str, m: int) -> DataFrame:
-    _, mean, book = _parts(spark, sf_dir)
+    _, mean, book = _parts(spark, sf_dir, m)
     return pq.adc_tables(build.query_vectors(spark, sf_dir), mean, book, m)
 
 
@@ -113,7 +113,7 @@ def adc_table32(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scan(spark: SparkSession, sf_dir: str, m: int) -> DataFrame:
-    base, mean, book = _parts(spark, sf_dir)
+    base, mean, book = _parts(spark, sf_dir, m)
     return pq.adc_scan(pq.encode(base, mean, {m: book}), build.query_vectors(spark, sf_dir), mean, book, m, K)
 
 
@@ -143,7 +143,7 @@ def graph_in_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def reverse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph.knn_graph(build.base_vectors(spark, sf_dir), DEGREE)
-    return pending_reverse_edges(g).select("vec_id", F.posexplode("sources").alias("slot", "src"))
+    return graph.reverse_edges(g)
 
 
 @query
@@ -207,7 +207,7 @@ def greedy_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranked(spark: SparkSession, sf_dir: str, **cfg: object) -> DataFrame:
     found, q, i, c = _searched(spark, sf_dir, **cfg)
-    return s.rerank(found, q, i, c)
+    return s.rerank(found, q, i, c, not_self=True)
 
 
 @query
@@ -233,13 +233,13 @@ def list_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def recall_by_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, q, i, c = _searched(spark, sf_dir, l_size=20, m=32)
-    return s.recall(s.rerank(found, q, i, c), s.exact_search(q, i.vectors, K), K)
+    return s.recall(s.rerank(found, q, i, c, not_self=True), s.exact_search(q, i.vectors, K, not_self=True), K)
 
 
 @query
 def recall_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, q, i, c = _searched(spark, sf_dir, l_size=20, m=32)
-    return s.recall(s.rerank(found, q, i, c), s.exact_search(q, i.vectors, K), K, by="id")
+    return s.recall(s.rerank(found, q, i, c, not_self=True), s.exact_search(q, i.vectors, K, not_self=True), K, by="id")
 
 
 @query
@@ -302,17 +302,42 @@ def gear_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def gear_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = stored(_gear_queries(spark, sf_dir).select("query_id", "vec", "gear"), "queries")
-    return s.ann_search_by_gear(q, _index(spark, sf_dir))
+    return s.ann_search_by_gear(q, _index(spark, sf_dir), not_self=True)
 
 
 # -- progress, attempts, mutation --------------------------------------------------------------------------
 
 
+def _progress(spark: SparkSession) -> resume.Progress:
+    return resume.Progress(spark, f"{shared_dir(spark)}/progress-{uuid.uuid4().hex}")
+
+
 @query
 def pending_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries that no committed result covers, where every third query has one."""
-    q = build.query_vectors(spark, sf_dir).select("query_id")
-    return q.join(q.where(F.pmod("query_id", F.lit(30)) == 0), "query_id", "left_anti")
+    """Queries that no committed result covers, where every third query's results have been committed."""
+    p, q = _progress(spark), build.query_vectors(spark, sf_dir).select("query_id")
+    p.commit(q.where(F.pmod("query_id", F.lit(30)) == 0).withColumn("answer", F.lit(1)))
+    return p.pending(q)
+
+
+@query
+def commit_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact results, worked on in parts that are committed, with a stop after two; then restored and finished."""
+    p, q, base = _progress(spark), build.query_vectors(spark, sf_dir), build.base_vectors(spark, sf_dir)
+    work = lambda part: s.exact_search(part, base, K, not_self=True)
+    p.run(q, work, parts=4, stop_after=2)
+    return resume.Progress(spark, p.path).run(q, work, parts=4)
+
+
+@query
+def attempts_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts by query of a run that is stopped before its third part is committed, and resumed."""
+    p, q = _progress(spark), build.query_vectors(spark, sf_dir).select("query_id")
+    by = F.pmod(F.floor(F.col("query_id") / 10), F.lit(4))
+    work = lambda part: part.withColumn("answer", F.lit(1))
+    p.run(q, work, parts=4, stop_after=2, part=by, fail=True)
+    p.run(q, work, parts=4, part=by)
+    return p.attempts()
 
 
 @query
@@ -323,11 +348,78 @@ def attempt_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resume.attempt_stats(a)
 
 
+def _dead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delete_vectors(None, build.base_vectors(spark, sf_dir).where(F.pmod("vec_id", F.lit(7)) == 0))
+
+
 @query
 def delete_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact results without the deleted vectors (every seventh id)."""
-    dead = delete_vectors(None, build.base_vectors(spark, sf_dir).where(F.pmod("vec_id", F.lit(7)) == 0))
-    return without_deleted(exact_knn(spark, sf_dir), dead).select("query_id", "vec_id", "dist_sq")
+    """Exact results among the vectors that are not deleted (every seventh id is)."""
+    left = without_deleted(build.base_vectors(spark, sf_dir), _dead(spark, sf_dir))
+    return s.exact_search(build.query_vectors(spark, sf_dir), left, K, not_self=True)
+
+
+@query
+def ann_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Found by the graph; tombstones are walked through, and are out before the ten best are taken."""
+    found, q, i, c = _searched(spark, sf_dir, l_size=20, m=32)
+    return s.rerank(found, q, i, c, not_self=True, deleted=_dead(spark, sf_dir))
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Base vectors, and those of the delta store: the ids of the upper half."""
+    v = build.base_vectors(spark, sf_dir)
+    start = v.agg(F.floor((F.max("vec_id") + 1) / 2)).first()[0]
+    return v.where(~is_delta(F.col("vec_id"), start)), v.where(is_delta(F.col("vec_id"), start))
+
+
+@query
+def delta_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact results of base and delta store together, without tombstones."""
+    base, delta = _halves(spark, sf_dir)
+    dead, q = _dead(spark, sf_dir), build.query_vectors(spark, sf_dir)
+    found = [s.exact_search(q, without_deleted(v, dead), K, not_self=True) for v in (base, delta)]
+    return s.best(found[0].unionByName(found[1]), K)
+
+
+@query
+def robust_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's 32 nearest, pruned to 16."""
+    v = build.base_vectors(spark, sf_dir)
+    near = stored(graph.knn_edges(v, DEGREE).select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("other")), "edges")
+    return pruned(v, near, v, 16).select(F.col("vec_id").alias("src"), F.posexplode("neighbors").alias("slot", "dst"))
+
+
+@query
+def insert_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of an index of the lower half into which the upper half has been inserted: searched for, linked, pruned."""
+    base, delta = _halves(spark, sf_dir)
+    grown = insert_vectors(build.build_index(stored(base, "base"), 16), delta, SearchConfig(l_size=20, degree=16), degree=16)
+    return graph.integrity(grown.vectors, grown.graph, grown.codes)
+
+
+@query
+def insert_merge_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of the merged index; approximate, tested against exact search."""
+    base, delta = _halves(spark, sf_dir)
+    cfg = SearchConfig(l_size=40, m=32)
+    return s.ann_search(build.query_vectors(spark, sf_dir), merge_delta(build.build_index(stored(base, "base")), delta, cfg), cfg, not_self=True)
+
+
+@query
+def delta_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base index by its graph, delta store beside it, without tombstones; approximate, tested against exact search."""
+    base, delta = _halves(spark, sf_dir)
+    index = build.build_index(stored(base, "base"))
+    return s.search_with_delta(build.query_vectors(spark, sf_dir), index, delta, SearchConfig(l_size=40, m=32), _dead(spark, sf_dir), not_self=True)
+
+
+@query
+def compact_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of an index rewritten without its tombstones, and its number of vectors."""
+    left = compact(_index(spark, sf_dir), _dead(spark, sf_dir))
+    count = left.vectors.agg(F.count("*").alias("violations")).select(F.lit("vectors_left").alias("check"), "violations")
+    return graph.integrity(left.vectors, left.graph, left.codes).unionByName(count)
 
 
 # -- fixed-point functions ---------------------------------------------------------------------------------
@@ -390,29 +482,7 @@ def dsp_fir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exploded(_pairs(spark, sf_dir), fir_q=dsp.fir(F.col("a"), [8192, 16384, 8192, -4096]))
 
 
-@query
-def dsp_biquad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two cascaded stages; a recurrence, tested against a plain loop."""
-    stages = [((8192, 4096, 2048), (8192, -4096)), ((16384, 0, -8192), (4096, 2048))]
-    p = _pairs(spark, sf_dir)
-    return _exploded(p, df1_q=dsp.biquad_cascade(F.col("a"), stages, 1), df2_q=dsp.biquad_cascade(F.col("a"), stages, 2))
-
-
 @query
 def dsp_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
     inter = dsp.interleave(F.col("a"), F.col("b"))
     return _exploded(_pairs(spark, sf_dir), inter_q=F.slice(inter, 1, 64), channel_q=dsp.deinterleave(inter, 1, 2), fill_q=dsp.fill(7, 64))
-
-
-@query
-def dsp_fft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spectra of the vectors, and what their inverse gives, rounded."""
-    p = _pairs(spark, sf_dir).select("vec_id", "a", dsp.rfft(F.transform("a", lambda x: x.cast("double"))).alias("f"))
-    back = F.transform(dsp.irfft(F.col("f")), lambda x: F.floor(x + 0.5).cast("bigint"))
-    return p.select("vec_id", "a", back.alias("back")).select("vec_id", F.posexplode(F.arrays_zip("a", "back")).alias("pos", "z")).select("vec_id", "pos", F.col("z.a").alias("value"), F.col("z.back").alias("back"))
-
-
-@query
-def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select("event_id", checksum.crc32(F.col("props")).alias("crc32"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from beamlake.config import GEARS
+from beamlake.operators.pq import LEVELS, ROUNDS
 
 _VECTORS = """
-allv AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000.0::DOUBLE + 0.5::DOUBLE) AS INTEGER)) AS vec FROM embeddings WHERE embedding IS NOT NULL),
-base AS MATERIALIZED (SELECT vec_id, vec FROM allv WHERE vec_id % 10 <> 0),
+allv AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000.0::DOUBLE + 0.5::DOUBLE) AS INTEGER)) AS vec FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64),
+base AS MATERIALIZED (SELECT vec_id, vec FROM allv),
 qs AS (SELECT vec_id AS query_id, vec FROM allv WHERE vec_id % 10 = 0)"""
 
 _L2 = "list_sum(list_transform(range(1, 65), lambda i: CAST({a}[i] - {b}[i] AS BIGINT) * ({a}[i] - {b}[i])))"
@@ -14,32 +15,54 @@ _L2 = "list_sum(list_transform(range(1, 65), lambda i: CAST({a}[i] - {b}[i] AS B
 _EXACT = f"""
 exact AS (SELECT query_id, rank, vec_id, dist_sq FROM (
   SELECT query_id, vec_id, dist_sq, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dist_sq, vec_id) AS INTEGER) AS rank
-  FROM (SELECT query_id, vec_id, CAST({_L2.format(a="qs.vec", b="base.vec")} AS BIGINT) AS dist_sq FROM qs CROSS JOIN base)) WHERE rank <= 10)"""
+  FROM (SELECT query_id, vec_id, CAST({_L2.format(a="qs.vec", b="base.vec")} AS BIGINT) AS dist_sq FROM qs CROSS JOIN base WHERE base.vec_id <> query_id)) WHERE rank <= 10)"""
 
 _MEAN = """
 mean_d AS (SELECT d, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS mean FROM (SELECT unnest(range(0, 64)) AS d, unnest(vec) AS x FROM base) GROUP BY d),
 mean AS MATERIALIZED (SELECT list(mean ORDER BY d) AS mu FROM mean_d),
-book AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS centroid, list_transform(range(1, 65), lambda i: vec[i] - mu[i]) AS c
-  FROM (SELECT * FROM base ORDER BY vec_id LIMIT 256), mean)"""
+spread AS MATERIALIZED (SELECT list(x ORDER BY d) AS sp FROM (SELECT d, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS x
+  FROM (SELECT unnest(range(0, 64)) AS d, unnest(list_transform(range(1, 65), lambda i: abs(vec[i] - mu[i]))) AS x FROM base, mean) GROUP BY d))"""
 
 
-def _sub(a: str, b: str, m: int) -> str:
-    """Squared distance of subvector s of a and b."""
+def _part(who: str, key: str, m: int) -> str:
+    """Centred subvectors v of a table's rows, by subspace s."""
     w = 64 // m
-    return f"CAST(list_sum(list_transform(range(s * {w} + 1, s * {w} + {w} + 1), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i]))) AS BIGINT)"
+    return f"SELECT {key}, s, list_transform(range(s * {w} + 1, s * {w} + {w} + 1), lambda i: vec[i] - mu[i]) AS v FROM {who}, mean, range({m}) r(s)"
+
+
+def _dist(m: int) -> str:
+    return "CAST(" + " + ".join(f"(v[{j}] - c[{j}]) * (v[{j}] - c[{j}])" for j in range(1, 64 // m + 1)) + " AS BIGINT)"
+
+
+def _book(m: int) -> str:
+    """cb{m}(s, centroid, c): means of the cells of a grid, then rounds of k-means; sub{m}: the rows' subvectors."""
+    w, levels = 64 // m, LEVELS[m]
+    by = levels // 4 if levels > 4 else 1
+    cell = " + ".join(f"greatest(0, least({levels - 1}, CAST(floor(CAST(v[{j + 1}] AS DOUBLE) / st[{j + 1}]) AS BIGINT) + {levels // 2})) * {levels**j}" for j in range(w))
+    mean = f"SELECT s, cell, j, CAST(floor(CAST(sum(v[j + 1]) AS DOUBLE) / count(*)) AS BIGINT) AS x FROM {{src}}, range({w}) q(j) GROUP BY s, cell, j"
+    out = f"""
+sub{m} AS MATERIALIZED ({_part("base", "vec_id", m)}),
+st{m} AS MATERIALIZED (SELECT s, list_transform(range(s * {w} + 1, s * {w} + {w} + 1), lambda i: sp[i] // {by} + 1) AS st FROM spread, range({m}) r(s)),
+in{m}_0 AS MATERIALIZED (SELECT s, v, {cell} AS cell FROM sub{m} JOIN st{m} USING (s)),
+mid{m} AS (SELECT s, cell, j, (cell // CAST(pow({levels}, j) AS BIGINT) % {levels} - {levels // 2}) * st[j + 1] + st[j + 1] // 2 AS x FROM st{m}, range(256) p(cell), range({w}) q(j)),
+cb{m}_0 AS MATERIALIZED (SELECT s, cell AS centroid, list(coalesce(a.x, b.x) ORDER BY j) AS c FROM mid{m} b LEFT JOIN ({mean.format(src=f"in{m}_0")}) a USING (s, cell, j) GROUP BY s, cell)"""
+    for k in range(1, ROUNDS + 1):
+        out += f""",
+in{m}_{k} AS MATERIALIZED (SELECT s, v, cell FROM (SELECT vec_id, s, min({_dist(m)} * 256 + centroid) % 256 AS cell FROM sub{m} JOIN cb{m}_{k - 1} USING (s) GROUP BY vec_id, s) JOIN sub{m} USING (vec_id, s)),
+cb{m}_{k} AS MATERIALIZED (SELECT b.s, centroid, CASE WHEN any_value(a.x) IS NULL THEN any_value(c) ELSE list(a.x ORDER BY j) END AS c
+  FROM cb{m}_{k - 1} b LEFT JOIN ({mean.format(src=f"in{m}_{k}")}) a ON a.s = b.s AND a.cell = b.centroid GROUP BY b.s, centroid)"""
+    return out + f",\ncb{m} AS MATERIALIZED (SELECT CAST(s AS INTEGER) AS s, CAST(centroid AS INTEGER) AS centroid, c FROM cb{m}_{ROUNDS})"
 
 
 def _codes(m: int) -> str:
     return f"""
-enc{m} AS (SELECT vec_id, CAST(s AS INTEGER) AS subspace, CAST(min({_sub("x", "c", m)} * 256 + centroid) % 256 AS INTEGER) AS code
-  FROM (SELECT vec_id, list_transform(range(1, 65), lambda i: vec[i] - mu[i]) AS x FROM base, mean) v, book, range({m}) r(s) GROUP BY vec_id, s),
+enc{m} AS (SELECT vec_id, CAST(s AS INTEGER) AS subspace, CAST(min({_dist(m)} * 256 + centroid) % 256 AS INTEGER) AS code FROM sub{m} JOIN cb{m} USING (s) GROUP BY vec_id, s),
 code{m} AS MATERIALIZED (SELECT vec_id, list(code ORDER BY subspace) AS code FROM enc{m} GROUP BY vec_id)"""
 
 
 def _adc(m: int) -> str:
     return f"""
-adc{m} AS MATERIALIZED (SELECT query_id, CAST(s AS INTEGER) AS subspace, centroid, {_sub("c", "x", m)} AS dist
-  FROM (SELECT query_id, list_transform(range(1, 65), lambda i: vec[i] - mu[i]) AS x FROM qs, mean) v, book, range({m}) r(s)),
+adc{m} AS MATERIALIZED (SELECT query_id, CAST(s AS INTEGER) AS subspace, centroid, {_dist(m)} AS dist FROM ({_part("qs", "query_id", m)}) JOIN cb{m} USING (s)),
 t{m} AS MATERIALIZED (SELECT query_id, list(dist ORDER BY subspace, centroid) AS t FROM adc{m} GROUP BY query_id)"""
 
 
@@ -79,7 +102,7 @@ final{tag} AS (SELECT * FROM beam{tag} WHERE NOT ({go}))"""
 
 
 def _search(m: int, size: int, rest: str, more: str = "", **kw: object) -> str:
-    parts = [_VECTORS, _MEAN, _codes(m), _adc(m), _GRAPH, _beam(m, size, **kw)]  # type: ignore[arg-type]
+    parts = [_VECTORS, _MEAN, _book(m), _codes(m), _adc(m), _GRAPH, _beam(m, size, **kw)]  # type: ignore[arg-type]
     return "WITH RECURSIVE" + ",".join(parts) + (("," + more) if more else "") + "\n" + rest
 
 
@@ -95,7 +118,7 @@ def _rerank(pairs: str) -> str:
     return f"""
 pairs AS ({pairs}),
 ranked AS (SELECT query_id, vec_id, dist_sq, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dist_sq, vec_id) AS INTEGER) AS rank
-  FROM (SELECT p.query_id, p.vec_id, CAST({_L2.format(a="qs.vec", b="base.vec")} AS BIGINT) AS dist_sq FROM pairs p JOIN qs USING (query_id) JOIN base ON base.vec_id = p.vec_id)),
+  FROM (SELECT p.query_id, p.vec_id, CAST({_L2.format(a="qs.vec", b="base.vec")} AS BIGINT) AS dist_sq FROM pairs p JOIN qs USING (query_id) JOIN base ON base.vec_id = p.vec_id WHERE p.vec_id <> query_id)),
 top AS (SELECT query_id, rank, vec_id, dist_sq FROM ranked WHERE rank <= 10)"""
 
 
@@ -160,11 +183,11 @@ def oracle_sql() -> dict[str, str]:
     )
     for m in (16, 32):
         w = 64 // m
-        q[f"pq_codebook{m}"] = _with(_VECTORS, _MEAN, rest=f"SELECT CAST(i // {w} AS INTEGER) AS subspace, centroid, CAST(i % {w} AS INTEGER) AS pos, CAST(c[i + 1] AS INTEGER) AS value FROM book, range(64) r(i)")
-        q[f"pq_encode{m}"] = _with(_VECTORS, _MEAN, _codes(m), rest=f"SELECT vec_id, subspace, code FROM enc{m}")
-        q[f"adc_table{m}"] = _with(_VECTORS, _MEAN, _adc(m), rest=f"SELECT query_id, subspace, centroid, dist FROM adc{m}")
+        q[f"pq_codebook{m}"] = _with(_VECTORS, _MEAN, _book(m), rest=f"SELECT s AS subspace, centroid, CAST(i AS INTEGER) AS pos, CAST(c[i + 1] AS INTEGER) AS value FROM cb{m}, range({w}) r(i)")
+        q[f"pq_encode{m}"] = _with(_VECTORS, _MEAN, _book(m), _codes(m), rest=f"SELECT vec_id, subspace, code FROM enc{m}")
+        q[f"adc_table{m}"] = _with(_VECTORS, _MEAN, _book(m), _adc(m), rest=f"SELECT query_id, subspace, centroid, dist FROM adc{m}")
         q[f"adc_scan_topk{m}"] = _with(
-            _VECTORS, _MEAN, _codes(m), _adc(m),
+            _VECTORS, _MEAN, _book(m), _codes(m), _adc(m),
             rest=f"""SELECT query_id, rank, vec_id, dist FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS INTEGER) AS rank
   FROM (SELECT query_id, vec_id, {_score("code", m)} AS dist FROM t{m} CROSS JOIN code{m})) WHERE rank <= 10""",
         )
@@ -172,7 +195,7 @@ def oracle_sql() -> dict[str, str]:
     q["graph_in_degree"] = _with(_VECTORS, _GRAPH, rest="SELECT vec_id, count(dst) AS in_degree FROM base LEFT JOIN edge ON dst = vec_id GROUP BY vec_id")
     q["reverse_edges"] = _with(_VECTORS, _GRAPH, rest="SELECT dst AS vec_id, CAST(row_number() OVER (PARTITION BY dst ORDER BY src) - 1 AS INTEGER) AS slot, src FROM edge")
     q["graph_reachable"] = "WITH RECURSIVE" + ",".join([_VECTORS, _GRAPH]) + """,
-reach(vec_id, hops) AS (SELECT min(vec_id), 0 FROM base UNION SELECT dst, hops + 1 FROM reach JOIN edge ON src = vec_id WHERE hops < 12)
+reach(vec_id, hops) AS (SELECT min(vec_id), 0 FROM base UNION SELECT dst, hops + 1 FROM reach JOIN edge ON src = vec_id WHERE hops < 40)
 SELECT vec_id, CAST(min(hops) AS INTEGER) AS hops FROM reach GROUP BY vec_id"""
     checks = {
         "vectors_unique": "SELECT vec_id FROM base GROUP BY vec_id HAVING count(*) > 1",
@@ -184,7 +207,7 @@ SELECT vec_id, CAST(min(hops) AS INTEGER) AS hops FROM reach GROUP BY vec_id"""
         "edges_self": "SELECT src FROM edge WHERE src = dst",
         "edges_repeated": "SELECT src FROM edge GROUP BY src HAVING count(*) > count(DISTINCT dst)",
     }
-    q["index_integrity"] = _with(_VECTORS, _MEAN, _codes(16), _GRAPH, rest=" UNION ALL ".join(f"SELECT '{k}' AS \"check\", (SELECT count(*) FROM ({v})) AS violations" for k, v in checks.items()))
+    q["index_integrity"] = _with(_VECTORS, _MEAN, _book(16), _codes(16), _GRAPH, rest=" UNION ALL ".join(f"SELECT '{k}' AS \"check\", (SELECT count(*) FROM ({v})) AS violations" for k, v in checks.items()))
     q["address_codec"] = _with(
         _VECTORS,
         rest="""SELECT vec_id, (3::BIGINT << 27) | ((vec_id // 32 // 64) << 17) | ((vec_id // 32 % 64) << 11) | (vec_id % 32 * 64) AS address, CAST(vec_id % 32 * 64 AS INTEGER) AS addr_offset,
@@ -199,7 +222,7 @@ SELECT vec_id, CAST(min(hops) AS INTEGER) AS hops FROM reach GROUP BY vec_id"""
     q["ann_topk"] = _search(32, 20, _TOP, _rerank(_ALL))
     q["partial_rerank"] = _search(16, 20, _TOP, _rerank("SELECT query_id, unnest(list_transform(list_sort(exp)[1:20], lambda z: z.id)) AS vec_id FROM final"))
     q["list_rerank"] = _search(16, 20, _TOP, _rerank("SELECT query_id, unnest(list_transform(lst, lambda z: z.id)) AS vec_id FROM final"))
-    long = f"""v AS ({_ALL}), {_codes(32)}, {_adc(32)},
+    long = f"""v AS (SELECT * FROM ({_ALL}) WHERE vec_id <> query_id), {_book(32)}, {_codes(32)}, {_adc(32)},
 lng AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY {_score("code", 32)}, vec_id) AS r FROM v JOIN code32 USING (vec_id) JOIN t32 USING (query_id))"""
     q["two_stage_rerank"] = _search(16, 20, _TOP, long + "," + _rerank("SELECT query_id, vec_id FROM lng WHERE r <= 30"))
     q["recall_by_distance"] = _search(
@@ -226,10 +249,26 @@ lng AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER
     q["pending_queries"] = _with(_VECTORS, rest="SELECT query_id FROM qs WHERE query_id % 30 <> 0")
     q["attempt_stats"] = """SELECT count(*) AS queries, CAST(sum(CASE WHEN attempts > 1 THEN 1 ELSE 0 END) AS BIGINT) AS missed, CAST(sum(attempts - 1) AS BIGINT) AS restarts
 FROM (SELECT user_id, 1 + sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS attempts FROM events GROUP BY user_id)"""
-    q["delete_tombstones"] = _with(_VECTORS, _EXACT, rest="SELECT query_id, vec_id, dist_sq FROM exact WHERE vec_id % 7 <> 0")
+    left = _EXACT.replace("WHERE base.vec_id <> query_id", "WHERE base.vec_id <> query_id AND base.vec_id % 7 <> 0")
+    q["delete_tombstones"] = q["delta_scan"] = _with(_VECTORS, left, rest="SELECT * FROM exact")
+    q["ann_tombstones"] = _search(32, 20, _TOP, _rerank(f"SELECT * FROM ({_ALL}) WHERE vec_id % 7 <> 0"))
+    q["commit_restore"] = q["exact_knn"]
+    # Of the parts 0 to 3 by query number, the run is stopped while at work on the third.
+    q["attempts_recorded"] = _with(_VECTORS, rest="SELECT query_id, CAST(CASE WHEN query_id // 10 % 4 = 2 THEN 2 ELSE 1 END AS BIGINT) AS attempts FROM qs")
+    q["robust_prune"] = "WITH RECURSIVE" + ",".join([_VECTORS, _GRAPH]) + f""",
+cand AS (SELECT e.src, list({{'d': {_L2.format(a="a.vec", b="b.vec")}, 'id': dst, 'v': b.vec}}) AS l FROM edge e JOIN base a ON a.vec_id = e.src JOIN base b ON b.vec_id = e.dst GROUP BY e.src),
+rp(src, kept, alive) AS (
+  SELECT src, CAST([] AS BIGINT[]), list_sort(l) FROM cand
+  UNION ALL
+  SELECT src, list_append(kept, alive[1].id), list_filter(alive[2:], lambda z: {1.2 * 1.2!r}::DOUBLE * {_L2.format(a="z.v", b="alive[1].v")} > z.d) FROM rp WHERE len(alive) > 0 AND len(kept) < 16
+)
+SELECT src, CAST(unnest(range(0, len(kept))) AS INTEGER) AS slot, unnest(kept) AS dst FROM rp WHERE len(alive) = 0 OR len(kept) = 16"""
+    whole = " UNION ALL ".join(f"SELECT '{k}' AS \"check\", CAST(0 AS BIGINT) AS violations" for k in checks)
+    q["insert_integrity"] = whole
+    q["compact_integrity"] = f"{whole} UNION ALL SELECT 'vectors_left', count(*) FROM embeddings WHERE vec_id % 7 <> 0"
     beams = [_beam(m, n, tag=f"_{g}", who=f"WHERE query_id IN (SELECT query_id FROM qg WHERE gear = {g})") for g, _, n, m in GEARS]
     every = " UNION ALL ".join(f"SELECT query_id, {g} AS gear, unnest(list_transform(exp, lambda z: z.id)) AS vec_id FROM final_{g}" for g, *_ in GEARS)
-    parts = [_VECTORS, _MEAN, _codes(16), _codes(32), _adc(16), _adc(32), _GRAPH, _RAW, _PER_QUERY, *beams, _rerank(every)]
+    parts = [_VECTORS, _MEAN, _book(16), _book(32), _codes(16), _codes(32), _adc(16), _adc(32), _GRAPH, _RAW, _PER_QUERY, *beams, _rerank(every)]
     q["gear_ann"] = "WITH RECURSIVE" + ",".join(parts) + "\nSELECT t.query_id, rank, vec_id, dist_sq, gear FROM top t JOIN qg ON qg.query_id = t.query_id"
     pos = "vec_id, CAST(p AS INTEGER) AS pos, "
     q["dsp_vector"] = _with(
@@ -257,5 +296,4 @@ FROM (SELECT user_id, 1 + sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)
         _PAIRS + ", f AS (SELECT vec_id, a, b, unnest(range(0, 64)) AS p FROM pr)",
         rest=f"SELECT {pos}CASE WHEN p % 2 = 0 THEN a[p // 2 + 1] ELSE b[p // 2 + 1] END AS inter_q, b[p + 1] AS channel_q, CAST(7 AS BIGINT) AS fill_q FROM f",
     )
-    q["dsp_fft"] = _with(_PAIRS, rest=f"SELECT {pos}a AS value, a AS back FROM e")
     return q

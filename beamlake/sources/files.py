@@ -50,6 +50,31 @@ class FileStore:
         if not fs.rename(tmp, p):
             raise OSError(f"cannot publish {path}")
 
+    def read_bytes(self, path: str, start: int = 0, length: int | None = None) -> bytes:
+        """Part of a small file, from a place on."""
+        fs, p = self._at(path)
+        size = fs.getFileStatus(p).getLen()
+        n = max(0, min(size - start, size if length is None else length))
+        stream = fs.open(p)
+        try:
+            stream.seek(start)
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n))
+        finally:
+            stream.close()
+
+    def append_text(self, path: str, text: str) -> None:
+        """Rewrite a small file with more at its end; stores without appending can do this too."""
+        old = self.read_bytes(path).decode() if self.exists(path) else ""
+        self.replace_text(path, old + text)
+
+    def truncate(self, path: str, size: int) -> None:
+        self.replace_text(path, self.read_bytes(path, 0, size).decode())
+
+    def replace_text(self, path: str, text: str) -> None:
+        if self.exists(path):
+            self.delete(path)
+        self.write_text(path, text)
+
     def read_lines(self, path: str) -> DataFrame:
         return self.spark.read.text(path)
 

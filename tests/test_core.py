@@ -132,7 +132,8 @@ def test_search_matches_plain_search(spark, data, m):
 def test_rounds_match_the_held_index(spark, data):
     _, q, index = data
     q = q.limit(3)
-    for cfg in (SearchConfig(l_size=4), SearchConfig(l_size=4, max_hops=3), SearchConfig(l_size=4, early_stop=True)):
+    mixed = q.withColumn("l_size", F.when(F.col("query_id") % 20 == 0, 3).otherwise(6))
+    for q, cfg in ((q, SearchConfig(l_size=4)), (q, SearchConfig(l_size=4, max_hops=3)), (q, SearchConfig(l_size=4, early_stop=True)), (mixed, SearchConfig(l_size=4))):
         a, b = s.search(q, index, cfg), s.search_rounds(q, index, cfg)
         pick = lambda d: sorted((r.query_id, r.hops, r.n_new, r.n_dup, [tuple(e) for e in r.expanded], [tuple(e) for e in r.list]) for r in d.collect())
         assert pick(a) == pick(b)
@@ -141,7 +142,7 @@ def test_rounds_match_the_held_index(spark, data):
 def test_expansion_limit_is_an_error(spark, data):
     _, q, index = data
     with pytest.raises(Exception, match="vertices expanded"):
-        s.search(q.limit(1), index, SearchConfig(l_size=10, max_expanded=10)).collect()
+        s.search(q, index, SearchConfig(l_size=10, max_expanded=10)).collect()
 
 
 def test_rerank_modes_and_recall(spark, data):
@@ -156,11 +157,29 @@ def test_rerank_modes_and_recall(spark, data):
         assert np.mean(by_distance) >= np.mean(by_id) > 0.75
 
 
-def test_kmeans_codebook_beats_the_sample(spark, data):
+@pytest.mark.parametrize("m", [16, 32])
+def test_trained_codebook(spark, data, m):
     base, _, index = data
-    x = np.array([r.vec for r in base.collect()]) - index.mean
-    error = lambda book: pq.tables(x, book, 16).min(axis=2).sum()
-    assert error(pq.train_codebook(base, index.mean, 16)) < error(index.books[16])
+    x = np.array([r.vec for r in base.orderBy("vec_id").collect()]) - index.mean
+    error = lambda book: pq.tables(x, book, m).min(axis=2).sum()
+    books = [pq.train_codebook(base.repartition(n), index.mean, m, rounds) for n, rounds in ((1, 0), (3, 1), (2, 4))]
+    assert error(books[0]) > error(books[1]) > error(books[2])
+    assert error(books[1]) < error(x[: pq.CENTROIDS])  # better than a sample of rows
+    assert np.array_equal(books[1], pq.train_codebook(base, index.mean, m, 1))  # whole numbers: no order of rows matters
+    book, width = books[1], 64 // m  # a round of plain k-means
+    at = pq.encode_array(x, books[0], m)
+    for s_ in (0, m - 1):
+        own = x[:, s_ * width : (s_ + 1) * width]
+        for c in range(0, 256, 17):
+            held = own[at[:, s_] == c]
+            assert book[c, s_ * width : (s_ + 1) * width].tolist() == (held.sum(axis=0) // len(held) if len(held) else books[0][c, s_ * width : (s_ + 1) * width]).tolist()
+
+
+def test_odd_vectors_take_no_part(spark, tmp_path):
+    good = [float(i % 7) for i in range(64)]
+    rows = [(1, good), (2, None), (3, good[:5]), (4, [float("nan"), *good[1:]]), (5, [float("inf"), *good[1:]]), (6, [None, *good[1:]]), (None, good), (7, []), (8, [1e9, *good[1:]])]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [r.vec_id for r in build.quantized(spark, str(tmp_path)).collect()] == [1]
 
 
 def test_graph_checks(spark, data):
@@ -169,6 +188,10 @@ def test_graph_checks(spark, data):
     broken = index.graph.limit(3).withColumn("neighbors", F.array("vec_id", F.lit(-1).cast("bigint"), F.lit(-1).cast("bigint")))
     bad = {r.check: r.violations for r in graph.integrity(base, broken, index.codes).collect()}
     assert bad["edges_dangling"] == 6 and bad["edges_self"] == 3 and bad["edges_repeated"] == 3 and bad["graph_missing"] == base.count() - 3
+    back = rows(graph.reverse_edges(index.graph), "vec_id", "src")
+    assert back == sorted((d, v) for v, near in rows(index.graph) for d in set(near))
+    chain = spark.createDataFrame([(i, [i + 1]) for i in range(40)] + [(40, [])], "vec_id bigint, neighbors array<bigint>")
+    assert rows(graph.reachable(chain, 0)) == [(i, i) for i in range(41)]
     assert graph.in_degree(index.graph).agg(F.sum("in_degree")).first()[0] == 32 * base.count()
     assert graph.reachable(index.graph, index.entry).count() == base.count()
 
@@ -202,11 +225,16 @@ def test_insert_delete_compact(spark, data):
     with pytest.raises(ValueError):
         mutate.insert_vectors(grown, new.limit(1), degree=16)
     dead = mutate.delete_vectors(None, new.select("vec_id"))
-    dead = mutate.delete_vectors(dead, small.where("vec_id = 1").select("vec_id"))
+    dead = mutate.delete_vectors(dead, small.where("vec_id = 0").select("vec_id"))
     left = mutate.compact(grown, dead, degree=16)
-    assert left.vectors.count() == small.count() - 1 and left.entry == 2
+    assert left.vectors.count() == small.count() - 1 and left.entry == 1
     assert all(r.violations == 0 for r in graph.integrity(left.vectors, left.graph, left.codes).collect())
-    assert mutate.without_deleted(s.exact_search(q, grown.vectors, 10), dead).join(dead, "vec_id").count() == 0
+    cfg = SearchConfig(l_size=20, degree=16)
+    found = s.ann_search(q, grown, cfg, deleted=dead)
+    assert found.join(dead, "vec_id").count() == 0 and found.count() == 10 * q.count()
+    both = s.search_with_delta(q, index, new, cfg, deleted=mutate.delete_vectors(None, new.limit(3)), not_self=True)
+    truth = s.exact_search(q, small.unionByName(mutate.without_deleted(new, new.limit(3))), 10, not_self=True)
+    assert both.count() == 10 * q.count() and np.mean([r.recall for r in s.recall(both, truth, 10).collect()]) > 0.85
     assert spark.range(1).select(mutate.is_delta(F.lit(5), 5)).first()[0]
 
 
@@ -229,6 +257,8 @@ def test_resume_after_a_crash(spark, tmp_path):
     calls.clear()
     out = resume.Progress(spark, p.path).run(q, lambda part: part.withColumn("answer", F.col("query_id") * 2))
     assert rows(out, "query_id", "answer") == [(i, 2 * i) for i in range(40)]
+    assert resume.Progress(spark, f"file://{tmp_path}/none").attempts().count() == 0
+    assert {(r.attempts, r.query_id in {x.query_id for x in out.collect()}) for r in p.attempts().collect()} <= {(1, True), (2, True)} and p.attempts().where("attempts = 2").count() > 0
     FileStore(spark).delete(f"{p.path}/gen={p.generations()[0]}")
     with pytest.raises(RuntimeError, match="incomplete"):
         p.restore()
@@ -283,6 +313,8 @@ def test_streams(spark, data, tmp_path):
     assert rows(got, "query_id", "rank", "vec_id", "dist_sq") == rows(s.ann_search(q, index, SearchConfig()))
     a = paced.arrivals(spark, 5, 7)
     assert a.isStreaming and a.columns == ["arrival", "seq", "query_id"]
+    due = rows(paced.schedule(spark.range(0, 50, 5).withColumnRenamed("id", "query_id").repartition(3), 4), "query_id", "seq", "due_ms")
+    assert due == [(5 * i, i, 250 * i) for i in range(10)]
     v = spark.createDataFrame([("2024-01-01 00:00:05", 3.0), ("2024-01-01 00:00:50", 3.2)], "ts string, voltage double").withColumn("ts", F.to_timestamp("ts"))
     assert paced.voltage_by_minute(v).first().n == 2
 
@@ -317,33 +349,60 @@ def test_dsp(spark):
 
 
 def test_biquads(spark):
-    a = [1000, -2000, 3000, 30000, -32768, 5]
-    stages = [((8192, 4096, 2048), (8192, -4096)), ((16384, 0, -8192), (4096, 2048))]
+    a = [1000, -2000, 3000, 30000, -32768, 5, 32767, 32767]
+    part = lambda x, k: x * k >> 15
 
-    def df1(x, b, c):
-        x1 = x2 = y1 = y2 = 0
+    def df1(x, b, c, state=(0, 0, 0, 0)):
+        x1, x2, y1, y2 = state
         out = []
         for v in x:
-            y = sat((v * b[0] + x1 * b[1] + x2 * b[2] + y1 * c[0] + y2 * c[1]) >> 15)
+            y = sat(part(v, b[0]) + 2 * part(x1, b[1]) + part(x2, b[2]) + 2 * part(y1, c[0]) + part(y2, c[1]))
             x1, x2, y1, y2 = v, x1, y, y1
             out.append(y)
-        return out
+        return out, x1, x2, y1, y2
 
-    def df2(x, b, c):
-        d1 = d2 = 0
-        out = []
+    def df2(x, b, c, bias=0, state=(0, 0)):
+        w1, w2 = state
+        out, low, high = [], 32767, -32768
         for v in x:
-            d = sat(v + ((d1 * c[0] + d2 * c[1]) >> 15))
-            out.append(sat((d * b[0] + d1 * b[1] + d2 * b[2]) >> 15))
-            d1, d2 = d, d1
-        return out
+            w = sat(bias + part(v, c[0]) + 2 * part(w1, c[1]) + part(w2, c[2]))
+            out.append(sat(part(w, b[0]) + 2 * part(w1, b[1]) + part(w2, b[2])))
+            w1, w2, low, high = w, w1, min(low, w), max(high, w)
+        return out, w1, w2, low, high
 
     d = spark.createDataFrame([(a,)], "a array<bigint>")
-    for form, f in ((1, df1), (2, df2)):
-        want = a
-        for b, c in stages:
-            want = f(want, b, c)
-        assert d.select(dsp.biquad_cascade(F.col("a"), stages, form)).first()[0] == want
+    one = lambda c: tuple(d.select(c).first()[0])
+    b, c = (8192, 4096, 2048), (8192, -4096)
+    whole, first = df1(a, b, c), df1(a[:3], b, c)
+    assert one(dsp.biquad_df1(F.col("a"), b, c)) == whole
+    assert first[0] + list(one(dsp.biquad_df1(F.slice("a", 4, 5), b, c, first[1:]))[0]) == whole[0]  # the state goes on
+    c = (16384, 8192, -4096)
+    whole, first = df2(a, b, c, 300), df2(a[:3], b, c, 300)
+    assert one(dsp.biquad_df2(F.col("a"), b, c, 300)) == whole
+    assert first[0] + list(one(dsp.biquad_df2(F.slice("a", 4, 5), b, c, 300, first[1:3]))[0]) == whole[0]
+    stages = [(b, c, 7), ((16384, 0, -8192), (32767, 4096, 2048), -150)]
+    want = a
+    for stage in stages:
+        want = df2(want, *stage)[0]
+    assert list(d.select(dsp.biquad_cascade(F.col("a"), stages, 2)).first()[0]) == want
+
+
+@pytest.mark.parametrize("bits,auto,inverse", [(16, False, False), (16, True, False), (32, False, True)])
+def test_fixed_point_transforms(spark, bits, auto, inverse):
+    r = np.random.default_rng(3)
+    top = 1 << bits - 1
+    rows = [(r.integers(-top // s, top // s, n).tolist(), r.integers(-top // s, top // s, n).tolist()) for n, s in ((64, 1), (64, 50), (8, 3), (1, 1), (2, 1))] + [(None, None)]
+    d = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>").withColumn("z", dsp.complex_vector(F.col("a"), F.col("b")))
+    for x in d.select("a", "b", dsp.fft_fixed(F.col("z"), bits, auto, inverse).alias("f")).collect():
+        if x.a is None:
+            assert x.f is None or x.f.re is None
+            continue
+        z = np.array(x.a) + 1j * np.array(x.b)
+        exact = (np.fft.ifft(z) * len(z) if inverse else np.fft.fft(z)) / 2**x.f.shift
+        assert np.abs(np.array(x.f.re) + 1j * np.array(x.f.im) - exact).max() < 12 + np.abs(exact).max() * 2e-3 * (bits == 16)
+        assert x.f.shift == len(z).bit_length() - 1 if not auto else x.f.shift <= len(z).bit_length() - 1
+    with pytest.raises(ValueError):
+        dsp.fft_rows(np.zeros((1, 6), int), np.zeros((1, 6), int))
 
 
 def test_fft(spark):
