@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD, BLOCK = 16_384, 2_048
+#: Queries of a block that are compared with the shard at a time; their distances are all that is held.
+STEP = 256
 
 
 def matrix(column: pa.ChunkedArray, dtype: type = np.int64) -> np.ndarray:
@@ -48,9 +50,10 @@ def topk(rows: DataFrame, queries: DataFrame, k: int, distances: Callable[[pa.Ta
         ids, asked = a.column("vec_id").to_numpy(), q.column("query_id").to_numpy()
         out: tuple[list, list, list] = ([], [], [])
         if len(ids) and len(asked):
-            d = distances(a, q)
             for i, me in enumerate(asked):
-                row = np.where(ids == me, np.iinfo(np.int64).max, d[i]) if not_self else d[i]
+                if i % STEP == 0:
+                    d = distances(a, q.slice(i, STEP))
+                row = np.where(ids == me, np.iinfo(np.int64).max, d[i % STEP]) if not_self else d[i % STEP]
                 best = smallest(row, ids, k)
                 best = best[row[best] < np.iinfo(np.int64).max]
                 out[0].extend([int(me)] * len(best))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from beamlake.operators import build, graph, pq, resume, stats
 from beamlake.operators import search as s
 from beamlake.operators.mutate import compact, delete_vectors, insert_vectors, is_delta, merge_delta, pruned, without_deleted
 from beamlake.operators.tables import shared_dir, stored
+from beamlake.sources import binary
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -422,6 +424,77 @@ def compact_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.integrity(left.vectors, left.graph, left.codes).unionByName(count)
 
 
+# -- binary files: written as a device has them, and read again ---------------------------------------------
+
+
+def _through(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    binary.write(rows, name, at)
+    return binary.read(spark, at, name)
+
+
+def _long(df: DataFrame, value: str) -> DataFrame:
+    key = df.columns[0]
+    return df.select(key, F.posexplode(value).alias("pos", "value")).withColumn("value", F.col("value").cast("bigint"))
+
+
+@query
+def binary_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(_through(spark, build.base_vectors(spark, sf_dir), "VEC"), "vec")
+
+
+@query
+def binary_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(_through(spark, build.query_vectors(spark, sf_dir), "QUERY"), "vec")
+
+
+@query
+def binary_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(_through(spark, graph.knn_graph(build.base_vectors(spark, sf_dir), DEGREE), "NEIGHBOR"), "neighbors")
+
+
+@query
+def binary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short and long codes, joined by position."""
+    base = build.base_vectors(spark, sf_dir)
+    mean = pq.mean_array(base)
+    codes = stored(pq.encode(base, mean, {m: pq.train_codebook(base, mean, m) for m in (16, 32)}), "codes")
+    both = binary.codes(_through(spark, codes, "PQCODE"), _through(spark, codes, "LONG"))
+    return _long(both.select("vec_id", F.concat("pq16", "pq32").alias("code")), "code")
+
+
+@query
+def binary_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_knn(spark, sf_dir).groupBy("query_id").agg(F.sort_array(F.collect_list("dist_sq")).alias("dists"))  # K each
+    return _long(_through(spark, found, "GT"), "dists")
+
+
+@query
+def binary_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for m, name in ((16, "CODEBOOK"), (32, "LONGBOOK")):
+        _, _, book = _parts(spark, sf_dir, m)
+        cells = pq.codebook_rows(spark, book, m).select((F.col("subspace").cast("bigint") * 256 + F.col("centroid")).alias("cell"), "c")
+        back = binary.codebook(_through(spark, cells, name)).select(F.lit(m).alias("m"), "subspace", "centroid", F.posexplode("c").alias("pos", "value"))
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@query
+def binary_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean = pq.vector_mean(build.base_vectors(spark, sf_dir)).agg(F.sort_array(F.collect_list(F.struct("dim", "mean"))).alias("m"))  # one row
+    return _long(_through(spark, mean.select(F.lit(0).cast("bigint").alias("row"), F.transform("m", lambda x: x["mean"].cast("int")).alias("mean")), "MEAN"), "mean")
+
+
+@query
+def ring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The identity workload: every distance is 0, so results are the ids that a search meets."""
+    t = binary.fake_ring(spark)
+    book = np.tile(np.arange(64), (256, 1))
+    index = s.Index(t["vectors"], t["graph"], t["codes"], np.zeros(64, np.int64), {16: book, 32: book}, 0)
+    return s.ann_search(t["queries"], index, SearchConfig(l_size=10))
+
+
 # -- fixed-point functions ---------------------------------------------------------------------------------
 
 

@@ -296,4 +296,17 @@ SELECT src, CAST(unnest(range(0, len(kept))) AS INTEGER) AS slot, unnest(kept) A
         _PAIRS + ", f AS (SELECT vec_id, a, b, unnest(range(0, 64)) AS p FROM pr)",
         rest=f"SELECT {pos}CASE WHEN p % 2 = 0 THEN a[p // 2 + 1] ELSE b[p // 2 + 1] END AS inter_q, b[p + 1] AS channel_q, CAST(7 AS BIGINT) AS fill_q FROM f",
     )
+    place = "row_number() OVER (ORDER BY {0}) - 1 AS {0}"
+    long = "SELECT {key}, CAST(p AS INTEGER) AS pos, CAST({v}[p + 1] AS BIGINT) AS value FROM ({src}), range({n}) r(p)"
+    q["binary_vectors"] = _with(_VECTORS, rest=long.format(key="vec_id", v="vec", n=64, src=f"SELECT {place.format('vec_id')}, vec FROM base"))
+    q["binary_queries"] = _with(_VECTORS, rest=long.format(key="query_id", v="vec", n=64, src=f"SELECT {place.format('query_id')}, vec FROM qs"))
+    lists = "SELECT src, list(dst ORDER BY slot) AS l FROM edge GROUP BY src"
+    q["binary_neighbors"] = _with(_VECTORS, _GRAPH, rest=long.format(key="vec_id", v="l", n=32, src=f"SELECT row_number() OVER (ORDER BY src) - 1 AS vec_id, l FROM ({lists})"))
+    both = f"SELECT {place.format('vec_id')}, list_concat(a.code, b.code) AS l FROM code16 a JOIN code32 b USING (vec_id)"
+    q["binary_codes"] = _with(_VECTORS, _MEAN, _book(16), _codes(16), _book(32), _codes(32), rest=long.format(key="vec_id", v="l", n=48, src=both))
+    q["binary_ground_truth"] = _with(_VECTORS, _EXACT, rest="SELECT query_id, CAST(rank - 1 AS INTEGER) AS pos, dist_sq AS value FROM (SELECT dense_rank() OVER (ORDER BY query_id) - 1 AS query_id, rank, dist_sq FROM exact)")
+    books = " UNION ALL ".join(f"SELECT CAST({m} AS INTEGER) AS m, s AS subspace, centroid, CAST(p AS INTEGER) AS pos, CAST(c[p + 1] AS INTEGER) AS value FROM cb{m}, range({64 // m}) r(p)" for m in (16, 32))
+    q["binary_codebooks"] = _with(_VECTORS, _MEAN, _book(16), _book(32), rest=books)
+    q["binary_mean"] = _with(_VECTORS, _MEAN, rest="SELECT CAST(0 AS BIGINT) AS row, CAST(d AS INTEGER) AS pos, mean AS value FROM mean_d")
+    q["ring_search"] = "SELECT q AS query_id, CAST(i + 1 AS INTEGER) AS rank, i AS vec_id, CAST(0 AS BIGINT) AS dist_sq FROM range(100) a(q), range(10) b(i)"
     return q

@@ -41,11 +41,14 @@ class FileStore:
         return fs.rename(p, self.jvm.org.apache.hadoop.fs.Path(new))
 
     def write_text(self, path: str, text: str) -> None:
+        self.write_bytes(path, text.encode())
+
+    def write_bytes(self, path: str, data: bytes) -> None:
         """Create a small file in one step: it appears only when it is complete."""
         fs, p = self._at(path)
         tmp = self.jvm.org.apache.hadoop.fs.Path(f"{path}.part")
         out = fs.create(tmp, True)
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(data))
         out.close()
         if not fs.rename(tmp, p):
             raise OSError(f"cannot publish {path}")

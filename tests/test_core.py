@@ -273,6 +273,20 @@ def test_stats(spark):
     assert tuple(resume.attempt_stats(spark.createDataFrame([(1, 1), (2, 3)], "query_id bigint, attempts int")).first()) == (2, 1, 2)
 
 
+def test_binary_parts_and_ranges(spark, tmp_path, monkeypatch):
+    x = np.random.default_rng(4).integers(-3000, 3000, (120, 64)).astype("<i2")
+    (tmp_path / "N").mkdir()
+    for i in range(12):
+        x[10 * i : 10 * i + 10].tofile(tmp_path / "N" / f"VEC.{i}.BIN")  # VEC.10 is no second part
+    want = [(i, r.tolist()) for i, r in enumerate(x)]
+    assert rows(binary.read(spark, f"file://{tmp_path}/N", "VEC")) == want
+    monkeypatch.setattr(binary, "RANGE_BYTES", 100)
+    assert rows(binary.read(spark, f"file://{tmp_path}/N", "VEC")) == want
+    monkeypatch.setattr(binary, "PART_ROWS", 50)
+    binary.write(binary.read(spark, f"file://{tmp_path}/N", "VEC"), "VEC", f"file://{tmp_path}/out")
+    assert FileStore(spark).names(f"file://{tmp_path}/out") and rows(binary.read(spark, f"file://{tmp_path}/out", "VEC")) == want
+
+
 def test_binary_files(spark, tmp_path):
     x = np.random.default_rng(1).integers(-3000, 3000, (70, 64)).astype("<i2")
     for i, part in enumerate(np.array_split(x, [30, 30, 55])):
