@@ -100,6 +100,64 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, coalesce(m.root, d.doc_id) AS class_id FROM documents d LEFT JOIN m ON m.node = d.doc_id
 """
 
+_NORMAL = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\p{{M}}]+', ' ', 'g'))"
+
+
+def _keys(source: str, columns: str) -> str:
+    """columns, key and size of the whole text t, and of each of its lines of 20 characters and more, of source."""
+    line = f"list_filter(list_transform(string_split_regex(t, '\\r?\\n'), lambda x: {_NORMAL.format('x')}), lambda x: length(x) >= {quotes.MIN_LINE})"
+    every = f"list_distinct(list_filter(list_prepend({_NORMAL.format('t')}, {line}), lambda x: x <> ''))"
+    return f"SELECT {columns}, key, length(key) AS size FROM (SELECT {columns}, unnest({every}) AS key FROM {source})"
+
+
+OP3_SQL = rf"""
+WITH RECURSIVE m AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+), l AS (
+  SELECT id, n, lines[n] AS line, regexp_extract(lines[n], '^[ \t]*(?:>[ \t]?)+') AS mark
+  FROM (SELECT id, string_split_regex(text, '\r?\n') AS lines, unnest(range(1, len(string_split_regex(text, '\r?\n')) + 1)) AS n FROM m WHERE regexp_matches(text, '(?m)^[ \t]*>'))
+), v AS (
+  SELECT id, n, length(regexp_replace(mark, '[^>]', '', 'g')) AS level, substr(line, length(mark) + 1) AS t FROM l
+), r AS (
+  SELECT *, sum(new) OVER (PARTITION BY id ORDER BY n) AS g FROM (SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY id ORDER BY n) THEN 1 ELSE 0 END AS new FROM v)
+), parts AS MATERIALIZED (
+  SELECT *, coalesce(lead(level) OVER (PARTITION BY id ORDER BY g), 0) AS after FROM (SELECT id, g, min(level) AS level, string_agg(t, chr(10) ORDER BY n) AS t FROM r GROUP BY id, g)
+  UNION ALL SELECT id, 1, 0, text, 0 FROM m WHERE NOT regexp_matches(text, '(?m)^[ \t]*>')
+), own AS MATERIALIZED (
+  SELECT id, regexp_replace(coalesce(string_agg(CASE WHEN after > 0 THEN regexp_replace(t, '(?i)(?:^|\n)[^\n]*\b(?:wrote|writes|said|schrieb|escribió|a écrit)[ \t]*:\s*$', '') ELSE t END, chr(10) ORDER BY g)
+    FILTER (WHERE level = 0), ''), '^\s+|\s+$', '', 'g') AS t FROM parts GROUP BY id
+), quoted AS MATERIALIZED (
+  SELECT id, g, level, t FROM parts WHERE level > 0 AND {_NORMAL.format("t")} <> ''
+), texts AS (
+  SELECT conv_id, turn, t FROM own JOIN m USING (id) WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+  UNION SELECT conv_id, turn, t FROM parts JOIN m USING (id) WHERE level = 0 AND conv_id IS NOT NULL AND turn IS NOT NULL
+), near AS MATERIALIZED (
+  SELECT key, conv_id, min(turn) AS near FROM ({_keys("texts", "conv_id, turn")}) GROUP BY key, conv_id
+), far AS MATERIALIZED (
+  SELECT key, min({{'c': conv_id, 't': near}}) AS far FROM near GROUP BY key
+), q AS (
+  SELECT m.conv_id, m.turn, g, level, key, size FROM ({_keys("quoted", "id, g, level")}) k JOIN m USING (id) WHERE m.conv_id IS NOT NULL AND m.turn IS NOT NULL
+), linked AS (
+  SELECT *, CASE WHEN near < turn THEN {{'c': conv_id, 't': near}} WHEN far.c < conv_id THEN far END AS goal, coalesce(near < turn, false)::INTEGER AS here FROM q LEFT JOIN near USING (key, conv_id) LEFT JOIN far USING (key)
+), parents AS MATERIALIZED (
+  SELECT conv_id, turn, arg_max(goal, {{'a': -level, 'b': size, 'h': here, 'c': -goal.c, 't': -goal.t}}) AS goal, count(DISTINCT g) AS n_linked FROM linked WHERE goal IS NOT NULL GROUP BY conv_id, turn
+), turns AS MATERIALIZED (
+  SELECT DISTINCT conv_id, turn FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), up AS MATERIALIZED (
+  SELECT conv_id, min(goal.c) AS above FROM parents JOIN (SELECT conv_id, min(turn) AS turn FROM turns GROUP BY conv_id) USING (conv_id, turn) WHERE goal.c <> conv_id GROUP BY conv_id
+), walk(conv_id, above) AS (
+  SELECT conv_id, above FROM up UNION ALL SELECT w.conv_id, u.above FROM walk w JOIN up u ON u.conv_id = w.above
+), thread AS (
+  SELECT conv_id, min(above) AS thread_id FROM walk GROUP BY conv_id
+), every AS (
+  SELECT m.conv_id, m.turn, m.role, coalesce(thread.thread_id, m.conv_id) AS thread_id, CASE WHEN goal IS NOT NULL THEN goal.c WHEN b.turn IS NOT NULL THEN m.conv_id END AS parent_conv,
+    CASE WHEN goal IS NOT NULL THEN goal.t ELSE b.turn END AS parent_turn, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, own.t AS text
+  FROM m JOIN own USING (id) LEFT JOIN (SELECT id, count(*) AS n_quotes FROM quoted GROUP BY id) USING (id) LEFT JOIN turns b ON b.conv_id = m.conv_id AND b.turn = m.turn - 1
+  LEFT JOIN parents p ON p.conv_id = m.conv_id AND p.turn = m.turn LEFT JOIN thread ON thread.conv_id = m.conv_id
+)
+SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY conv_id, turn) - 1 AS place FROM every
+"""
+
 OP9_SQL = """
 WITH p AS (
   SELECT page_id, url, encode(coalesce(html, '')) AS body FROM pages
@@ -116,4 +174,4 @@ FROM c
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op8_near_duplicates": OP8_SQL, "op9_warc": OP9_SQL}
+    return {"op1_decontamination": OP1_SQL, "op3_quotations": OP3_SQL, "op8_near_duplicates": OP8_SQL, "op9_warc": OP9_SQL}

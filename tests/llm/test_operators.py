@@ -6,12 +6,14 @@ import re
 import time
 import zlib
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import regex
 from pyspark.sql import functions as F
 
-from beamlake.llm import common, decontaminate, forest, htmltext, langid, neardup, packing, pii, quotes, toxicity, warc
+from beamlake.llm import common, decontaminate, forest, htmltext, langid, neardup, packing, pii, queries, quotes, toxicity, warc
 from beamlake.llm.common import stored
 from beamlake.llm.components import components
 
@@ -233,6 +235,10 @@ def test_quotes_against_brute_force(spark, light, seed):
     built = quotes.build(d).collect()
     got = {(r.conv_id, r.turn): (r.thread_id, None if r.parent_conv is None else (r.parent_conv, r.parent_turn), r.text) for r in built}
     assert got == want and sum(p is not None and p[0] != k[0] for k, (_, p, _) in want.items()) > 10
+    duck = duckdb.connect()
+    duck.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    names = sorted(quotes.build(d).columns)
+    assert sorted(map(str, duck.execute(f"SELECT {', '.join(names)} FROM ({queries.OP3_SQL})").fetchall())) == sorted(str(tuple(r[c] for c in names)) for r in built)
     place = {}
     for r in built:
         place.setdefault(r.thread_id, {})[r.conv_id, r.turn] = r.place
