@@ -27,19 +27,25 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str, rows: int | None = None, per_file: int = 20_000) -> DataFrame:
     """Write df as Parquet and read it again: cuts lineage, and survives lost executors.
 
-    rows: a bound of its rows, where one is known; then there are no more files than `per_file` rows each ask for, so that a
+    What is not deleted before goes when the driver ends. rows: a bound of its rows, where one is known; then there are no more files than `per_file` rows each ask for, so that a
     small table isn't strewn over as many files as a shuffle has partitions."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // per_file)))
     df.write.parquet(path)
+    fs, p = _file_system(df.sparkSession, path)
+    fs.deleteOnExit(p)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete a table written by stored(), once nothing reads it any more."""
     files = df.inputFiles()
     if files:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        fs, p = _file_system(df.sparkSession, files[0].rsplit("/", 1)[0])
+        fs.delete(p, True)
