@@ -10,12 +10,12 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from beamlake.config import DEGREE, SearchConfig
+from beamlake.functions.vector import l2sq
 from beamlake.operators import graph, pq
-
 from beamlake.operators.search import Index, search
 from beamlake.operators.tables import stored
 
@@ -25,12 +25,21 @@ def is_delta(vec_id, start: int):
     return vec_id >= F.lit(start)
 
 
+#: Nearest candidates of a vertex that are gathered at first.
+POOL = 256
+
+
 def pruned(points: DataFrame, candidates: DataFrame, vectors: DataFrame, degree: int, alpha: float = 1.2) -> DataFrame:
     """vec_id, neighbors: for points(vec_id, vec) the robust choice among candidates(vec_id, other).
 
-    Candidate lists are as long as searches expand or in-degrees reach; each is pruned in a task's memory."""
-    c = candidates.distinct().join(vectors.select(F.col("vec_id").alias("other"), F.col("vec").alias("v")), "other")
-    c = c.groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("other", "v"))).alias("c")).join(points.select("vec_id", "vec"), "vec_id")
+    The choice goes from near to far and ends with `degree` vertices, so the nearest POOL candidates of a vertex, taken with a limit
+    before the shuffle, nearly always decide; where they don't, that vertex is tried again with eight times as many. So a hub's
+    candidates don't meet in one task."""
+    c = candidates.select("vec_id", "other").distinct().join(vectors.select(F.col("vec_id").alias("other"), F.col("vec").alias("v")), "other").join(points.select("vec_id", "vec"), "vec_id")
+    c = stored(c.select("vec_id", "other", "v", l2sq(F.col("vec"), F.col("v")).alias("d")), "candidates")
+    counts = c.groupBy("vec_id").agg(F.count("*").alias("n"))
+    own = points.select("vec_id", "vec")
+    todo, pool, out = c, POOL, None
 
     def run(batches):
         for b in batches:
@@ -40,7 +49,18 @@ def pruned(points: DataFrame, candidates: DataFrame, vectors: DataFrame, degree:
                 out.append([int(ids[i]) for i in graph.robust_prune(np.array(p, dtype=np.int64), ids, v, degree, alpha)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["vec_id", "neighbors"])
 
-    return c.select("vec_id", "c", "vec").mapInArrow(run, "vec_id bigint, neighbors array<bigint>")
+    while True:
+        nth = F.row_number().over(Window.partitionBy("vec_id").orderBy("d", "other"))
+        near = todo.withColumn("nth", nth).where(F.col("nth") <= pool)
+        lists = near.groupBy("vec_id").agg(F.collect_list(F.struct("other", "v")).alias("c")).join(own, "vec_id")  # at most `pool` each
+        got = lists.select("vec_id", "c", "vec").mapInArrow(run, "vec_id bigint, neighbors array<bigint>")
+        got = stored(got.join(counts, "vec_id"), "pruned")
+        open_ = (F.size("neighbors") < degree) & (F.col("n") > pool)
+        done = got.where(~open_).select("vec_id", "neighbors")
+        out = done if out is None else out.unionByName(done)
+        if got.where(open_).limit(1).count() == 0:
+            return out
+        todo, pool = todo.join(got.where(open_).select("vec_id"), "vec_id", "left_semi"), 8 * pool
 
 
 def insert_vectors(index: Index, new: DataFrame, cfg: SearchConfig | None = None, degree: int = DEGREE) -> Index:
@@ -61,19 +81,20 @@ def insert_vectors(index: Index, new: DataFrame, cfg: SearchConfig | None = None
     )
 
 
-def pending_reverse_edges(own: DataFrame) -> DataFrame:
-    """vec_id and the new vertices that point to it, each once."""
-    return graph.edges(own).groupBy(F.col("dst").alias("vec_id")).agg(F.sort_array(F.collect_set("src")).alias("sources"))
-
-
 def with_reverse_edges(old: DataFrame, own: DataFrame, vectors: DataFrame, degree: int) -> DataFrame:
-    """old and own lists; old vertices gain reverse edges, and are pruned where they hold more than `degree`."""
-    back = pending_reverse_edges(own)
-    grown = old.join(back, "vec_id", "left").select("vec_id", "neighbors", F.array_union("neighbors", F.coalesce("sources", F.array().cast("array<bigint>"))).alias("both"))
-    over = F.size("both") > degree
-    wide = grown.where(over).select("vec_id", F.explode("both").alias("other"))
-    cut = pruned(vectors.join(grown.where(over), "vec_id", "left_semi"), wide, vectors, degree)
-    return grown.where(~over).select("vec_id", F.col("both").alias("neighbors")).unionByName(cut).unionByName(own)
+    """old and own lists; old vertices gain reverse edges, and are pruned where they hold more than `degree`.
+
+    Edges are rows until a vertex is known to hold few enough for a list."""
+    e = graph.edges(old).select(F.col("src").alias("vec_id"), F.col("dst").alias("other"), F.col("slot").cast("long").alias("at"))
+    new = graph.edges(own).select(F.col("dst").alias("vec_id"), F.col("src").alias("other")).join(old.select("vec_id"), "vec_id", "left_semi")
+    both = e.unionByName(new.withColumn("at", F.lit(None).cast("long"))).groupBy("vec_id", "other").agg(F.min("at").alias("at"))
+    both = stored(both, "edges")
+    over = stored(both.groupBy("vec_id").agg(F.count("*").alias("n")).where(F.col("n") > degree).select("vec_id"), "over")
+    few = both.join(over, "vec_id", "left_anti").groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("at", F.lit(degree).cast("long")).alias("at"), "other"))).alias("e"))  # at most `degree`
+    few = few.select("vec_id", F.transform("e", lambda x: x["other"]).alias("neighbors"))
+    cut = pruned(vectors.join(over, "vec_id", "left_semi"), both.join(over, "vec_id", "left_semi"), vectors, degree)
+    bare = old.select("vec_id").join(both.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.array().cast("array<bigint>").alias("neighbors"))
+    return few.unionByName(cut).unionByName(bare).unionByName(own)
 
 
 def delete_vectors(tombstones: DataFrame | None, ids: DataFrame) -> DataFrame:

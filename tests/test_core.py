@@ -211,6 +211,20 @@ def test_robust_prune():
     assert graph.robust_prune(p, np.arange(4), v, 1) == [0]
 
 
+@pytest.mark.parametrize("pool", [256, 4])
+def test_pruning_from_pools(spark, data, monkeypatch, pool):
+    monkeypatch.setattr(mutate, "POOL", pool)
+    base, _, _ = data
+    v = {r.vec_id: np.array(r.vec, dtype=np.int64) for r in base.collect()}
+    r = np.random.default_rng(6)
+    pairs = [(p, int(o)) for p in (3, 40, 77) for o in r.choice(sorted(set(v) - {p}), 120, replace=False)] + [(5, 9), (5, 9)]
+    points = base.where("vec_id in (3, 5, 40, 77)")
+    got = {x.vec_id: x.neighbors for x in mutate.pruned(points, spark.createDataFrame(pairs, "vec_id bigint, other bigint"), base, 12).collect()}
+    for p in (3, 5, 40, 77):
+        ids = np.array(sorted({o for q, o in pairs if q == p}))
+        assert got[p] == [int(ids[i]) for i in graph.robust_prune(v[p], ids, np.stack([v[i] for i in ids]), 12)]
+
+
 def test_insert_delete_compact(spark, data):
     base, q, _ = data
     small = base.where("vec_id < 300").cache()
