@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Callable
 
@@ -9,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamlake.config import DEGREE, K, SearchConfig
+from beamlake.config import DEGREE, K, RERANK, SearchConfig
 from beamlake.functions import dsp, energy
 from beamlake.functions.vector import address, address_parts
 from beamlake.operators import build, graph, pq, resume, stats
@@ -259,6 +260,20 @@ def search_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.profile(_searched(spark, sf_dir, l_size=10, m=16)[0])
 
 
+@query
+def config_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which configurations are refused."""
+    rows = []
+    for size, m, rerank, partial, refine, hops, early in itertools.product((0, 1, 2000), (8, 16, 32), RERANK, (3, 20), (5, 30), (None, 0, 5), (False, True)):
+        try:
+            SearchConfig(l_size=size, m=m, rerank=rerank, partial=partial, refine=refine, max_hops=hops, early_stop=early)
+            refused = False
+        except ValueError:
+            refused = True
+        rows.append((size, m, rerank, partial, refine, hops, early, refused))
+    return spark.createDataFrame(rows, "l_size int, m int, rerank string, partial int, refine int, max_hops int, early_stop boolean, refused boolean")
+
+
 # -- energy ------------------------------------------------------------------------------------------------
 
 
