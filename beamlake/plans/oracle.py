@@ -309,7 +309,7 @@ SELECT src, CAST(unnest(range(0, len(kept))) AS INTEGER) AS slot, unnest(kept) A
     q["binary_codebooks"] = _with(_VECTORS, _MEAN, _book(16), _book(32), rest=books)
     q["binary_mean"] = _with(_VECTORS, _MEAN, rest="SELECT CAST(0 AS BIGINT) AS row, CAST(d AS INTEGER) AS pos, mean AS value FROM mean_d")
     q["config_checks"] = """SELECT CAST(l AS INTEGER) AS l_size, CAST(m AS INTEGER) AS m, rr AS rerank, CAST(p AS INTEGER) AS partial, CAST(f AS INTEGER) AS refine, CAST(h AS INTEGER) AS max_hops, e AS early_stop,
-  l < 1 OR l > 1000 OR m NOT IN (16, 32) OR (rr = 'two_stage' AND (m = 32 OR f < 10)) OR (rr = 'partial' AND p < 10) OR coalesce(h < 1 OR e, false) AS refused
+  l < 1 OR l > 1000 OR m NOT IN (16, 32) OR (rr = 'two_stage' AND (m = 32 OR f < 10)) OR (rr = 'partial' AND p < 10) OR (h IS NOT NULL AND (h < 1 OR e)) AS refused
 FROM (VALUES (0), (1), (2000)) a(l), (VALUES (8), (16), (32)) b(m), (VALUES ('full'), ('partial'), ('two_stage'), ('list')) c(rr), (VALUES (3), (20)) d(p), (VALUES (5), (30)) g(f), (VALUES (NULL), (0), (5)) i(h), (VALUES (false), (true)) j(e)"""
     q["ring_search"] = "SELECT q AS query_id, CAST(i + 1 AS INTEGER) AS rank, i AS vec_id, CAST(0 AS BIGINT) AS dist_sq FROM range(100) a(q), range(10) b(i)"
     return q
