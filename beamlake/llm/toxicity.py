@@ -37,7 +37,7 @@ MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 1_500, 4_000, 50_000
 #: predicted is 1 from this score on.
 CUT = 0.7
 #: Words whose distance a worker remembers before it starts afresh.
-CACHE = 80_000
+CACHE = 200_000
 
 _widen = expander(3)
 #: Highest score, as a logit, of a text without a window that counts: half of CUT's odds.
