@@ -191,12 +191,12 @@ def _settled(edges: DataFrame, fixed: DataFrame) -> DataFrame:
     """pattern, confidence and mass (the weight of its instances).
 
     edges(pattern, instance): of open instances. fixed(pattern, seeds, total)."""
-    count, open_edges = fixed.count(), edges.count()
+    count = fixed.count()
     state = stored(fixed.select("pattern", F.lit(0.0).alias("confidence"), F.col("seeds").cast("double").alias("mass")), "pii-confidence", count)
     while True:
         score = (F.col("seeds") + F.coalesce("open", F.lit(0.0))).alias("mass")
         weight = edges.join(light(state.select("pattern", "confidence")), "pattern").groupBy("instance").agg((KEEP * F.max("confidence")).alias("weight"))
-        mass = edges.join(light(stored(weight.where("weight > 0"), "pii-weights", open_edges)), "instance").groupBy("pattern").agg(F.sum("weight").alias("open"))
+        mass = edges.join(weight.where("weight > 0"), "instance").groupBy("pattern").agg(F.sum("weight").alias("open"))
         new = fixed.join(mass, "pattern", "left").select("pattern", "total", score)
         new = stored(new.select("pattern", F.least(F.lit(1.0), F.col("mass") / (F.col("total") + 1)).alias("confidence"), "mass"), "pii-confidence", count)
         both = new.join(state.select("pattern", F.col("confidence").alias("before")), "pattern")
