@@ -68,7 +68,8 @@ def fragments(toxic: list[str], ordinary: list[str], cover: int = 4, per_gram: i
     those that are at least thirty times as frequent there as in ordinary texts.
     """
     df_t, df_o = Counter(), Counter()
-    sets = [set(WORD.findall(t.lower())) for t in toxic]
+    own: dict[str, str] = {}  # one string per word, however many texts hold it
+    sets = [{own.setdefault(w, w) for w in WORD.findall(t.lower())} for t in toxic]
     for s in sets:
         df_t.update(s)
     for t in ordinary:
@@ -76,13 +77,17 @@ def fragments(toxic: list[str], ordinary: list[str], cover: int = 4, per_gram: i
     n_t, n_o = len(toxic), len(ordinary)
     rare = max(1, n_o // 3000)
     novel = {w for w, k in df_t.items() if df_o[w] <= rare and k >= 2}
+    least = max(3, n_t // 200)
+    seen: Counter = Counter()
+    for s in sets:
+        seen.update({g for w in s & novel for g in _grams(w)})
+    frequent = {g for g, k in seen.items() if k >= least}
+    del seen
     holders: dict[str, set[int]] = defaultdict(set)
     for i, s in enumerate(sets):
         for w in s & novel:
-            for g in _grams(w):
+            for g in _grams(w) & frequent:
                 holders[g].add(i)
-    least = max(3, n_t // 200)
-    frequent = {g for g, h in holders.items() if len(h) >= least}
     in_ordinary: Counter = Counter()
     for w, k in df_o.items():
         for g in _grams(w) & frequent:
@@ -173,10 +178,11 @@ def train(toxic: list[str], ordinary: list[str]) -> Model | None:
     if len(toxic) < 10:
         a_t = b_t = toxic
     d = Distances(*dictionaries(a_t, a_o))
-    texts = [WORD.findall(t.lower()) for t in b_t + b_o]
     y = np.array([1] * len(b_t) + [0] * len(b_o))
-    known = d.learn({w for t in texts for w in t})
-    found = [np.fromiter(map(known.__getitem__, t), dtype=np.int64, count=len(t)) for t in texts]
+    found = []
+    for t in b_t + b_o:  # numbers, not words, are kept of each text
+        split = WORD.findall(t.lower())
+        found.append(np.fromiter(map(d.learn(set(split)).__getitem__, split), dtype=np.int32, count=len(split)))
     best: tuple[float, int, np.ndarray, float] | None = None
     for tau in range(2, 10):
         k = np.array([int((t >= tau).sum()) for t in found])
