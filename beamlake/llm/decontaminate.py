@@ -3,8 +3,9 @@
 Items are partitioned by their number n of distinct five-word shingles, in powers of two. The sketch of an
 item holds its k smallest shingle hashes, with k = floor((1 - t) * largest n of the partition) + 1: a
 document that contains the share t of an item misses at most floor((1 - t) * n) shingles, so at least
-k - floor((1 - t) * n) >= 1 of the sketch are found in it, however long the document is. A pass over all
-documents hashes each shingle in generated code and probes the sketches; the candidates' documents alone
+k - floor((1 - t) * n) >= 1 of the sketch are found in it, however long the document is. A document's sketch are its
+hashes up to the largest in any item's sketch: a sketch of a fixed size would hold none of a short item's hashes in a long
+document. A pass over all documents makes it in generated code and probes the items' sketches; the candidates' documents alone
 are read again, and the share of the item's shingles that they hold is counted exactly, on the words.
 
 Equal texts are one: hits are aggregated by a 128-bit key of the text before anything else, one row of each is
@@ -60,12 +61,13 @@ def leaked_texts(docs: DataFrame, items: DataFrame) -> DataFrame:
     """key1, key2, item_id, n_shingles, n_found and containment: a row per distinct text and item that it holds."""
     rows = docs.count()
     shingles = stored(item_shingles(items), "items", items.count(), 5_000)
-    sketch = light(shingles.where("in_sketch").select("item_id", "hash", "n", "k"))
+    sketch = shingles.where("in_sketch").select("item_id", "hash", "n", "k")
+    bound = sketch.agg(F.max("hash")).first()[0]  # null without items: then no hash passes
     text = ["key1", "key2"]
     texts = docs.select("doc_id", *text_key(F.col("text")), _words(F.col("text")).alias("words"))
-    seen = _positions(texts, "doc_id", *text).select("doc_id", *text, _hash().alias("hash"))
+    seen = _positions(texts, "doc_id", *text).select("doc_id", *text, _hash().alias("hash")).where(F.col("hash") <= F.lit(bound).cast("long"))
     # Copies of a text fall together here, by partial aggregation; one of their rows stands for all.
-    hits = seen.join(sketch, "hash").groupBy(*text, "item_id", "hash").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("k").alias("k"))
+    hits = seen.join(light(sketch), "hash").groupBy(*text, "item_id", "hash").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("k").alias("k"))
     enough = F.least("k", "n") - F.floor((1 - THRESHOLD) * F.col("n") + 1e-9)
     found = hits.groupBy(*text, "item_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("hits"), F.first("n").alias("n"), F.first("k").alias("k"))
     found = stored(found.where(F.col("hits") >= enough).select(*text, "item_id", "doc_id"), "candidates", rows)
