@@ -111,6 +111,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
             found = [one(t) for texts in in_slices(b.column(b.schema.get_field_index("text"))) for t in texts]
             cols = [pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *new])
+            del b  # not held while the next one arrives
 
     return docs.mapInArrow(run, wider(docs, **new))
 

@@ -182,6 +182,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(part) + 1) * BANDS, BANDS), pa.int32()), pa.array(h.ravel()))
                 own = [b.column(i).slice(at, len(part)) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([*own, _word_keys(whole, words), pa.array(n, pa.int64()), flat], names=["doc_id", "key1", "key2", "word_key", "n", "bands"])
+            del b  # not held while the next one arrives
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(F.col("text")), "text")
     return rows.mapInArrow(run, "doc_id long, key1 long, key2 long, word_key string, n long, bands array<long>")
@@ -199,6 +200,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 sets = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(s.view(np.int64)))
                 same = pc.equal(_word_keys(whole, words), b.column(1).slice(at, len(part)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), sets], names=["rep", "shingles"]).filter(same)
+            del b  # not held while the next one arrives
 
     return docs.select("rep", "word_key", "text").mapInArrow(run, "rep long, shingles array<long>")
 

@@ -67,6 +67,7 @@ def cut(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), Counter()
+        part = None
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -84,6 +85,7 @@ def cut(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                     names = [f.split()[0] for f in _CUT.split(", ")]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            b = part = None  # not held while the next one arrives
 
     return docs.select("doc_id", "text").mapInArrow(run, _CUT)
 

@@ -36,7 +36,7 @@ from beamlake.llm.compression import FRAME, compressor, expander, lengths
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 1_500, 4_000, 50_000
 #: predicted is 1 from this score on.
 CUT = 0.7
-#: Words whose distance a worker remembers before it starts afresh.
+#: Words whose distance a worker remembers: the last half of them, and those of the half before that come up again.
 CACHE = 200_000
 
 _widen = expander(3)
@@ -137,12 +137,18 @@ class Distances:
 
     def __init__(self, toxic: bytes, ordinary: bytes, tau: int | None = None):
         """tau: remember only whether (1 or 0) a distance reaches it."""
-        self.toxic, self.ordinary, self.tau, self.known = compressor(toxic), compressor(ordinary), tau, {}
+        self.toxic, self.ordinary, self.tau, self.known, self.older = compressor(toxic), compressor(ordinary), tau, {}, {}
 
     def learn(self, words: set[str]) -> dict[str, int]:
-        if len(self.known) > CACHE:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
+        if len(self.known) > CACHE // 2:
+            self.known, self.older = {}, self.known
+        new = []
+        for w in words:
+            if w not in self.known:
+                if (d := self.older.get(w)) is None:
+                    new.append(w)
+                else:
+                    self.known[w] = d
         windows = [FRAME + _widen(f" {w} ".encode("utf-8", "replace")) for w in new]
         for i in range(0, len(new), 4096):
             part = windows[i : i + 4096]
@@ -254,6 +260,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 s += one
                 k += other
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array(k, pa.int64())], names=[*b.schema.names, "tox_score", "tox_windows"])
+            del b  # not held while the next one arrives
 
     schema = wider(docs, tox_score="double", tox_windows="long")
     return docs.mapInArrow(run, schema)
