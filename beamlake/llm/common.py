@@ -7,13 +7,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from beamlake.operators.tables import drop_stored, shared_dir, stored
 
-__all__ = ["BROADCAST_BYTES", "NOT_WORD", "WORD", "crc_mod", "drop_path", "drop_stored", "in_slices", "light", "new_path", "packed", "shared_dir", "stored", "table", "text_key", "unpacked", "wider", "words_of"]
+__all__ = ["BROADCAST_BYTES", "NOT_WORD", "WORD", "crc_mod", "drop_path", "drop_stored", "in_slices", "light", "new_path", "numbered", "packed", "shared_dir", "stored", "table", "text_key", "unpacked", "wider", "words_of"]
 
 #: A word is a run of letters, digits and combining marks; case never matters.
 WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
@@ -39,10 +39,23 @@ def light(df: DataFrame, limit: int | None = None) -> DataFrame:
             size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
         elif isinstance(f.dataType, T.ArrayType):
             size = size + 16 * F.greatest(F.size(f.name), F.lit(0))
+            if isinstance(f.dataType.elementType, T.StringType):
+                size = size + F.aggregate(F.coalesce(f.name, F.array().cast("array<string>")), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.octet_length(x), F.lit(0)))
     total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
     return F.broadcast(df) if total <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df, stored in this order, with its number from 0: a range partitioning, and counts of the partitions before, so that no task
+    numbers all rows. df is read twice (ranges are chosen from a sample): give a stored table."""
+    rows = stored(df.orderBy(*order).withColumn("at_", F.monotonically_increasing_id()), name)
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = rows.groupBy(F.shiftright("at_", 33).alias("part_")).agg(F.count("*").alias("n"), F.min("at_").alias("first"))  # a row per partition
+    parts = parts.select("part_", (ahead - F.col("first")).alias("by"))
+    put = rows.withColumn("part_", F.shiftright("at_", 33)).join(F.broadcast(parts), "part_")
+    return put.withColumn("number", F.col("at_") + F.col("by")).drop("part_", "at_", "by")
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder through Hadoop's file system API."""
     jvm = spark.sparkContext._jvm
@@ -50,7 +63,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def wider(df: DataFrame, **columns: str) -> T.StructType:
+def wider(df: DataFrame, **columns: str | T.DataType) -> T.StructType:
     """df's schema and more columns, as a new object: a DataFrame's own schema must not change."""
     out = T.StructType(list(df.schema.fields))
     for name, kind in columns.items():

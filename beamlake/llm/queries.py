@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beamlake.llm import decontaminate, forest, htmltext, langid, neardup, packing, pii, quotes, toxicity, warc
-from beamlake.llm.common import table
+from beamlake.llm import decontaminate, divergence, forest, htmltext, langid, merkle, mixing, neardup, packing, pii, quotes, toxicity, warc
+from beamlake.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,8 +55,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(crc_mod(F.col("doc_id"), 2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.verified(merkle.manifest(docs, {"text": tampered}))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = mixing.planned(table(spark, sf_dir, "documents"))
+    return p.select(F.col("row_.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_nearest, op3_quotations, op4_packing, op5_toxicity, op6_language_id, op7_html, op8_near_duplicates, op9_warc, op10_pii)}
+    every = (op1_decontamination, op2_nearest, op3_quotations, op4_packing, op5_toxicity, op6_language_id, op7_html, op8_near_duplicates, op9_warc, op10_pii, op11_merkle, op12_mixing, op13_divergence)
+    return {f.__name__: f for f in every}
 
 
 OP1_SQL = r"""
@@ -173,5 +189,113 @@ FROM c
 """
 
 
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII string, bit by bit."""
+    step = "xor(c, x)"
+    for _ in range(8):
+        step = f"list_transform([{step}], lambda z: CASE WHEN z & 1 = 1 THEN xor(z >> 1, 3988292384) ELSE z >> 1 END)[1]"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(substr({text}, i, 1)) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, x: {step}), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE octet_length(encode({value})) || ':' || {value} END"
+
+
+def _grown(name: str, base: str, by: str) -> str:
+    """The nodes of all levels: runs of three, while a tree has several."""
+    return f"""{name}(level, source, pos, node) AS (
+  {base}
+  UNION ALL
+  SELECT level + 1, source, pos // 3, sha256(string_agg(node, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER ({by}) AS n FROM {name}) WHERE n > 1 GROUP BY level, source, pos // 3
+)"""
+
+
+def _steps(nodes: str) -> str:
+    """left|right siblings of each node that is no top."""
+    run = "OVER (PARTITION BY source, level, pos // 3 ORDER BY pos ROWS BETWEEN"
+    return f"""SELECT source, level, pos, coalesce(string_agg(node, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') || '|' || coalesce(string_agg(node, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS step
+    FROM {nodes} JOIN (SELECT source AS s, max(level) AS top FROM {nodes} GROUP BY source) ON s IS NOT DISTINCT FROM source WHERE level < top"""
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE h AS (
+  SELECT doc_id, source, text, {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 AS odd, {" || ".join(_field(f"CAST({c} AS VARCHAR)") for c in ("doc_id", "source", "lang", "n_chars"))} AS head FROM documents
+), d AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, doc_id, source, sha256(head || {_field("text")}) AS leaf, sha256(head || {_field("CASE WHEN odd THEN replace(text, chr(10), '') ELSE text END")}) AS seen FROM h
+), p AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d
+), {_grown("t", "SELECT 0, source, pos, leaf FROM p", "PARTITION BY source")}, nodes AS MATERIALIZED (SELECT * FROM t), subroots AS MATERIALIZED (
+  SELECT source, arg_max(node, level) AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM nodes GROUP BY source
+), {_grown("u", "SELECT 0, 0, place, subroot FROM subroots", "")}, over AS MATERIALIZED (SELECT * FROM u), steps AS MATERIALIZED (
+  {_steps("nodes")}
+), above AS MATERIALIZED (
+  {_steps("over")}
+), path AS (
+  SELECT id, level, step FROM p JOIN steps s ON s.source IS NOT DISTINCT FROM p.source AND s.pos = p.pos // CAST(3 ** level AS BIGINT)
+  UNION ALL SELECT id, 1000 + level, step FROM p JOIN subroots r ON r.source IS NOT DISTINCT FROM p.source JOIN above a ON a.pos = r.place // CAST(3 ** level AS BIGINT)
+), paths AS (
+  SELECT id, list(step ORDER BY level) AS path FROM path GROUP BY id
+), v AS (
+  SELECT doc_id, leaf, subroot, (SELECT arg_max(node, level) FROM over) AS root, sha256(replace(array_to_string(coalesce(path, []), ''), '|', '')) AS proof_sha256,
+    list_reduce(list_prepend(seen, coalesce(path, [])), lambda x, s: sha256(split_part(s, '|', 1) || x || split_part(s, '|', 2))) AS folded_root
+  FROM p LEFT JOIN paths USING (id) JOIN subroots r ON r.source IS NOT DISTINCT FROM p.source
+)
+SELECT *, folded_root = root AS verified FROM v
+"""
+
+OP12_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || coalesce(text, '')), 1, 13))::BIGINT / 4503599627370496.0 AS draw FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS HUGEINT) AS n, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM d GROUP BY source
+), r AS (  -- in the order in which sources reach their limits
+  SELECT *, sum(n) OVER () AS total, sum(w) OVER () AS weights, coalesce(sum(n) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n_before,
+    coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w_before
+  FROM s WINDOW o AS (ORDER BY n / w, source NULLS LAST)
+), c AS (
+  SELECT *, 4 * n * (weights - w_before) < w * (3 * total - 4 * n_before) AS capped FROM r
+), l AS (
+  SELECT 3 * any_value(total) - 4 * coalesce(sum(n) FILTER (WHERE capped), 0) AS num, 2 * coalesce(sum(w) FILTER (WHERE NOT capped), 0) AS den FROM c
+), t AS (
+  SELECT source, CAST(n AS BIGINT) AS source_size, CASE WHEN capped THEN n * 2.0::DOUBLE ELSE w * CAST(num AS DOUBLE) / CAST(den AS DOUBLE) END AS target FROM c CROSS JOIN l
+), x AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t
+)
+SELECT doc_id, size, source_size, target, size * CAST(floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken
+FROM d JOIN x ON x.source IS NOT DISTINCT FROM d.source
+"""
+
+OP13_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), w AS MATERIALIZED (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS docs FROM (SELECT id, lang, source, unnest(t) AS term FROM d) GROUP BY lang, source, term
+), k AS MATERIALIZED (
+  SELECT lang, term FROM w GROUP BY lang, term HAVING sum(docs) >= 30
+), v AS (
+  SELECT lang, CAST(count(*) AS HUGEINT) AS v FROM k GROUP BY lang
+), g AS MATERIALIZED (
+  SELECT DISTINCT lang, source FROM d
+), c AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, CAST(coalesce(w.n, 0) AS HUGEINT) AS n FROM g JOIN k USING (lang) LEFT JOIN w ON w.lang = g.lang AND w.source = g.source AND w.term = k.term
+), p AS MATERIALIZED (
+  SELECT lang, source, term, n, 1 + 1000000000 * (n + 5) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM c JOIN v USING (lang)
+), q AS (
+  SELECT lang, term, 1 + 1000000000 * (n + 5) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term) JOIN v USING (lang)
+), f AS (
+  SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source
+), e AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM e
+)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op3_quotations": OP3_SQL, "op8_near_duplicates": OP8_SQL, "op9_warc": OP9_SQL}
+    return {"op1_decontamination": OP1_SQL, "op3_quotations": OP3_SQL, "op8_near_duplicates": OP8_SQL, "op9_warc": OP9_SQL, "op11_merkle": OP11_SQL, "op12_mixing": OP12_SQL, "op13_divergence": OP13_SQL}
