@@ -1,16 +1,16 @@
 """Main text of web pages by line-block distribution.
 
-Markup, scripts and styles are stripped, and the page becomes lines, one per block element. A line's weight is its
-number of characters, 0 where most of them are links' or where it lies in an element of a kind that never holds the
-article (menus, headers, footers, sidebars, notices, adverts, forms, reader comments), which is one line in all. Weights are summed over sliding
-windows of WIDTH lines. A block of text lies around each surge, a window whose sum exceeds the threshold, and reaches
-on either side to where the sums dive to 0: WIDTH lines without weight. A line without weight inside a block is
-kept if it is a link's, as a sentence may be one, and never if its element is of a kind that holds no article. So a short
-line next to the article's others stays, whatever its length, while a list of links, or a stray line beyond one, falls
-into a dive, inside the article element as well as outside it.
-
-Where the page has article or main elements, only their lines weigh. The threshold is SURGE characters, or half of the
-largest sum on pages that stay below it; lines that no dive parts from a surge need not reach it themselves.
+Markup, scripts and styles are stripped, and the page becomes lines, one per block element. Lines of elements of a kind that never
+holds the article (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) are taken out first. A line's
+weight is its number of characters. Weights are summed over sliding windows of WIDTH lines. A block of text lies around each surge,
+a window whose sum exceeds the threshold, and reaches on either side to where the sums dive to 0: WIDTH lines without weight.
+
+Where the page has article or main elements with text, their lines weigh, links or not, and all others weigh nothing; so an article
+stays whole, whatever stands in its middle, and surges and dives decide between several. Elsewhere a line that is mostly links weighs
+nothing: a single one inside a block is kept, as a sentence may be one, while a list of links, or a stray line beyond one, falls into a dive.
+
+The threshold is SURGE characters, or half of the largest sum on pages that stay below it; lines that no dive parts from a
+surge need not reach it themselves.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one newline. Ends
 that HTML lets authors omit (of p, li and the like) are implied. An element of a kind that is dropped ends with its own end
@@ -103,10 +103,9 @@ def _outside(name: str, rest: str) -> bool:
 @dataclass(frozen=True)
 class Line:
     text: str
-    weight: int
-    #: Inside article or main; the number of the outermost element that never holds the article, of which this line stands for all.
+    #: Mostly links; inside article or main.
+    links: bool
     within: bool
-    outside: int
 
 
 class _Ends:
@@ -130,19 +129,19 @@ class _Ends:
 
 
 def lines(page: str) -> list[Line]:
-    """The block lines of a page, in page order."""
+    """The block lines of a page, in page order, without those of elements that never hold the article."""
     out: list[Line] = []
     parts: list[str] = []
     ends, open_, count = _Ends(page), [], Counter()  # open elements: (name, is dropped, is article or main)
-    links = within = outside = element = 0
+    links = within = outside = 0
     in_link = False
 
     def flush() -> None:
         nonlocal links
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text and not (outside and out and out[-1].outside == element):
-                out.append(Line(text, 0 if outside or 2 * links > len(text) else len(text), within > 0, element if outside else 0))
+            if text and not outside:
+                out.append(Line(text, 2 * links > len(text), within > 0))
             parts.clear()
         links = 0
 
@@ -199,7 +198,6 @@ def lines(page: str) -> list[Line]:
         dropped = not rest.endswith("/") and _outside(name, rest) and (name in OMITS or ends.follows(name, at))
         if dropped:
             flush()
-            element += not outside
         if dropped or (name in BLOCKS and not rest.endswith("/")) or name == "option":
             article = name in ("article", "main")
             open_.append((name, dropped, article))
@@ -241,11 +239,11 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = lines(page)
-    inside = any(x.within and x.weight for x in found)
-    weights = [x.weight if x.within or not inside else 0 for x in found]
+    inside = any(x.within and not x.links for x in found)
+    weights = [len(x.text) if (x.within if inside else not x.links) else 0 for x in found]
     most = max((sum(weights[i : i + WIDTH]) for i in range(len(weights))), default=0)
     kept = [found[k] for a, b in regions(weights, min(SURGE, most / 2)) for k in range(a, b)]
-    return "\n".join(x.text for x in kept if not x.outside and (x.within or not inside))
+    return "\n".join(x.text for x in kept if x.within or not inside)
 
 
 def extract(pages: DataFrame) -> DataFrame:
