@@ -6,7 +6,7 @@ keeps the shingle that arrived first. Arrivals are made in order, and a shingle
 comes later than every component's earliest (early termination). Two signatures agree in a component
 with the probability Jaccard of the texts. BANDS bands of ROWS components find 99.8 % of the pairs at 0.8.
 
-Equal texts (same words in the same order) are first reduced to one representative, with partial
+Equal texts (same words in the same order, by 128 bits of a cryptographic hash) are first reduced to one representative, with partial
 aggregation, so groups of copies of any size cost one row. Pairs of representatives in a small bucket are
 all verified; in a bucket of more than SMALL texts each text is verified against the bucket's hub, the one
 that shares most buckets, which is how copies hang together; whatever is then still in different
@@ -26,12 +26,13 @@ whatever their names. An empty table gives no rows.
 
 from __future__ import annotations
 
-import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,11 +46,12 @@ M = ROWS * BANDS
 SMALL = 24
 #: Texts of a large bucket that one task compares with as many others.
 BLOCK = 256
-#: Bytes of normal text that are sketched together.
+#: Characters of text that are sketched together.
 CHUNK = 400_000
 
-_BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
+#: Words whose hashes a worker remembers.
+REMEMBERED = 50_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -59,46 +61,46 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_BASE, -1, 2**64)
-    one = np.ones(1, dtype=_U)
-    with np.errstate(over="ignore"):
-        up = np.concatenate([one, np.multiply.accumulate(np.full(n, _BASE, dtype=_U))])
-        down = np.concatenate([one, np.multiply.accumulate(np.full(n, inverse, dtype=_U))])
-    return up, down
+class _WordHashes(dict):
+    """64 bits of each word, remembered while it comes up again."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+        return h
+
+
+_HASHES = _WordHashes()
 
 
-def normal(text: str | None) -> bytes:
-    """The lower-case words of a text, each with a blank after it."""
-    words = WORD.findall(text.lower()) if text else []
-    return (" ".join(words) + " ").encode("utf-8", "replace") if words else b""
+def normal(text: str | None) -> list[str]:
+    """The lower-case words of a text."""
+    return WORD.findall(text.lower()) if text else []
 
 
-def shingle_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Over all texts: the hash of each shingle and its text's number; each text's number of words and hash of all.
+def word_key(words: list[str]) -> str:
+    """128 bits of a cryptographic hash, equal for equal words only."""
+    return hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).hexdigest()
 
-    Hashes are of the bytes from a shingle's first word to its last, taken from prefix sums of a polynomial.
-    """
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    size = np.array([len(t) for t in texts], dtype=np.int64)
-    first = np.concatenate([[0], np.cumsum(size)])
-    up, down = _powers(1 << max(16, int(len(data)).bit_length()))
+
+def shingle_hashes(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Over all texts: the hash of each shingle, and its text's number.
+
+    A shingle's hash mixes in its words' hashes one after the other, so it has no structure that texts could share by chance."""
+    words = np.array([len(t) for t in texts], dtype=np.int64)
+    h = np.fromiter((_HASHES[w] for t in texts for w in t), dtype=_U, count=int(words.sum()))
+    of = np.repeat(np.arange(len(texts)), words)
+    start = np.concatenate([[0], np.cumsum(words)])[:-1]
+    place = np.arange(len(h)) - start[of]
+    take = np.minimum(N_WORDS, words)[of]
+    at = np.flatnonzero(place + take <= words[of])
+    take, s = take[at], h[at]
     with np.errstate(over="ignore"):
-        prefix = np.concatenate([np.zeros(1, dtype=_U), np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], dtype=_U)])
-        ends = np.flatnonzero(data == 32) + 1
-        words = np.searchsorted(ends, first[1:], side="right") - np.searchsorted(ends, first[:-1], side="right")
-        begins = np.concatenate([[0], ends])[: len(ends)]
-        of = np.repeat(np.arange(len(texts)), words)
-        start_word = np.concatenate([[0], np.cumsum(words)])[:-1]
-        place = np.arange(len(ends)) - start_word[of]
-        take = np.minimum(N_WORDS, words)[of]
-        is_start = place + take <= words[of]
-        at = np.flatnonzero(is_start)
-        a, b = begins[at], ends[at + take[at] - 1]
-        shingles = _mix((prefix[b] - prefix[a]) * down[a] + (b - a).astype(_U))
-        whole = _mix((prefix[first[1:]] - prefix[first[:-1]]) * down[first[:-1]] + size.astype(_U))
-    return shingles, of[at], words, whole
+        for k in range(1, N_WORDS):
+            more = np.flatnonzero(take > k)
+            s[more] = _mix(s[more] * _U(0x9E3779B97F4A7C15) + h[at[more] + k])
+        return _mix(s + take.astype(_U)), of[at]
 
 
 def _unique(shingles: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,12 +154,11 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[list[str]]]]:
     at, part, size = 0, [], 0
     for i, t in enumerate(t for some in in_slices(texts) for t in some):
-        b = normal(t)
-        part.append(b)
-        size += len(b)
+        part.append(normal(t))
+        size += len(t or "")
         if size > CHUNK or len(part) >= 1024:
             yield at, part
             at, part, size = i + 1, [], 0
@@ -165,23 +166,18 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield at, part
 
 
-def _word_keys(whole: np.ndarray, words: np.ndarray) -> pa.Array:
-    return pa.array([f"{w:016x}-{c}" for w, c in zip(whole.tolist(), words.tolist(), strict=True)], pa.string())
-
-
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, key1 and key2 of the text, word_key (equal for equal words), n (distinct shingles) and bands of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, part in _chunks(b.column(3)):
-                shingles, of, words, whole = shingle_hashes(part)
-                s, o, k = _unique(shingles, of)
+                s, o, k = _unique(*shingle_hashes(part))
                 n = np.bincount(o, minlength=len(part))
                 h = bands(signatures(s, o, k, len(part)))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(part) + 1) * BANDS, BANDS), pa.int32()), pa.array(h.ravel()))
                 own = [b.column(i).slice(at, len(part)) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*own, _word_keys(whole, words), pa.array(n, pa.int64()), flat], names=["doc_id", "key1", "key2", "word_key", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(map(word_key, part), pa.string()), pa.array(n, pa.int64()), flat], names=["doc_id", "key1", "key2", "word_key", "n", "bands"])
             del b  # not held while the next one arrives
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(F.col("text")), "text")
@@ -194,11 +190,10 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, part in _chunks(b.column(2)):
-                shingles, of, words, whole = shingle_hashes(part)
-                s, o, _ = _unique(shingles, of)
+                s, o, _ = _unique(*shingle_hashes(part))
                 edges = np.searchsorted(o, np.arange(len(part) + 1))
                 sets = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(s.view(np.int64)))
-                same = pc.equal(_word_keys(whole, words), b.column(1).slice(at, len(part)))
+                same = pc.equal(pa.array(map(word_key, part), pa.string()), b.column(1).slice(at, len(part)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), sets], names=["rep", "shingles"]).filter(same)
             del b  # not held while the next one arrives
 

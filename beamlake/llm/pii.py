@@ -8,17 +8,21 @@ which length). Pattern and instance form a graph, which is scored in rounds unti
 
 * a pattern's confidence is the weight of its distinct instances over one more than the distinct tokens of any kind
   that it extracts in the corpus;
-* an instance's weight is 1 for a seed, 0 for a token that a base check has refused, else KEEP times the highest
-  confidence among its patterns, so weight fades with every step from a seed.
+* an instance's weight is 1 for a seed, 0 for a token that a refused match of a base pattern covers whole, else KEEP times the
+  highest confidence among its patterns, so weight fades with every step from a seed.
 
 Shapes carry weight from seeds to tokens in other contexts, and these to the contexts; they extract nothing themselves.
-Patterns of context with a confidence of CONFIDENCE and instances of at least the weight SUPPORT mark all their tokens of
-four digits or more or with an at sign, of kind `other`, where they don't overlap a base span. So what follows `token =` is found once most of it
+Patterns of context with a confidence of CONFIDENCE and instances of at least the weight SUPPORT mark all their tokens that have a
+form of a key, four digits or more, or an at sign, of kind `other`. So what follows `token =` is found once most of it
 are strings of a key's form, or of a shape that most identifiers have; a number or a digest in any other place is left alone.
+In a text that holds a found token, every word that is it is marked, and every part of a word that is it, between characters other than
+letters, digits and . _ @ + % -. A word that a base span reaches into is left to that, but for one that is a key as a whole.
 
 Offsets are code points, ends exclusive. A null text is empty. Rows that repeat, and texts that repeat, are treated
 alike; a doc_id with two texts is two rows. Columns that clash with names used here are left out of spans and kept by
-mask. An empty table gives no rows. Every text is read whole; the patterns are written so that time stays linear on long runs.
+mask. An empty table gives no rows. Every text is read whole. Words carry marks of the base matches that reach into them, so no token
+is ever compared with all matches of its text; places are sums over runs of about the square root of their number, and the
+patterns don't backtrack: time is close to linear in a text's length, in its matches, and in its tokens.
 """
 
 from __future__ import annotations
@@ -47,10 +51,14 @@ FORMS = [
     r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
 ]
 _FORM = "^(?:" + "|".join(FORMS) + ")$"
+#: What a word must hold to be a token: a digit, an at sign, or the beginning of a key that may have neither.
+_TOKEN = r"[0-9@]|(?:AKIA|ASIA)[A-Z]{16}|(?:gh[a-z]|glpat|sk|pk|xox[a-z])[-_][A-Za-z_-]{20}|eyJ[A-Za-z_-]+\."
 
 #: One text in so many is read to give up contexts of which already these hold too many tokens.
 PART = 16
 SUPPORT, CONFIDENCE, KEEP, SETTLED = 4.0, 0.8, 0.9, 0.01
+#: What a confidence may still gain in all rounds after one that moves by SETTLED: each moves by KEEP times the one before at most.
+TAIL = SETTLED * KEEP / (1 - KEEP)
 
 _SPAN = "array<struct<kind:int,start:int,end:int,found:string>>"
 
@@ -89,10 +97,29 @@ def _refused(kind: str, found: Column) -> Column:
     return ~_passes(kind, found)
 
 
-def _matches(text: Column, pattern: Column | str, kind: int) -> Column:
-    """array of (kind, start, end, found) of every match. split gives what lies between the matches."""
+def _let(value: Column, use) -> Column:
+    """use(value), where value is evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _runs(items: Column) -> Column:
+    """An array in consecutive slices, about as many as each has items. Where sums run through an array, each slice's are made first, and
+    carried on over the slices, so that no array grows an item at a time to more than the square root of all."""
+    n = F.size(items)
+    step = F.greatest(F.lit(32), F.ceil(F.sqrt(n.cast("double"))).cast("int"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int")), lambda c: F.slice(items, c * step + 1, step))
+    return F.when(n > 0, cut).otherwise(F.array())
+
+
+def _pieces(text: Column, pattern: Column | str) -> tuple[Column, Column]:
+    """The matches, and what lies before, between and after them."""
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found, between = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, p, -1)
+    return F.regexp_extract_all(text, p, F.lit(0)), F.split(text, p, -1)
+
+
+def _matches(text: Column, pattern: Column | str, kind: int) -> Column:
+    """array of (kind, start, end, found) of every match."""
+    found, between = _pieces(text, pattern)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def add(a: Column, x: Column) -> Column:
@@ -101,19 +128,48 @@ def _matches(text: Column, pattern: Column | str, kind: int) -> Column:
         one = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["found"].alias("found"))
         return F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
 
+    def moved(run: Column, by: Column) -> Column:
+        return F.transform(run["out"], lambda s: F.struct(s["kind"].alias("kind"), (s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["found"].alias("found")))
+
+    def placed(runs: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        heads = F.aggregate(runs, none, lambda a, r: F.struct((a["at"] + r["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+        return F.flatten(F.zip_with(runs, heads, moved))
+
     pairs = F.arrays_zip(found.alias("found"), F.slice(between, 1, F.greatest(F.size(found), F.lit(0))).alias("between"))
-    return F.aggregate(pairs, zero, add, lambda a: a["out"])
+    return _let(_let(pairs, lambda x: F.transform(_runs(x), lambda run: F.aggregate(run, zero, add))), placed)
+
+
+def _tried(text: Column, kind: str) -> Column:
+    """Whether a text has a match of a kind's pattern."""
+    hint = _HINTS[kind]
+    return (text.contains(hint) if hint else F.lit(True)) & text.rlike(PATTERNS[kind])
 
 
 def _all_matches(text: Column) -> Column:
     """Every match of the four patterns, by kind, then start."""
     none = F.array().cast(_SPAN)
-    parts = []
-    for k, kind in enumerate(KINDS):
-        hint = _HINTS[kind]
-        tried = (text.contains(hint) if hint else F.lit(True)) & text.rlike(PATTERNS[kind])
-        parts.append(F.when(tried, _matches(text, PATTERNS[kind], k)).otherwise(none))
-    return F.concat(*parts)
+    return F.concat(*[F.when(_tried(text, kind), _matches(text, PATTERNS[kind], k)).otherwise(none) for k, kind in enumerate(KINDS)])
+
+
+#: Before and after what a base span, or a refused match, has of a word. Texts that hold these characters hold others in their place.
+_GOOD, _BAD, _END = "\ue000", "\ue001", "\ue002"
+
+
+def _plain(text: Column) -> Column:
+    return F.when(text.rlike(f"[{_GOOD}-{_END}]"), F.translate(text, _GOOD + _BAD + _END, "\ufffd" * 3)).otherwise(text)
+
+
+def _marked(text: Column, kind: str) -> Column:
+    """The text with marks around each part of a word that a span or a refused match of this kind has; null if there are none."""
+    found, between = _pieces(text, PATTERNS[kind])
+
+    def mark(f: Column) -> Column:
+        put = lambda m: F.regexp_replace(f, "[^ ]+", f"{m}$0{_END}")
+        return F.when(_passes(kind, f), put(_GOOD)).when(_refused(kind, f), put(_BAD)).otherwise(f)
+
+    whole = F.array_join(F.zip_with(between, found, lambda b, f: F.concat(b, F.coalesce(mark(f), F.lit("")))), "")
+    return F.when(_tried(text, kind), _let(whole, lambda t: F.when(t.rlike(f"[{_GOOD}{_BAD}]"), t)))
 
 
 def _which(s: Column, test) -> Column:
@@ -133,6 +189,11 @@ def _core(raw: Column) -> Column:
     return F.regexp_replace(raw, r"^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$", "")
 
 
+#: The same words as _words has, in place.
+_WORD = r"[^\s=:]++(?::(?![\s\"'])[^\s=:]*+)*+|(?::(?![\s\"'])[^\s=:]*+)++|[=:]"
+_PART = r"[A-Za-z0-9](?:[A-Za-z0-9._@+%-]*[A-Za-z0-9])?"
+
+
 def _words(text: Column) -> Column:
     """Words between white space; an equals sign, and a colon before white space or a quotation mark, is a word `=`."""
     return F.split(F.trim(F.regexp_replace(F.regexp_replace(text, r"\s*+(?:=|:(?=[\s\"']))\s*+", " = "), r"\s+", " ")), " ")
@@ -147,6 +208,12 @@ def _around(*keep: str) -> list[Column | str]:
     return [*keep, at(0).alias("raw"), at(-1).alias("l1"), at(-2).alias("l2"), at(1).alias("r1")]
 
 
+def _moved(words: str, by: int) -> Column:
+    """An array's items `by` places further on, null where there are none."""
+    n, nulls = F.size(words), F.array(*[F.lit(None).cast("string")] * abs(by))
+    return F.slice(F.concat(nulls, words), F.lit(1), n) if by > 0 else F.concat(F.slice(words, F.lit(1 - by), n), nulls)
+
+
 def _near() -> Column:
     """The word of a context that patterns are looked up by first."""
     return F.when(F.col("l1").isNull(), F.col("r1")).when((F.col("l1") == "=") & F.col("l2").isNotNull(), F.regexp_replace("l2", _KEY, "")).otherwise(F.col("l1"))
@@ -175,16 +242,43 @@ def _shapes(core: Column) -> Column:
     return F.array_compact(F.array(*steps, F.concat(F.lit("S "), kind, F.lit(" "), F.floor(F.log2(F.length(core))).cast("string"))))
 
 
+def _any(test) -> Column:
+    """Whether test holds for a word as any kind marks it."""
+    out = F.lit(False)
+    for k in range(len(KINDS)):
+        out = out | test(F.col(f"m{k}"))
+    return out
+
+
 def _tokens(docs: DataFrame) -> DataFrame:
-    """key1, key2, instance, state (seed 1, seed by its form 2, refused 0, else null) and contexts of every token with a digit or an at sign."""
-    t = docs.where(F.col("text").rlike("[0-9@]")).select(*text_key(F.col("text")), _all_matches(F.col("text")).alias("all"), _words(F.col("text")).alias("w"))
-    t = t.select("key1", "key2", F.transform("all", lambda s: F.struct(s["found"].alias("found"), _which(s, _passes).alias("good"), _which(s, _refused).alias("bad"))).alias("all"), "w")
-    t = t.select("key1", "key2", "all", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i")).where(F.col("w")[F.col("i")].rlike("[0-9@]"))
-    t = t.select(*_around("key1", "key2", "all")).withColumns({c: F.lower(c) for c in ("l1", "l2", "r1")})
-    t = t.select("key1", "key2", "all", "raw", _contexts().alias("contexts"))
-    t = t.withColumn("instance", _core(F.col("raw"))).where(F.col("instance") != "")
-    within = lambda which: F.exists("all", lambda s: s[which] & (F.col("raw").contains(s["found"]) | s["found"].contains(F.col("instance"))))
-    return t.select("key1", "key2", "instance", F.when(within("good"), 1).when(within("bad"), 0).when(F.col("instance").rlike(_FORM), 2).alias("state"), "contexts")
+    """key1, key2, instance, state (seed 1, seed by its form 2, refused 0, else null) and contexts of every token with a digit, an at sign, or a key's form."""
+    t = docs.where(F.col("text").rlike(_TOKEN)).select(*text_key(F.col("text")), _plain(F.col("text")).alias("text"))
+    t = t.select("key1", "key2", _words(F.col("text")).alias("w"), *[_marked(F.col("text"), kind).alias(f"t{k}") for k, kind in enumerate(KINDS)])
+    t = t.select("key1", "key2", "w", *[F.coalesce(_words(F.col(f"t{k}")), "w").alias(f"m{k}") for k in range(len(KINDS))])
+    each = F.arrays_zip(F.col("w").alias("raw"), _moved("w", 1).alias("l1"), _moved("w", 2).alias("l2"), _moved("w", -1).alias("r1"), *[F.col(f"m{k}") for k in range(len(KINDS))])
+    t = t.select("key1", "key2", each.alias("x")).select("key1", "key2", F.explode(F.filter("x", lambda x: x["raw"].rlike(_TOKEN))).alias("x")).select("key1", "key2", "x.*")
+    t = t.withColumns({c: F.lower(c) for c in ("l1", "l2", "r1")}).withColumn("instance", _core(F.col("raw"))).where(F.col("instance") != "")
+    whole = lambda mark: _any(lambda m: m.contains(mark) & F.regexp_extract(m, f"{mark}([^{_END}]*+)", 1).contains(F.col("instance")))
+    state = F.when(whole(_GOOD), 1).when(whole(_BAD), 0).when(F.col("instance").rlike(_FORM), 2).when(_any(lambda m: m.contains(_GOOD)), 1)
+    return t.select("key1", "key2", "instance", state.alias("state"), _contexts().alias("contexts"))
+
+
+def _located(docs: DataFrame) -> DataFrame:
+    """key1, key2, word (its place), based (whether a base span reaches into it) and candidates of each word of docs(key1, key2, text).
+
+    candidates: (start, end, found, whole) of the word without what encloses it, and of its parts."""
+    t = docs.select("key1", "key2", _plain(F.col("text")).alias("text"))
+    t = t.select("key1", "key2", "text", *[_marked(F.col("text"), kind).alias(f"t{k}") for k, kind in enumerate(KINDS)])
+    words = [F.coalesce(F.regexp_extract_all(F.col(f"t{k}"), F.lit(_WORD), F.lit(0)), F.col("w.found")).alias(f"m{k}") for k in range(len(KINDS))]
+    t = t.withColumn("w", _matches(F.col("text"), _WORD, len(KINDS))).select("key1", "key2", "w", *words)
+    t = t.select("key1", "key2", F.arrays_zip("w", *[f"m{k}" for k in range(len(KINDS))]).alias("x"))
+    t = t.select("key1", "key2", F.explode(F.filter("x", lambda x: x["w"]["found"].rlike(_TOKEN))).alias("x")).select("key1", "key2", "x.*")
+    t = t.select("key1", "key2", F.col("w.start").alias("word"), F.col("w.found").alias("raw"), _any(lambda m: m.contains(_GOOD)).alias("based"), _core(F.col("w.found")).alias("core"))
+    begin = F.col("word") + F.length(F.regexp_extract("raw", "^[^A-Za-z0-9+]+", 0))
+    one = lambda start, found, whole: F.struct(start.alias("start"), (start + F.length(found)).alias("end"), found.alias("found"), F.lit(whole).alias("whole"))
+    parts = F.transform(_matches(F.col("core"), _PART, len(KINDS)), lambda s: one(begin + s["start"], s["found"], False))
+    every = F.concat(F.array(one(begin, F.col("core"), True)), F.when(F.col("core").rlike("[^A-Za-z0-9._@+%-]"), parts).otherwise(F.array()))
+    return t.select("key1", "key2", "word", "based", every.alias("candidates"))
 
 
 def _settled(edges: DataFrame, fixed: DataFrame) -> DataFrame:
@@ -226,11 +320,13 @@ def bootstrap(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     edges = stored(graph.where("state is null").select("pattern", "instance").join(light(fixed.select("pattern")), "pattern", "left_semi"), "pii-edges", 8 * rows, 100_000)
     shape = F.col("pattern").rlike("^[DS] ")
     good = (F.col("confidence") >= CONFIDENCE) & (F.col("mass") >= SUPPORT) & ~shape
-    hopeful = stored(_settled(edges, fixed).where(good).select("pattern", "mass"), "pii-hopeful", fixed.count())
+    may = (F.col("confidence") + TAIL >= CONFIDENCE) & (F.col("mass") + TAIL * F.col("total") >= SUPPORT) & ~shape
+    hopeful = stored(_settled(edges, fixed).join(fixed.select("pattern", "total"), "pattern").where(may), "pii-hopeful", fixed.count())
     # So far only tokens with a digit or an at sign counted. A part of the texts bounds the number of all others from
     # below, which is enough to give up contexts such as those of common words; the rest is counted over all texts.
     least = _totals(docs.where(F.pmod(F.xxhash64("text"), F.lit(PART)) == 0), hopeful)
-    hopeful = stored(hopeful.join(least, "pattern", "left").where(F.coalesce("all", F.lit(0)) * CONFIDENCE <= F.col("mass")).select("pattern"), "pii-hopeful", hopeful.count())
+    able = F.coalesce("all", F.lit(0)) * CONFIDENCE <= F.col("mass") + TAIL * F.col("total")
+    hopeful = stored(hopeful.join(least, "pattern", "left").where(able).select("pattern"), "pii-hopeful", hopeful.count())
     if hopeful.limit(1).count() == 0:
         return hopeful.select("pattern", F.lit(0.0).alias("confidence"), F.lit(0.0).alias("mass"))
     totals = _totals(docs, hopeful)
@@ -249,18 +345,23 @@ def spans(docs: DataFrame) -> DataFrame:
     chosen = stored(bootstrap(read, tokens).select("pattern"), "pii-chosen", tokens.count())
     out = read.withColumn("base", base_spans(text))
     none = F.array().cast(_SPAN)
-    open_ = tokens.where("state is null or state = 2").where((F.length(_digits(F.col("instance"))) >= 4) | F.col("instance").contains("@"))
-    new = open_.select("key1", "key2", "instance", F.explode("contexts").alias("pattern")).join(light(chosen), "pattern", "left_semi")
-    per = stored(new.groupBy("key1", "key2").agg(F.collect_set("instance").alias("instances")), "pii-found", tokens.count())  # as long as the text at most
-    if per.limit(1).count() == 0:
+    form = F.col("state") == 2
+    open_ = tokens.where("state is null or state = 2").where(form | (F.length(_digits(F.col("instance"))) >= 4) | F.col("instance").contains("@"))
+    new = open_.select("key1", "key2", "instance", F.coalesce(form, F.lit(False)).alias("form"), F.explode("contexts").alias("pattern")).join(light(chosen), "pattern", "left_semi")
+    found = stored(new.groupBy("key1", "key2", F.col("instance").alias("found")).agg(F.max("form").alias("form")), "pii-found", tokens.count())
+    if found.limit(1).count() == 0:
         return out.withColumn("more", none)
-    quoted = F.array_join(F.transform(F.sort_array("instances", asc=False), lambda x: F.concat(F.lit(r"\Q"), F.replace(x, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))), "|")
-    pattern = F.concat(F.lit(r"(?<![A-Za-z0-9])(?:"), quoted, F.lit(r")(?![A-Za-z0-9])"))
-    per = stored(per.select("key1", "key2", pattern.alias("pattern")), "pii-found", tokens.count())
-    out = out.withColumns(dict(zip(("key1", "key2"), text_key(F.col("text")), strict=True))).join(light(per), ["key1", "key2"], "left")
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    more = F.when(F.col("pattern").isNotNull(), F.filter(_matches(text, F.col("pattern"), len(KINDS)), free)).otherwise(none)
-    return out.withColumn("more", more).drop("key1", "key2", "pattern")
+    keys = ["key1", "key2"]
+    keyed = lambda df: df.withColumns(dict(zip(keys, text_key(F.col("text")), strict=True)))
+    texts = keyed(read.select("text")).join(light(found.select(*keys).distinct()), keys, "left_semi").groupBy(*keys).agg(F.first("text").alias("text"))
+    each = _located(texts).select(*keys, "word", "based", F.explode("candidates").alias("c")).select(*keys, "word", "based", "c.*")
+    hits = each.join(light(found), [*keys, "found"]).where(~F.col("based") | (F.col("whole") & F.col("form")))
+    span = F.struct(F.lit(len(KINDS)).alias("kind"), "start", "end", "found")
+    # Of a word the whole, or else its parts; of a text as many as it has.
+    per = hits.groupBy(*keys, "word").agg(F.max("whole").alias("any"), F.collect_list(F.struct("whole", span.alias("s"))).alias("c"))
+    per = per.select(*keys, F.transform(F.filter("c", lambda x: x["whole"] == F.col("any")), lambda x: x["s"]).alias("c")).groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("c"))).alias("more"))
+    per = stored(per, "pii-placed", tokens.count())
+    return keyed(out).join(light(per), keys, "left").drop(*keys).withColumn("more", F.coalesce(F.col("more").cast(_SPAN), none))
 
 
 def _named(s: Column) -> Column:
@@ -285,16 +386,23 @@ def mask(docs: DataFrame) -> DataFrame:
     s = spans(packed(docs).withColumn("doc_id", F.col("row_")["doc_id"]))
     every = F.array_sort(F.concat("base", "more"), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(b["end"] - a["end"]))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in (*KINDS, "other")])
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+    empty = F.array().cast("array<string>")
 
-    def put(a: Column, x: Column) -> Column:  # a span inside one that is masked already adds nothing
-        step = F.struct(
-            x["end"].alias("at"), F.concat(a["out"], F.array(F.substring(F.col("text"), a["at"] + 1, x["start"] - a["at"]), names[x["kind"]])).alias("out")
-        )
-        tail = F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out"))
-        return F.when(x["start"] >= a["at"], step).otherwise(tail)
+    def run(a: Column, spans_: Column) -> Column:  # the text of a run of spans is cut out once, and their masks put into that
+        last = F.greatest(a["at"], F.array_max(F.transform(spans_, lambda x: x["end"])))
+
+        def put(part: Column) -> Column:
+            def one(b: Column, x: Column) -> Column:  # a span inside one that is masked already adds nothing
+                before = F.substring(part, b["at"] - a["at"] + 1, x["start"] - b["at"])
+                return F.when(x["start"] >= b["at"], state(x["end"], F.concat(b["out"], F.array(before, names[x["kind"]])))).otherwise(state(F.greatest(b["at"], x["end"]), b["out"]))
+
+            return F.aggregate(spans_, state(a["at"], empty), one, lambda b: state(b["at"], F.concat(a["out"], F.array(F.array_join(b["out"], "")))))
+
+        return _let(F.substring(F.col("text"), a["at"] + 1, last - a["at"]), put)
 
-    masked = F.aggregate(every, zero, put, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    s = s.withColumn("runs_", _let(every, _runs))
+    masked = F.aggregate("runs_", state(F.lit(0), empty), run, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
     text = F.when(F.size(F.concat("base", "more")) > 0, masked).otherwise(F.col("text"))
     s = s.withColumn("masked_", text)  # a step of its own: a new text must not be read in place of the old one
     changed = {"text": F.col("masked_")}
