@@ -1,7 +1,7 @@
 """Divergence of the sources of a language: which differ, how much, and by which terms. In whole numbers throughout.
 
-Terms are counted once per (lang, source, term), with the documents that hold them, by aggregation that begins before the
-shuffle. Those of a language that LEAST of its documents hold are kept, and each becomes one row with a wide vector: its counts by
+Terms are counted once per (lang, source, term), with the documents that hold them, first by each task over the rows it reads, then
+by sums before and after the shuffle. Those of a language that LEAST of its documents hold are kept, and each becomes one row with a wide vector: its counts by
 source, in the order of the language's sources. Higher-order functions turn the vector into smoothed frequencies in billionths, emit
 the absolute difference of every two sources as one row each, and sums begin before the shuffle again, so what moves is a row
 per task and pair of sources. Terms that are more frequent in a source than in its language are ranked by a window whose limit is applied
@@ -17,34 +17,71 @@ The vectors of a language have an entry per source, and pairs are as many as the
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beamlake.llm.common import light, stored
 
 #: A term is a run of ASCII letters and of anything beyond ASCII; only A to Z are lower-cased.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+_BETWEEN = re.compile(r"[\x00-\x40\x5B-\x60\x7B-\x7F]")
+_LOWER = {i: i + 32 for i in range(65, 91)}
 #: Documents of a language that hold a kept term at least; terms per source that are returned.
 LEAST, TERMS = 30, 50
 SCALE, SMOOTH = 1_000_000_000, 5
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Characters of a text whose terms are listed at a time; counts that a task holds before it passes them on.
+PIECE, HELD = 1 << 20, 200_000
+_COUNTS = {"lang": pa.string(), "source": pa.string(), "term": pa.string(), "n": pa.int64(), "n_docs": pa.int64()}
 
 
-def terms_of(text: Column) -> Column:
-    """The terms of a text, in order."""
-    ascii_only = F.length(text) == F.octet_length(text)
-    low = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
-    return F.regexp_extract_all(low, F.lit(TERM), F.lit(0))
+def terms_of(text: str) -> Counter:
+    """The terms of a text and how often each occurs. A long text is read in pieces that end between terms."""
+    text = text.lower() if text.isascii() else text.translate(_LOWER)
+    found: Counter = Counter()
+    at = 0
+    while at < len(text):
+        end = _BETWEEN.search(text, at + PIECE)
+        to = end.start() if end else len(text)
+        found.update(TERM.findall(text, at, to))
+        at = to
+    return found
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences) and n_docs, of docs(lang, source, text)."""
-    words = docs.select("lang", "source", F.array_sort(terms_of(F.col("text"))).alias("t"))
-    # Sorted, a term's first occurrence in a document differs from the one before.
-    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), "t"), F.lit(1), F.size("t"))
-    marked = F.zip_with("t", before, lambda x, b: F.struct(x.alias("term"), F.when(x == b, 0).otherwise(1).alias("first")))
-    each = words.select("lang", "source", F.explode(marked).alias("w"))
-    return each.groupBy("lang", "source", F.col("w.term").alias("term")).agg(F.count("*").alias("n"), F.sum("w.first").alias("n_docs"))
+    """lang, source, term, n (occurrences) and n_docs, of docs(lang, source, text).
+
+    A task adds up what its rows hold and passes on at most about HELD counts at a time, which are summed before and after the shuffle."""
+
+    def batch(held: dict) -> pa.RecordBatch:
+        rows = [(lang, source, term, n, k) for (lang, source), (terms, in_docs) in held.items() for (term, n), k in zip(terms.items(), in_docs.values(), strict=True)]
+        cols = zip(*rows, strict=True) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _COUNTS.values(), strict=True)], names=list(_COUNTS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        size = 0
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                for lang, source, text in zip(*(b.column(i).slice(at, 256).to_pylist() for i in range(3)), strict=True):
+                    terms, in_docs = held.setdefault((lang, source), (Counter(), Counter()))
+                    size -= len(terms)
+                    own = terms_of(text)
+                    terms.update(own)
+                    in_docs.update(own.keys())  # in the same order: what is new to one is new to the other
+                    size += len(terms)
+                    if size >= HELD:
+                        yield batch(held)
+                        held, size = {}, 0
+            del b
+        yield batch(held)
+
+    each = docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, n long, n_docs long")
+    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
 
 
 def _frequency(count: Column, total: Column, kept: Column) -> Column:
