@@ -35,21 +35,18 @@ _LOWER = {i: i + 32 for i in range(65, 91)}
 LEAST, TERMS = 30, 50
 SCALE, SMOOTH = 1_000_000_000, 5
 #: Characters of a text whose terms are listed at a time; counts that a task holds before it passes them on.
-PIECE, HELD = 1 << 20, 200_000
-_COUNTS = {"lang": pa.string(), "source": pa.string(), "term": pa.string(), "n": pa.int64(), "n_docs": pa.int64()}
+PIECE, HELD = 1 << 20, 400_000
 
 
-def terms_of(text: str) -> Counter:
-    """The terms of a text and how often each occurs. A long text is read in pieces that end between terms."""
+def terms_of(text: str) -> Iterator[list[str]]:
+    """The terms of a text, in lists; a long text is read in pieces that end between terms."""
     text = text.lower() if text.isascii() else text.translate(_LOWER)
-    found: Counter = Counter()
     at = 0
     while at < len(text):
         end = _BETWEEN.search(text, at + PIECE)
         to = end.start() if end else len(text)
-        found.update(TERM.findall(text, at, to))
+        yield TERM.findall(text, at, to)
         at = to
-    return found
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -57,10 +54,12 @@ def counts(docs: DataFrame) -> DataFrame:
 
     A task adds up what its rows hold and passes on at most about HELD counts at a time, which are summed before and after the shuffle."""
 
-    def batch(held: dict) -> pa.RecordBatch:
-        rows = [(lang, source, term, n, k) for (lang, source), (terms, in_docs) in held.items() for (term, n), k in zip(terms.items(), in_docs.values(), strict=True)]
-        cols = zip(*rows, strict=True) if rows else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _COUNTS.values(), strict=True)], names=list(_COUNTS))
+    def batch(held: dict) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (terms, in_docs) in held.items():
+            n = len(terms)
+            same = [pa.repeat(pa.scalar(x, pa.string()), n) for x in (lang, source)]
+            cols = [*same, pa.array(terms.keys(), pa.string()), pa.array(terms.values(), pa.int64()), pa.array(map(in_docs.__getitem__, terms), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["lang", "source", "term", "n", "n_docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
@@ -70,15 +69,17 @@ def counts(docs: DataFrame) -> DataFrame:
                 for lang, source, text in zip(*(b.column(i).slice(at, 256).to_pylist() for i in range(3)), strict=True):
                     terms, in_docs = held.setdefault((lang, source), (Counter(), Counter()))
                     size -= len(terms)
-                    own = terms_of(text)
-                    terms.update(own)
-                    in_docs.update(own.keys())  # in the same order: what is new to one is new to the other
+                    own: set[str] = set()
+                    for some in terms_of(text):
+                        terms.update(some)
+                        own.update(some)
+                    in_docs.update(own)
                     size += len(terms)
                     if size >= HELD:
-                        yield batch(held)
+                        yield from batch(held)
                         held, size = {}, 0
             del b
-        yield batch(held)
+        yield from batch(held)
 
     each = docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, n long, n_docs long")
     return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
