@@ -38,20 +38,23 @@ class Index:
     entry: int
 
 
-def beam(table: np.ndarray, codes: np.ndarray, offsets: np.ndarray, targets: np.ndarray, entry: int, cfg: SearchConfig, size: int | None = None):
+def beam(table: np.ndarray, codes: np.ndarray, offsets: np.ndarray, targets: np.ndarray, entry: int | np.ndarray, cfg: SearchConfig, size: int | None = None):
     """One query over places (not ids): expanded places with distances in order, the final list, and counters.
 
-    size: the query's own list size, where it has one.
+    size: the query's own list size, where it has one. entry: the place, or places, where the search begins.
 
     table: m x centroids distances of the query; vertex p's neighbors are targets[offsets[p]:offsets[p + 1]].
     Places are in the order of ids, so ties go to the smaller id.
     """
     m, size = np.arange(table.shape[0]), size or cfg.l_size
     seen = np.zeros(len(codes), dtype=bool)
-    seen[entry] = True
-    place, dist, visited = np.array([entry]), np.array([int(table[m, codes[entry]].sum())]), np.array([False])
+    first = np.atleast_1d(entry)
+    seen[first] = True
+    near = table[m, codes[first]].sum(axis=1)
+    keep = np.lexsort((first, near))[:size]
+    place, dist, visited = first[keep], near[keep], np.zeros(len(keep), bool)
     expanded: list[tuple[int, int]] = []
-    n_new, n_dup = 1, 0
+    n_new, n_dup = len(first), 0
     while not visited.all():
         if cfg.max_hops is not None and len(expanded) >= cfg.max_hops:
             break

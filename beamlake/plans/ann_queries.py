@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from beamlake.config import DEGREE, K, RERANK, SearchConfig
 from beamlake.functions import dsp, energy
 from beamlake.functions.vector import address, address_parts
-from beamlake.operators import build, graph, pq, resume, stats
+from beamlake.operators import build, cells, graph, pq, resume, shards, stats, store
 from beamlake.operators import search as s
 from beamlake.operators.mutate import compact, delete_vectors, insert_vectors, is_delta, merge_delta, pruned, without_deleted
 from beamlake.operators.tables import shared_dir, stored
@@ -32,8 +32,13 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+def _stored(spark: SparkSession, sf_dir: str, n_shards: int = 1) -> store.Stored:
+    """The stored index of the table: the first query that asks for it builds it, all others load it."""
+    return store.open_index(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda: build.base_vectors(spark, sf_dir), n_shards=n_shards)
+
+
 def _index(spark: SparkSession, sf_dir: str) -> s.Index:
-    return build.build_index(build.base_vectors(spark, sf_dir))
+    return _stored(spark, sf_dir).index()
 
 
 # -- vectors and exact search ------------------------------------------------------------------------------
@@ -138,6 +143,21 @@ def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edges(graph.knn_graph(build.base_vectors(spark, sf_dir), DEGREE))
 
 
+@query
+def cell_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbour graph by partition trees. Up to cells.LEAF rows it is the exact one, as its SQL is; beyond, its recall is tested."""
+    return graph.edges(cells.cell_graph(build.base_vectors(spark, sf_dir), DEGREE))
+
+
+@query
+def index_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stored index says of itself, next to what its rows are."""
+    i = _stored(spark, sf_dir)
+    n = i.rows.agg(F.count("*").alias("rows"), F.sum(F.size("neighbors")).alias("edges"), F.countDistinct("shard").alias("shards"), F.min("vec_id").alias("entry"))
+    same = (F.col("entry") == i.manifest["entry"]) & (F.col("rows") == i.manifest["vectors"])
+    return n.select(F.lit(i.manifest["generation"]).cast("bigint").alias("generation"), F.lit(i.manifest["vectors"]).cast("bigint").alias("vectors"), "edges", "shards", "entry", same.alias("agrees"))
+
+
 @query
 def graph_in_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.in_degree(stored(graph.knn_graph(build.base_vectors(spark, sf_dir), DEGREE), "graph"))
@@ -170,6 +190,10 @@ def address_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.withColumns(address_parts(F.col("address")))
 
 
+#: Shards of the index that is searched by scatter and gather.
+SHARDS = 4
+
+
 # -- search ------------------------------------------------------------------------------------------------
 
 
@@ -218,6 +242,21 @@ def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir, l_size=20, m=32)
 
 
+@query
+def ann_topk_sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four shards, each searched by one task for all queries; approximate, tested against exact search."""
+    i = _stored(spark, sf_dir, SHARDS)
+    return shards.search_rows(build.query_vectors(spark, sf_dir), i.rows, SHARDS, i.mean, i.books[32], SearchConfig(l_size=20, m=32), not_self=True)
+
+
+@query
+def ann_tombstones_sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With every row of a shard on its list, a search finds all it can reach: the exact results among what is not deleted."""
+    i, q = _stored(spark, sf_dir, SHARDS), build.query_vectors(spark, sf_dir)
+    every = SearchConfig(l_size=i.manifest["vectors"], m=16, max_expanded=i.manifest["vectors"])
+    return shards.search_rows(q, i.rows, SHARDS, i.mean, i.books[16], every, not_self=True, deleted=_dead(spark, sf_dir))
+
+
 @query
 def partial_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir, l_size=20, m=16, rerank="partial")

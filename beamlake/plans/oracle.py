@@ -192,6 +192,11 @@ def oracle_sql() -> dict[str, str]:
   FROM (SELECT query_id, vec_id, {_score("code", m)} AS dist FROM t{m} CROSS JOIN code{m})) WHERE rank <= 10""",
         )
     q["knn_graph"] = _with(_VECTORS, _GRAPH, rest="SELECT src, slot, dst FROM edge")
+    q["cell_graph"] = q["knn_graph"]
+    q["index_manifest"] = _with(
+        _VECTORS, _GRAPH,
+        rest="""SELECT CAST(1 AS BIGINT) AS generation, (SELECT count(*) FROM base) AS vectors, (SELECT count(*) FROM edge) AS edges, CAST(1 AS BIGINT) AS shards, (SELECT min(vec_id) FROM base) AS entry, true AS agrees""",
+    )
     q["graph_in_degree"] = _with(_VECTORS, _GRAPH, rest="SELECT vec_id, count(dst) AS in_degree FROM base LEFT JOIN edge ON dst = vec_id GROUP BY vec_id")
     q["reverse_edges"] = _with(_VECTORS, _GRAPH, rest="SELECT dst AS vec_id, CAST(row_number() OVER (PARTITION BY dst ORDER BY src) - 1 AS INTEGER) AS slot, src FROM edge")
     q["graph_reachable"] = "WITH RECURSIVE" + ",".join([_VECTORS, _GRAPH]) + """,
@@ -251,6 +256,7 @@ lng AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER
 FROM (SELECT user_id, 1 + sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS attempts FROM events GROUP BY user_id)"""
     left = _EXACT.replace("WHERE base.vec_id <> query_id", "WHERE base.vec_id <> query_id AND base.vec_id % 7 <> 0")
     q["delete_tombstones"] = q["delta_scan"] = _with(_VECTORS, left, rest="SELECT * FROM exact")
+    q["ann_tombstones_sharded"] = q["delete_tombstones"]
     q["ann_tombstones"] = _search(32, 20, _TOP, _rerank(f"SELECT * FROM ({_ALL}) WHERE vec_id % 7 <> 0"))
     q["commit_restore"] = q["exact_knn"]
     # Of the parts 0 to 3 by query number, the run is stopped while at work on the third.

@@ -1,99 +1,35 @@
 """Headerless little-endian arrays: codebooks, means, vectors, neighbor lists, codes, queries, ground truth.
 
 A file may come in parts, each of whole rows. A row's id is its position, so parts follow each other in the order of their
-names, where digits count as numbers: VEC.2 comes before VEC.10. Files up to RANGE_BYTES are read with binaryFile; where there
-are larger ones, all are read by ranges of whole rows, so that no task holds a file. Writing makes parts of PART_ROWS rows.
+names, where digits count as numbers: VEC.2 comes before VEC.10. Both ways go through the data source of device.py: tasks read ranges of
+whole rows, and write parts in the order of their keys.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beamlake.config import CENTROIDS, DEGREE, DIM
-from beamlake.sources.files import FileStore
+from beamlake.sources import device
+from beamlake.sources.device import LAYOUTS
 
+__all__ = ["LAYOUTS", "codebook", "codes", "fake_ring", "read", "to_bytes", "write"]
 
-#: Bytes of a file up to which one task reads it whole; rows of a part that is written.
+#: Bytes of a range that one task reads; rows of a part that is written.
 RANGE_BYTES, PART_ROWS = 64 << 20, 1_000_000
 
 
-@dataclass(frozen=True)
-class Layout:
-    """dtype and elements of a row; id and value columns and the Spark type of an element."""
-
-    dtype: str
-    width: int
-    key: str
-    value: str
-    kind: str
-
-
-#: Element types and row widths of the input files.
-LAYOUTS = {
-    "MEAN": Layout("<i2", DIM, "row", "mean", "int"),
-    "VEC": Layout("<i2", DIM, "vec_id", "vec", "int"),
-    "QUERY": Layout("<i2", DIM, "query_id", "vec", "int"),
-    "NEIGHBOR": Layout("<u4", DEGREE, "vec_id", "neighbors", "bigint"),
-    "PQCODE": Layout("u1", 16, "vec_id", "pq16", "smallint"),
-    "LONG": Layout("u1", 32, "vec_id", "pq32", "smallint"),
-    "GT": Layout("<u4", 10, "query_id", "dists", "bigint"),
-    "CODEBOOK": Layout("<i2", 4, "cell", "c", "int"),
-    "LONGBOOK": Layout("<i2", 2, "cell", "c", "int"),
-}
-
-
 def read(spark: SparkSession, path: str, name: str) -> DataFrame:
     """Rows of a file, or of a folder of parts, with their positions as ids."""
-    lay = LAYOUTS[name]
-    size = np.dtype(lay.dtype).itemsize * lay.width
-    files = spark.read.format("binaryFile").load(path)
-    natural = lambda p: [(int(x), "") if x.isdigit() else (-1, x) for x in re.split(r"(\d+)", p["path"].rsplit("/", 1)[1])]
-    parts = sorted(files.select("path", "length").collect(), key=natural)  # one row per file
-    for p in parts:
-        if p["length"] % size:
-            raise ValueError(f"{p['path']} does not hold whole rows of {size} bytes")
-    starts, at = {}, 0
-    for p in parts:
-        starts[p["path"]] = at
-        at += p["length"] // size
-    if any(p["length"] > RANGE_BYTES for p in parts):
-        return _ranges(spark, lay, size, starts)
+    return device.read(spark, path, name, RANGE_BYTES)
 
-    def run(batches):
-        kind = {"int": pa.int32(), "bigint": pa.int64(), "smallint": pa.int16()}[lay.kind]
-        for b in batches:
-            for where, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = np.frombuffer(blob.as_buffer(), dtype=lay.dtype)
-                for i in range(0, len(x), 65536 * lay.width):
-                    flat = pa.array(x[i : i + 65536 * lay.width].astype(np.int64)).cast(kind)
-                    n = len(flat) // lay.width
-                    first = starts[where] + i // lay.width
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, lay.width), pa.int32()), flat)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + n), pa.int64()), lists], names=[lay.key, lay.value])
 
-    return files.select("path", "content").mapInArrow(run, f"{lay.key} bigint, {lay.value} array<{lay.kind}>")
-
-
-def _ranges(spark: SparkSession, lay: Layout, size: int, starts: dict[str, int]) -> DataFrame:
-    """The same rows by Hadoop's reader of fixed-length records, which splits files and numbers records by their place."""
-    key = "org.apache.spark.input.FixedLengthBinaryInputFormat"
-    conf = {f"{key}.recordLength": str(size)}
-    out = None
-    for where, first in starts.items():
-
-        def rows(it, first=first):
-            for place, data in it:
-                yield first + place, np.frombuffer(data, dtype=lay.dtype).tolist()
-
-        one = spark.sparkContext.newAPIHadoopFile(where, key, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf).mapPartitions(rows)
-        out = one if out is None else out.union(one)
-    return spark.createDataFrame(out, f"{lay.key} bigint, {lay.value} array<{lay.kind}>")
+def write(df: DataFrame, name: str, path: str) -> None:
+    """Rows in the order of their key, in parts of at most PART_ROWS under `path`."""
+    device.write(df, name, path, PART_ROWS * device.row_bytes(LAYOUTS[name]))
 
 
 def codebook(cells: DataFrame) -> DataFrame:
@@ -118,27 +54,6 @@ def to_bytes(df: DataFrame, name: str) -> DataFrame:
     return df.select(lay.key, lay.value).mapInArrow(run, "id bigint, bytes binary")
 
 
-def write(df: DataFrame, name: str, path: str) -> None:
-    """Rows in the order of their key, in parts under `path`: the files of a device, which are one stream of bytes.
-
-    That stream goes through the driver, a partition at a time; it is meant for indexes that fit a device."""
-    store, part, at, held = FileStore(df.sparkSession), 0, 0, []
-    store.mkdirs(path)
-
-    def flush() -> None:
-        nonlocal part, at, held
-        store.write_bytes(f"{path}/{name}.{part:05d}.BIN", b"".join(held))
-        part, at, held = part + 1, 0, []
-
-    for r in to_bytes(df, name).orderBy("id").toLocalIterator():
-        held.append(bytes(r["bytes"]))
-        at += 1
-        if at == PART_ROWS:
-            flush()
-    if held:
-        flush()
-
-
 def fake_ring(spark: SparkSession, n: int = 100) -> dict[str, DataFrame]:
     """Identity workload: element d of every vector is d, vertex i points to the next DEGREE vertices, code s is s."""
     ids = spark.range(n).withColumnRenamed("id", "vec_id")
