@@ -78,10 +78,6 @@ def steps(levels: list[list[str]]) -> list[tuple[list[str], list[str]]]:
     return out
 
 
-def _own_levels(total: int) -> int:
-    return min(LEVELS, height(total))
-
-
 def _blocks(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("block", F.floor(F.col("pos") / F.lit(FAN**LEVELS)).cast("long")).groupBy("source", "block")
 
@@ -92,10 +88,11 @@ def _ordered(t: pa.Table) -> pa.Table:
 
 def _reduced(nodes: DataFrame) -> DataFrame:
     """source, pos, node, total of the nodes above blocks of nodes(source, pos, node, total)."""
+    levels = LEVELS
 
     def run(t: pa.Table) -> pa.Table:
         t, total = _ordered(t), t.column("total")[0].as_py()
-        n = _own_levels(total)
+        n = min(levels, height(total))
         (top,) = grown(t.column("node").to_pylist(), n)[-1]
         left = [-(-total // FAN**n)]
         return pa.table({"source": t.column("source").slice(0, 1), "pos": t.column("block").slice(0, 1), "node": pa.array([top], pa.string()), "total": pa.array(left, pa.int64())})
@@ -106,11 +103,11 @@ def _reduced(nodes: DataFrame) -> DataFrame:
 def _within(nodes: DataFrame) -> DataFrame:
     """nodes with block and path, the steps up to the block's node."""
     schema = wider(nodes, block=T.LongType(), path=T.ArrayType(_STEP))
-    names = schema.names[:-1]
+    names, levels = schema.names[:-1], LEVELS
 
     def run(t: pa.Table) -> pa.Table:
         t = _ordered(t.select(names))
-        n = _own_levels(t.column("total")[0].as_py())
+        n = min(levels, height(t.column("total")[0].as_py()))
         up = steps(grown(t.column("node").to_pylist(), n))
         first = t.column("pos")[0].as_py()
         at = [p - first for p in t.column("pos").to_pylist()]
