@@ -74,8 +74,9 @@ class _Shard:
         return matrix(pa.chunked_array([self.vecs.take(pa.array(places))]))
 
 
-def search_rows(queries: DataFrame, rows: DataFrame, n_shards: int, mean: np.ndarray, book: np.ndarray, cfg: SearchConfig, not_self: bool = False, deleted: DataFrame | None = None) -> DataFrame:
-    """query_id, rank, vec_id, dist_sq of the k nearest found of queries(query_id, vec) in rows, a table of ROWS whose shards are 0 to n_shards - 1.
+def search_rows(queries: DataFrame, rows: DataFrame, n_shards: int, mean: np.ndarray, book: np.ndarray, cfg: SearchConfig, not_self: bool = False, deleted: DataFrame | None = None, mine: list[int] | None = None) -> DataFrame:
+    """query_id, rank, vec_id, dist_sq of the k nearest found of queries(query_id, vec) in rows, a table of ROWS dealt to n_shards, which holds the
+    shards `mine`, or all.
 
     What is ranked exactly is cfg.rerank's choice (full, partial or list). deleted(vec_id): rows that are walked through and never returned."""
     if cfg.rerank == "two_stage":
@@ -115,7 +116,7 @@ def search_rows(queries: DataFrame, rows: DataFrame, n_shards: int, mean: np.nda
     found = None
     for nth in range(passes):
         block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == nth)
-        spread = block.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))  # every query to every shard: the scatter
+        spread = block.withColumn("shard", F.explode(F.lit(list(range(n_shards)) if mine is None else mine)))  # every query to every shard: the scatter
         if deleted is not None:  # tombstones go to their shard as well, so the index's own rows stay where they are
             nothing = [F.lit(None).cast(t).alias(c) for c, t in asked.dtypes[:3]]
             spread = spread.unionByName(deleted.select(*nothing, F.col("vec_id").alias("dead"), shard_of(n_shards).alias("shard")))

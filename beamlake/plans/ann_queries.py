@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import uuid
 from collections.abc import Callable
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from beamlake.config import DEGREE, K, RERANK, SearchConfig
 from beamlake.functions import dsp, energy
 from beamlake.functions.vector import address, address_parts
-from beamlake.operators import build, cells, graph, pq, resume, shards, stats, store
+from beamlake.operators import build, cells, generations, graph, pq, resume, shards, stats, store
 from beamlake.operators import search as s
 from beamlake.operators.mutate import compact, delete_vectors, insert_vectors, is_delta, merge_delta, pruned, without_deleted
 from beamlake.operators.tables import shared_dir, stored
@@ -470,6 +471,59 @@ def delta_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.search_with_delta(build.query_vectors(spark, sf_dir), index, delta, SearchConfig(l_size=40, m=32), _dead(spark, sf_dir), not_self=True)
 
 
+def _lower(spark: SparkSession, sf_dir: str) -> tuple[store.IndexStore, store.Stored, DataFrame]:
+    """A new store that begins with the stored index of the lower half, that generation, and the vectors of the upper half."""
+    base, delta = _halves(spark, sf_dir)
+    i = store.open_index(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda: base, "lower", n_shards=SHARDS)
+    st = store.IndexStore(spark, f"{shared_dir(spark)}/lower-{uuid.uuid4().hex}")
+    st.adopt(i)
+    return st, st.load(), delta
+
+
+def _every(i: store.Stored, m: int = 16, more: int = 0) -> SearchConfig:
+    """With all of a shard on its list, a search finds whatever can be reached."""
+    n = i.manifest["vectors"] + more
+    return SearchConfig(l_size=n, m=m, max_expanded=n)
+
+
+@query
+def delta_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base index and delta index, each by its own graph, without tombstones; approximate, tested against exact search."""
+    _, base, delta = _lower(spark, sf_dir)
+    beside = generations.build_delta(store.IndexStore(spark, f"{shared_dir(spark)}/delta-{uuid.uuid4().hex}"), base, delta)
+    return generations.search_both(build.query_vectors(spark, sf_dir), base, beside, SearchConfig(l_size=40, m=32), not_self=True, deleted=_dead(spark, sf_dir))
+
+
+@query
+def merged_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The delta merged into the base's shards: every row is reached, so the results are the exact ones."""
+    st, base, delta = _lower(spark, sf_dir)
+    merged = generations.merge(st, base, delta)
+    return generations.search(build.query_vectors(spark, sf_dir), merged, _every(merged), not_self=True)
+
+
+@query
+def merged_index_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a merged index: rows, rows of the delta that no list or route leads to, edges that lead nowhere or out of their shard, and lists that are too long."""
+    st, base, delta = _lower(spark, sf_dir)
+    r = stored(generations.merge(st, base, delta).rows, "merged")
+    e = stored(r.select("shard", F.col("vec_id").alias("src"), F.explode(F.concat("neighbors", "routes")).alias("dst")), "edges")
+    ends = e.join(r.select(F.col("vec_id").alias("dst"), F.col("shard").alias("to")), "dst", "left")
+    lost = delta.join(r.where("entry").select("vec_id").union(e.select("dst")), "vec_id", "left_anti")
+    one = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n")
+    parts = [one("rows", r), one("lost", lost), one("astray", ends.where("to is null or to <> shard")), one("long", r.where(F.size("neighbors") > DEGREE)), one("self", e.where("src = dst"))]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query
+def compacted_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index rewritten without its tombstones: the exact results among the rows that are left."""
+    st, base, delta = _lower(spark, sf_dir)
+    merged = generations.merge(st, base, delta)
+    small, left = generations.compact(st, merged, _dead(spark, sf_dir), bound=0.0)
+    return generations.search(build.query_vectors(spark, sf_dir), small, _every(small), not_self=True, deleted=left)
+
+
 @query
 def compact_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checks of an index rewritten without its tombstones, and its number of vectors."""

@@ -256,7 +256,9 @@ lng AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER
 FROM (SELECT user_id, 1 + sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS attempts FROM events GROUP BY user_id)"""
     left = _EXACT.replace("WHERE base.vec_id <> query_id", "WHERE base.vec_id <> query_id AND base.vec_id % 7 <> 0")
     q["delete_tombstones"] = q["delta_scan"] = _with(_VECTORS, left, rest="SELECT * FROM exact")
-    q["ann_tombstones_sharded"] = q["delete_tombstones"]
+    q["ann_tombstones_sharded"] = q["compacted_index_search"] = q["delete_tombstones"]
+    q["merged_index_search"] = q["exact_knn"]
+    q["merged_index_edges"] = _with(_VECTORS, rest="SELECT 'rows' AS \"check\", count(*) AS n FROM base UNION ALL SELECT unnest(['lost', 'astray', 'long', 'self']), 0")
     q["ann_tombstones"] = _search(32, 20, _TOP, _rerank(f"SELECT * FROM ({_ALL}) WHERE vec_id % 7 <> 0"))
     q["commit_restore"] = q["exact_knn"]
     # Of the parts 0 to 3 by query number, the run is stopped while at work on the third.

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beamlake.config import SearchConfig
-from beamlake.operators import cells, graph, pq, shards, store
+from beamlake.operators import cells, generations, graph, pq, shards, store
 from beamlake.operators import search as s
 from beamlake.sources import device
 
@@ -161,6 +161,9 @@ def test_generations_are_flipped_in_one_step(spark, built, tmp_path):
     assert st.load().rows.count() == 100 and st.load(1).rows.count() == 600
     with pytest.raises(RuntimeError):  # a writer that began from the first generation comes too late
         st.publish(fewer, src.mean, src.books, 1, 0, after=1)
+    fork = store.IndexStore(spark, f"file://{tmp_path}/fork")
+    fork.adopt(st.load())
+    assert fork.load().rows.count() == 100 and fork.generations() == [1] and not [n for n in os.listdir(tmp_path / "fork") if n.startswith("rows")]
     os.makedirs(f"{tmp_path}/g/rows-unpublished")  # what a writer that died has left is never read
     assert st.load().manifest["generation"] == 2
 
@@ -181,6 +184,82 @@ def test_an_index_is_built_once_for_its_files(spark, tmp_path):
     assert store.open_index(spark, again, lambda: again, degree=8).manifest["vectors"] == 85
 
 
+@pytest.fixture
+def halves(spark, tmp_path):
+    x = clustered(600)
+    base, new = frame(spark, x[:400]).cache(), frame(spark, x[400:], 400).cache()
+    st = store.IndexStore(spark, f"file://{tmp_path}/base")
+    st.build(base, degree=16, n_shards=3)
+    return base, new, st, frame(spark, x).where("vec_id % 25 = 0").withColumnRenamed("vec_id", "query_id")
+
+
+def exact(q, v, dead=None):
+    left = v if dead is None else v.join(dead, "vec_id", "left_anti")
+    return sorted(map(tuple, s.exact_search(q, left, 10, not_self=True).collect()))
+
+
+def same(df):
+    return sorted(map(tuple, df.collect()))
+
+
+EVERY = SearchConfig(l_size=600, m=16, degree=16, max_expanded=600)
+
+
+def test_delta_index_is_searched_by_its_graph(spark, tmp_path, halves):
+    base, new, st, q = halves
+    main = st.load()
+    delta = generations.build_delta(store.IndexStore(spark, f"file://{tmp_path}/delta"), main, new, degree=16)
+    assert np.array_equal(delta.books[32], main.books[32])
+    truth = s.exact_search(q, base.unionByName(new), 10, not_self=True)
+    got = generations.search_both(q, main, delta, SearchConfig(l_size=40, m=32, degree=16), not_self=True)
+    assert np.mean([r.recall for r in s.recall(got, truth, 10).collect()]) >= 0.9
+    dead = base.unionByName(new).where("vec_id % 3 = 0").select("vec_id")
+    assert same(generations.search_both(q, main, delta, EVERY, not_self=True, deleted=dead)) == exact(q, base.unionByName(new), dead)
+    with pytest.raises(ValueError):
+        generations.build_delta(store.IndexStore(spark, f"file://{tmp_path}/twice"), main, base.limit(3))
+
+
+def test_merge_links_both_ways_and_equals_a_rebuild_in_recall(spark, halves, tmp_path):
+    base, new, st, q = halves
+    merged = generations.merge(st, st.load(), new, degree=16)
+    both = base.unionByName(new)
+    assert merged.manifest["generation"] == 2 and merged.manifest["vectors"] == 600 and st.load(1).rows.count() == 400
+    rows = {r.vec_id: r for r in merged.rows.collect()}
+    assert len(rows) == 600 and all(len(r.neighbors) <= 16 for r in rows.values())
+    into = {o for r in rows.values() for o in (*r.neighbors, *r.routes)}
+    assert all(v in into or rows[v].entry for v in range(400, 600)) and all(rows[o].shard == r.shard for r in rows.values() for o in r.neighbors)
+    assert same(generations.search(q, merged, EVERY, not_self=True)) == exact(q, both)
+    again = store.IndexStore(spark, f"file://{tmp_path}/again")
+    again.build(both, degree=16, n_shards=3)
+    truth, cfg = s.exact_search(q, both, 10, not_self=True), SearchConfig(l_size=40, m=32, degree=16)
+    recalls = [np.mean([r.recall for r in s.recall(generations.search(q, i, cfg, not_self=True), truth, 10).collect()]) for i in (merged, again.load())]
+    assert recalls[0] >= 0.9 and recalls[0] >= recalls[1] - 0.05
+    one = new.limit(1).withColumn("vec_id", F.lit(5000).cast("bigint"))
+    third = generations.merge(st, merged, one, degree=16)
+    assert len(third.manifest["parts"]) == 2 and sum(len(p["shards"]) for p in third.manifest["parts"]) == 3  # one shard anew, two as they are
+    with pytest.raises(RuntimeError):
+        generations.merge(st, merged, one)  # made from a generation that is no longer the newest
+
+
+def test_compaction_leaves_clean_shards_as_they_are(spark, halves):
+    base, _, st, q = halves
+    first = st.load()
+    shard = {r.vec_id: r.shard for r in first.rows.collect()}
+    dead = spark.createDataFrame([(v,) for v, k in shard.items() if (k == 1 and v % 2) or (k == 2 and v % 40 == 0)], "vec_id bigint")
+    small, left = generations.compact(st, first, dead, degree=16)
+    assert sorted(r.vec_id for r in left.collect()) == sorted(v for v, k in shard.items() if k == 2 and v % 40 == 0)
+    kept, new = small.manifest["parts"]
+    assert kept == {"rows": first.manifest["parts"][0]["rows"], "shards": [0, 2]} and new["shards"] == [1]
+    assert same(generations.search(q, small, EVERY, not_self=True, deleted=left)) == exact(q, base, dead)
+    assert same(small.rows.where("shard <> 1")) == same(first.rows.where("shard <> 1"))
+    gone = {v for v, k in shard.items() if k == 1 and v % 2}
+    assert all(not gone & {*r.neighbors, *r.routes} for r in small.rows.where("shard = 1").collect())
+    unchanged, rest = generations.compact(st, small, left, degree=16)
+    assert unchanged is small and rest.count() == left.count()
+    empty, _ = generations.compact(st, small, base.select("vec_id"), degree=16)
+    assert empty.rows.count() == 0 and generations.search(q, empty, EVERY).count() == 0
+
+
 # -- device files -------------------------------------------------------------------------------------------
 
 
