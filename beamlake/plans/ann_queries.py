@@ -16,6 +16,7 @@ from beamlake.functions import dsp, energy
 from beamlake.functions.vector import address, address_parts
 from beamlake.operators import build, cells, generations, graph, pq, resume, shards, stats, store
 from beamlake.operators import search as s
+from beamlake.operators.asof import asof_join
 from beamlake.operators.mutate import compact, delete_vectors, insert_vectors, is_delta, merge_delta, pruned, without_deleted
 from beamlake.operators.tables import shared_dir, stored
 from beamlake.sources import binary
@@ -337,6 +338,28 @@ def gear_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _at_arrival(spark: SparkSession, sf_dir: str, by: list[str]) -> DataFrame:
+    """Purchases are arrivals; every other event is a sample. To each arrival the last sample, and the gear that its voltage allows."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    arrivals = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    samples = _samples(spark, sf_dir).join(e.where("event_type <> 'purchase'").select("event_id"), "event_id", "left_semi")
+    samples = samples.select(F.col("event_id").alias("sample_id"), *by, "ts", "voltage")
+    found = asof_join(arrivals, samples, "ts", "sample_id", by)
+    return found.select("event_id", "sample_id", "voltage", energy.adaptive_gear(F.coalesce("voltage", F.lit(3.1))).alias("gear"))
+
+
+@query
+def gear_at_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the last sample of the arrival's user."""
+    return _at_arrival(spark, sf_dir, ["user_id"])
+
+
+@query
+def gear_at_arrival_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the last sample of anyone: one key for all rows."""
+    return _at_arrival(spark, sf_dir, [])
+
+
 def _gear_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query with the highest voltage that events of the user of its number show."""
     v = _samples(spark, sf_dir).groupBy(F.col("user_id").alias("query_id")).agg(F.max("voltage").alias("voltage"))

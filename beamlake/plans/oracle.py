@@ -247,6 +247,14 @@ lng AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER
     q["voltage_from_raw"] = _with(_RAW, rest="SELECT event_id, raw, voltage FROM volt")
     q["gear_select"] = _with(_RAW, rest=f"SELECT event_id, energy_uj, budget, {_GEAR} AS gear FROM bud")
     q["gear_search_config"] = _with(_VECTORS, _RAW, _PER_QUERY, rest="SELECT query_id, voltage, gear, l_size, m FROM qg JOIN gears USING (gear)")
+    for name, by in (("gear_at_arrival", "a.user_id = s.user_id AND "), ("gear_at_arrival_of_all", "")):
+        q[name] = _with(
+            _RAW,
+            rest=f"""SELECT event_id, sample_id, v AS voltage, {_GEAR} AS gear FROM (
+  SELECT *, CAST(floor((CASE WHEN voltage > 2.8::DOUBLE THEN {0.0047 * 500000 * 0.4!r}::DOUBLE * (voltage * voltage - {2.8 * 2.8!r}::DOUBLE) ELSE 0.0::DOUBLE END) / 0.079904::DOUBLE) AS BIGINT) AS budget FROM (
+  SELECT a.event_id, s.sample_id, s.voltage AS v, coalesce(s.voltage, 3.1::DOUBLE) AS voltage FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') a
+  ASOF LEFT JOIN (SELECT v.event_id AS sample_id, v.user_id, ts, voltage FROM volt v JOIN events e USING (event_id) WHERE event_type <> 'purchase') s ON {by}a.ts >= s.ts))""",
+        )
     q["gear_replay"] = _with(
         _VECTORS, " " + _GEARS,
         rest="SELECT query_id, gear, l_size, m FROM (SELECT query_id, CAST(CASE WHEN query_id % 20 = 0 THEN query_id // 20 % 6 ELSE 0 END AS INTEGER) AS gear FROM qs) JOIN gears USING (gear)",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from beamlake.config import SearchConfig
 from beamlake.operators import cells, generations, graph, pq, shards, store
 from beamlake.operators import search as s
+from beamlake.operators.asof import asof_join
 from beamlake.sources import device
 
 
@@ -299,3 +300,29 @@ def test_what_does_not_fit_is_an_error_and_leaves_no_part(spark, tmp_path):
     (tmp_path / "odd").write_bytes(b"123")
     with pytest.raises(ValueError, match="whole rows"):
         device.read(spark, f"file://{tmp_path}/odd", "VEC")
+
+
+# -- as-of join ---------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("by", [["k"], []])
+def test_asof_join_against_a_scan(spark, by):
+    """Ties, repeated rows, nulls in time, key and value, a key that holds most rows, keys and times without a sample."""
+    r = np.random.default_rng(6)
+    key = lambda: [None, 0, 0, 0, 0, 1, 2][r.integers(0, 7)]
+    left = [(i, key(), None if r.random() < 0.1 else int(r.integers(0, 60))) for i in range(150)] + [(7, 0, 30), (7, 0, 30), (8, 5, 30), (9, 0, -1)]
+    right = [(1000 + i, key(), None if r.random() < 0.1 else int(r.integers(0, 60)), None if r.random() < 0.2 else float(i)) for i in range(120)]
+    a = spark.createDataFrame(left, "id bigint, k int, t int").repartition(5)
+    b = spark.createDataFrame(right, "sample bigint, k int, t int, v double").select("sample", *by, "t", "v").repartition(4)
+
+    def plain(i, k, t):
+        fits = [(s[2], s[0], s[3]) for s in right if t is not None and s[2] is not None and s[2] <= t and (not by or (k is not None and s[1] == k))]
+        return (i, k, t, *(max(fits, key=lambda s: s[:2])[1:] if fits else (None, None)))
+
+    got = [tuple(x) for x in asof_join(a, b, "t", "sample", by).collect()]
+    order = lambda x: tuple((v is not None, v) for v in x)
+    assert sorted(got, key=order) == sorted((plain(*x) for x in left), key=order)
+    assert asof_join(a.where("1 = 0"), b, "t", "sample", by).count() == 0
+    assert {(x.sample, x.v) for x in asof_join(a, b.where("1 = 0"), "t", "sample", by).collect()} == {(None, None)}
+    with pytest.raises(ValueError):
+        asof_join(a, b.withColumn("id", F.lit(1)), "t", "sample", by)
