@@ -331,6 +331,102 @@ def fft_real(a: Column, bits: int = Q15, auto: bool = False) -> Column:
     return fft_fixed(F.transform(a, lambda x: _z(_l(x), F.lit(0).cast("bigint"))), bits, auto)
 
 
+def _wrapped(x: np.ndarray, bits: int) -> np.ndarray:
+    h = 1 << (bits - 1)
+    return (x + h) % (1 << bits) - h
+
+
+def split_rows(re: np.ndarray, im: np.ndarray, bits: int = Q15) -> tuple[np.ndarray, np.ndarray]:
+    """The last stage of a real transform of twice the length: its bins from those of its even and odd places as one complex vector.
+
+    Bin k and its mirror come from their half sum and half difference, the latter turned by a factor of 16 bits. The narrow form halves as it
+    goes; the wide one keeps twice the scale, in the first and the middle bin as well."""
+    n = re.shape[1]
+    out_re, out_im = np.empty_like(re), np.zeros_like(im)
+    wide = bits != Q15
+    out_re[:, 0] = (re[:, 0] + im[:, 0]) * (2 if wide else 1)
+    k = np.arange(1, n // 2)
+    m = n - k
+    c, d = (w[k] >> (0 if wide else 1) for w in twiddles(n, Q15))
+    b_re, b_im = _wrapped(re[:, k] - re[:, m], bits), _wrapped(im[:, k] + im[:, m], bits)
+    t_re, t_im = (b_re * c >> Q15 - 1) - (b_im * d >> Q15 - 1), (b_re * d >> Q15 - 1) + (b_im * c >> Q15 - 1)
+    a_re, a_im = (x >> (0 if wide else 1) for x in (re[:, k] + re[:, m], im[:, k] - im[:, m]))
+    out_re[:, k], out_im[:, k], out_re[:, m], out_im[:, m] = a_re + t_im, a_im - t_re, a_re - t_im, -(a_im + t_re)
+    if n > 1:
+        out_re[:, n // 2], out_im[:, n // 2] = (x[:, n // 2] * (2 if wide else 1) for x in (re, -im))
+    return _wrapped(out_re, bits), _wrapped(out_im, bits)
+
+
+def rfft_rows(x: np.ndarray, bits: int = Q15, auto: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Half as many bins as the real rows have places, by a complex transform of half the length and a split; and each row's halvings."""
+    re, im, count = fft_rows(x[:, ::2], x[:, 1::2], bits, auto)
+    return *split_rows(re, im, bits), count
+
+
+def _shifted(x: np.ndarray, by: np.ndarray, bits: int) -> np.ndarray:
+    """Rows times two to the power `by`, to the left with saturation."""
+    h = 1 << (bits - 1)
+    up, down = np.maximum(by, 0)[:, None], np.maximum(-by, 0)[:, None]
+    return np.clip(x << up, -h, h - 1) >> down
+
+
+def irfft_rows(re: np.ndarray, im: np.ndarray, shift: np.ndarray, bits: int = Q15, auto: bool = False) -> np.ndarray:
+    """The real rows of bins that rfft_rows gives, but for the mean of the odd places, which these bins hold with that of the even ones: it comes back
+    on the even places. shift: the bins' halvings, which count with auto only.
+
+    The conjugate is split and transformed forwards; the narrow form halves only where it must and shifts that back. The wide one first uses the
+    bits that the bins leave free, but for two that the split needs, and gives the rows times 8 over their length."""
+    n, h = re.shape[1], 1 << (bits - 1)
+    low = np.minimum(np.minimum(re, im).min(axis=1), -np.maximum(re, im).max(axis=1))
+    free = np.zeros(len(re), dtype=np.int64)
+    if bits != Q15:
+        small = (low > -h // 8) & (low < 0)
+        while small.any():  # a row of zeros has nothing to scale
+            free += small
+            small = (low < 0) & (low << free > -h // 8)
+    re, im = split_rows(_shifted(re, free, bits), _shifted(_wrapped(-im, bits), free, bits), bits)
+    re, im, count = fft_rows(re, im, bits, bits == Q15)
+    back = -free if bits != Q15 else count + (shift - int(np.log2(n)) if auto else 0)
+    out = np.empty((len(re), 2 * n), dtype=np.int64)
+    out[:, ::2], out[:, 1::2] = _shifted(re, back, bits), _wrapped(-_shifted(im, back, bits), bits)
+    return out
+
+
+def _by_length(columns: dict[str, Column], kind: T.StructType, f) -> Column:
+    """f of matrices (or vectors) of rows of one length, once for each length in a batch; nulls where the first column is null or empty."""
+    names = kind.names
+
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            out: list = [None] * len(d)
+            by: dict[int, list[int]] = {}
+            for i, v in enumerate(d.iloc[:, 0]):
+                if v is not None:
+                    by.setdefault(len(v), []).append(i)
+            for n, rows in by.items():
+                if n:
+                    cols = [np.stack(d[c].to_numpy()[rows]).astype(np.int64) for c in d]
+                    for i, x in zip(rows, f(*cols), strict=True):
+                        out[i] = x
+            yield pd.DataFrame([x or (None,) * len(names) for x in out], columns=names)
+
+    return run(F.struct(*[c.alias(k) for k, c in columns.items()]))
+
+
+def fft_real_halves(a: Column, bits: int = Q15, auto: bool = False) -> Column:
+    """struct(re, im, shift) of rfft_rows of real vectors, whose length is a power of two."""
+    kind = T.StructType([T.StructField("re", T.ArrayType(T.LongType())), T.StructField("im", T.ArrayType(T.LongType())), T.StructField("shift", T.IntegerType())])
+    return _by_length({"a": F.transform(a, _l)}, kind, lambda x: [(p, q, int(k)) for p, q, k in zip(*rfft_rows(x, bits, auto), strict=True)])
+
+
+def ifft_real(re: Column, im: Column, shift: Column, bits: int = Q15, auto: bool = False) -> Column:
+    """irfft_rows of a spectrum, as a real vector."""
+    both = {"re": F.transform(re, _l), "im": F.transform(im, _l), "shift": shift.cast("bigint")}
+    kind = T.StructType([T.StructField("value", T.ArrayType(T.LongType()))])
+    return _by_length(both, kind, lambda p, q, k: [(x,) for x in irfft_rows(p, q, k, bits, auto)])["value"]
+
+
 def _batched(f, kind: str) -> Column:
     """A function of a matrix of rows as an Arrow UDF, once for each length in a batch; made on use, as that needs a session."""
 

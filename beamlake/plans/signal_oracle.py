@@ -77,13 +77,23 @@ def _next(tag: str) -> str:
 
 
 def _fft(bits: int, auto: bool, inverse: bool, real: bool = False) -> str:
-    """Six stages over rows (vec_id, i, re, im); h holds each vector's halvings."""
-    sign, one, edge, s = (1 if inverse else -1), 1 << bits - 1, 1 << bits - 2, bits - 1
+    """Six stages over rows (vec_id, i, re, im)."""
     im = "CAST(0 AS BIGINT)" if real else "b[rev + 1]"
-    reverse = " + ".join(f"((i >> {k}) & 1) * {32 >> k}" for k in range(6))
-    out = f"""{_in(bits)},
-s0 AS MATERIALIZED (SELECT vec_id, i, a[rev + 1] AS re, {im} AS im, CAST(0 AS BIGINT) AS sh FROM (SELECT vec_id, a, b, i, {reverse} AS rev FROM pr, range(64) r(i)))"""
-    for k in range(6):
+    first = f"SELECT vec_id, i, a[rev + 1] AS re, {im} AS im, CAST(0 AS BIGINT) AS sh FROM (SELECT vec_id, a, b, i, {_reversed(6)} AS rev FROM pr, range(64) r(i))"
+    out = _in(bits) + _stages(first, 6, bits, auto, inverse)
+    return "WITH" + out + "\nSELECT vec_id, CAST(i AS INTEGER) AS pos, re, im, CAST(sh AS INTEGER) AS shift FROM s6"
+
+
+def _reversed(log: int) -> str:
+    return " + ".join(f"((i >> {k}) & 1) * {1 << log - 1 - k}" for k in range(log))
+
+
+def _stages(first: str, log: int, bits: int, auto: bool, inverse: bool = False, tag: str = "") -> str:
+    """Tables s{tag}0 (first) to s{tag}{log}, one per stage; h holds each vector's halvings."""
+    sign, one, edge, s = (1 if inverse else -1), 1 << bits - 1, 1 << bits - 2, bits - 1
+    out = f""",
+s{tag}0 AS MATERIALIZED ({first})"""
+    for k in range(log):
         half = 1 << k
         wide = f"max(CASE WHEN re >= {edge} OR re < {-edge} OR im >= {edge} OR im < {-edge} THEN 1 ELSE 0 END)" if auto else "1"
         cut = lambda x: f"CAST(greatest({-one}, least({one - 1}, floor({one}.0::DOUBLE * {x} + 0.5::DOUBLE))) AS BIGINT)"
@@ -95,11 +105,52 @@ s0 AS MATERIALIZED (SELECT vec_id, i, a[rev + 1] AS re, {im} AS im, CAST(0 AS BI
         else:
             tr, ti = f"{_sr('br * wr', s)} - {_sr('bi * wi', s)}", f"{_sr('br * wi', s)} + {_sr('bi * wr', s)}"
         out += f""",
-h{k} AS (SELECT vec_id, {wide} AS h FROM s{k} GROUP BY vec_id),
-t{k} AS MATERIALIZED (SELECT vec_id, i, ar, ai, h, sh, {tr} AS tr, {ti} AS ti FROM (SELECT *, {wr} AS wr, {wi} AS wi FROM (
-  SELECT x.vec_id, x.i, x.i % {half} AS j, x.re AS ar, x.im AS ai, y.re AS br, y.im AS bi, h, x.sh FROM s{k} x JOIN s{k} y ON y.vec_id = x.vec_id AND y.i = x.i + {half} JOIN h{k} h ON h.vec_id = x.vec_id WHERE x.i % {2 * half} < {half}))),
-s{k + 1} AS MATERIALIZED (SELECT vec_id, i, (ar + tr) >> h AS re, (ai + ti) >> h AS im, sh + h AS sh FROM t{k} UNION ALL SELECT vec_id, i + {half}, (ar - tr) >> h, (ai - ti) >> h, sh + h FROM t{k})"""
-    return "WITH" + out + "\nSELECT vec_id, CAST(i AS INTEGER) AS pos, re, im, CAST(sh AS INTEGER) AS shift FROM s6"
+h{tag}{k} AS (SELECT vec_id, {wide} AS h FROM s{tag}{k} GROUP BY vec_id),
+t{tag}{k} AS MATERIALIZED (SELECT vec_id, i, ar, ai, h, sh, {tr} AS tr, {ti} AS ti FROM (SELECT *, {wr} AS wr, {wi} AS wi FROM (
+  SELECT x.vec_id, x.i, x.i % {half} AS j, x.re AS ar, x.im AS ai, y.re AS br, y.im AS bi, h, x.sh FROM s{tag}{k} x JOIN s{tag}{k} y ON y.vec_id = x.vec_id AND y.i = x.i + {half} JOIN h{tag}{k} h ON h.vec_id = x.vec_id WHERE x.i % {2 * half} < {half}))),
+s{tag}{k + 1} AS MATERIALIZED (SELECT vec_id, i, (ar + tr) >> h AS re, (ai + ti) >> h AS im, sh + h AS sh FROM t{tag}{k} UNION ALL SELECT vec_id, i + {half}, (ar - tr) >> h, (ai - ti) >> h, sh + h FROM t{tag}{k})"""
+    return out
+
+
+def _split(src: str, name: str, bits: int) -> str:
+    """name(vec_id, i, re, im, sh): 32 bins of a real transform of 64 places from those of a complex one of 32."""
+    wide = bits != 16
+    by, two = (0, 2) if wide else (1, 1)
+    cut = lambda x: f"(CAST(greatest(-32768, least(32767, floor(32768.0::DOUBLE * {x} + 0.5::DOUBLE))) AS BIGINT) >> {by})"
+    low = lambda x: _low(x, bits)
+    tr, ti = f"{_sr('br * c', 15)} - {_sr('bi * d', 15)}", f"{_sr('br * d', 15)} + {_sr('bi * c', 15)}"
+    return f""",
+p{name} AS MATERIALIZED (SELECT vec_id, i, sh, ar, ai, {tr} AS tr, {ti} AS ti FROM (
+  SELECT x.vec_id, x.i, x.sh, (x.re + y.re) >> {by} AS ar, (x.im - y.im) >> {by} AS ai, {low('x.re - y.re')} AS br, {low('x.im + y.im')} AS bi, {cut('cos(pi() * x.i / 32)')} AS c, {cut('-sin(pi() * x.i / 32)')} AS d
+  FROM {src} x JOIN {src} y ON y.vec_id = x.vec_id AND y.i = 32 - x.i WHERE x.i BETWEEN 1 AND 15)),
+{name} AS MATERIALIZED (
+  SELECT vec_id, i, {low(f'{two} * (re + im)')} AS re, CAST(0 AS BIGINT) AS im, sh FROM {src} WHERE i = 0
+  UNION ALL SELECT vec_id, i, {low(f'{two} * re')}, {low(f'-{two} * im')}, sh FROM {src} WHERE i = 16
+  UNION ALL SELECT vec_id, i, {low('ar + ti')}, {low('ai - tr')}, sh FROM p{name}
+  UNION ALL SELECT vec_id, 32 - i, {low('ar - ti')}, {low('-(ai + tr)')}, sh FROM p{name})"""
+
+
+def _halves(bits: int, auto: bool, back: bool) -> str:
+    """A real transform by halves, and its inverse."""
+    first = f"SELECT vec_id, i, a[2 * rev + 1] AS re, a[2 * rev + 2] AS im, CAST(0 AS BIGINT) AS sh FROM (SELECT vec_id, a, i, {_reversed(5)} AS rev FROM pr, range(32) r(i))"
+    out = _in(bits) + _stages(first, 5, bits, auto) + _split("s5", "f", bits)
+    if not back:
+        return "WITH" + out + "\nSELECT vec_id, CAST(i AS INTEGER) AS pos, re, im, CAST(sh AS INTEGER) AS shift FROM f"
+    h = 1 << bits - 1
+    up = lambda x, n: f"greatest({-h}, least({h - 1}, CAST({x} AS HUGEINT) * (1::HUGEINT << CAST({n} AS INTEGER))))"
+    # The wide form doubles while all components stay in the middle eighth of the width.
+    free = "0" if bits == 16 else f"CASE WHEN min(least(re, im, -re, -im)) = 0 THEN 0 ELSE (SELECT count(*) FROM range(32) q(j) WHERE min(least(re, im, -re, -im)) * (1::HUGEINT << CAST(j AS INTEGER)) > {-h // 8}) END"
+    out += f""",
+w AS MATERIALIZED (SELECT vec_id, CAST({free} AS BIGINT) AS free FROM f GROUP BY vec_id),
+c AS MATERIALIZED (SELECT vec_id, i, CAST({up('re', 'free')} AS BIGINT) AS re, CAST({up(_low('-im', bits), 'free')} AS BIGINT) AS im, CAST(0 AS BIGINT) AS sh FROM f JOIN w USING (vec_id))"""
+    out += _split("c", "g", bits)
+    again = f"SELECT r.vec_id, r.i, g.re, g.im, CAST(0 AS BIGINT) AS sh FROM (SELECT vec_id, i, {_reversed(5)} AS rev FROM g) r JOIN g ON g.vec_id = r.vec_id AND g.i = r.rev"
+    out += _stages(again, 5, bits, bits == 16, tag="g")
+    by = "-free" if bits != 16 else "sg5.sh + fs - 5" if auto else "sg5.sh"
+    moved = lambda x: f"CASE WHEN n >= 0 THEN CAST({up(x, 'greatest(n, 0)')} AS BIGINT) ELSE {x} >> CAST(greatest(-n, 0) AS INTEGER) END"
+    return "WITH" + out + f""",
+o AS (SELECT vec_id, i, {moved('re')} AS re, {moved('im')} AS im FROM (SELECT sg5.*, {by} AS n FROM sg5 JOIN w USING (vec_id) JOIN (SELECT vec_id AS v, max(sh) AS fs FROM f GROUP BY vec_id) ON v = vec_id))
+SELECT vec_id, CAST(2 * i AS INTEGER) AS pos, re AS value FROM o UNION ALL SELECT vec_id, CAST(2 * i + 1 AS INTEGER), {_low('-im', bits)} FROM o"""
 
 
 def _crc(width: int) -> str:
@@ -169,6 +220,8 @@ def oracle_sql() -> dict[str, str]:
     q["dsp_fft"] = _with(_in(16), rest=f"SELECT vec_id, CAST(k AS INTEGER) AS pos, {cents(dft('cos', ''))} AS re, {cents(dft('sin', '-'))} AS im, a[k + 1] AS back FROM pr, range(33) r(k)")
     for name, bits, auto, inverse in TRANSFORMS:
         q[name] = _fft(bits, auto, inverse)
+    for name, bits, auto in (("fixed15", 16, False), ("auto15", 16, True), ("q31", 32, False)):
+        q[f"rfft_halves_{name}"], q[f"irfft_{name}"] = _halves(bits, auto, False), _halves(bits, auto, True)
     q["rfft_fixed15"], q["rfft_auto15"], q["rfft31"] = _fft(16, False, False, True), _fft(16, True, False, True), _fft(32, False, False, True)
     q["checksums"] = f"SELECT event_id, {_crc(32)} AS crc32, {_crc(16)} AS crc16 FROM events"
     q["aes_round_trip"] = "SELECT event_id, CAST((octet_length(encode(props)) // 16 + 1) * 16 AS BIGINT) AS n, true AS same, props FROM events"

@@ -213,6 +213,24 @@ def rfft31(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spectrum(_inputs(spark, sf_dir, dsp.IQ31).select("vec_id", dsp.fft_real(F.col("a"), dsp.IQ31).alias("f")))
 
 
+def _halves(name: str, bits: int, auto: bool) -> None:
+    def forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _spectrum(_inputs(spark, sf_dir, bits).select("vec_id", dsp.fft_real_halves(F.col("a"), bits, auto).alias("f")))
+
+    def back(spark: SparkSession, sf_dir: str) -> DataFrame:
+        f = _inputs(spark, sf_dir, bits).select("vec_id", dsp.fft_real_halves(F.col("a"), bits, auto).alias("f"))
+        return f.select("vec_id", F.posexplode(dsp.ifft_real(F.col("f.re"), F.col("f.im"), F.col("f.shift"), bits, auto)).alias("pos", "value"))
+
+    forward.__name__, back.__name__ = f"rfft_halves_{name}", f"irfft_{name}"
+    query(forward)
+    query(back)
+
+
+#: Real transforms by a complex one of half the length and a split, and back.
+for _name, _bits, _auto in (("fixed15", 16, False), ("auto15", 16, True), ("q31", 32, False)):
+    _halves(_name, _bits, _auto)
+
+
 # -- checksums, cipher, files ------------------------------------------------------------------------------
 
 

@@ -433,6 +433,21 @@ def test_fixed_point_transforms(spark, bits, auto, inverse):
         dsp.fft_rows(np.zeros((1, 6), int), np.zeros((1, 6), int))
 
 
+@pytest.mark.parametrize(("bits", "auto"), [(16, False), (16, True), (32, False)])
+@pytest.mark.parametrize("n", [2, 4, 16, 64, 256])
+def test_real_transforms_by_halves(bits, auto, n):
+    """Against floating point; and back again, but for the mean of the odd places, which comes back on the even ones."""
+    r = np.random.default_rng(n)
+    x = np.concatenate([r.integers(-3000, 3000, (6, n)) // (n if auto else 1) << (0 if bits == 16 else 14), np.zeros((1, n), np.int64)])
+    re, im, count = dsp.rfft_rows(x, bits, auto)
+    f = np.fft.rfft(x, axis=1)[:, : n // 2]
+    scale = 2.0 / (n // 2) if bits == 32 else 2.0 ** -count[:, None]
+    room = 1 << 16 if bits == 32 else 8 + n if auto else 8  # factors have 16 bits in either width; what is never halved keeps every product's cut
+    assert np.abs(re - f.real * scale).max() < room and np.abs(im - f.imag * scale).max() < room
+    back, want = dsp.irfft_rows(re, im, count, bits, auto), (x + x[:, 1::2].mean(axis=1)[:, None] * (-1) ** np.arange(n)) * (8 / n if bits == 32 else 1)
+    assert np.abs(back - want).max() < (room if bits == 32 else 32 if auto else 4 * n)
+
+
 def test_fft(spark):
     a = [float(x) for x in np.random.default_rng(2).integers(-100, 100, 16)]
     d = spark.createDataFrame([(a, [{"re": x, "im": 1.0} for x in a])], "a array<double>, z array<struct<re:double,im:double>>")
