@@ -8,14 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from beamlake.operators.measure import Phases, folder_bytes
 from beamlake.sources.files import FileStore
 
 
 class Progress:
     """Results under `path`: gen=<name>/ folders, and committed/<name> markers, in any file system that Spark reads."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.store = spark, path.rstrip("/"), FileStore(spark)
+    def __init__(self, spark: SparkSession, path: str, phases: Phases | None = None):
+        self.spark, self.path, self.store, self.phases = spark, path.rstrip("/"), FileStore(spark), phases or Phases(spark)
 
     def generations(self) -> list[str]:
         folder = f"{self.path}/committed"
@@ -24,19 +25,23 @@ class Progress:
     def commit(self, results: DataFrame, attempts: DataFrame | None = None) -> str:
         """Write a generation, then publish it. Without its marker a generation does not count."""
         name = f"{len(self.generations()):06d}-{uuid.uuid4().hex[:8]}"
-        results.write.parquet(f"{self.path}/gen={name}/results")
-        if attempts is not None:
-            attempts.write.parquet(f"{self.path}/gen={name}/attempts")
-        self.store.write_text(f"{self.path}/committed/{name}", "complete")
+        with self.phases.of("commit") as call:
+            call.counted(results).write.parquet(f"{self.path}/gen={name}/results")
+            if attempts is not None:
+                attempts.write.parquet(f"{self.path}/gen={name}/attempts")
+            self.store.write_text(f"{self.path}/committed/{name}", "complete")
+            call.touched(folder_bytes(self.spark, f"{self.path}/gen={name}/results"))
         return name
 
     def restore(self) -> DataFrame | None:
         """All committed results; None for a cold start. A marker whose generation is missing is an error."""
-        names = self.generations()
-        for n in names:
-            if not self.store.exists(f"{self.path}/gen={n}/results/_SUCCESS"):
-                raise RuntimeError(f"generation {n} is published but incomplete")
-        return self.spark.read.parquet(*[f"{self.path}/gen={n}/results" for n in names]) if names else None
+        with self.phases.of("restore") as call:
+            names = self.generations()
+            for n in names:
+                if not self.store.exists(f"{self.path}/gen={n}/results/_SUCCESS"):
+                    raise RuntimeError(f"generation {n} is published but incomplete")
+                call.touched(folder_bytes(self.spark, f"{self.path}/gen={n}/results"))
+            return self.spark.read.parquet(*[f"{self.path}/gen={n}/results" for n in names]) if names else None
 
     def pending(self, queries: DataFrame) -> DataFrame:
         done = self.restore()
@@ -57,7 +62,8 @@ class Progress:
             last = stop_after is not None and done >= stop_after
             if last and not fail:
                 break
-            own.select("query_id").write.parquet(f"{self.path}/attempts/{nth:04d}-{uuid.uuid4().hex[:8]}")
+            with self.phases.of("attempt") as call:
+                call.counted(own.select("query_id")).write.parquet(f"{self.path}/attempts/{nth:04d}-{uuid.uuid4().hex[:8]}")
             if last:
                 break
             self.commit(work(own))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from beamlake.config import DEGREE, K, RERANK, SearchConfig
 from beamlake.functions import dsp, energy
 from beamlake.functions.vector import address, address_parts
-from beamlake.operators import build, cells, generations, graph, pq, resume, shards, stats, store
+from beamlake.operators import build, cells, generations, graph, measure, pq, resume, shards, stats, store
 from beamlake.operators import search as s
 from beamlake.operators.asof import asof_join
 from beamlake.operators.mutate import compact, delete_vectors, insert_vectors, is_delta, merge_delta, pruned, without_deleted
@@ -409,6 +409,25 @@ def commit_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resume.Progress(spark, p.path).run(q, work, parts=4)
 
 
+@query
+def measured_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phases of a run that is interrupted, resumed and searched again by the index: calls, rows, and whether times and bytes can be right."""
+    phases, q = measure.Phases(spark), build.query_vectors(spark, sf_dir)
+    p, base, i = resume.Progress(spark, f"{shared_dir(spark)}/progress-{uuid.uuid4().hex}", phases), build.base_vectors(spark, sf_dir), _index(spark, sf_dir)
+    by = F.pmod(F.floor(F.col("query_id") / 10), F.lit(4))
+    work = lambda part: s.exact_search(part, base, K, not_self=True)
+    p.run(q, work, parts=4, stop_after=2, part=by, fail=True)
+    p.run(q, work, parts=4, part=by)
+    cfg = SearchConfig(l_size=10, m=16)
+    with phases.of("search") as call:
+        found = stored(call.counted(s.search(q, i, cfg)), "searched")
+    with phases.of("rerank") as call:
+        stored(call.counted(s.rerank(found, q, i, cfg)), "reranked")
+    t = measure.profile(phases.table())
+    timed = (F.col("least_us") > 0) & (F.col("least_us") <= F.col("mean_us")) & (F.col("mean_us") <= F.col("greatest_us")) & (F.col("total_us") <= F.col("calls") * F.col("greatest_us"))
+    return t.select("phase", "calls", "failed", "rows", (F.coalesce("bytes", F.lit(1)) > 0).alias("has_bytes"), timed.alias("timed"))
+
+
 @query
 def attempts_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts by query of a run that is stopped before its third part is committed, and resumed."""

@@ -271,6 +271,13 @@ FROM (SELECT user_id, 1 + sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)
     q["commit_restore"] = q["exact_knn"]
     # Of the parts 0 to 3 by query number, the run is stopped while at work on the third.
     q["attempts_recorded"] = _with(_VECTORS, rest="SELECT query_id, CAST(CASE WHEN query_id // 10 % 4 = 2 THEN 2 ELSE 1 END AS BIGINT) AS attempts FROM qs")
+    # Four parts are attempted, the third twice; results are restored before each part and at the end of either run.
+    ten = "(SELECT count(*) FROM qs) * 10"
+    q["measured_phases"] = _with(
+        _VECTORS,
+        rest=f"""SELECT phase, CAST(calls AS BIGINT) AS calls, CAST(0 AS BIGINT) AS failed, CAST(n AS BIGINT) AS rows, true AS has_bytes, true AS timed FROM (VALUES
+  ('attempt', 5, (SELECT count(*) + count(*) FILTER (WHERE query_id // 10 % 4 = 2) FROM qs)), ('commit', 4, {ten}), ('restore', 9, NULL), ('search', 1, (SELECT count(*) FROM qs)), ('rerank', 1, {ten})) t(phase, calls, n)""",
+    )
     q["robust_prune"] = "WITH RECURSIVE" + ",".join([_VECTORS, _GRAPH]) + f""",
 cand AS (SELECT e.src, list({{'d': {_L2.format(a="a.vec", b="b.vec")}, 'id': dst, 'v': b.vec}}) AS l FROM edge e JOIN base a ON a.vec_id = e.src JOIN base b ON b.vec_id = e.dst GROUP BY e.src),
 rp(src, kept, alive) AS (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from beamlake.config import GEARS, SearchConfig, gear_config
 from beamlake.functions import checksum, dsp, energy
 from beamlake.functions.vector import address, address_parts, adc_sum, dot, l2sq, quantize, subtract
-from beamlake.operators import build, graph, mutate, pq, resume, stats
+from beamlake.operators import build, graph, measure, mutate, pq, resume, stats
 from beamlake.operators import search as s
 from beamlake.sources import binary
 from beamlake.sources.files import FileStore, write_lines
@@ -287,6 +287,24 @@ def test_stats(spark):
     assert tuple(resume.attempt_stats(spark.createDataFrame([(1, 1), (2, 3)], "query_id bigint, attempts int")).first()) == (2, 1, 2)
 
 
+def test_phases_of_real_runs(spark, tmp_path):
+    phases = measure.Phases(spark)
+    p = resume.Progress(spark, f"file://{tmp_path}/p", phases)
+    d = spark.range(30).select(F.col("id").alias("query_id"))
+    p.commit(d)
+    p.commit(d.where("query_id < 5"))
+    assert p.restore().count() == 35
+    with pytest.raises(ZeroDivisionError), phases.of("commit") as call:
+        call.touched(7)
+        raise ZeroDivisionError
+    calls = [(c.phase, c.rows(), c.failed) for c in phases.calls]
+    assert calls == [("commit", 30, False), ("commit", 5, False), ("restore", None, False), ("commit", None, True)]
+    by = {r.phase: r for r in measure.profile(phases.table()).collect()}
+    assert (by["commit"].calls, by["commit"].failed, by["commit"].rows) == (3, 1, 35) and by["restore"].bytes == by["commit"].bytes - 7 > 0
+    assert 0 < by["commit"].least_us <= by["commit"].mean_us <= by["commit"].greatest_us <= by["commit"].total_us
+    assert measure.profile(measure.Phases(spark).table()).count() == 0
+
+
 def test_binary_parts_and_ranges(spark, tmp_path, monkeypatch):
     x = np.random.default_rng(4).integers(-3000, 3000, (120, 64)).astype("<i2")
     (tmp_path / "N").mkdir()
