@@ -20,6 +20,7 @@ from beamlake.operators.asof import asof_join
 from beamlake.operators.mutate import compact, delete_vectors, insert_vectors, is_delta, merge_delta, pruned, without_deleted
 from beamlake.operators.tables import shared_dir, stored
 from beamlake.sources import binary
+from beamlake.streaming import arrival
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -360,6 +361,22 @@ def gear_at_arrival_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _at_arrival(spark, sf_dir, [])
 
 
+@query
+def arrival_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases are arrivals at the device of their user, other events its samples. The table comes as a stream in four spans of time; the
+    stream stops after each, and goes on from its checkpoint."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = e.select(F.col("user_id").alias("device"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") != "purchase", F.least(F.lit(4095), F.floor(F.col("value") * 8.0)).cast("int")).alias("raw"))
+    at = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    first, last = e.agg(F.min(F.col("ts").cast("double")), F.max(F.col("ts").cast("double"))).first()
+    span = F.least(F.lit(3), F.floor((F.col("ts").cast("double") - F.lit(first)) / F.lit(max(last - first, 1.0)) * 4))
+    for k in range(4):
+        e.where(F.coalesce(span, F.lit(0)) == k).write.mode("append").parquet(f"{at}/in")
+        events = spark.readStream.schema("device bigint, event_id bigint, ts timestamp, raw int").parquet(f"{at}/in")
+        arrival.decide_stream(events, f"{at}/out", f"{at}/checkpoint", once=True).awaitTermination()
+    return spark.read.schema(arrival.OUT).parquet(f"{at}/out").select("device", "event_id", "seq", "gear", "energy_uj")
+
+
 def _gear_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query with the highest voltage that events of the user of its number show."""
     v = _samples(spark, sf_dir).groupBy(F.col("user_id").alias("query_id")).agg(F.max("voltage").alias("voltage"))

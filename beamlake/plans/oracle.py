@@ -247,6 +247,20 @@ lng AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER
     q["voltage_from_raw"] = _with(_RAW, rest="SELECT event_id, raw, voltage FROM volt")
     q["gear_select"] = _with(_RAW, rest=f"SELECT event_id, energy_uj, budget, {_GEAR} AS gear FROM bud")
     q["gear_search_config"] = _with(_VECTORS, _RAW, _PER_QUERY, rest="SELECT query_id, voltage, gear, l_size, m FROM qg JOIN gears USING (gear)")
+    left = " ".join(f"WHEN floor(f.energy / 0.079904::DOUBLE) >= {cost} THEN {{{g}}}" for g, cost, *_ in sorted(GEARS, reverse=True))
+    gears, costs = (left.format(*[r[k] for r in sorted(GEARS)]) for k in (0, 1))
+    q["arrival_decisions"] = f"""WITH RECURSIVE ev AS MATERIALIZED (
+  SELECT user_id AS device, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
+    CASE WHEN event_type <> 'purchase' THEN CAST(CAST(least(4095, floor(value * 8.0::DOUBLE)) AS INTEGER) AS DOUBLE) * 0.001171875::DOUBLE END AS volts FROM events
+), f(device, n, event_id, energy, seq, gear) AS (
+  SELECT DISTINCT device, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), 0.0::DOUBLE, CAST(-1 AS BIGINT), CAST(NULL AS INTEGER) FROM ev
+  UNION ALL
+  SELECT f.device, e.n, e.event_id,
+    CASE WHEN volts > 2.8::DOUBLE THEN {0.0047 * 500000 * 0.4!r}::DOUBLE * (volts * volts - {2.8 * 2.8!r}::DOUBLE) WHEN volts IS NOT NULL THEN 0.0::DOUBLE ELSE f.energy - (CASE {costs} ELSE 0 END) * 0.079904::DOUBLE END,
+    f.seq + CASE WHEN volts IS NULL THEN 1 ELSE 0 END, CASE WHEN volts IS NULL THEN CAST(CASE {gears} ELSE 254 END AS INTEGER) END
+  FROM f JOIN ev e ON e.device = f.device AND e.n = f.n + 1
+)
+SELECT device, event_id, seq, gear, energy AS energy_uj FROM f WHERE gear IS NOT NULL"""
     for name, by in (("gear_at_arrival", "a.user_id = s.user_id AND "), ("gear_at_arrival_of_all", "")):
         q[name] = _with(
             _RAW,

@@ -1,5 +1,6 @@
 import binascii
 import math
+import os
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from beamlake.operators import build, graph, measure, mutate, pq, resume, stats
 from beamlake.operators import search as s
 from beamlake.sources import binary
 from beamlake.sources.files import FileStore, write_lines
-from beamlake.streaming import paced
+from beamlake.streaming import arrival, paced
 
 
 @pytest.fixture(scope="module")
@@ -365,6 +366,33 @@ def test_streams(spark, data, tmp_path):
     assert paced.voltage_by_minute(v).first().n == 2
 
 
+def test_arrivals_decided_by_state_equal_a_fold(spark, tmp_path):
+    """A stream that stops and goes on in the middle, over batches of any cut in time, and the plain rule."""
+    r = np.random.default_rng(8)
+    rows = [(None if i % 17 == 0 else int(r.integers(0, 4)), i, i // 3, None if r.random() < 0.6 else int(r.integers(2000, 4096))) for i in range(240)]
+    kind = "device bigint, event_id bigint, ts bigint, raw int"
+    for k, (a, b) in enumerate(((0, 30), (30, 33), (33, 200), (200, 240))):
+        spark.createDataFrame(rows[a:b], kind).repartition(3).write.mode("append").parquet(f"file://{tmp_path}/in")
+        events = spark.readStream.schema(kind).parquet(f"file://{tmp_path}/in")
+        arrival.decide_stream(events, f"file://{tmp_path}/out", f"file://{tmp_path}/ck", once=True).awaitTermination(180)
+        assert len([d for d in os.listdir(tmp_path / "out") if d.startswith("batch=")]) == k + 1
+    got = rows_of = sorted(spark.read.schema(arrival.OUT).parquet(f"file://{tmp_path}/out").drop("batch").collect(), key=lambda x: x.event_id)
+    want, store, seq = [], {}, {}
+    for device, event, _, raw in rows:
+        if raw is not None:
+            v = raw * 1.2 * 4 / 4096
+            store[device] = 0.0047 * 500000 * 0.4 * (v * v - 2.8 * 2.8) if v > 2.8 else 0.0
+            continue
+        have = math.floor(store.get(device, 0.0) / 0.079904)
+        gear, cost = next(((g, c) for g, c, *_ in reversed(GEARS) if have >= c), (energy.WAIT, 0))
+        store[device] = store.get(device, 0.0) - cost * 0.079904
+        want.append((device, event, seq.get(device, 0), gear, store[device]))
+        seq[device] = seq.get(device, 0) + 1
+    assert [tuple(x)[:4] for x in got] == [x[:4] for x in want] and {x[3] for x in want} > {energy.WAIT}
+    assert [x.energy_uj for x in got] == pytest.approx([x[4] for x in want])
+    assert sorted(map(tuple, arrival.decide(spark.createDataFrame(rows, kind).repartition(4)).collect()), key=lambda x: x[1]) == [tuple(x) for x in rows_of]
+
+
 def sat(x, bits=16):
     return max(-(1 << bits - 1), min((1 << bits - 1) - 1, x))
 
