@@ -92,13 +92,11 @@ def key(row):
     return tuple((v is not None, v) for v in row)
 
 
-@pytest.mark.parametrize(("levels", "most"), [(7, 6561), (1, 2), (2, 5), (3, 1)])
-@pytest.mark.parametrize("n", [0, 1, 90])
-def test_manifest_against_plain_trees(spark, monkeypatch, light, levels, most, n):
+@pytest.mark.parametrize(("levels", "most", "n", "limit"), [(7, 6561, 0, -1), (7, 6561, 1, 1 << 25), (7, 6561, 90, -1), (1, 2, 1, -1), (1, 2, 90, 1 << 25), (2, 5, 90, -1), (3, 1, 90, 1 << 25)])
+def test_manifest_against_plain_trees(spark, monkeypatch, levels, most, n, limit):
     """Blocks of one level up, and a driver that holds a single node or many: the same digests, paths and folds."""
-    if (levels, most) == (3, 1) and n == 1:
-        pytest.skip("as the others")
     monkeypatch.setattr(merkle, "LEVELS", levels)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
     rows = (ODD if n else []) + rows_of(n, sources=9)
     docs = frame(spark, rows)
     tampered = F.when(crc_mod(docs["doc_id"], 2) == 0, F.replace(docs["text"], F.lit("\n"), F.lit(""))).otherwise(docs["text"])
