@@ -213,7 +213,7 @@ def rfft31(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spectrum(_inputs(spark, sf_dir, dsp.IQ31).select("vec_id", dsp.fft_real(F.col("a"), dsp.IQ31).alias("f")))
 
 
-def _halves(name: str, bits: int, auto: bool) -> None:
+def _half_transforms(name: str, bits: int, auto: bool) -> None:
     def forward(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _spectrum(_inputs(spark, sf_dir, bits).select("vec_id", dsp.fft_real_halves(F.col("a"), bits, auto).alias("f")))
 
@@ -228,7 +228,7 @@ def _halves(name: str, bits: int, auto: bool) -> None:
 
 #: Real transforms by a complex one of half the length and a split, and back.
 for _name, _bits, _auto in (("fixed15", 16, False), ("auto15", 16, True), ("q31", 32, False)):
-    _halves(_name, _bits, _auto)
+    _half_transforms(_name, _bits, _auto)
 
 
 # -- checksums, cipher, files ------------------------------------------------------------------------------
