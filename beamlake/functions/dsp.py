@@ -210,16 +210,15 @@ def fir(a: Column, taps: list[int], bits: int = Q15) -> Column:
 def complex_fir(a: Column, taps: list[tuple[int, int]], bits: int = Q15) -> Column:
     cut = (lambda v: F.shiftright(v, 31)) if bits == IQ31 else (lambda v: v)
     end = 0 if bits == IQ31 else bits - 1
-    re, im = F.transform(a, lambda x: x["re"]), F.transform(a, lambda x: x["im"])
     t = F.array(*[_z(F.lit(r).cast("bigint"), F.lit(i).cast("bigint")) for r, i in taps])
     zero = F.lit(0).cast("bigint")
     plus = lambda p: F.aggregate(p, zero, lambda s, x: s + x)
 
     def one(i: Column) -> Column:
         ks = F.sequence(F.lit(0), F.lit(len(taps) - 1))
-        at = lambda v, k: F.when(i >= k, F.element_at(v, F.greatest(i - k, F.lit(0)) + 1)).otherwise(zero)
-        real = plus(F.transform(ks, lambda k: cut(at(re, k) * t[k]["re"]) - cut(at(im, k) * t[k]["im"])))
-        imag = plus(F.transform(ks, lambda k: cut(at(re, k) * t[k]["im"]) + cut(at(im, k) * t[k]["re"])))
+        at = lambda v, k: F.when(i >= k, F.element_at(a, F.greatest(i - k, F.lit(0)) + 1)[v]).otherwise(zero)
+        real = plus(F.transform(ks, lambda k: cut(at("re", k) * t[k]["re"]) - cut(at("im", k) * t[k]["im"])))
+        imag = plus(F.transform(ks, lambda k: cut(at("re", k) * t[k]["im"]) + cut(at("im", k) * t[k]["re"])))
         return _z(clamp(F.shiftright(real, end), bits), clamp(F.shiftright(imag, end), bits))
 
     return F.transform(F.sequence(F.lit(0), F.size(a) - 1), one)
