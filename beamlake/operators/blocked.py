@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 SHARD, BLOCK = 16_384, 2_048
 #: Queries of a block that are compared with the shard at a time; their distances are all that is held.
-STEP = 256
+STEP = 128
 
 
 def matrix(column: pa.ChunkedArray, dtype: type = np.int64) -> np.ndarray:
@@ -35,6 +35,26 @@ def smallest(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], dist[near]))][:k]
 
 
+#: Bits of a place in a key of (distance, place); distances of 64 dimensions of 16 bits take 39.
+PLACE = 24
+
+
+def nearest(dist: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and places of each row's k smallest whole numbers, in the order of (distance, place), and place -1 where there are fewer. without: a
+    mask of what is left out.
+
+    Both are packed into one number, so that a partition of whole blocks does it. dist is overwritten."""
+    n, last = dist.shape[1], np.iinfo(np.int64).max
+    if n > 1 << PLACE or (dist.size and int(dist.max()) >= 1 << 62 - PLACE):
+        raise OverflowError("distances and places don't fit one key")
+    dist <<= PLACE
+    dist |= np.arange(n)
+    if without is not None:
+        dist[without] = last
+    best = np.sort(np.partition(dist, k - 1, axis=1)[:, :k] if n > k else dist, axis=1)
+    return best >> PLACE, np.where(best == last, -1, best & (1 << PLACE) - 1)
+
+
 def topk(rows: DataFrame, queries: DataFrame, k: int, distances: Callable[[pa.Table, pa.Table], np.ndarray], not_self: bool = False, columns: str = "query_id bigint, vec_id bigint, dist bigint") -> DataFrame:
     """query_id, rank (from 1), vec_id, dist: the k rows nearest to each query, ties to the smaller vec_id.
 
@@ -47,19 +67,16 @@ def topk(rows: DataFrame, queries: DataFrame, k: int, distances: Callable[[pa.Ta
     right = queries.withColumn("block", deal("query_id", blocks)).withColumn("shard", every(shards))
 
     def run(a: pa.Table, q: pa.Table) -> pa.Table:
+        a = a.sort_by("vec_id")  # ties go to the smaller id, which is the earlier place
         ids, asked = a.column("vec_id").to_numpy(), q.column("query_id").to_numpy()
         out: tuple[list, list, list] = ([], [], [])
-        if len(ids) and len(asked):
-            for i, me in enumerate(asked):
-                if i % STEP == 0:
-                    d = distances(a, q.slice(i, STEP))
-                row = np.where(ids == me, np.iinfo(np.int64).max, d[i % STEP]) if not_self else d[i % STEP]
-                best = smallest(row, ids, k)
-                best = best[row[best] < np.iinfo(np.int64).max]
-                out[0].extend([int(me)] * len(best))
-                out[1].extend(ids[best].tolist())
-                out[2].extend(row[best].tolist())
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "dist": pa.array(out[2], pa.int64())})
+        for i in range(0, len(asked) if len(ids) else 0, STEP):
+            me = asked[i : i + STEP]
+            dist, place = nearest(distances(a, q.slice(i, STEP)), k, ids == me[:, None] if not_self else None)
+            found = place >= 0
+            for column, values in zip(out, (np.broadcast_to(me[:, None], place.shape)[found], ids[place[found]], dist[found]), strict=True):
+                column.append(values)
+        return pa.table({c: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for c, v in zip(("query_id", "vec_id", "dist"), out, strict=True)})
 
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(run, columns)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "vec_id"))
@@ -68,6 +85,12 @@ def topk(rows: DataFrame, queries: DataFrame, k: int, distances: Callable[[pa.Ta
 
 def l2_block(a: pa.Table, q: pa.Table) -> np.ndarray:
     """Exact squared distances. Values of 16 bits: the products fit a double without loss, so BLAS can be used."""
-    x, y = matrix(a.column("vec"), np.float64), matrix(q.column("vec"), np.float64)
-    d = (y * y).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * (y @ x.T)
-    return np.rint(d).astype(np.int64)
+    return l2(matrix(a.column("vec"), np.float64), matrix(q.column("vec"), np.float64))
+
+
+def l2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The matrix y x x of l2_block, of doubles."""
+    d = (-2 * y) @ x.T
+    d += (y * y).sum(axis=1)[:, None]
+    d += (x * x).sum(axis=1)
+    return d.astype(np.int64)  # whole already

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from beamlake.operators.blocked import l2_block, smallest
+from beamlake.operators.blocked import l2_block, nearest
 from beamlake.operators.tables import drop_stored, stored
 
 #: Rows of a cell that are compared in full; trees; pivots of a cell at most; rows that meet their pivots in one task.
@@ -104,20 +104,19 @@ def routes(vectors: DataFrame) -> DataFrame:
 
 def _lists(rows: pa.Table, degree: int) -> pa.Table:
     """vec_id and its nearest others of the cell, as (dist, vec_id), nearest first."""
+    rows = rows.sort_by("vec_id")
     ids = rows.column("vec_id").to_numpy()
-    heads, dist, other = [0], [], []
+    sizes, dist, other = [np.zeros(1, np.int64)], [], []
     for i in range(0, len(ids), 256):
         part = rows.slice(i, 256)
-        d = l2_block(rows, part)
-        d[np.arange(part.num_rows), np.arange(i, i + part.num_rows)] = np.iinfo(np.int64).max
-        for row in d:
-            best = smallest(row, ids, degree)
-            best = best[row[best] < np.iinfo(np.int64).max]
-            dist.append(row[best])
-            other.append(ids[best])
-            heads.append(heads[-1] + len(best))
+        itself = np.arange(i, i + part.num_rows)[:, None] == np.arange(len(ids))
+        d, place = nearest(l2_block(rows, part), degree, itself)
+        found = place >= 0
+        sizes.append(found.sum(axis=1))
+        dist.append(d[found])
+        other.append(ids[place[found]])
     flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-    near = pa.ListArray.from_arrays(pa.array(heads, pa.int32()), pa.StructArray.from_arrays([flat(dist), flat(other)], names=["dist", "vec_id"]))
+    near = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pa.StructArray.from_arrays([flat(dist), flat(other)], names=["dist", "vec_id"]))
     return pa.table({"part": rows.column("part"), "vec_id": rows.column("vec_id"), "near": near})
 
 
@@ -125,8 +124,31 @@ def cell_lists(placed: DataFrame, degree: int) -> DataFrame:
     """part, vec_id and near, the `degree` nearest of all cells that a row is in, as (dist, vec_id), nearest first, ties to the smaller id."""
     near = "array<struct<dist:bigint,vec_id:bigint>>"
     each = placed.groupBy(*_CELL).applyInArrow(lambda t: _lists(t, degree), f"part int, vec_id long, near {near}")
-    merged = F.array_sort(F.array_distinct(F.flatten(F.collect_list("near"))))  # a list per tree
-    return each.groupBy("part", "vec_id").agg(F.slice(merged, 1, degree).alias("near"))
+    trees = each.groupBy("part", "vec_id").agg(F.flatten(F.collect_list("near")).alias("near"))  # a list per tree
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                yield _merged(b.slice(i, 512), degree)
+
+    return trees.mapInArrow(run, f"part int, vec_id long, near {near}")
+
+
+def _merged(b: pa.RecordBatch, degree: int) -> pa.RecordBatch:
+    """The lists of a batch sorted, each entry once, and cut to `degree`."""
+    near = b.column(2)
+    each = near.flatten()
+    dist, other = (each.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+    row = np.repeat(np.arange(b.num_rows), np.diff(near.offsets.to_numpy()))
+    order = np.lexsort((other, dist, row))
+    row, dist, other = row[order], dist[order], other[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (dist[1:] != dist[:-1]) | (other[1:] != other[:-1])
+    row, dist, other = row[new], dist[new], other[new]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < degree
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row[kept], minlength=b.num_rows))])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(dist[kept]), pa.array(other[kept])], names=["dist", "vec_id"]))
+    return pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["part", "vec_id", "near"])
 
 
 def cell_graph(vectors: DataFrame, degree: int, leaf: int | None = None, trees: int | None = None) -> DataFrame:

@@ -29,27 +29,29 @@ def mean_array(vectors: DataFrame) -> np.ndarray:
 LEVELS = {16: 4, 32: 16}
 #: Rounds of k-means after it.
 ROUNDS = 2
+#: Rows that are encoded, or summed, at a time.
+STEP = 1_024
 
 
 def _means(vectors: DataFrame, cells, count: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums and counts of the vectors' subvectors by subspace and cell. cells gives n x m cells of centred rows.
 
-    One pass over all rows; a batch sums its own first, and m x CENTROIDS rows reach the driver."""
+    One pass over all rows; a task sums its own first, and m x CENTROIDS rows reach the driver."""
     schema = "cell int, n bigint, " + ", ".join(f"s{j} bigint" for j in range(width))
 
     def run(batches):
+        sums, n = np.zeros((count, width), dtype=np.int64), np.zeros(count, dtype=np.int64)
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, at = cells(matrix(pa.chunked_array([b.column(0)])))
-            m = at.shape[1]
-            flat = (at + np.arange(m) * CENTROIDS).ravel()
-            parts, n = x.reshape(-1, width), np.bincount(flat, minlength=count)
-            sums = np.zeros((count, width), dtype=np.int64)
-            np.add.at(sums, flat, parts)
-            used = np.flatnonzero(n)
-            cols = [pa.array(used, pa.int32()), pa.array(n[used], pa.int64()), *[pa.array(sums[used, j], pa.int64()) for j in range(width)]]
-            yield pa.RecordBatch.from_arrays(cols, names=["cell", "n", *[f"s{j}" for j in range(width)]])
+            for i in range(0, b.num_rows, STEP):
+                x, at = cells(matrix(pa.chunked_array([b.column(0).slice(i, STEP)])))
+                flat = (at + np.arange(at.shape[1]) * CENTROIDS).ravel()
+                parts = x.reshape(-1, width)
+                n += np.bincount(flat, minlength=count)
+                for j in range(width):  # sums of STEP values of few bits: a double holds them without loss
+                    sums[:, j] += np.bincount(flat, weights=parts[:, j], minlength=count).astype(np.int64)
+        used = np.flatnonzero(n)
+        cols = [pa.array(used, pa.int32()), pa.array(n[used], pa.int64()), *[pa.array(sums[used, j], pa.int64()) for j in range(width)]]
+        yield pa.RecordBatch.from_arrays(cols, names=["cell", "n", *[f"s{j}" for j in range(width)]])
 
     each = vectors.select("vec").mapInArrow(run, schema).groupBy("cell").agg(F.sum("n").alias("n"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(width)])
     sums, n = np.zeros((count, width), dtype=np.int64), np.zeros(count, dtype=np.int64)
@@ -102,21 +104,37 @@ def codebook_rows(spark, book: np.ndarray, m: int) -> DataFrame:
     return spark.createDataFrame(rows, "subspace int, centroid int, c array<int>")
 
 
+def _crossed(x: np.ndarray, book: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Subvectors and centroids by subspace as m x n x width and m x width x centroids, and m x n x centroids: c * c - 2 x * c. Doubles, all of
+    them whole and without loss, as vectors have 16 bits."""
+    width = x.shape[1] // m
+    parts = x.astype(np.float64).reshape(len(x), m, width).transpose(1, 0, 2)
+    centre = book.astype(np.float64).reshape(len(book), m, width).transpose(1, 2, 0)
+    d = np.matmul(-2 * parts, centre)
+    d += (centre * centre).sum(axis=1)[:, None, :]
+    return parts, d
+
+
 def tables(x: np.ndarray, book: np.ndarray, m: int) -> np.ndarray:
     """n x m x centroids: squared distances of each centred row's subvectors to the centroids."""
-    n, dim = x.shape
-    d = x.reshape(n, m, 1, dim // m) - book.reshape(len(book), m, dim // m).transpose(1, 0, 2)[None]
-    return (d * d).sum(axis=3)
+    parts, d = _crossed(x, book, m)
+    d += (parts * parts).sum(axis=2)[:, :, None]
+    return np.ascontiguousarray(d.transpose(1, 0, 2)).astype(np.int64)
 
 
 def encode_array(x: np.ndarray, book: np.ndarray, m: int) -> np.ndarray:
     """Nearest centroid by subspace, ties to the smaller number."""
     out = np.empty((len(x), m), dtype=np.int16)
     for i in range(0, len(x), 256):
-        out[i : i + 256] = tables(x[i : i + 256], book, m).argmin(axis=2)
+        out[i : i + 256] = _crossed(x[i : i + 256], book, m)[1].argmin(axis=2).T
     return out
 
 
+def _lists(a: np.ndarray) -> pa.ListArray:
+    """A list for each row."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1) * a.shape[1], pa.int32()), pa.array(a.ravel()))
+
+
 def encode(vectors: DataFrame, mean: np.ndarray, books: dict[int, np.ndarray]) -> DataFrame:
     """vec_id and the codes pq16, pq32 of the given codebooks, which are of fixed size."""
     schema = "vec_id bigint, " + ", ".join(f"pq{m} array<smallint>" for m in books)
@@ -124,7 +142,7 @@ def encode(vectors: DataFrame, mean: np.ndarray, books: dict[int, np.ndarray]) -
     def run(batches):
         for b in batches:
             x = matrix(pa.chunked_array([b.column(1)])) if b.num_rows else np.zeros((0, DIM), np.int64)
-            codes = [pa.array(encode_array(x - mean, book, m).tolist(), pa.list_(pa.int16())) for m, book in books.items()]
+            codes = [_lists(encode_array(x - mean, book, m)) for m, book in books.items()]
             yield pa.RecordBatch.from_arrays([b.column(0), *codes], names=["vec_id", *[f"pq{m}" for m in books]])
 
     return vectors.select("vec_id", "vec").mapInArrow(run, schema)

@@ -5,10 +5,13 @@ from collections import Counter
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from beamlake import plans
+from beamlake.operators import blocked, cells, pq
 from beamlake.plans import ann_queries, oracle
 
 
@@ -34,3 +37,31 @@ def test_large_components_equal_the_sql(spark, tmp_path):
     v = spark.createDataFrame([(0, values * 8), (1, values[::-1] * 8)], "vec_id bigint, embedding array<float>")
     v.withColumn("label", F.lit(0)).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
     against_sql("dsp_vector", ann_queries.dsp_vector(spark, str(tmp_path)), embeddings=f"{tmp_path}/embeddings.parquet/*.parquet")
+
+
+def test_blocks_are_ranked_whole():
+    r = np.random.default_rng(8)
+    d = r.integers(0, 12, (7, 50))
+    want = [sorted((int(x), j) for j, x in enumerate(row) if (i, j) != (3, 4))[:9] for i, row in enumerate(d)]
+    without = np.zeros(d.shape, bool)
+    without[3, 4] = True
+    dist, place = blocked.nearest(d.copy(), 9, without)
+    assert [list(zip(a, b, strict=True)) for a, b in zip(dist.tolist(), place.tolist(), strict=True)] == want
+    assert (blocked.nearest(d[:, :3].copy(), 9)[1] >= 0).sum() == 21
+    with pytest.raises(OverflowError):
+        blocked.nearest(np.array([[1 << 40]]), 1)
+
+
+def test_lists_of_trees_are_merged_as_batches():
+    lists = [[(5, 1), (7, 2), (5, 1), (7, 1)], [], [(0, 9)] * 3]
+    kind = pa.list_(pa.struct([("dist", pa.int64()), ("vec_id", pa.int64())]))
+    b = pa.RecordBatch.from_arrays([pa.array([0] * 4, pa.int32()), pa.array(range(4)), pa.array([[{"dist": 1, "vec_id": 1}], *[[{"dist": d, "vec_id": i} for d, i in l] for l in lists]], kind)], names=["part", "vec_id", "near"]).slice(1)
+    assert [[(x["dist"], x["vec_id"]) for x in l] for l in cells._merged(b, 2).column(2).to_pylist()] == [[(5, 1), (7, 1)], [], [(0, 9)]]
+
+
+def test_codes_are_those_of_plain_distances():
+    r = np.random.default_rng(9)
+    x, book = r.integers(-32768, 32768, (70, 64)), r.integers(-40000, 40000, (256, 64))
+    for m in (16, 32):
+        plain = ((x.reshape(70, m, 1, -1) - book.reshape(256, m, -1).transpose(1, 0, 2)[None]) ** 2).sum(axis=3)
+        assert (pq.tables(x, book, m) == plain).all() and (pq.encode_array(x, book, m) == plain.argmin(axis=2)).all()
