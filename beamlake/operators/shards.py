@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 
 from beamlake.config import DEGREE, SearchConfig
 from beamlake.operators import pq
-from beamlake.operators.blocked import matrix, smallest
+from beamlake.operators.blocked import l2, matrix, nearest, smallest
 from beamlake.operators.cells import cell_lists, cells, routes
 from beamlake.operators.search import _size, beam, best
 from beamlake.operators.tables import stored
 
 #: Rows of a shard, about, and queries of one pass.
 SHARD, BLOCK = 131_072, 65_536
+#: Distances that are held at a time where queries are compared with a whole shard.
+CELLS = 1 << 21
 
 ROWS = "shard int, vec_id bigint, vec array<int>, pq16 array<smallint>, pq32 array<smallint>, neighbors array<bigint>, routes array<bigint>, entry boolean"
 
@@ -70,10 +72,41 @@ class _Shard:
         marked = np.flatnonzero(rows.column("entry").to_numpy(zero_copy_only=False))
         self.entries = marked if len(marked) else np.zeros(1, np.int64)
 
+    def reached(self) -> np.ndarray:
+        """Places that lists and routes lead to from the entries, in order."""
+        seen, front = np.zeros(len(self.ids), bool), self.entries
+        while len(front):
+            seen[front] = True
+            n = self.offsets[front + 1] - self.offsets[front]
+            ends = np.cumsum(n)
+            to = self.targets[np.repeat(self.offsets[front] - ends + n, n) + np.arange(ends[-1])]
+            front = np.unique(to[~seen[to]])
+        return np.flatnonzero(seen)
+
     def vectors(self, places: np.ndarray) -> np.ndarray:
         return matrix(pa.chunked_array([self.vecs.take(pa.array(places))]))
 
 
+def _all_reached(shard: _Shard, q: pa.Table, cfg: SearchConfig, not_self: bool, dead: np.ndarray | None) -> tuple[list, list, list, list]:
+    """Results of queries whose list can hold the whole shard. Such a list drops nothing, so a search expands whatever can be reached, which is the
+    same for every query: it is walked once, and ranked in blocks of bounded size."""
+    places = shard.reached()
+    if len(places) > cfg.max_expanded:
+        raise OverflowError(f"more than {cfg.max_expanded} vertices expanded")
+    hops, out = len(places), ([], [], [], [])
+    places = places if dead is None else places[~dead[places]]
+    ids, x, step = shard.ids[places], shard.vectors(places).astype(np.float64), max(1, CELLS // max(1, len(places)))
+    for i in range(0, q.num_rows if len(places) else 0, step):
+        part = q.slice(i, step)
+        me = part.column("query_id").to_numpy()
+        dist, at = nearest(l2(x, matrix(part.column("vec"), np.float64)), cfg.k, ids == me[:, None] if not_self else None)
+        found = at >= 0
+        whose = np.broadcast_to(me[:, None], at.shape)[found].tolist()
+        for column, values in zip(out, (whose, ids[at[found]].tolist(), dist[found].tolist(), [hops] * len(whose)), strict=True):
+            column.extend(values)
+    return out
+
+
 def search_rows(queries: DataFrame, rows: DataFrame, n_shards: int, mean: np.ndarray, book: np.ndarray, cfg: SearchConfig, not_self: bool = False, deleted: DataFrame | None = None, mine: list[int] | None = None) -> DataFrame:
     """query_id, rank, vec_id, dist_sq of the k nearest found of queries(query_id, vec) in rows, a table of ROWS dealt to n_shards, which holds the
     shards `mine`, or all.
@@ -85,6 +118,7 @@ def search_rows(queries: DataFrame, rows: DataFrame, n_shards: int, mean: np.nda
     asked = queries.select("query_id", "vec", _size(queries, cfg).alias("l_size"), F.lit(None).cast("bigint").alias("dead"))
     passes = max(1, math.ceil(queries.count() / BLOCK))
     tombstones = deleted is not None
+    exhaustive = cfg.rerank != "partial" and cfg.max_hops is None and not cfg.early_stop
     result = "query_id bigint, vec_id bigint, dist_sq bigint, hops int"
 
     def run(table: pa.Table, q: pa.Table) -> pa.Table:
@@ -94,6 +128,11 @@ def search_rows(queries: DataFrame, rows: DataFrame, n_shards: int, mean: np.nda
             if tombstones:
                 dead = np.isin(shard.ids, pc.drop_null(q.column("dead")).to_numpy())
                 q = q.filter(pc.is_null(q.column("dead")))
+            every = exhaustive & (q.column("l_size").to_numpy() >= len(shard.ids))
+            if every.any():
+                for column, values in zip(out, _all_reached(shard, q.filter(pa.array(every)), cfg, not_self, dead), strict=True):
+                    column.extend(values)
+                q = q.filter(pa.array(~every))
             for i in range(0, q.num_rows, 64):
                 part = q.slice(i, 64)
                 x, mine, sizes = matrix(part.column("vec")), part.column("query_id").to_numpy(), part.column("l_size").to_numpy()

@@ -11,7 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from beamlake import plans
-from beamlake.operators import blocked, cells, pq
+from beamlake.config import SearchConfig
+from beamlake.operators import blocked, cells, pq, shards
+from beamlake.operators.search import beam
 from beamlake.plans import ann_queries, oracle
 
 
@@ -39,6 +41,27 @@ def test_large_components_equal_the_sql(spark, tmp_path):
     against_sql("dsp_vector", ann_queries.dsp_vector(spark, str(tmp_path)), embeddings=f"{tmp_path}/embeddings.parquet/*.parquet")
 
 
+def test_a_list_that_holds_the_shard_is_walked_once():
+    """What a search with room for all rows expands is the same for every query, and its results are those of the search itself."""
+    r = np.random.default_rng(7)
+    n, vec = 90, r.integers(-3, 4, (90, 64))
+    near = [sorted(r.choice(60 if i < 60 else 90, 2, replace=False).tolist()) for i in range(n)]  # 60 and on can't be reached
+    t = pa.table({"vec_id": np.arange(n) * 3, "vec": vec.tolist(), "pq16": r.integers(0, 256, (n, 16)).astype(np.int16).tolist(), "neighbors": [[3 * x for x in l] for l in near], "routes": pa.array([[]] * n, pa.list_(pa.int64())), "entry": [i == 5 for i in range(n)]})
+    shard, cfg = shards._Shard(t, 16), SearchConfig(l_size=n, m=16)
+    want, _, _, _ = beam(r.integers(0, 9, (16, 256)), shard.codes, shard.offsets, shard.targets, shard.entries, cfg)
+    assert shard.reached().tolist() == sorted(p for _, p in want) and len(want) < n
+    dead = np.arange(n) % 7 == 0
+    q = pa.table({"query_id": np.arange(4) * 30, "vec": vec[:4].tolist()})
+    got = list(zip(*shards._all_reached(shard, q, cfg, True, dead), strict=True))
+    exact = []
+    for me, x in zip(q.column("query_id").to_pylist(), vec[:4], strict=True):
+        left = sorted((int(((vec[p] - x) ** 2).sum()), 3 * p) for _, p in want if not dead[p] and 3 * p != me)
+        exact += [(me, i, d, len(want)) for d, i in left[:10]]
+    assert got == exact
+    with pytest.raises(OverflowError, match="vertices expanded"):
+        shards._all_reached(shard, q, SearchConfig(l_size=10, m=16, max_expanded=10), True, dead)
+
+
 def test_blocks_are_ranked_whole():
     r = np.random.default_rng(8)
     d = r.integers(0, 12, (7, 50))
