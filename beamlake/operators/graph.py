@@ -43,16 +43,23 @@ def reverse_edges(graph: DataFrame) -> DataFrame:
 
 def robust_prune(point: np.ndarray, candidates: np.ndarray, vectors: np.ndarray, degree: int, alpha: float = 1.2) -> list[int]:
     """Places of the candidates kept: the nearest, then none that a kept one covers (alpha * d(kept, c) <= d(point, c))."""
-    d = ((vectors - point) ** 2).sum(axis=1)
-    alive = np.lexsort((candidates, d)).tolist()
-    kept: list[int] = []
-    while alive and len(kept) < degree:
-        p = alive.pop(0)
+    v = vectors.astype(np.float64)  # whole numbers of 16 bits: nothing is lost
+    d = ((v - point) ** 2).sum(axis=1)
+    order = np.lexsort((candidates, d))
+    return order[covering(v[order], d[order], degree, alpha)].tolist()
+
+
+def covering(v: np.ndarray, d: np.ndarray, degree: int, alpha: float = 1.2) -> list[int]:
+    """Places that robust_prune keeps of candidates v at distances d, which come nearest first; doubles that are whole numbers."""
+    alive, kept, norms = np.ones(len(d), bool), [], np.einsum("ij,ij->i", v, v)
+    between = norms[:, None] + norms - 2 * (v @ v.T) if len(d) <= 256 else None
+    while len(kept) < degree:
+        p = int(alive.argmax()) if len(d) else 0
+        if not len(d) or not alive[p]:
+            break
         kept.append(p)
-        if alive:
-            rest = np.array(alive)
-            covered = alpha * alpha * ((vectors[rest] - vectors[p]) ** 2).sum(axis=1) <= d[rest]
-            alive = rest[~covered].tolist()
+        alive &= alpha * alpha * (between[p] if between is not None else norms + norms[p] - 2 * (v @ v[p])) > d
+        alive[p] = False
     return kept
 
 

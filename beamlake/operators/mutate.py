@@ -6,6 +6,7 @@ linked vertices get reverse edges, pruned again where they overflow. Deleted ver
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import replace
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from beamlake.config import DEGREE, SearchConfig
 from beamlake.functions.vector import l2sq
 from beamlake.operators import graph, pq
+from beamlake.operators.blocked import matrix
 from beamlake.operators.search import Index, search
 from beamlake.operators.tables import stored
 
@@ -38,22 +40,35 @@ def pruned(points: DataFrame, candidates: DataFrame, vectors: DataFrame, degree:
     c = candidates.select("vec_id", "other").distinct().join(vectors.select(F.col("vec_id").alias("other"), F.col("vec").alias("v")), "other").join(points.select("vec_id", "vec"), "vec_id")
     c = stored(c.select("vec_id", "other", "v", l2sq(F.col("vec"), F.col("v")).alias("d")), "candidates")
     counts = c.groupBy("vec_id").agg(F.count("*").alias("n"))
-    own = points.select("vec_id", "vec")
     todo, pool, out = c, POOL, None
 
+    def chosen(rows: pa.Table) -> pa.RecordBatch:
+        """Of whole vertices, whose candidates come nearest first."""
+        ids, other, d = (rows.column(c).to_numpy() for c in ("vec_id", "other", "d"))
+        v = matrix(rows.column("v"), np.float64)
+        cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+        kept = [other[i:j][graph.covering(v[i:j], d[i:j], degree, alpha)] for i, j in itertools.pairwise(cuts)]
+        ends = np.cumsum([0, *map(len, kept)])
+        return pa.RecordBatch.from_arrays([pa.array(ids[cuts[:-1]]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(kept)))], names=["vec_id", "neighbors"])
+
     def run(batches):
+        held = None  # the last vertex of a batch may go on in the next
         for b in batches:
-            out = []
-            for p, found in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids, v = np.array([x["other"] for x in found]), np.array([x["v"] for x in found], dtype=np.int64)
-                out.append([int(ids[i]) for i in graph.robust_prune(np.array(p, dtype=np.int64), ids, v, degree, alpha)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["vec_id", "neighbors"])
+            rows = pa.Table.from_batches([b])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            ids = rows.column("vec_id").to_numpy()
+            first = int(np.flatnonzero(ids == ids[-1])[0]) if len(ids) else 0
+            if first:
+                yield chosen(rows.slice(0, first))
+            held = rows.slice(first)
+        if held is not None and held.num_rows:
+            yield chosen(held)
 
     while True:
         nth = F.row_number().over(Window.partitionBy("vec_id").orderBy("d", "other"))
         near = todo.withColumn("nth", nth).where(F.col("nth") <= pool)
-        lists = near.groupBy("vec_id").agg(F.collect_list(F.struct("other", "v")).alias("c")).join(own, "vec_id")  # at most `pool` each
-        got = lists.select("vec_id", "c", "vec").mapInArrow(run, "vec_id bigint, neighbors array<bigint>")
+        # The window leaves a vertex's rows together; Python sees rows, not lists of vectors, and holds one batch and one vertex.
+        got = near.select("vec_id", "other", "d", "v").sortWithinPartitions("vec_id", "d", "other").mapInArrow(run, "vec_id bigint, neighbors array<bigint>")
         got = stored(got.join(counts, "vec_id"), "pruned")
         open_ = (F.size("neighbors") < degree) & (F.col("n") > pool)
         done = got.where(~open_).select("vec_id", "neighbors")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from beamlake import plans
 from beamlake.config import SearchConfig
-from beamlake.operators import blocked, cells, pq, shards
+from beamlake.operators import blocked, cells, graph, pq, shards
 from beamlake.operators.search import beam
 from beamlake.plans import ann_queries, oracle
 
@@ -88,3 +88,15 @@ def test_codes_are_those_of_plain_distances():
     for m in (16, 32):
         plain = ((x.reshape(70, m, 1, -1) - book.reshape(256, m, -1).transpose(1, 0, 2)[None]) ** 2).sum(axis=3)
         assert (pq.tables(x, book, m) == plain).all() and (pq.encode_array(x, book, m) == plain.argmin(axis=2)).all()
+
+
+@pytest.mark.parametrize("n", [30, 400])
+def test_pruning_by_products_is_that_by_differences(n):
+    r = np.random.default_rng(n)
+    v, p = r.integers(-32768, 32768, (n, 64)), r.integers(-32768, 32768, 64)
+    d, kept = ((v - p) ** 2).sum(axis=1), []
+    alive = np.lexsort((np.arange(n), d)).tolist()
+    while alive and len(kept) < 16:
+        kept.append(alive.pop(0))
+        alive = [i for i in alive if 1.2 * 1.2 * int(((v[i] - v[kept[-1]]) ** 2).sum()) > d[i]]
+    assert graph.robust_prune(p, np.arange(n), v, 16) == kept
