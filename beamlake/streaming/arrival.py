@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,19 +31,37 @@ _COSTS = [(gear, cost) for gear, cost, *_ in sorted(GEARS, reverse=True)]
 
 def fold(rows: pd.DataFrame, energy: float, seq: int) -> tuple[pd.DataFrame, float, int]:
     """Decisions on a device's rows(device, event_id, ts, volts), and its store and number of arrivals after them."""
-    rows = rows.sort_values(["ts", "event_id"], na_position="first", kind="stable")
-    out = []
-    for device, event, volts in zip(rows["device"], rows["event_id"], rows["volts"], strict=True):
-        if not pd.isna(volts):
+    order = np.lexsort((_nulls_first(rows["event_id"]), _nulls_first(rows["ts"])))  # stable
+    at, seqs, gears, left = [], [], [], []
+    for i, volts in zip(order.tolist(), rows["volts"].to_numpy(dtype="float64", na_value=np.nan)[order].tolist(), strict=True):
+        if volts == volts:
             energy = CAPACITANCE * MICRO * EFFICIENCY * (volts * volts - V_OFF * V_OFF) if volts > V_OFF else 0.0
             continue
         budget = math.floor(energy / UJ_PER_BYTE)
         gear, cost = next(((g, c) for g, c in _COSTS if budget >= c), (WAIT, 0))
         energy -= cost * UJ_PER_BYTE
-        out.append((device, event, seq, gear, energy))
+        at.append(i)
+        seqs.append(seq)
+        gears.append(gear)
+        left.append(energy)
         seq += 1
-    made = pd.DataFrame(out, columns=["device", "event_id", "seq", "gear", "energy_uj"])
-    return made.astype({"device": "Int64", "event_id": "Int64", "seq": "int64", "gear": "int32", "energy_uj": "float64"}), energy, seq
+    made = {c: _whole(rows[c], at) for c in ("device", "event_id")}
+    made |= {"seq": np.array(seqs, np.int64), "gear": np.array(gears, np.int32), "energy_uj": np.array(left, np.float64)}
+    return pd.DataFrame(made), energy, seq
+
+
+def _nulls_first(s: pd.Series) -> np.ndarray:
+    """Values to sort by; nulls are least. A device has few rows, for which sorting a frame costs more than all the rest."""
+    a = s.to_numpy()
+    if a.dtype.kind == "M":
+        return a.view(np.int64)  # the null of times is the least number
+    return a if a.dtype.kind in "iu" else s.to_numpy(dtype="float64", na_value=-np.inf)
+
+
+def _whole(s: pd.Series, at: list[int]):
+    """Whole numbers at places, nulls where they are null."""
+    a = s.to_numpy()
+    return a[at].astype(np.int64) if a.dtype.kind in "iu" else s.iloc[at].astype("Int64").array
 
 
 def _prepared(events: DataFrame) -> DataFrame:
@@ -59,7 +78,8 @@ def decided(events: DataFrame) -> DataFrame:
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         energy, seq = state.get if state.exists else (0.0, 0)
-        out, energy, seq = fold(pd.concat(list(parts)), energy, seq)
+        all_ = list(parts)
+        out, energy, seq = fold(all_[0] if len(all_) == 1 else pd.concat(all_, ignore_index=True), energy, seq)
         state.update((energy, seq))
         if len(out):
             yield out

@@ -6,6 +6,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from beamlake.config import SearchConfig
 from beamlake.operators import blocked, cells, graph, pq, shards
 from beamlake.operators.search import beam
 from beamlake.plans import ann_queries, oracle
+from beamlake.streaming import arrival
 
 
 @pytest.mark.parametrize("module", sorted(Path(plans.__path__[0]).glob("*.py")), ids=lambda p: p.stem)
@@ -100,3 +102,13 @@ def test_pruning_by_products_is_that_by_differences(n):
         kept.append(alive.pop(0))
         alive = [i for i in alive if 1.2 * 1.2 * int(((v[i] - v[kept[-1]]) ** 2).sum()) > d[i]]
     assert graph.robust_prune(p, np.arange(n), v, 16) == kept
+
+
+def test_a_device_is_decided_without_frames_of_nullable_columns():
+    """Whole columns stay plain numbers, and nulls come first in either key."""
+    rows = pd.DataFrame({"device": [3] * 4, "event_id": [7, 5, 6, 4], "ts": pd.to_datetime(["2024-01-02", "2024-01-02", None, "2024-01-01"]), "volts": [np.nan, 3.3, np.nan, np.nan]})
+    out, energy, seq = arrival.fold(rows, 0.0, 2)
+    assert out["event_id"].tolist() == [6, 4, 7] and out["seq"].tolist() == [2, 3, 4] and seq == 5 and energy == out["energy_uj"].iloc[-1] > 0
+    assert [str(t) for t in out.dtypes] == ["int64", "int64", "int64", "int32", "float64"]
+    out, _, _ = arrival.fold(rows.assign(device=np.nan, event_id=[7.0, 5.0, np.nan, 4.0]), 0.0, 0)
+    assert out["device"].isna().all() and out["event_id"].isna().tolist() == [True, False, False]
