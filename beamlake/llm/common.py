@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from beamlake.operators.tables import drop_stored, shared_dir, stored
 
-__all__ = ["BROADCAST_BYTES", "NOT_WORD", "WORD", "crc_mod", "drop_path", "drop_stored", "in_slices", "light", "new_path", "numbered", "packed", "shared_dir", "stored", "table", "text_key", "unpacked", "wider", "words_of"]
+__all__ = ["BROADCAST_BYTES", "Kept", "NOT_WORD", "WORD", "crc_mod", "drop_path", "drop_stored", "in_slices", "kept", "light", "new_path", "numbered", "packed", "shared_dir", "stored", "table", "text_key", "unpacked", "wider", "words_of"]
 
 #: A word is a run of letters, digits and combining marks; case never matters.
 WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
@@ -31,8 +32,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def light(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """df, marked for broadcast where a pass over it (a stored table) has shown that its rows take at most `limit` bytes."""
+def _row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row of df takes."""
     size = F.lit(16 + 16 * len(df.columns))
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.StringType, T.BinaryType)):
@@ -41,10 +42,39 @@ def light(df: DataFrame, limit: int | None = None) -> DataFrame:
             size = size + 16 * F.greatest(F.size(f.name), F.lit(0))
             if isinstance(f.dataType.elementType, T.StringType):
                 size = size + F.aggregate(F.coalesce(f.name, F.array().cast("array<string>")), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.octet_length(x), F.lit(0)))
-    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return size.cast("long")
+
+
+def light(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """df, marked for broadcast where a pass over it (a stored table) has shown that its rows take at most `limit` bytes."""
+    total = df.agg(F.sum(_row_bytes(df))).first()[0] or 0
     return F.broadcast(df) if total <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
+@dataclass
+class Kept:
+    """A stored table, and what was counted as it was written: rows, bytes (None if not asked for), and any other aggregates."""
+
+    table: DataFrame
+    rows: int
+    bytes: int | None
+    more: dict
+
+    def light(self, part: DataFrame | None = None) -> DataFrame:
+        """The table, or a part of it, as light() gives it; without a pass where the whole is known to be small enough."""
+        df = self.table if part is None else part
+        return F.broadcast(df) if self.bytes is not None and self.bytes <= BROADCAST_BYTES else light(df)
+
+
+def kept(df: DataFrame, name: str, rows: int | None = None, per_file: int = 20_000, weigh: bool = True, **more: Column) -> Kept:
+    """stored(), with counts that the writing job makes, so that they take no jobs of their own. more: aggregates of df."""
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("rows_"), *([F.sum(_row_bytes(df)).alias("bytes_")] if weigh else []), *[c.alias(k) for k, c in more.items()]]
+    table = stored(df.observe(seen, *counts), name, rows, per_file)
+    found = seen.get
+    return Kept(table, found["rows_"], (found["bytes_"] or 0) if weigh else None, {k: found[k] for k in more})
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df, stored in this order, with its number from 0: a range partitioning, and counts of the partitions before, so that no task
     numbers all rows. df is read twice (ranges are chosen from a sample): give a stored table."""

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beamlake.llm.common import light, packed, stored, text_key, unpacked
+from beamlake.llm.common import Kept, kept, packed, stored, text_key, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive, and tried only where a run starts or the last match ended: the same matches without backtracking.
@@ -281,59 +281,63 @@ def _located(docs: DataFrame) -> DataFrame:
     return t.select("key1", "key2", "word", "based", every.alias("candidates"))
 
 
-def _settled(edges: DataFrame, fixed: DataFrame) -> DataFrame:
-    """pattern, confidence and mass (the weight of its instances).
+def _patterns(counts: DataFrame, rows: int, name: str) -> Kept:
+    """counts(pattern, seeds, total) with the confidence and mass of the first round, in which only seeds weigh; `moved` is how far that goes from 0."""
+    one = F.least(F.lit(1.0), F.col("seeds").cast("double") / (F.col("total") + 1))
+    first = counts.select("pattern", "seeds", "total", one.alias("confidence"), F.col("seeds").cast("double").alias("mass"))
+    return kept(first, name, rows, moved=F.max("confidence"))
 
-    edges(pattern, instance): of open instances. fixed(pattern, seeds, total)."""
-    count = fixed.count()
-    state = stored(fixed.select("pattern", F.lit(0.0).alias("confidence"), F.col("seeds").cast("double").alias("mass")), "pii-confidence", count)
-    while True:
+
+def _settled(edges: DataFrame, fixed: DataFrame | Kept) -> DataFrame:
+    """pattern, seeds, total, confidence and mass (the weight of its instances).
+
+    edges(pattern, instance): of open instances. fixed(pattern, seeds, total), or what _patterns makes of it. A round is one job, which also tells how far it has moved."""
+    state = first = fixed if isinstance(fixed, Kept) else _patterns(fixed, None, "pii-confidence")
+    while (state.more["moved"] or 0.0) > SETTLED:  # each round moves by KEEP times the one before at most
+        now = state.table
+        weight = edges.join(state.light(now.select("pattern", "confidence")), "pattern").groupBy("instance").agg((KEEP * F.max("confidence")).alias("weight"))
+        open_ = edges.join(weight.where("weight > 0"), "instance").groupBy("pattern").agg(F.sum("weight").alias("open"))
         score = (F.col("seeds") + F.coalesce("open", F.lit(0.0))).alias("mass")
-        weight = edges.join(light(state.select("pattern", "confidence")), "pattern").groupBy("instance").agg((KEEP * F.max("confidence")).alias("weight"))
-        mass = edges.join(weight.where("weight > 0"), "instance").groupBy("pattern").agg(F.sum("weight").alias("open"))
-        new = fixed.join(mass, "pattern", "left").select("pattern", "total", score)
-        new = stored(new.select("pattern", F.least(F.lit(1.0), F.col("mass") / (F.col("total") + 1)).alias("confidence"), "mass"), "pii-confidence", count)
-        both = new.join(state.select("pattern", F.col("confidence").alias("before")), "pattern")
-        moved = both.agg(F.max(F.abs(F.col("confidence") - F.col("before")))).first()[0] or 0.0
-        state = new
-        if moved <= SETTLED:  # each round moves by KEEP times the one before at most
-            return state
-
-
-def _totals(docs: DataFrame, contexts: DataFrame) -> DataFrame:
+        new = now.select("pattern", "seeds", "total", F.col("confidence").alias("before")).join(open_, "pattern", "left").select("pattern", "seeds", "total", "before", score)
+        new = new.select("pattern", "seeds", "total", F.least(F.lit(1.0), F.col("mass") / (F.col("total") + 1)).alias("confidence"), "mass", "before")
+        state = kept(new, "pii-confidence", first.rows, moved=F.max(F.abs(F.col("confidence") - F.col("before"))))
+    return state.table.select("pattern", "seeds", "total", "confidence", "mass")
+
+
+def _totals(docs: DataFrame, contexts: Kept) -> DataFrame:
     """pattern and all, the number of distinct tokens of any kind in its context, of contexts(pattern)."""
-    p = F.split("pattern", " ")
-    nears = stored(contexts.select(F.when(p[0] == "LL", p[2]).otherwise(p[1]).alias("near")).distinct(), "pii-near", contexts.count())
+    p, patterns = F.split("pattern", " "), contexts.table.select("pattern")
+    nears = kept(patterns.select(F.when(p[0] == "LL", p[2]).otherwise(p[1]).alias("near")).distinct(), "pii-near", contexts.rows)
     w = docs.where(F.col("text").isNotNull()).select(_words(F.lower("text")).alias("w")).select("w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
-    each = w.select(*_around()).withColumn("near", _near()).join(light(nears), "near", "left_semi")
-    every = each.select("raw", F.explode(_contexts()).alias("pattern")).join(light(contexts.select("pattern")), "pattern", "left_semi")
+    each = w.select(*_around()).withColumn("near", _near()).join(nears.light(), "near", "left_semi")
+    every = each.select("raw", F.explode(_contexts()).alias("pattern")).join(contexts.light(patterns), "pattern", "left_semi")
     return every.select("pattern", _core(F.col("raw")).alias("core")).distinct().groupBy("pattern").agg(F.count("*").alias("all"))
 
 
-def bootstrap(docs: DataFrame, tokens: DataFrame) -> DataFrame:
+def bootstrap(docs: DataFrame, tokens: Kept) -> DataFrame:
     """pattern, confidence and mass of the contexts that may extract, from tokens(instance, state, contexts)."""
-    rows = tokens.count()
-    each = tokens.select(F.lower("instance").alias("instance"), "state", F.explode(F.concat("contexts", _shapes(F.col("instance")))).alias("pattern"))
+    rows = tokens.rows
+    each = tokens.table.select(F.lower("instance").alias("instance"), "state", F.explode(F.concat("contexts", _shapes(F.col("instance")))).alias("pattern"))
     graph = stored(each.groupBy("pattern", "instance").agg(F.max("state").alias("state")), "pii-graph", 8 * rows, 100_000)
     count = graph.groupBy("pattern").agg(F.sum(F.when(F.col("state") > 0, 1).otherwise(0)).alias("seeds"), F.count("*").alias("total"))
-    fixed = stored(count.where(F.col("total") >= SUPPORT), "pii-patterns", rows)  # no other can gain the mass
-    edges = stored(graph.where("state is null").select("pattern", "instance").join(light(fixed.select("pattern")), "pattern", "left_semi"), "pii-edges", 8 * rows, 100_000)
+    fixed = _patterns(count.where(F.col("total") >= SUPPORT), rows, "pii-patterns")  # no other can gain the mass
+    edges = stored(graph.where("state is null").select("pattern", "instance").join(fixed.light(fixed.table.select("pattern")), "pattern", "left_semi"), "pii-edges", 8 * rows, 100_000)
     shape = F.col("pattern").rlike("^[DS] ")
     good = (F.col("confidence") >= CONFIDENCE) & (F.col("mass") >= SUPPORT) & ~shape
     may = (F.col("confidence") + TAIL >= CONFIDENCE) & (F.col("mass") + TAIL * F.col("total") >= SUPPORT) & ~shape
-    hopeful = stored(_settled(edges, fixed).join(fixed.select("pattern", "total"), "pattern").where(may), "pii-hopeful", fixed.count())
+    hopeful = kept(_settled(edges, fixed).where(may), "pii-hopeful", fixed.rows)
     # So far only tokens with a digit or an at sign counted. A part of the texts bounds the number of all others from
     # below, which is enough to give up contexts such as those of common words; the rest is counted over all texts.
     least = _totals(docs.where(F.pmod(F.xxhash64("text"), F.lit(PART)) == 0), hopeful)
     able = F.coalesce("all", F.lit(0)) * CONFIDENCE <= F.col("mass") + TAIL * F.col("total")
-    hopeful = stored(hopeful.join(least, "pattern", "left").where(able).select("pattern"), "pii-hopeful", hopeful.count())
-    if hopeful.limit(1).count() == 0:
-        return hopeful.select("pattern", F.lit(0.0).alias("confidence"), F.lit(0.0).alias("mass"))
-    totals = _totals(docs, hopeful)
-    exact = fixed.where(shape).unionByName(fixed.join(hopeful, "pattern", "left_semi").join(totals, "pattern").select("pattern", "seeds", F.greatest("total", "all").alias("total")))
-    exact = stored(exact, "pii-exact", fixed.count())
-    edges = stored(edges.join(light(exact.select("pattern")), "pattern", "left_semi"), "pii-edges", 8 * rows, 100_000)
-    return _settled(edges, exact).where(good)
+    hopeful = kept(hopeful.table.join(least, "pattern", "left").where(able).select("pattern"), "pii-hopeful", hopeful.rows)
+    if not hopeful.rows:
+        return hopeful.table.select("pattern", F.lit(0.0).alias("confidence"), F.lit(0.0).alias("mass"))
+    totals, counts = _totals(docs, hopeful), fixed.table.select("pattern", "seeds", "total")
+    exact = counts.where(shape).unionByName(counts.join(hopeful.table, "pattern", "left_semi").join(totals, "pattern").select("pattern", "seeds", F.greatest("total", "all").alias("total")))
+    exact = _patterns(exact, fixed.rows, "pii-exact")
+    edges = stored(edges.join(exact.light(exact.table.select("pattern")), "pattern", "left_semi"), "pii-edges", 8 * rows, 100_000)
+    return _settled(edges, exact).where(good).select("pattern", "confidence", "mass")
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -341,27 +345,27 @@ def spans(docs: DataFrame) -> DataFrame:
     cols = [c for c in docs.columns if c not in ("base", "more", "key1", "key2")]
     text = F.coalesce(F.col("text"), F.lit(""))
     read = docs.select(*cols)
-    tokens = stored(_tokens(read.select("text")), "pii-tokens")
-    chosen = stored(bootstrap(read, tokens).select("pattern"), "pii-chosen", tokens.count())
+    tokens = kept(_tokens(read.select("text")), "pii-tokens", weigh=False)
+    chosen = kept(bootstrap(read, tokens).select("pattern"), "pii-chosen", tokens.rows)
     out = read.withColumn("base", base_spans(text))
     none = F.array().cast(_SPAN)
     form = F.col("state") == 2
-    open_ = tokens.where("state is null or state = 2").where(form | (F.length(_digits(F.col("instance"))) >= 4) | F.col("instance").contains("@"))
-    new = open_.select("key1", "key2", "instance", F.coalesce(form, F.lit(False)).alias("form"), F.explode("contexts").alias("pattern")).join(light(chosen), "pattern", "left_semi")
-    found = stored(new.groupBy("key1", "key2", F.col("instance").alias("found")).agg(F.max("form").alias("form")), "pii-found", tokens.count())
-    if found.limit(1).count() == 0:
+    open_ = tokens.table.where("state is null or state = 2").where(form | (F.length(_digits(F.col("instance"))) >= 4) | F.col("instance").contains("@"))
+    new = open_.select("key1", "key2", "instance", F.coalesce(form, F.lit(False)).alias("form"), F.explode("contexts").alias("pattern")).join(chosen.light(), "pattern", "left_semi")
+    found = kept(new.groupBy("key1", "key2", F.col("instance").alias("found")).agg(F.max("form").alias("form")), "pii-found", tokens.rows)
+    if not found.rows:
         return out.withColumn("more", none)
     keys = ["key1", "key2"]
     keyed = lambda df: df.withColumns(dict(zip(keys, text_key(F.col("text")), strict=True)))
-    texts = keyed(read.select("text")).join(light(found.select(*keys).distinct()), keys, "left_semi").groupBy(*keys).agg(F.first("text").alias("text"))
+    texts = keyed(read.select("text")).join(found.light(found.table.select(*keys).distinct()), keys, "left_semi").groupBy(*keys).agg(F.first("text").alias("text"))
     each = _located(texts).select(*keys, "word", "based", F.explode("candidates").alias("c")).select(*keys, "word", "based", "c.*")
-    hits = each.join(light(found), [*keys, "found"]).where(~F.col("based") | (F.col("whole") & F.col("form")))
+    hits = each.join(found.light(), [*keys, "found"]).where(~F.col("based") | (F.col("whole") & F.col("form")))
     span = F.struct(F.lit(len(KINDS)).alias("kind"), "start", "end", "found")
     # Of a word the whole, or else its parts; of a text as many as it has.
     per = hits.groupBy(*keys, "word").agg(F.max("whole").alias("any"), F.collect_list(F.struct("whole", span.alias("s"))).alias("c"))
     per = per.select(*keys, F.transform(F.filter("c", lambda x: x["whole"] == F.col("any")), lambda x: x["s"]).alias("c")).groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("c"))).alias("more"))
-    per = stored(per, "pii-placed", tokens.count())
-    return keyed(out).join(light(per), keys, "left").drop(*keys).withColumn("more", F.coalesce(F.col("more").cast(_SPAN), none))
+    per = kept(per, "pii-placed", tokens.rows)
+    return keyed(out).join(per.light(), keys, "left").drop(*keys).withColumn("more", F.coalesce(F.col("more").cast(_SPAN), none))
 
 
 def _named(s: Column) -> Column:

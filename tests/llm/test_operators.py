@@ -788,3 +788,21 @@ def test_masks(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.mask(d).collect()}
     assert got == {1: ("😀 <EMAIL>, <IP> <PHONE>", 23), 2: ("clean", 5), 3: (None, None)}
     assert pii.digest(d.where("1 = 0")).count() == 0
+
+
+def test_small_tables_are_weighed_as_they_are_written(spark, monkeypatch):
+    """Contexts are scored without a pass over any table but the one that writes it; kept() counts what it writes."""
+
+    def passed(*_):
+        raise AssertionError("a pass of its own")
+
+    monkeypatch.setattr(common, "light", passed)
+    monkeypatch.setattr(pii, "light", passed, raising=False)
+    counts = spark.createDataFrame([("K a", 5, 6), ("K b", 0, 9)], "pattern string, seeds bigint, total bigint")
+    edges = spark.createDataFrame([("K a", "x"), ("K b", "x")], "pattern string, instance string")
+    got = {x.pattern: x.confidence for x in pii._settled(edges, counts).collect()}
+    assert got["K a"] > 0.79 and 0.07 < got["K b"] < 0.09
+    k = common.kept(spark.range(10).select("id", F.lit("four").alias("s")), "kept", most=F.max("id"))
+    assert (k.rows, k.bytes, k.more) == (10, 10 * (16 + 2 * 16 + 4), {"most": 9}) and k.light().count() == 10
+    none = common.kept(k.table.where("id < 0"), "kept", most=F.max("id"))
+    assert (none.rows, none.bytes, none.more) == (0, 0, {"most": None})
