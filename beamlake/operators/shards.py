@@ -26,10 +26,10 @@ from beamlake.operators.cells import cell_lists, cells, routes
 from beamlake.operators.search import _size, beam, best
 from beamlake.operators.tables import stored
 
-#: Rows of a shard, about, and queries of one pass.
-SHARD, BLOCK = 131_072, 65_536
-#: Distances that are held at a time where queries are compared with a whole shard.
-CELLS = 1 << 21
+#: Rows of a shard, about, and queries of one pass. Passes run beside each other.
+SHARD, BLOCK = 131_072, 8_192
+#: Distances that are held at a time where queries are compared with a whole shard, and rows that they are of.
+CELLS, ROWS_STEP = 1 << 21, 1 << 14
 
 ROWS = "shard int, vec_id bigint, vec array<int>, pq16 array<smallint>, pq32 array<smallint>, neighbors array<bigint>, routes array<bigint>, entry boolean"
 
@@ -95,15 +95,23 @@ def _all_reached(shard: _Shard, q: pa.Table, cfg: SearchConfig, not_self: bool,
         raise OverflowError(f"more than {cfg.max_expanded} vertices expanded")
     hops, out = len(places), ([], [], [], [])
     places = places if dead is None else places[~dead[places]]
-    ids, x, step = shard.ids[places], shard.vectors(places).astype(np.float64), max(1, CELLS // max(1, len(places)))
-    for i in range(0, q.num_rows if len(places) else 0, step):
-        part = q.slice(i, step)
-        me = part.column("query_id").to_numpy()
-        dist, at = nearest(l2(x, matrix(part.column("vec"), np.float64)), cfg.k, ids == me[:, None] if not_self else None)
-        found = at >= 0
-        whose = np.broadcast_to(me[:, None], at.shape)[found].tolist()
-        for column, values in zip(out, (whose, ids[at[found]].tolist(), dist[found].tolist(), [hops] * len(whose)), strict=True):
-            column.extend(values)
+    ids, asked, y = shard.ids[places], q.column("query_id").to_numpy(), matrix(q.column("vec"), np.float64)
+    last = np.iinfo(np.int64).max
+    top = np.full((2, len(asked), cfg.k), last)  # distances, and numbers of places
+    for a in range(0, len(places), ROWS_STEP):
+        x = shard.vectors(places[a : a + ROWS_STEP]).astype(np.float64)
+        step = CELLS // ROWS_STEP
+        for i in range(0, len(asked), step):
+            me = asked[i : i + step, None]
+            dist, at = nearest(l2(x, y[i : i + step]), cfg.k, ids[a : a + ROWS_STEP] == me if not_self else None)
+            both = np.stack([np.where(at >= 0, dist, last), np.where(at >= 0, at + a, last)])
+            both = np.concatenate([top[:, i : i + step], both], axis=2)  # in the order of places where distances are equal
+            best_ = np.argsort(both[0], axis=1, kind="stable")[:, : cfg.k]
+            top[:, i : i + step] = np.take_along_axis(both, best_[None], axis=2)
+    found = top[1] < last
+    whose = np.broadcast_to(asked[:, None], found.shape)[found].tolist()
+    for column, values in zip(out, (whose, ids[top[1][found]].tolist(), top[0][found].tolist(), [hops] * len(whose)), strict=True):
+        column.extend(values)
     return out
 
 

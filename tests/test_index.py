@@ -5,6 +5,7 @@ import os
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,29 @@ def test_an_exhaustive_list_is_exact_and_tombstones_never_come_back(spark, built
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_a_whole_shard_is_ranked_by_blocks_of_rows(spark, monkeypatch):
+    """No distances are held of more than ROWS_STEP rows, and ties at the edge of a block go to the smaller id."""
+    r = np.random.default_rng(3)
+    x = r.integers(0, 2, (95, 64)).astype(float)  # many ties
+    monkeypatch.setattr(shards, "ROWS_STEP", 10)
+    sizes = []
+    monkeypatch.setattr(shards, "l2", lambda a, b: sizes.append(len(a)) or blocked.l2(a, b))
+
+    class Whole:
+        ids = np.arange(95) * 3
+        reached = staticmethod(lambda: np.arange(95))
+        vectors = staticmethod(lambda places: x[places])
+
+    q = pa.table({"query_id": pa.array([0, 9, 500]), "vec": pa.array(x[[0, 3, 7]].astype(int).tolist(), pa.list_(pa.int32()))})
+    dead = np.arange(95) % 7 == 6
+    got = shards._all_reached(Whole(), q, SearchConfig(l_size=95), True, dead)
+    want = []
+    for me, y in zip((0, 9, 500), x[[0, 3, 7]], strict=True):
+        near = sorted((int(((x[p] - y) ** 2).sum()), p * 3) for p in range(95) if not dead[p] and p * 3 != me)[:10]
+        want += [(me, i, d) for d, i in near]
+    assert list(zip(*got[:3], strict=True)) == want and max(sizes) == 10
+
+
 def test_the_index_stays_where_it_is(spark, built):
     """Bucketed by shard: of the two sides of a search only the queries are shuffled."""
     _, q, stores = built
@@ -276,7 +300,7 @@ def published(spark, path, x, degree):
 
 
 def test_compaction_of_a_shard_does_not_follow_the_dead_to_all_its_rows(spark, tmp_path):
-    """A fifth of the rows are dead and link each other, so that by way of them alone nearly all rows are reached; took 50 s before."""
+    """A fifth of the rows are dead and link each other, so that by way of them alone nearly all rows are reached."""
     x = noise(2000)
     st, v, q = published(spark, tmp_path / "i", x, 16), frame(spark, x), frame(spark, x[:40]).withColumnRenamed("vec_id", "query_id")
     dead = v.where("vec_id % 5 = 0").select("vec_id")
@@ -289,7 +313,7 @@ def test_compaction_of_a_shard_does_not_follow_the_dead_to_all_its_rows(spark, t
 
 
 def test_a_shard_is_merged_by_batches(spark, tmp_path):
-    """Rows that fall into one shard; took 50 s before. Every row is reached, and a short list finds what is near."""
+    """Rows that fall into one shard. Every row is reached, and a short list finds what is near."""
     x = noise(3500)
     st, v, q = published(spark, tmp_path / "i", x[:1000], 16), frame(spark, x), frame(spark, x).where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
     began = time.time()
@@ -302,7 +326,7 @@ def test_a_shard_is_merged_by_batches(spark, tmp_path):
 
 
 def test_rows_that_short_lists_lose_are_led_to_by_routes(spark, tmp_path):
-    """Lists of two entries, which pruning takes from rows that nothing else leads to: before, searches missed rows."""
+    """Lists of two entries, which pruning takes from rows that nothing else may lead to."""
     x = clustered(900, seed=5, per=9)
     st, v, q = published(spark, tmp_path / "i", x[:300], 2), frame(spark, x), frame(spark, x).where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
     cfg = SearchConfig(l_size=900, m=16, degree=2, max_expanded=900)
@@ -313,6 +337,14 @@ def test_rows_that_short_lists_lose_are_led_to_by_routes(spark, tmp_path):
     assert same(generations.search(q, small, cfg, not_self=True)) == exact(q, v, dead)
 
 
+def test_each_shard_is_remade_by_a_task_of_its_own(spark):
+    """By their own numbers three of four shards shared a task."""
+    for mine in ([0, 1, 2, 3], [5], [1, 4, 6, 7, 9, 30]):
+        rows = spark.createDataFrame([(k,) for k in mine for _ in range(3)], "shard int").withColumn("task", generations._apart(spark, mine))
+        parts = rows.repartition(len(mine), "task").select("shard", F.spark_partition_id().alias("p")).distinct().collect()
+        assert len(parts) == len({r.p for r in parts}) == len(mine)
+
+
 def test_searches_of_a_batch_follow_the_rules_of_the_beam(spark, built):
     """What is expanded, with and without a limit of hops and early stopping, and what is chosen of it."""
     st = built[2][1].load()
