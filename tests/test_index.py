@@ -312,6 +312,16 @@ def test_compaction_of_a_shard_does_not_follow_the_dead_to_all_its_rows(spark, t
     assert all(0 < len(r.neighbors) <= 16 and all(o % 5 for o in r.neighbors) for r in small.rows.collect())
 
 
+def test_candidates_of_a_compacted_row_are_bounded():
+    """Through all of the dead, as was done before, a row leads to nearly every living one."""
+    r = np.random.default_rng(1)
+    near, gone, rows = r.integers(0, 3000, (3000, 16)), np.arange(3000) % 5 == 0, np.arange(1, 3000, 5)
+    links = lambda p: (np.repeat(np.arange(len(p)), 16), near[p].ravel())
+    i, to = links(rows)
+    every, few = (np.bincount(generations._beyond(i, to, gone, links, enough)[0], minlength=len(rows)) for enough in (None, 17))
+    assert np.median(every) > 2000 and few.max() <= 17 + 16 * 16
+
+
 def test_a_shard_is_merged_by_batches(spark, tmp_path):
     """Rows that fall into one shard. Every row is reached, and a short list finds what is near."""
     x = noise(3500)
